@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, near_dup
+from tessera.llm import bpe, decontaminate, near_dup, quality_rules
 from tessera.llm.tables import table
+from tessera.llm.workspace import Workspace
 
 #: The public vocabulary of operator 6, by name; a path is accepted as well.
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,21 +27,70 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(spark, table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and the verdict under risk-controlled cutoffs for every document."""
+    stats = quality_rules.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    stats = Workspace(spark, "rules").save(stats, "statistics")
+    return quality_rules.verdicts(quality_rules.judge(stats, quality_rules.fit_cutoffs(stats, table(spark, sf_dir, "labels"))))
+
+
 QUERIES = {
+    "op10_quality_rules": op10_quality_rules,
     "op5_near_dup": op5_near_dup,
     "op2_decontamination": op2_decontamination,
     "op6_bpe": op6_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), win AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS k FROM w, unnest(range(1, len(w) - 3)) AS r(i) WHERE len(w) >= 5),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM twice, unnest(range(i, i + 5)) AS r(p) GROUP BY doc_id),
+s AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS BIGINT) AS n_capitals,
+    CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id)
+), f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    CASE WHEN n_words < 60 THEN 0 WHEN n_words < 300 THEN 1 ELSE 2 END AS stratum,
+    [{'rule': 'symbols', 'bin': CAST(floor(least(1, coalesce(n_symbols / nullif(CAST(word_chars AS DOUBLE), 0), 0)) * 1000) AS INT)},
+     {'rule': 'capitals', 'bin': CAST(floor(least(1, coalesce(n_capitals / nullif(CAST(word_chars AS DOUBLE), 0), 0)) * 1000) AS INT)},
+     {'rule': 'dup_lines', 'bin': CAST(floor(least(1, coalesce(n_dup_lines / nullif(CAST(n_lines AS DOUBLE), 0), 0)) * 1000) AS INT)},
+     {'rule': 'repeats', 'bin': CAST(floor(least(1, coalesce(n_repeat_words / nullif(CAST(n_words AS DOUBLE), 0), 0)) * 1000) AS INT)}] AS shares
+  FROM s
+), seen AS (
+  SELECT stratum, quality AS y, shares FROM f JOIN labels USING (doc_id)
+  WHERE NOT base_failed AND quality IN (0, 1) AND list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) % 4 <> 1
+), size AS (SELECT stratum, count(*) FILTER (WHERE y = 1) AS n FROM seen GROUP BY stratum),
+k AS (
+  SELECT stratum, n, coalesce(max(k) FILTER (WHERE cdf <= 0.05 / 12), -1) AS k FROM (
+    SELECT stratum, n, k, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125) + (n - i) * ln(1 - 0.0125)))) AS cdf
+    FROM size, unnest(range(0, CAST(floor(n * 0.0125) AS BIGINT) + 1)) AS r(k)) GROUP BY stratum, n
+), hist AS (
+  SELECT stratum, x.rule AS rule, x.bin AS bin, count(*) FILTER (WHERE y = 1) AS g, count(*) FILTER (WHERE y = 0) AS b
+  FROM (SELECT stratum, y, unnest(shares) AS x FROM seen) GROUP BY ALL
+), cand AS (
+  SELECT stratum, rule, bin - 1 AS cutoff, sum(g) OVER win AS lost, sum(b) OVER win AS caught FROM hist
+  WINDOW win AS (PARTITION BY stratum, rule ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)
+), best AS (
+  SELECT stratum, rule, cutoff FROM cand JOIN k USING (stratum) WHERE cutoff >= 0 AND lost <= k AND caught - 5 * lost > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - 5 * lost DESC, cutoff DESC) = 1
+), hit AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, stratum, unnest(shares) AS x FROM f) q JOIN best ON best.stratum = q.stratum AND best.rule = q.x.rule AND q.x.bin > best.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM hit) AS kept FROM f
+""",
     "op5_near_dup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 1], ' ')) AS g FROM w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS r(i) WHERE len(w) > 0
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pr JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
 edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT DISTINCT a AS doc_id, a AS to_id FROM edge UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.to_id),
 comp AS (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id)
