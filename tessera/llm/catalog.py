@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, near_dup, quality_rules
+from tessera.llm import bpe, decontaminate, license_scan, near_dup, quality_rules
 from tessera.llm.tables import table
 from tessera.llm.workspace import Workspace
 
@@ -34,7 +34,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(quality_rules.judge(stats, quality_rules.fit_cutoffs(stats, table(spark, sf_dir, "labels"))))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and passages of every document."""
+    return license_scan.scan(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
     "op10_quality_rules": op10_quality_rules,
     "op5_near_dup": op5_near_dup,
     "op2_decontamination": op2_decontamination,
@@ -42,6 +48,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": license_scan.duckdb_sql(),
     "op10_quality_rules": r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
