@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, license_scan, near_dup, quality_rules
+from tessera.llm import bpe, decontaminate, license_scan, line_dedup, near_dup, quality_rules
 from tessera.llm.tables import table
 from tessera.llm.workspace import Workspace
 
@@ -39,7 +39,14 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every visible line of every document: the place of its class, its number of links, and whether it is kept."""
+    c = line_dedup.line_classes(spark, table(spark, sf_dir, "documents"))
+    return c.selectExpr("d AS doc_id", "k AS line_no", "first.d AS class_doc_id", "first.k AS class_line_no", "n_links", "kept")
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_license_scan": op3_license_scan,
     "op10_quality_rules": op10_quality_rules,
     "op5_near_dup": op5_near_dup,
@@ -47,7 +54,27 @@ QUERIES = {
     "op6_bpe": op6_bpe,
 }
 
+#: The SQL engine's edit distance counts bytes, so the tables' letters beyond ASCII are given one-byte stand-ins.
+LETTERS = "áéíóúàèìòùâêîôûäëïöüçñßÉÈÊÇÑÓÍÄÖÜ"
+STANDINS = "".join(chr(b) for b in [*range(1, 9), *range(14, 32), *b"~^`\\{}@"])[: len(LETTERS)]
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH occ AS (
+  SELECT doc_id, CAST(i - 1 AS INT) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) q, unnest(range(1, len(l) + 1)) AS r(i)
+  WHERE regexp_matches(l[i], '[^\x20\x09-\x0D]')
+), c AS (
+  SELECT line, min({'d': doc_id, 'k': line_no}) AS first, row_number() OVER () AS c, length(line) AS n, translate(line, '""" + LETTERS + """', '""" + STANDINS + r"""') AS one,
+    list_transform(string_split('etaoinshrdlucmfw', ''), lambda x: length(line) - length(replace(line, x, ''))) AS bag
+  FROM occ GROUP BY line
+), near AS (
+  SELECT x.c AS a, y.c AS b, x.first AS fa, y.first AS fb FROM c x JOIN c y ON y.n BETWEEN x.n - 2 AND x.n + 2 AND x.c <> y.c AND abs(x.bag[1] - y.bag[1]) <= 2 AND abs(x.bag[2] - y.bag[2]) <= 2 AND abs(x.bag[3] - y.bag[3]) <= 2
+  WHERE x.n >= 16 AND y.n >= 16 AND list_sum(list_transform(range(1, 17), lambda i: abs(x.bag[i] - y.bag[i]))) <= 4 AND levenshtein(x.one, y.one) <= 2
+), deg AS (SELECT a AS c, count(*) AS n_links, bool_or(fb < fa) AS later FROM near GROUP BY a)
+SELECT doc_id, line_no, first.d AS class_doc_id, first.k AS class_line_no, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links,
+  NOT coalesce(later, false) AND first = {'d': doc_id, 'k': line_no} AS kept
+FROM occ JOIN c USING (line) LEFT JOIN deg USING (c)
+""",
     "op3_license_scan": license_scan.duckdb_sql(),
     "op10_quality_rules": r"""
 WITH w AS (
