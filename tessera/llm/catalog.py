@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, license_scan, line_dedup, near_dup, quality_rules
+from tessera.llm import bpe, decontaminate, license_scan, line_dedup, near_dup, quality_model, quality_rules, toxicity
 from tessera.llm.tables import table
 from tessera.llm.workspace import Workspace
 
@@ -45,7 +45,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.selectExpr("d AS doc_id", "k AS line_no", "first.d AS class_doc_id", "first.k AS class_line_no", "n_links", "kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_model.verdicts(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op1_line_dedup": op1_line_dedup,
     "op3_license_scan": op3_license_scan,
     "op10_quality_rules": op10_quality_rules,

@@ -96,27 +96,51 @@ def blocks(col: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.nd
         i = j
 
 
+class Words:
+    """Words of consecutive rows: byte starts ``s`` and last bytes ``e``, first word of each row in ``edge`` (one more than rows)."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, table: np.ndarray):
+        n = len(data)
+        if n == 0:
+            self.s = self.e = np.empty(0, np.int64)
+            self.edge = np.zeros(len(off), np.int64)
+            self.run, self.before = np.empty(0, np.uint64), np.empty(0, np.uint64)
+            return
+        low = table[data]
+        inside = low > 0
+        first = np.zeros(n + 1, bool)
+        first[off] = True
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | first[1:n]
+        ends = inside.copy()
+        ends[:-1] &= ~inside[1:] | first[1:n]
+        self.s, self.e = np.flatnonzero(begins), np.flatnonzero(ends)
+        self.edge = np.searchsorted(self.s, off)
+        up, self.down = _powers(n)
+        with np.errstate(over="ignore"):
+            self.run = np.cumsum(_LETTER[low] * up[:n], dtype=np.uint64)
+        self.before = np.where(self.s > 0, self.run[np.maximum(self.s - 1, 0)], np.uint64(0))
+
+    def hashes(self) -> np.ndarray:
+        if not len(self.s):
+            return np.empty(0, np.uint64)
+        with np.errstate(over="ignore"):
+            return mix((self.run[self.e] - self.before) * self.down[self.s] + (self.e - self.s + 1).astype(np.uint64))
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(indexes of the words longer than size bytes, hashes of their first size bytes)."""
+        at = np.flatnonzero(self.e - self.s + 1 > size)
+        if not len(at):
+            return at, np.empty(0, np.uint64)
+        s = self.s[at]
+        with np.errstate(over="ignore"):
+            return at, mix(((self.run[s + size - 1] - self.before[at]) * self.down[s] + np.uint64(size)) ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, the index of each row's first word (one more entry than rows), and byte starts of the words."""
-    n = len(data)
-    rows = len(off) - 1
-    if n == 0:
-        return np.empty(0, np.uint64), np.zeros(rows + 1, np.int64), np.empty(0, np.int64)
-    low = table[data]
-    inside = low > 0
-    first = np.zeros(n + 1, bool)
-    first[off] = True
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | first[1:n]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | first[1:n]
-    s, e = np.flatnonzero(begins), np.flatnonzero(ends)
-    up, down = _powers(n)
-    with np.errstate(over="ignore"):
-        run = np.cumsum(_LETTER[low] * up[:n], dtype=np.uint64)
-        before = np.where(s > 0, run[np.maximum(s - 1, 0)], np.uint64(0))
-        h = (run[e] - before) * down[s] + (e - s + 1).astype(np.uint64)
-    return mix(h), np.searchsorted(s, off), s
+    w = Words(data, off, table)
+    return w.hashes(), w.edge, w.s
 
 
 def ngrams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
