@@ -8,8 +8,9 @@
    against its smallest member, on the full sets. Confirmed links are contracted to components.
 3. What the stars cannot settle is settled exactly: Jaccard distance is a metric, so two members of
    one bucket whose distances to its centre differ by more than the threshold distance cannot be
-   linked; nor can members whose set sizes differ too much. All other pairs from different
-   components are confirmed on the full sets, and the components follow from all links.
+   linked; nor can members whose set sizes differ too much, nor those whose sets, folded into bitmaps
+   by parity, differ in more bits than linked sets may differ in elements. All other pairs from
+   different components are confirmed on the full sets, and the components follow from all links.
 
 With the defaults (48 bands of 6 minima) a pair at exactly 0.8 shares no band with probability
 (1 - 0.8**6)**48 = 5e-7, and fewer above it.
@@ -37,6 +38,8 @@ from tessera.llm.components import connected_components
 from tessera.llm.workspace import Workspace
 
 BANDS, ROWS = 48, 6
+#: Bits of a parity bitmap. Longer sets fill it and are then told apart by their full sets alone.
+BITS = 4096
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,18 +114,29 @@ def sketches(df: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) ->
     return df.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
+def _parity(sets: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """A bitmap of each set: a bit tells whether an odd number of its elements fall on it."""
+    bit = (sets >> np.uint64(52)).astype(np.int64) % BITS
+    odd = np.zeros((len(edge) - 1, BITS), np.uint8)
+    for r, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        odd[r] = np.bincount(bit[a:b], minlength=BITS) & 1
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def full_sets(df: DataFrame, size: int) -> DataFrame:
-    """(doc_id, s) from (doc_id, text): the sorted distinct shingle hashes."""
+    """(doc_id, s, bits) from (doc_id, text): the sorted distinct shingle hashes and their parity bitmap."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for first, data, off in K.blocks(b.column(1)):
                 sets, edge = shingle_sets(data, off, size)
+                bits = _parity(sets, edge)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)), pa.array(bits.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(off) - 1), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["doc_id", "s"]
+                    [b.column(0).slice(first, len(off) - 1), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(sets.view(np.int64))), lists], names=["doc_id", "s", "bits"]
                 )
 
-    return df.mapInArrow(run, "doc_id long, s array<long>")
+    return df.mapInArrow(run, "doc_id long, s array<long>, bits array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -165,9 +179,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     m = work.save(m, "apart")
     mixed = m.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("key")
     mixed = work.save(mixed, "mixed")
-    m = work.save(m.join(mixed, "key", "left_semi"), "open")
+    m = work.save(m.join(mixed, "key", "left_semi").join(sets.select("doc_id", "bits"), "doc_id"), "open")
     x, y = m.alias("x"), m.alias("y")
     may = F.expr(f"x.key = y.key AND x.doc_id < y.doc_id AND x.g <> y.g AND abs(x.d - y.d) <= {1 - percent / 100 + 1e-9} AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    may = may & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
     rest = x.join(y, may).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     more = work.save(_confirm(rest, sets).where(linked).select("a", "b"), "more")
     final = work.save(connected_components(links.union(more), work, "cc-all"), "components")
