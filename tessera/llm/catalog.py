@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, near_dup, quality_model, quality_rules, toxicity
+from tessera.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, main_text, near_dup, quality_model, quality_rules, toxicity
 from tessera.llm.tables import table
 from tessera.llm.workspace import Workspace
 
@@ -63,7 +63,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_trees(spark, chat_format.chain(rows.union(more))))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op4_main_text": op4_main_text,
     "op9_chat_format": op9_chat_format,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
