@@ -61,7 +61,7 @@ class Codec:
         self.find = regex.compile(PATTERN).findall
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if self.added else None
-        self.memory: dict[str, tuple[int, str, bytes]] = {}
+        self.memory: dict[str, tuple[int, str, bytes, list[int]]] = {}
 
     def merge_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -110,12 +110,12 @@ class Codec:
                 heapq.heappush(heap, (m[0], p, ids[p], to, m[1]))
         return [x for x in ids if x >= 0]
 
-    def known(self, piece: str) -> tuple[int, str, bytes]:
-        """Number of ids, the ids as decimal text, and the bytes that they decode to."""
+    def known(self, piece: str) -> tuple[int, str, bytes, list[int]]:
+        """Number of ids, the ids as decimal text, the bytes that they decode to, and the ids."""
         ids = self.merge_word(piece.encode("utf-8"))
         if len(self.memory) >= MEMORY:
             self.memory.clear()
-        out = (len(ids), ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids]))
+        out = (len(ids), ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids]), ids)
         if len(piece) <= SCAN_LIMIT:
             self.memory[piece] = out
         return out
@@ -127,7 +127,7 @@ class Codec:
                 ids.append(self.added[part])
             else:
                 for piece in self.find(part):
-                    ids += self.merge_word(piece.encode("utf-8"))
+                    ids += (self.memory.get(piece) or self.known(piece))[3]
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -139,10 +139,10 @@ class Codec:
         memory, known = self.memory, self.known
         for k, part in enumerate(self.cut(text) if self.cut else [text]):
             if k % 2:
-                got = [(1, str(self.added[part]), part.encode())]
+                got = [(1, str(self.added[part]), part.encode(), ())]
             else:
                 got = [memory.get(p) or known(p) for p in self.find(part)]
-            for n, s, b in got:
+            for n, s, b, _ in got:
                 count += n
                 ids.append(s)
                 out.append(b)

@@ -165,17 +165,11 @@ def _matches(df: DataFrame, index: WindowIndex, id_col: str, text_col: str) -> D
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
 
 
-def find_leaks(
-    docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-) -> DataFrame:
-    """(id, n_words, spans, items) of every document: hit word ranges, and ids (as text) of the items found in it."""
-    count = bench.count()
-    blocks = max(1, -(-count // block_items))
+def _blocks(docs: DataFrame, bench: DataFrame, window: int, block_items: int, text_col: str, item_col: str, item_text_col: str) -> Iterator[WindowIndex]:
+    """Window indexes of all items, in blocks. Each is fetched by itself: what the driver and a task hold is bounded by block_items."""
+    blocks = max(1, -(-bench.count() // block_items))
     part = bench.select(bench[item_col].cast("string").alias("item"), bench[item_text_col].alias("text")).where("item is not null and text is not null")
-    # each block is fetched by itself: what the driver and a task hold is bounded by block_items
     part = part.withColumn("b", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    out = None
     for b in range(blocks):
         rows = sorted(set(map(tuple, part.where(F.col("b") == b).select("item", "text").collect())))
         items = list(zip([r[0] for r in rows], _item_words([r[1] for r in rows]), strict=True))
@@ -184,8 +178,38 @@ def find_leaks(
         known = np.array(freq["w"], np.int64).view(np.uint64) if freq is not None else vocabulary
         seen = np.array(freq["df"], np.int64) if freq is not None else np.empty(0, np.int64)
         order = np.argsort(known)
-        found = _matches(docs, WindowIndex(items, known[order], seen[order], window), id_col, text_col)
+        yield WindowIndex(items, known[order], seen[order], window)
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in which no window occurs. Texts are not shuffled."""
+    at = docs.columns.index(text_col)
+    out = docs
+    for index in _blocks(docs, bench, window, block_items, text_col, item_col, item_text_col):
+
+        def run(it: Iterator[pa.RecordBatch], index: WindowIndex = index) -> Iterator[pa.RecordBatch]:
+            table = K.alnum_table()
+            for b in it:
+                clean = np.ones(b.num_rows, bool)
+                for first, data, off in K.blocks(b.column(at)):
+                    h, edge, _ = K.words(data, off, table)
+                    clean[first + index.find(h, edge)[0]] = False
+                yield b.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
+def find_leaks(
+    docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS,
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """(id, n_words, spans, items) of every document: hit word ranges, and ids (as text) of the items found in it."""
+    out, blocks = None, 0
+    for index in _blocks(docs, bench, window, block_items, text_col, item_col, item_text_col):
+        found = _matches(docs, index, id_col, text_col)
         out = found if out is None else out.unionByName(found.where(F.size("items") > 0))
+        blocks += 1
     if blocks > 1:
         out = _merged(out)
     return out.withColumnRenamed("id", id_col)

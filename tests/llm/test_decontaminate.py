@@ -61,3 +61,12 @@ def test_empty_tables(spark):
     assert D.digest(D.find_leaks(d.limit(0), b)).count() == 0
     r = D.digest(D.find_leaks(d, b.limit(0))).first()
     assert (r.n_words, r.n_hit, r.contaminated, r.items_sha256) == (2, 0, False, hashlib.sha256(b"").hexdigest())
+
+
+def test_clean_rows_stay_whole(spark):
+    docs, bench = fixture()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("'x' as item_id", "*"), spark.createDataFrame(bench, "item_id long, text string")
+    want = sorted((r[0] for r in brute(docs, bench) if not r[5]))
+    for size in (4, 1000):
+        out = D.drop_contaminated(d, b, block_items=size)
+        assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == want
