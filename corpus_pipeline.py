@@ -18,11 +18,10 @@ from tessera.llm.workspace import Workspace
 
 
 def keep_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Cutoffs come from one pass, verdicts from another, so no text is shuffled."""
-    measured = quality_rules.statistics(docs.select("doc_id", "text")).drop("text")
-    measured = Workspace(spark, "rules").save(measured, "statistics")
+    """Documents that the quality rules keep. Statistics are written beside the documents, so both the cutoffs and the verdicts come from one measurement."""
+    measured = Workspace(spark, "rules").save(quality_rules.statistics(docs), "measured")
     cutoffs = quality_rules.fit_cutoffs(measured, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(quality_rules.statistics(docs), cutoffs).where("q_kept").select(*docs.columns)
+    return quality_rules.judge(measured, cutoffs).where("q_kept").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
