@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.scalar import eccentricity
 from tessera.kernels import raster as K
@@ -23,13 +24,10 @@ def map_rasters(df: DataFrame, kernel: Callable[[np.ndarray], list[tuple]], sche
     Rasters pass in small batches, so a task holds a few at a time.
     """
     out = T.StructType([T.StructField(key, df.schema[key].dataType), *T.StructType.fromDDL(schema)])
-    arrow = [f.dataType for f in T.StructType.fromDDL(schema)]
+    kinds = [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(schema)]
     names = out.names
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kinds = [to_arrow_type(t) for t in arrow]
         for b in it:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
