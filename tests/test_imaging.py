@@ -130,3 +130,19 @@ def test_command_line(spark, folder, tmp_path, capsys):
         cli.main(["info", *base, "--set", "fat.nope=1"])
     with pytest.raises(SystemExit):
         cli.groups(["x"])
+
+
+def test_panels(spark, folder):
+    from tessera.plans import panels
+
+    grid = imaging.tiles(imaging.tissue(spark, folder, CFG, "s*.png"), src.slides(spark, folder, "s*.png"), CFG)
+    v = imaging.votes(spark, panels.quick_tiles(grid, 1).drop("population"), folder, ensemble.default_members(CFG.fat), "s*.png")
+    counts = panels.tile_counts(v, min_px=100)
+    sev = {r.slide: r.severity for r in panels.severity(counts).collect()}
+    assert sev["s10"] > sev["s9"] > 0
+    best = panels.best_panels(counts, 0.5, 20).collect()
+    assert best and all(r.missed_blobs == 0 for r in best)
+    why = {(r.verdict, r.in_label): r.n for r in panels.reason_counts(panels.region_reasons(v, CFG.fat), CFG.fat.min_area_um2).collect()}
+    assert why[("macro", True)] >= 4 and ("macro", False) not in why
+    sheets = panels.contact_sheets(v, CFG.fat, 4, 2).collect()
+    assert {r.slide for r in sheets} == {"s9", "s10"} and png.decode(bytes(sheets[0].png)).shape[2] == 3
