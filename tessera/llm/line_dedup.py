@@ -9,13 +9,13 @@ to agree in their letter counts (each edit moves at most two of them by one), wh
 the join, and are verified by a banded bit-parallel edit distance: the band of 2 * tau + 1 diagonals
 is one word of bits that slides along both lines.
 
-Equal lines are one class, named by their first place (document id, text hash, line number), so the
+Equal lines are one class, named by their first place (document id, line number), so the
 copies of a common line are one row of the join. A line is kept if it is the first of its class
 and no class that begins earlier is linked with its own.
 
-Scale: texts are read twice. The first pass keeps 15 hashes for each line (tau = 2) and no text; only
-lines of candidate pairs are met again as text. Index buckets are sort-merge joins of two plain
-shuffles, which adaptive execution splits where a segment is common.
+Scale: copies of a line are summed up on the map side to one row of 12 to 15 hashes (tau = 2) without
+text; lines are shuffled as text once, to meet the candidate pairs. Index buckets are sort-merge
+joins of two plain shuffles, which adaptive execution splits where a segment is common.
 
 Defined results: lines without a word character are not lines here (they are never dropped);
 null texts have no lines; lines shorter than ``min_chars`` are compared exactly only; rows repeating an
@@ -27,65 +27,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import sieve
 from tessera.llm.workspace import Workspace
 
 TAU = 2
 MIN_CHARS = 16
 #: Letters whose counts are compared before verification.
-LETTERS = "etanoirs"
-BLANK = " \t\n\x0b\f\r"
+LETTERS = "etanoirsdh"
+VISIBLE = r"[^ \t\n\x0B\f\r]"
+#: More than any line number.
+PLACES = 1 << 31
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, r, k, line): document id, hash of its text, line number from 0, and the line, for lines with a visible character."""
     text = docs[text_col].cast("string")
-    d = docs.select(docs[id_col].alias("d"), F.xxhash64(text).alias("r"), F.posexplode(F.split(text, "\n", -1)).alias("k", "line"))
-    return d.where(F.trim("line", F.lit(BLANK)) != "")
+    d = docs.select(docs[id_col].cast("long").alias("d"), F.xxhash64(text).alias("r"), F.posexplode(F.split(text, "\n", -1)).alias("k", "line"))
+    return d.where(F.col("line").rlike(VISIBLE))
 
 
-def _segment(n: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """(start from 1, length) of segment i (from 1) of a line of n characters; the last ones are the longer ones."""
+def _segment(i: int, gap: int, tau: int) -> tuple[Column, Column]:
+    """(start from 1, length) of segment i (from 1) of a line gap characters shorter, from its columns b<gap> and l<gap>: quotient and rest of the length."""
     m = tau + 1
-    base, long = F.floor(n / m).cast("int"), n % m
-    extra = F.greatest(F.lit(0), i - 1 - (m - long))
-    return ((i - 1) * base + extra + 1).cast("int"), (base + (F.lit(i) > m - long).cast("int")).cast("int")
+    base, long = F.col(f"b{gap}"), F.col(f"l{gap}")
+    return (i - 1) * base + F.greatest(F.lit(0), long + (i - 1 - m)) + 1, base + (long > m - i).cast("int")
 
 
-def _piece(line: Column, start: Column, size: Column, n: Column, i: int) -> Column:
-    return F.xxhash64(n, F.lit(i), F.substring(line, start, size))
+def _cut(start: Column, size: Column, i: int) -> Column:
+    return F.struct(F.lit(i).alias("i"), start.cast("int").alias("s"), size.cast("int").alias("z"))
 
 
-def index_keys(line: Column, n: Column, tau: int) -> Column:
-    return F.array(*[_piece(line, *_segment(n, i, tau), n, i) for i in range(1, tau + 2)])
+def with_keys(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
+    """lines with ``own``, the hashes of a line's segments, and ``ask``, those of its distinct substrings that may equal a segment of a line of n - tau to n characters.
 
-
-def probe_keys(line: Column, n: Column, tau: int) -> Column:
-    out = []
-    for gap in range(tau + 1):
-        of = n - gap
-        for i in range(1, tau + 2):
-            start, size = _segment(of, i, tau)
+    Hashes are taken from four bytes a character, so that a run is found without a scan.
+    """
+    m = tau + 1
+    parts = {f"{c}{gap}": F.expr(f"CAST({'(n - %d) DIV %d' % (gap, m) if c == 'b' else '(n - %d) %% %d' % (gap, m)} AS INT)") for gap in range(m) for c in "bl"}
+    d = lines.withColumns({"n": F.length("line"), "w": F.encode("line", "UTF-32")}).withColumns(parts)
+    probes = []
+    for i in range(1, m + 1):
+        for gap in range(m):
+            start, size = _segment(i, gap, tau)
             low, high = max(-(i - 1), gap - (tau + 1 - i)), min(i - 1, gap + (tau + 1 - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                out.append(F.when((at >= 1) & (at + size - 1 <= n), _piece(line, at, size, of, i)))
-    return F.array_compact(F.array_distinct(F.array(*out)))
+            probes += [_cut(start + shift, size, i) for shift in range(low, high + 1)]
+    near = F.col("n") >= min_chars
+    nothing = F.array().cast("array<struct<i:int,s:int,z:int>>")
+    hashed = lambda cuts: F.transform(cuts, lambda c: F.xxhash64(c.i, F.substring(F.col("w"), 4 * (c.s - 1) + 1, 4 * c.z)))
+    # a probe that leaves the line finds fewer characters than its segment has, and so nothing
+    ask = F.filter(F.array_distinct(F.array(*probes)), lambda c: (c.s >= 1) & (c.s + c.z - 1 <= F.col("n")))
+    own = F.array(*[_cut(*_segment(i, 0, tau), i) for i in range(1, m + 1)])
+    d = d.withColumns({"cut_own": F.when(near, own).otherwise(nothing), "cut_ask": F.when(near, ask).otherwise(nothing)})
+    return d.withColumns({"own": hashed("cut_own"), "ask": hashed("cut_ask")}).drop(*parts, "w", "cut_own", "cut_ask")
+
+
+def n_probes(tau: int) -> int:
+    m = tau + 1
+    return sum(min(i - 1, g + m - i) - max(1 - i, g - (m - i)) + 1 for i in range(1, m + 1) for g in range(m))
 
 
-def _letter_counts(line: Column) -> Column:
-    """Counts of the letters, each modulo 256, in the bytes of one long."""
-    out = F.lit(0).cast("long")
+def _traits(line: Column, n: Column) -> Column:
+    """The length modulo 256 and, above it, the letter counts modulo 32, in one long."""
+    out = n.cast("long").bitwiseAND(F.lit(255).cast("long"))
     for j, c in enumerate(LETTERS):
-        count = (F.length(line) - F.length(F.replace(line, F.lit(c)))).cast("long")
-        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(255).cast("long")), 8 * j))
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))).cast("long")
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(31).cast("long")), 8 + 5 * j))
     return out
 
 
-def _count_distance(x: str, y: str) -> str:
-    """SQL for the sum of differences of the letter counts, as residues: never above the true sum."""
-    one = "abs((shiftrightunsigned({x}, {j}) & 255L) - (shiftrightunsigned({y}, {j}) & 255L))"
-    parts = [one.format(x=x, y=y, j=8 * j) for j in range(len(LETTERS))]
-    return " + ".join(f"least({p}, 256L - {p})" for p in parts)
+def _may_be_near(a: str, b: str, ta: str, tb: str, tau: int) -> str:
+    """SQL for what edits allow, with each pair in one direction: b is at most tau longer than a, or as long and numbered higher; letter counts differ by at most 2 * tau in sum.
+
+    Residues never differ by more than the true values.
+    """
+    longer = f"(({tb} & 255L) - ({ta} & 255L)) & 255L"
+
+    def differ(shift: int) -> str:
+        d = f"abs((shiftrightunsigned({ta}, {shift}) & 31L) - (shiftrightunsigned({tb}, {shift}) & 31L))"
+        return f"least({d}, 32L - {d})"
+
+    return f"({longer}) <= {tau} AND ({a} < {b} OR ({longer}) <> 0L AND {a} <> {b}) AND " + " + ".join(differ(8 + 5 * j) for j in range(len(LETTERS))) + f" <= {2 * tau}"
 
 
 def banded_distance(a: Column, b: Column, tau: int) -> Column:
@@ -137,55 +158,67 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
 
 
 def line_classes(spark: SparkSession, docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, r, k, first, n_links, kept) of every line: first is the first place of its class, n_links the number of other classes linked with it."""
+    """(d, r, k, first, n_links, kept) of every line: first (d, k) is the first place of its class, n_links the number of other classes linked with it."""
     if min_chars <= tau + 1:
         raise ValueError("lines have to be longer than their number of segments")
     work = Workspace(spark, "lines")
     lines = lines_of(docs, id_col, text_col)
-    line, n = F.col("line"), F.length("line")
-    near = n >= min_chars
-    none = F.array().cast("array<bigint>")
-    keyed = lines.withColumns({"n": n, "h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")}).select(
-        "d", "r", "k", "h1", "h2", F.when(near, index_keys(line, F.col("n"), tau)).otherwise(none).alias("own"),
-        F.when(near, probe_keys(line, F.col("n"), tau)).otherwise(none).alias("ask"), F.when(near, _letter_counts(line)).alias("bag"),
-    )
-    keyed = work.save(keyed, "keyed")
-    first = keyed.groupBy("h1", "h2").agg(F.min(F.struct("d", "r", "k")).alias("first"))
-    first = work.save(first.withColumn("c", F.monotonically_increasing_id()), "classes")
-    # one line for each class goes into the join, named by a number
-    place = first.select("c", F.col("first.d").alias("d"), F.col("first.r").alias("r"), F.col("first.k").alias("k"))
-    alone = work.save(keyed.join(place, ["d", "r", "k"]).select("c", "own", "ask", "bag").dropDuplicates(["c"]), "alone")
-    x = alone.select(F.col("c").alias("a"), F.col("bag").alias("bag_a"), F.explode("own").alias("key"))
-    y = alone.select(F.col("c").alias("b"), F.col("bag").alias("bag_b"), F.explode("ask").alias("key"))
-    agree = F.expr(f"{_count_distance('bag_a', 'bag_b')} <= {2 * tau}")
-    pairs = x.join(y, "key").where((F.col("a") != F.col("b")) & agree)
+    named = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
+    places = work.save(named.select("d", "r", "k", "h1", "h2"), "places")
+
+    # one row for each class, with its first place and its keys; copies of a line meet as fixed-width sums
+    keyed = with_keys(named, tau, min_chars)
+    keys = {f"o{j}": F.get("own", F.lit(j)) for j in range(tau + 1)} | {f"a{j}": F.get("ask", F.lit(j)) for j in range(n_probes(tau))}
+    at = (F.col("d").cast("decimal(38,0)") * PLACES + F.col("k")).cast("decimal(38,0)")
+    keyed = keyed.select("h1", "h2", at.alias("at"), F.when(F.col("n") >= min_chars, _traits(F.col("line"), F.col("n"))).alias("traits"), *[c.alias(x) for x, c in keys.items()])
+    classes = keyed.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in ("at", "traits", *keys)])
+    classes = work.save(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    work.release()
+
+    x = classes.select(F.col("c").alias("a"), F.col("traits").alias("ta"), F.explode(F.array(*[k for k in keys if k[0] == "o"])).alias("key")).where("key IS NOT NULL")
+    y = classes.select(F.col("c").alias("b"), F.col("traits").alias("tb"), F.explode(F.array(*[k for k in keys if k[0] == "a"])).alias("key")).where("key IS NOT NULL")
+    pairs = x.join(y, "key").where(F.expr(_may_be_near("a", "b", "ta", "tb", tau)))
     pairs = work.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    work.drop("alone")
-    # the texts of the lines in question
+    work.release()
+
+    # the texts of the lines in question, from their first places
+    first = classes.select("c", "h1", "h2", "at")
     asked = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    asked = asked.join(place, "c")
-    text = lines.join(asked, ["d", "r", "k"]).select("c", "line").dropDuplicates(["c"])
+    asked = asked.join(first, "c").select("c", "h1", "h2", _place("at").alias("p")).select("c", "h1", "h2", "p.d", "p.k")
+    asked = work.save(asked, "asked")
+    maybe = sieve.marked(named, F.col("h1"), asked, F.col("h1")).where("_maybe").drop("_maybe")
+    text = maybe.join(asked, ["d", "k", "h1", "h2"]).select("c", "line").dropDuplicates(["c"])
     text = work.save(text, "text")
+    work.release()
     both = pairs.join(text.select(F.col("c").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("c").alias("b"), F.col("line").alias("lb")), "b")
     long, short = F.when(F.length("la") >= F.length("lb"), F.col("la")).otherwise(F.col("lb")), F.when(F.length("la") >= F.length("lb"), F.col("lb")).otherwise(F.col("la"))
     links = both.select("a", "b", long.alias("p"), short.alias("t")).select("a", "b", banded_distance(F.col("p"), F.col("t"), tau).alias("dist")).where(F.col("dist") <= tau)
     links = work.save(links, "links")
     work.drop("text")
     ways = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pos = first.select("c", "first")
-    ways = ways.join(pos.select(F.col("c").alias("a"), F.col("first").alias("fa")), "a").join(pos.select(F.col("c").alias("b"), F.col("first").alias("fb")), "b")
+    at = classes.select("c", "at")
+    ways = ways.join(at.select(F.col("c").alias("a"), F.col("at").alias("fa")), "a").join(at.select(F.col("c").alias("b"), F.col("at").alias("fb")), "b")
     degree = ways.groupBy("a").agg(F.count("*").alias("n_links"), F.max((F.col("fb") < F.col("fa")).cast("int")).alias("later")).withColumnRenamed("a", "c")
-    known = first.join(degree, "c", "left").select("h1", "h2", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("later", F.lit(0)).alias("later"))
-    here = F.struct("d", "r", "k")
-    return keyed.select("d", "r", "k", "h1", "h2").join(known, ["h1", "h2"]).select("d", "r", "k", "first", "n_links", ((F.col("later") == 0) & (here == F.col("first"))).alias("kept"))
+    known = first.join(degree, "c", "left").select("h1", "h2", _place("at").alias("first"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("later", F.lit(0)).alias("later"))
+    here = F.struct("d", "k")
+    return places.join(known, ["h1", "h2"]).select("d", "r", "k", "first", "n_links", ((F.col("later") == 0) & (here == F.col("first"))).alias("kept"))
+
+
+def _place(c: str) -> Column:
+    """(d, k) of a place that was packed into one decimal."""
+    k = F.pmod(F.col(c), F.lit(PLACES).cast("decimal(38,0)"))
+    return F.struct(((F.col(c) - k) / PLACES).cast("long").alias("d"), k.cast("int").alias("k"))
 
 
 def drop_lines(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines that are not kept taken out of their texts; a document that loses every visible line goes."""
     gone = classes.groupBy("d", "r").agg(F.collect_set(F.when(~F.col("kept"), F.col("k"))).alias("gone"), F.count(F.when(F.col("kept"), 1)).alias("left")).where("size(gone) > 0")
     gone = gone.select(F.col("d").alias("_d"), F.col("r").alias("_r"), F.col("gone").alias("_gone"), F.col("left").alias("_left"))
+    gone = Workspace(docs.sparkSession, "gone").save(gone, "lines")
     names = docs.columns
-    d = docs.withColumn("_h", F.xxhash64(docs[text_col].cast("string")))
-    j = d.join(gone, (d[id_col] == F.col("_d")) & (F.col("_h") == F.col("_r")), "left").where("_left IS NULL OR _left > 0")
+    d = docs.withColumns({"_h": F.xxhash64(docs[text_col].cast("string")), "_id": docs[id_col].cast("long")})
+    d = sieve.marked(d, F.xxhash64("_id", "_h"), gone, F.xxhash64("_d", "_r"))
+    j = d.where("_maybe").join(gone, (F.col("_id") == F.col("_d")) & (F.col("_h") == F.col("_r")), "left").where("_left IS NULL OR _left > 0")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    return j.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*names)
+    changed = j.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*names)
+    return changed.union(d.where("NOT _maybe").select(*names))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,8 @@ class Workspace:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def release(self) -> None:
+        """Lets the driver forget finished steps, so that their shuffle files are removed before the next one writes its own."""
+        gc.collect()
+        self.spark._jvm.System.gc()
