@@ -82,7 +82,8 @@ def stratified_pick(candidates: DataFrame, n: int, strata: int, seed: int, value
     at = F.aggregate(F.sequence(F.lit(1), F.lit(strata - 1)), F.lit(0), lambda a, i: F.when(F.col(value) >= F.get("e", i), i).otherwise(a)) if strata > 1 else F.lit(0)
     per = F.greatest(F.lit(1), F.floor(F.least(F.lit(n), F.col("total")) / strata))
     d = d.withColumn("stratum", at)
-    ranked = d.withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("key", "slide", "x", "y")))
+    # no stratum can give more than n rows, which the planner turns into a limit before the shuffle
+    ranked = d.withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("key", "slide", "x", "y"))).where(F.col("r") <= n)
     first = ranked.withColumn("top_up", (F.col("r") > per).cast("int"))
     return first.orderBy("top_up", F.when(F.col("top_up") == 0, F.col("stratum")), "key", "slide", "x", "y").limit(n).select(*candidates.columns, "stratum", F.col("top_up").cast("boolean").alias("topped_up"))
 

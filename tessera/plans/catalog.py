@@ -144,7 +144,7 @@ def _holdout(spark, sf, repeats=40):
 
 
 def holdout(spark, sf):
-    return _r(_holdout(spark, sf), "tune_metric", "test_metric", "test_auc", "test_pos_mean", "test_neg_mean")
+    return _r(_holdout(spark, sf), "tune_metric", "test_metric", "test_auc", "test_pos_mean", "test_neg_mean", digits=9)
 
 
 def stability(spark, sf):
@@ -152,13 +152,13 @@ def stability(spark, sf):
 
 
 def optimism(spark, sf):
-    return _r(validate.optimism(_holdout(spark, sf)), "optimism", "test_mean", "test_lo", "test_hi", digits=5)
+    return _r(validate.optimism(_holdout(spark, sf)), "optimism", "test_mean", "test_lo", "test_hi", digits=8)
 
 
 def bootstrap_ci(spark, sf):
     cell = {"white": 210, "circularity_min": 0.55, "min_area_um2": 40.0, "max_eccentricity": 0.8}
     rows = validate.cell_rows(_sweep(spark, sf), cell).select("slide", "group", "macro_pct")
-    return _r(validate.bootstrap(spark, rows, boots=200, seed=SEED), "observed", "boot_mean", "ci_lo", "ci_hi", digits=5)
+    return _r(validate.bootstrap(spark, rows, boots=200, seed=SEED), "observed", "boot_mean", "ci_lo", "ci_hi", digits=8)
 
 
 def split_plan(spark, sf):

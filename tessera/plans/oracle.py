@@ -105,7 +105,6 @@ def _morph(first: str, second: str) -> str:
 VOTES = ", lv AS (SELECT 100 + k * 12 AS level FROM range(9) t(k)), vt AS (SELECT id, y, x, count(*) FILTER (WHERE gray >= level) AS votes FROM px, lv GROUP BY id, y, x)"
 ROUND9 = lambda *c: ", ".join(f"round({x}, 9) AS {x}" for x in c)
 ROUND6 = lambda *c: ", ".join(f"round({x}, 6) AS {x}" for x in c)
-ROUND5 = lambda *c: ", ".join(f"round({x}, 5) AS {x}" for x in c)
 QUOTA = "CASE WHEN n <= 2 THEN 0 ELSE greatest(1, CAST(round_even(n * 0.2, 0) AS INT)) END"
 CAND = ", cand AS (SELECT slide, x, y, round(coalesce(macro_area_um2, 0) / tissue_area_um2 * 100, 6) AS macro_pct FROM tiles LEFT JOIN tally USING (slide, tile))"
 MEMBERS = "(200, 20.0, 0.80), (200, 40.0, 0.85), (200, 60.0, 0.75), (210, 20.0, 0.85), (210, 40.0, 0.80), (210, 60.0, 0.80), (220, 20.0, 0.75), (220, 40.0, 0.80), (220, 60.0, 0.85)"
@@ -134,15 +133,15 @@ SQL = {
         SELECT {KEYS}, {ROUND6('pos_mean', 'pos_min', 'neg_mean', 'neg_max', 'auc')}, round(pos_min - neg_max, 6) AS margin, round(pos_mean / nullif(neg_mean, 0), 6) AS ratio FROM c JOIN a USING ({KEYS})""",
     "auc": f"WITH {BASE}, v AS (SELECT 1 AS one, cohort AS \"group\", macro_area_um2 AS macro_pct FROM summary JOIN slides USING (slide)), a AS ({_auc('v', 'one')}) SELECT round(auc, 9) AS auc FROM a",
     "top_cells": f"WITH {BASE}{SWEEP} SELECT {KEYS}, round(min(macro_pct) FILTER (WHERE \"group\" = 'positive') - max(macro_pct) FILTER (WHERE \"group\" = 'negative'), 6) AS margin FROM sweep GROUP BY {KEYS} ORDER BY margin DESC NULLS LAST, {KEYS} LIMIT 5",
-    "holdout": f"WITH {BASE}{SWEEP}{HOLD} SELECT * REPLACE ({ROUND6('tune_metric', 'test_metric', 'test_auc', 'test_pos_mean', 'test_neg_mean')}) FROM hold",
+    "holdout": f"WITH {BASE}{SWEEP}{HOLD} SELECT * REPLACE ({ROUND9('tune_metric', 'test_metric', 'test_auc', 'test_pos_mean', 'test_neg_mean')}) FROM hold",
     "stability": f"WITH {BASE}{SWEEP}{HOLD} SELECT {KEYS}, count(*) AS times_selected, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM hold GROUP BY {KEYS}",
-    "optimism": f"WITH {BASE}{SWEEP}{HOLD} SELECT round(avg(tune_metric) - avg(test_metric), 5) AS optimism, round(avg(test_metric), 5) AS test_mean, round(quantile_cont(test_metric, 0.025), 5) AS test_lo, round(quantile_cont(test_metric, 0.975), 5) AS test_hi FROM hold",
+    "optimism": f"WITH {BASE}{SWEEP}{HOLD} SELECT round(avg(tune_metric) - avg(test_metric), 8) AS optimism, round(avg(test_metric), 8) AS test_mean, round(quantile_cont(test_metric, 0.025), 8) AS test_lo, round(quantile_cont(test_metric, 0.975), 8) AS test_hi FROM hold",
     "bootstrap_ci": f"""WITH {BASE}{SWEEP}, b AS (SELECT "group", macro_pct, row_number() OVER (PARTITION BY "group" ORDER BY slide) - 1 AS i, count(*) OVER (PARTITION BY "group") AS n FROM sweep WHERE white = 210 AND circularity_min = 0.55 AND min_area_um2 = 40 AND max_eccentricity = 0.8),
         dr AS (SELECT boot, s."group", ('0x' || substr(md5('7|' || boot || '|' || s."group" || '|' || s.i), 1, 12))::BIGINT % s.n AS i FROM b s, unnest(range(200)) AS r(boot)),
         d AS (SELECT boot, "group", macro_pct FROM dr JOIN b USING ("group", i) UNION ALL SELECT -1, "group", macro_pct FROM b),
         m AS (SELECT boot, {SEPARATE} FROM d GROUP BY boot), a AS ({_auc('d', 'boot')}), f AS (SELECT *, pos_min - neg_max AS margin FROM m JOIN a USING (boot)),
         l AS ({' UNION ALL '.join(f"SELECT boot, '{x}' AS metric, {x} AS v FROM f" for x in METRICS)})
-        SELECT metric, round(max(v) FILTER (WHERE boot = -1), 5) AS observed, round(avg(v) FILTER (WHERE boot >= 0), 5) AS boot_mean, round(quantile_cont(v, 0.025) FILTER (WHERE boot >= 0), 5) AS ci_lo, round(quantile_cont(v, 0.975) FILTER (WHERE boot >= 0), 5) AS ci_hi FROM l GROUP BY metric""",
+        SELECT metric, round(max(v) FILTER (WHERE boot = -1), 8) AS observed, round(avg(v) FILTER (WHERE boot >= 0), 8) AS boot_mean, round(quantile_cont(v, 0.025) FILTER (WHERE boot >= 0), 8) AS ci_lo, round(quantile_cont(v, 0.975) FILTER (WHERE boot >= 0), 8) AS ci_hi FROM l GROUP BY metric""",
     "split_plan": f"""WITH {BASE}, n AS (SELECT cohort, count(*) AS n FROM slides GROUP BY cohort), q AS (SELECT cohort, n, {QUOTA} AS t FROM n),
         k AS (SELECT cohort, 'train' AS split, n - 2 * t AS quota FROM q UNION ALL SELECT cohort, 'val', t FROM q UNION ALL SELECT cohort, 'test', t FROM q),
         p AS (SELECT cohort, split, row_number() OVER (PARTITION BY cohort ORDER BY (quota - j) / quota::DOUBLE DESC, quota DESC, split DESC) AS place FROM k, unnest(range(quota)) AS r(j) WHERE quota > 0),
