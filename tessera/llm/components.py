@@ -12,21 +12,31 @@ SALTS = 16
 MAX_ROUNDS = 60
 
 
+def _salted(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m, salts): the least neighbour of each node, and the parts over which its edges are dealt."""
+    part = edges.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    return part.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("salt").alias("salts"))
+
+
 def _with_min(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (u, v) with m, the least node of u's neighbourhood."""
-    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS))).join(spread, ["u", "salt"]).drop("salt")
+    """Salted edges (u, v) with m, the least node of u's neighbourhood."""
+    spread = least.select("u", "m", F.explode("salts").alias("salt"))
+    return edges.join(spread, ["u", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    both = _salted(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    least = _least(both).withColumn("m", F.least("u", "m"))
     return _with_min(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    down = _salted(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    least = _least(down)
     moved = _with_min(down, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 

@@ -15,8 +15,8 @@
 With the defaults (48 bands of 6 minima) a pair at exactly 0.8 shares no band with probability
 (1 - 0.8**6)**48 = 5e-7, and fewer above it.
 
-Scale: text is read in two passes and shuffled once (only to meet the ids of candidates); buckets
-shuffle 16 bytes a band; no list of a bucket's members is ever gathered; hubs are salted.
+Scale: text is read in two passes; only texts that a bit filter lets through are shuffled, to meet the ids
+of candidates; buckets shuffle 16 bytes a band; no list of a bucket's members is ever gathered; hubs are salted.
 
 Defined results: a document without words (null, empty, white space) has an empty set, is linked with
 nothing and is its own component; a row repeating another's id and text gets the same result; rows
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import sieve
 from tessera.llm import textkit as K
 from tessera.llm.components import connected_components
 from tessera.llm.workspace import Workspace
@@ -166,7 +167,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
 
     stars = members.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct()
     near = members.select("doc_id").distinct()
-    sets = work.save(full_sets(texts.join(near, "doc_id", "left_semi"), size), "sets")
+    near = work.save(near, "near")
+    maybe = sieve.marked(texts, F.xxhash64("doc_id"), near, F.xxhash64("doc_id")).where("_maybe").drop("_maybe")
+    sets = work.save(full_sets(maybe.join(near, "doc_id", "left_semi"), size), "sets")
     star = work.save(_confirm(stars, sets), "stars")
     linked = F.expr(f"100 * i >= {percent} * (na + nb - i)")
     links = star.where(linked).select("a", "b")
@@ -194,3 +197,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     out = sk.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     comp = F.coalesce("component_id", "doc_id")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
+
+
+def drop_duplicates(spark: SparkSession, docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that near_duplicates keeps. Only rows that a bit filter lets through are shuffled."""
+    gone = Workspace(spark, "near-dup").save(found.where("NOT kept").select(F.col(id_col).alias("_gone")), "gone")
+    d = sieve.marked(docs, F.xxhash64(docs[id_col].cast("long")), gone, F.xxhash64("_gone"))
+    left = d.where("_maybe").join(gone, d[id_col] == gone["_gone"], "left_anti")
+    return left.select(*docs.columns).union(d.where("NOT _maybe").select(*docs.columns))
