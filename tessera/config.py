@@ -8,6 +8,9 @@ from hashlib import sha256
 from typing import Any
 
 
+# The names and defaults below are those of existing parameter files, which have to stay readable.
+
+
 @dataclass(frozen=True)
 class Tissue:
     level: int = 2

@@ -15,8 +15,12 @@ from tessera.operators.classify import PARAMETERS, verdict
 MEMBERS = ((200, 20.0, 0.80), (200, 40.0, 0.85), (200, 60.0, 0.75), (210, 20.0, 0.85), (210, 40.0, 0.80), (210, 60.0, 0.80), (220, 20.0, 0.75), (220, 40.0, 0.80), (220, 60.0, 0.85))
 
 
+#: Fixed format of a member's name.
+NAME = "w{}_a{}_e{:.2f}"
+
+
 def default_members(base: Fat) -> list[tuple[str, Fat]]:
-    return [(f"w{w}_a{int(a)}_e{e:.2f}", replace(base, white_threshold=w, min_area_um2=a, max_eccentricity=e)) for w, a, e in MEMBERS]
+    return [(NAME.format(w, int(a), e), replace(base, white_threshold=w, min_area_um2=a, max_eccentricity=e)) for w, a, e in MEMBERS]
 
 
 def accepted(components: DataFrame, members: DataFrame) -> DataFrame:
