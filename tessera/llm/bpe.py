@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 #: Fixed: the published pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens remembered per worker. When the table is full it is emptied; results do not depend on it.
-MEMORY = 400_000
+#: Pre-tokens remembered per worker, some 50 MB. When the table is full it is emptied; results do not depend on it.
+MEMORY = 200_000
 #: Longer pre-tokens merge by a heap over linked parts, as repeated scanning would take quadratic time.
 SCAN_LIMIT = 256
 
@@ -61,7 +61,8 @@ class Codec:
         self.find = regex.compile(PATTERN).findall
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if self.added else None
-        self.memory: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        self.memory: dict[str, tuple[int, str, bytes]] = {}
+        self.ids: dict[str, tuple[int, ...]] = {}
 
     def merge_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -110,16 +111,24 @@ class Codec:
                 heapq.heappush(heap, (m[0], p, ids[p], to, m[1]))
         return [x for x in ids if x >= 0]
 
-    def known(self, piece: str) -> tuple[int, str, bytes, list[int]]:
-        """Number of ids, the ids as decimal text, the bytes that they decode to, and the ids."""
+    def known(self, piece: str) -> tuple[int, str, bytes]:
+        """Number of ids, the ids as decimal text, and the bytes that they decode to."""
         ids = self.merge_word(piece.encode("utf-8"))
         if len(self.memory) >= MEMORY:
             self.memory.clear()
-        out = (len(ids), ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids]), ids)
+        out = (len(ids), ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids]))
         if len(piece) <= SCAN_LIMIT:
             self.memory[piece] = out
         return out
 
+    def ids_of(self, piece: str) -> tuple[int, ...]:
+        out = tuple(self.merge_word(piece.encode("utf-8")))
+        if len(self.ids) >= MEMORY:
+            self.ids.clear()
+        if len(piece) <= SCAN_LIMIT:
+            self.ids[piece] = out
+        return out
+
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         for k, part in enumerate(self.cut(text) if self.cut else [text]):
@@ -127,7 +136,7 @@ class Codec:
                 ids.append(self.added[part])
             else:
                 for piece in self.find(part):
-                    ids += (self.memory.get(piece) or self.known(piece))[3]
+                    ids += self.ids.get(piece) or self.ids_of(piece)
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -139,10 +148,10 @@ class Codec:
         memory, known = self.memory, self.known
         for k, part in enumerate(self.cut(text) if self.cut else [text]):
             if k % 2:
-                got = [(1, str(self.added[part]), part.encode(), ())]
+                got = [(1, str(self.added[part]), part.encode())]
             else:
                 got = [memory.get(p) or known(p) for p in self.find(part)]
-            for n, s, b, _ in got:
+            for n, s, b in got:
                 count += n
                 ids.append(s)
                 out.append(b)
