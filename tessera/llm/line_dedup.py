@@ -54,7 +54,13 @@ def _segment(i: int, gap: int, tau: int) -> tuple[Column, Column]:
 
 
 def _cut(start: Column, size: Column, i: int) -> Column:
-    return F.struct(F.lit(i).alias("i"), start.cast("int").alias("s"), size.cast("int").alias("z"))
+    """Segment number, start and length of a run in one long, so that equal runs are found by equal numbers."""
+    return F.shiftleft(size.cast("long"), 33).bitwiseOR(F.shiftleft(start.cast("long"), 3)).bitwiseOR(F.lit(i).cast("long"))
+
+
+def _hash_cut(wide: Column, cut: Column) -> Column:
+    start = F.shiftrightunsigned(cut, 3).bitwiseAND(F.lit((1 << 30) - 1).cast("long")).cast("int")
+    return F.xxhash64(cut.bitwiseAND(F.lit(7).cast("long")), F.substring(wide, 4 * (start - 1) + 1, 4 * F.shiftrightunsigned(cut, 33).cast("int")))
 
 
 def with_keys(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
@@ -72,10 +78,10 @@ def with_keys(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
             low, high = max(-(i - 1), gap - (tau + 1 - i)), min(i - 1, gap + (tau + 1 - i))
             probes += [_cut(start + shift, size, i) for shift in range(low, high + 1)]
     near = F.col("n") >= min_chars
-    nothing = F.array().cast("array<struct<i:int,s:int,z:int>>")
-    hashed = lambda cuts: F.transform(cuts, lambda c: F.xxhash64(c.i, F.substring(F.col("w"), 4 * (c.s - 1) + 1, 4 * c.z)))
-    # a probe that leaves the line finds fewer characters than its segment has, and so nothing
-    ask = F.filter(F.array_distinct(F.array(*probes)), lambda c: (c.s >= 1) & (c.s + c.z - 1 <= F.col("n")))
+    nothing = F.array().cast("array<bigint>")
+    hashed = lambda cuts: F.transform(cuts, lambda c: _hash_cut(F.col("w"), c))
+    # a run that leaves a very short line has fewer characters than it should: at worst a candidate that is not confirmed
+    ask = F.array_distinct(F.array(*probes))
     own = F.array(*[_cut(*_segment(i, 0, tau), i) for i in range(1, m + 1)])
     d = d.withColumns({"cut_own": F.when(near, own).otherwise(nothing), "cut_ask": F.when(near, ask).otherwise(nothing)})
     return d.withColumns({"own": hashed("cut_own"), "ask": hashed("cut_ask")}).drop(*parts, "w", "cut_own", "cut_ask")
@@ -161,6 +167,8 @@ def line_classes(spark: SparkSession, docs: DataFrame, tau: int = TAU, min_chars
     """(d, r, k, first, n_links, kept) of every line: first (d, k) is the first place of its class, n_links the number of other classes linked with it."""
     if min_chars <= tau + 1:
         raise ValueError("lines have to be longer than their number of segments")
+    if tau > 6:
+        raise ValueError("segments are numbered in three bits")
     work = Workspace(spark, "lines")
     lines = lines_of(docs, id_col, text_col)
     named = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
