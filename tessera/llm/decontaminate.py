@@ -9,8 +9,8 @@ the rest are verified word by word. Rarity is the document frequency over all do
 
 Scale: two passes over the documents, no shuffle of text. The first returns one count per benchmark
 word and task. The window index is sent to the tasks in blocks of at most ``block_items`` items, so
-what is sent never grows beyond a block; with more than one block each is matched in turn and the
-hit places of a document are merged.
+what is sent to a worker never grows beyond a block; with more than one block the rows pass through
+one worker for each, which takes in the hit places of its predecessors.
 
 Defined results: null or empty texts have no words, so nothing in them is hit and null items have no
 windows; equal item rows count once per item id; equal document rows each give a row; empty tables
@@ -127,9 +127,12 @@ def word_frequencies(df: DataFrame, text_col: str, vocabulary: np.ndarray) -> Da
     return df.select(df[text_col].alias("text")).mapInArrow(run, "w long, df long").groupBy("w").agg(F.sum("df").alias("df"))
 
 
-def _matches(df: DataFrame, index: WindowIndex, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_words, spans, items) of every row: merged hit ranges as [s, e) pairs and the item ids."""
-    key = df.schema[id_col].dataType
+def _matches(rows: DataFrame, index: WindowIndex, last: bool) -> DataFrame:
+    """(id, n_words, spans, items) of every row of (id, text): merged hit ranges as [s, e) pairs and the item ids.
+
+    Rows that come from an earlier block have its spans and items, which are taken in; all but the last block pass the text on.
+    """
+    more = "spans" in rows.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = K.alnum_table()
@@ -138,31 +141,39 @@ def _matches(df: DataFrame, index: WindowIndex, id_col: str, text_col: str) -> D
                 h, edge, _ = K.words(data, off, table)
                 rows = len(off) - 1
                 spans: list[list[dict]] = [[] for _ in range(rows)]
-                items: list[list[str]] = [[] for _ in range(rows)]
+                items: list[list[str]] = b.column(4).slice(first, rows).to_pylist() if more else [[] for _ in range(rows)]
                 row, start, win = index.find(h, edge)
-                if len(row):
+                end = start + index.len[win]
+                if more:
+                    for r, old in enumerate(b.column(3).slice(first, rows).to_pylist()):
+                        if old:
+                            start = np.concatenate([start, [x["s"] + edge[r] for x in old]])
+                            end = np.concatenate([end, [x["e"] + edge[r] for x in old]])
+                if len(start):
                     cut = np.zeros(len(h) + 1, np.int64)
                     np.add.at(cut, start, 1)
-                    np.add.at(cut, start + index.len[win], -1)
+                    np.add.at(cut, end, -1)
                     on = np.cumsum(cut[:-1]) > 0
                     flip = np.diff(np.concatenate([[0], on.view(np.int8), [0]]))
-                    begin, end = np.flatnonzero(flip == 1), np.flatnonzero(flip == -1)
                     # a run over two rows is cut at the edge between them
-                    for s, e in zip(begin.tolist(), end.tolist(), strict=True):
+                    for s, e in zip(np.flatnonzero(flip == 1).tolist(), np.flatnonzero(flip == -1).tolist(), strict=True):
                         while s < e:
                             r = int(np.searchsorted(edge, s, side="right")) - 1
                             t = min(e, int(edge[r + 1]))
                             spans[r].append({"s": s - int(edge[r]), "e": t - int(edge[r])})
                             s = t
+                if len(row):
                     for r, o in np.unique(np.stack([row, index.owner[win]], axis=1), axis=0).tolist():
                         items[r].append(index.items[o])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, rows), pa.array(np.diff(edge)), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
-                    names=["id", "n_words", "spans", "items"],
-                )
+                out = {"id": b.column(0).slice(first, rows), "text": b.column(1).slice(first, rows), "n_words": pa.array(np.diff(edge)), "spans": pa.array(spans, SPANS), "items": pa.array(items, pa.list_(pa.string()))}
+                if last:
+                    del out["text"]
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    schema = T.StructType([T.StructField("id", key), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
+    text = [] if last else [rows.schema["text"]]
+    spans = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
+    schema = T.StructType([rows.schema["id"], *text, T.StructField("n_words", T.LongType()), T.StructField("spans", spans), T.StructField("items", T.ArrayType(T.StringType()))])
+    return rows.mapInArrow(run, schema)
 
 
 def _blocks(docs: DataFrame, bench: DataFrame, window: int, block_items: int, text_col: str, item_col: str, item_text_col: str) -> Iterator[WindowIndex]:
@@ -205,27 +216,12 @@ def find_leaks(
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """(id, n_words, spans, items) of every document: hit word ranges, and ids (as text) of the items found in it."""
-    out, blocks = None, 0
-    for index in _blocks(docs, bench, window, block_items, text_col, item_col, item_text_col):
-        found = _matches(docs, index, id_col, text_col)
-        out = found if out is None else out.unionByName(found.where(F.size("items") > 0))
-        blocks += 1
-    if blocks > 1:
-        out = _merged(out)
-    return out.withColumnRenamed("id", id_col)
-
-
-def _merged(parts: DataFrame) -> DataFrame:
-    """Brings the blocks' findings of a document together; document ids have to be unique for this."""
-    g = parts.groupBy("id").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("p"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-    )
-    last = lambda acc: F.element_at(acc, -1)
-    join = F.aggregate(
-        "p", F.array().cast("array<struct<s:bigint,e:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (last(acc).e >= x.s), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc).s.alias("s"), F.greatest(last(acc).e, x.e).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return g.select("id", "n_words", join.alias("spans"), "items")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    indexes = _blocks(docs, bench, window, block_items, text_col, item_col, item_text_col)
+    index = next(indexes)
+    for following in indexes:
+        out, index = _matches(out, index, False), following
+    return _matches(out, index, True).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

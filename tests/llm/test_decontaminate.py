@@ -56,6 +56,16 @@ def test_blocks_give_the_same(spark):
     assert sorted(map(tuple, got.where("doc_id <> 0").collect())) == want
 
 
+def test_blocks_keep_every_row(spark):
+    docs, bench = fixture()
+    docs += [(9, "clean words"), (None, "no id"), (None, bench[4][1]), (102, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    want = sorted(brute([(-1 if i is None else i, t) for i, t in docs], bench))
+    for size in (1, 4, 1000):
+        got = D.digest(D.find_leaks(d, b, block_items=size)).collect()
+        assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == want
+
+
 def test_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert D.digest(D.find_leaks(d.limit(0), b)).count() == 0
