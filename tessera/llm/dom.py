@@ -7,10 +7,16 @@ import re
 
 import numpy as np
 
-#: Elements without content, with raw content, and whose text is never shown or only labels a control.
+#: Elements without content; elements whose text is never shown or only labels a control.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "math", "canvas", "video", "audio", "head", "select", "textarea", "button", "datalist", "title")
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input acronym picture output meter progress map area nobr".split())
+RAW = ("script", "style", "template", "svg", "iframe", "canvas", "video", "audio", "head", "select", "textarea", "button", "datalist", "title")
+#: Without an end tag, these reach to the end of the page; of the others of RAW only the tag is passed over.
+UNCLOSED = ("script", "style")
+#: What can stand in a head, which may have no end tag: it ends before any other element, or before text.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input acronym picture output meter progress map area nobr object noscript math".split()) | frozenset(
+    "mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle mpadded mphantom merror mprescripts mmultiscripts semantics annotation".split()
+)
 #: An opening tag of the key closes an open element of the values.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -39,6 +45,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA
 _ATTR = re.compile(r"(?:^|\s)(?:id|class|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+_RAW_TAG = re.compile(rf"<!--.*?(?:-->|$)|<({'|'.join(UNCLOSED)})\b[^>]*>.*?(?:</\1\b[^>]*>|$)|<(/?)({'|'.join(t for t in RAW if t not in UNCLOSED)})(?![^\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _GROUP = {t: i for i, g in enumerate(GROUPS) for t in g}
 
 
@@ -69,9 +76,41 @@ class Page:
         self.last.append(len(self.runs))
         return len(self.tag) - 1
 
+    @staticmethod
+    def _head_end(s: str, at: int) -> int:
+        """Where the content of a head that begins at ``at`` ends: after its end tag, or before the first text or element that cannot stand in it."""
+        while m := _TAG.search(s, at):
+            if s[at : m.start()].strip():
+                return at
+            tag = m[2] and m[2].lower()
+            if tag == "head" and m[1]:
+                return m.end()
+            if tag and tag not in IN_HEAD and not (m[1] and tag not in ("body", "html", "br")):
+                return m.start()
+            at = m.end()
+            if tag in _RAW_END and not m[1]:
+                e = _RAW_END[tag].search(s, at)
+                at = e.end() if e else len(s) if tag in UNCLOSED else at
+        return at
+
+    @staticmethod
+    def _raw_ends(s: str) -> dict[int, int]:
+        """Ends of the elements of RAW that have an end tag of their own, by where their content begins."""
+        ends, unclosed = {}, {t: [] for t in RAW}
+        for m in _RAW_TAG.finditer(s):
+            if m[3]:
+                begun = unclosed[m[3].lower()]
+                if not m[2]:
+                    if not m[4].endswith("/"):
+                        begun.append(m.end())
+                elif begun:
+                    ends[begun.pop()] = m.end()
+        return ends
+
     def _read(self, s: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]  # every open element with its block node
         links, at, n = 0, 0, len(s)
+        ends: dict[int, int] | None = None
 
         def text(t: str) -> None:
             if t:
@@ -114,10 +153,19 @@ class Page:
                 if tag not in INLINE:
                     self.runs.append((stack[-1][1], "\n\0", False))
                 continue
+            if tag == "head":
+                at = self._head_end(s, at)
+                self.runs.append((stack[-1][1], " ", False))
+                continue
             if tag in _RAW_END:
+                # without an end tag its content is read as if the tag were not there
                 if not m[3].endswith("/"):
-                    e = _RAW_END[tag].search(s, at)
-                    at = e.end() if e else n
+                    if tag in UNCLOSED:
+                        e = _RAW_END[tag].search(s, at)
+                        at = e.end() if e else n
+                    else:
+                        ends = self._raw_ends(s) if ends is None else ends
+                        at = ends.get(at, at)
                 self.runs.append((stack[-1][1], " ", False))
                 continue
             if tag in VOID:

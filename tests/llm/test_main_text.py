@@ -60,3 +60,25 @@ def test_pages(spark, model):
     assert got[2][0].text == got[3][0].text == got[8][0].text == "" and got[4][0].text == "plain words, no markup"
     assert len(got[6][0].text) == len(" ".join(["long text."] * 60000))
     assert M.extract(df.limit(0)).count() == 0
+
+
+def test_elements_without_an_end_tag(model):
+    body = " ".join(f"Sentence number {i} of the story, told at length." for i in range(30))
+    foot = "<footer>&copy; 2020 all rights <button>OK</button></footer></body></html>"
+    article = f"<article><h1>A title</h1><p>{body}</p></article>"
+    want = f"A title\n{body}"
+    for page in (
+        f"<html><head><title>x</title><meta charset=utf-8><body>{article}{foot}",
+        f"<html><head><title>x</title><script>a('<p>')</script>{article}{foot}",
+        f"<html><head><title>x</title></head><body><!-- <button> -->{article}{foot}",
+        *(f"<html><head><title>x</title></head><body><div><{t}></div>{article}{foot}" for t in ("button", "select", "textarea", "svg", "video", "audio", "canvas", "datalist", "template", "iframe", "object", "math", "noscript")),
+        f"<html><head><title>x</title></head><body><button>{article}<script>'</button>'</script>{foot}",
+    ):
+        assert model.texts([page])[0] == want, page[:80]
+    said = f"So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, <object>a drawing</object> shows it <noscript>without script</noscript> here. {body}"
+    got = model.texts([f"<html><head><title>x</title></head><body><article><h1>A title</h1><p>{said}</p></article>{foot}"])[0]
+    assert got == f"A title\nSo x=2 holds, a drawing shows it without script here. {body}"
+    for page in (f"<head><title>x</title></head>{article}<style>p {{}} {article}", f"<head><title>x</title></head>{article}<script>{article}", f"<head><title>x</title></head>{article}<!-- {article}"):
+        assert model.texts([page])[0] == want
+    assert Page("<svg><svg>a</svg>b</svg>c").blocks(np.ones(1, bool)) == ["c"]
+    assert Page("<button>" * 20000 + "end").blocks(np.ones(1, bool)) == ["end"]
