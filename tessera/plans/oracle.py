@@ -131,6 +131,8 @@ SQL = {
         SELECT {KEYS}, {ROUND6('pos_mean', 'pos_min', 'pos_median', 'neg_mean', 'neg_max', 'neg_median')}, round(pos_min - neg_max, 6) AS margin, round(pos_mean / nullif(neg_mean, 0), 6) AS ratio, round(pos_min / nullif(neg_max, 0), 6) AS worst_ratio FROM c""",
     "score_cells": f"""WITH {BASE}{SWEEP}, part_of AS (SELECT * FROM sweep WHERE slide % 4 <> 1), c AS (SELECT {KEYS}, {SEPARATE} FROM part_of GROUP BY {KEYS}), a AS ({_auc("part_of", KEYS)})
         SELECT {KEYS}, {ROUND6('pos_mean', 'pos_min', 'neg_mean', 'neg_max', 'auc')}, round(pos_min - neg_max, 6) AS margin, round(pos_mean / nullif(neg_mean, 0), 6) AS ratio FROM c JOIN a USING ({KEYS})""",
+    "score_cells_all": f"""WITH {BASE}{SWEEP}, c AS (SELECT {KEYS}, {SEPARATE} FROM sweep GROUP BY {KEYS}), a AS ({_auc("sweep", KEYS)})
+        SELECT {KEYS}, {ROUND6('pos_mean', 'pos_min', 'neg_mean', 'neg_max', 'auc')}, round(pos_min - neg_max, 6) AS margin, round(pos_mean / nullif(neg_mean, 0), 6) AS ratio FROM c JOIN a USING ({KEYS})""",
     "auc": f"WITH {BASE}, v AS (SELECT 1 AS one, cohort AS \"group\", macro_area_um2 AS macro_pct FROM summary JOIN slides USING (slide)), a AS ({_auc('v', 'one')}) SELECT round(auc, 9) AS auc FROM a",
     "top_cells": f"WITH {BASE}{SWEEP} SELECT {KEYS}, round(min(macro_pct) FILTER (WHERE \"group\" = 'positive') - max(macro_pct) FILTER (WHERE \"group\" = 'negative'), 6) AS margin FROM sweep GROUP BY {KEYS} ORDER BY margin DESC NULLS LAST, {KEYS} LIMIT 5",
     "holdout": f"WITH {BASE}{SWEEP}{HOLD} SELECT * REPLACE ({ROUND9('tune_metric', 'test_metric', 'test_auc', 'test_pos_mean', 'test_neg_mean')}) FROM hold",

@@ -162,3 +162,12 @@ def test_config(tmp_path):
 def test_natural_order(spark):
     d = spark.createDataFrame([("s10",), ("s9",), ("S9b",), ("a2-10",), ("a2-9",)], "stem string")
     assert [r.stem for r in d.orderBy(S.natural_key(F.col("stem"))).collect()] == ["a2-9", "a2-10", "s9", "S9b", "s10"]
+
+
+def test_cells_are_scored_over_all_slides_or_some(spark):
+    rows = [(i, g, 200, v) for i, (g, v) in enumerate([("positive", 4.0), ("positive", 1.0), ("negative", 2.0), ("negative", 3.0)])]
+    df = spark.createDataFrame(rows, 'slide long, `group` string, white int, macro_pct double')
+    whole = sweep.score_cells(df).first()
+    some = sweep.score_cells(df, df.where("slide % 4 <> 1")).first()
+    assert (whole.pos_mean, whole.pos_min, whole.auc) == (2.5, 1.0, 0.5)
+    assert (some.pos_mean, some.pos_min, some.auc) == (4.0, 4.0, 1.0)
