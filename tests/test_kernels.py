@@ -1,5 +1,7 @@
 """Kernels on hand-drawn rasters, against direct definitions."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -107,6 +109,33 @@ def test_tile_pipeline_finds_the_discs():
     assert votes.max() == 2 and pct["a"] >= pct["b"] > pct["c"] == 0.0
 
 
+def test_votes_equal_the_relational_form(spark):
+    from tessera.operators import classify, ensemble
+
+    r = np.random.default_rng(4)
+    rgb = np.full((160, 160, 3), (190, 110, 160), np.uint8)
+    y, x = np.mgrid[:160, :160]
+    for _ in range(14):
+        cy, cx, ry, rx = *r.integers(0, 160, 2), *r.integers(4, 16, 2)
+        rgb[((y - cy) / ry) ** 2 + ((x - cx) / rx) ** 2 <= 1] = r.choice([205, 215, 245])
+    members = [(n, replace(m, exclude_border=i % 2 == 0, include_microvesicular=i % 3 == 0)) for i, (n, m) in enumerate(ensemble.default_members(Fat(circularity_min=0.5)))]
+    ground = np.ones((160, 160), bool)
+    v, pct = K.votes(rgb, ground, members, 0.25)
+    rows, pictures = [], {}
+    for w in sorted({m.white_threshold for _, m in members}):
+        pictures[w], _ = K.segment(rgb, ground, replace(members[0][1], white_threshold=w))
+        rows += [(1, w, g.label, g.area_px * 0.25, g.circularity, g.solidity, g.eccentricity, bool(g.touches_border)) for g in K.regions(pictures[w])]
+    d = spark.createDataFrame(rows, "slide long, white int, label int, area_um2 double, circularity double, solidity double, eccentricity double, touches_border boolean")
+    table = classify.parameter_table(spark, members)
+    want = np.zeros((160, 160), int)
+    for row in ensemble.region_votes(d, table, ["white", "label"]).collect():
+        want[pictures[row.white] == row.label] += row.votes
+    assert (v == want).all() and v.max() > 2
+    tiles = spark.createDataFrame([(1, 160 * 160 * 0.25)], "slide long, tissue_area_um2 double")
+    share = {x.name: x.pct for x in ensemble.member_pct(d, tiles, table).collect()}
+    assert all(abs(share[n] - pct[n]) < 1e-9 for n in share) and set(share) == set(pct)
+
+
 def test_tissue():
     rgb = np.full((120, 120, 3), 250, np.uint8)
     rgb[20:90, 30:100] = (190, 90, 150)
