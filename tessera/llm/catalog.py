@@ -116,7 +116,7 @@ WITH occ AS (
   FROM occ GROUP BY line
 ), near AS (
   SELECT x.c AS a, y.c AS b, x.first AS fa, y.first AS fb FROM c x JOIN c y ON y.n BETWEEN x.n - 2 AND x.n + 2 AND x.c <> y.c AND abs(x.bag[1] - y.bag[1]) <= 2 AND abs(x.bag[2] - y.bag[2]) <= 2 AND abs(x.bag[3] - y.bag[3]) <= 2
-  WHERE x.n >= 16 AND y.n >= 16 AND list_sum(list_transform(range(1, 17), lambda i: abs(x.bag[i] - y.bag[i]))) <= 4 AND levenshtein(x.one, y.one) <= 2
+  WHERE x.n >= 8 AND y.n >= 8 AND list_sum(list_transform(range(1, 17), lambda i: abs(x.bag[i] - y.bag[i]))) <= 4 AND levenshtein(x.one, y.one) <= least(2, least(x.n, y.n) // 8)
 ), deg AS (SELECT a AS c, count(*) AS n_links, bool_or(fb < fa) AS later FROM near GROUP BY a)
 SELECT doc_id, line_no, first.d AS class_doc_id, first.k AS class_line_no, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links,
   NOT coalesce(later, false) AND first = {'d': doc_id, 'k': line_no} AS kept

@@ -1,20 +1,25 @@
 """Operator 2: benchmark decontamination by a prefix-filtered set join.
 
 Every benchmark item is cut into windows of ``window`` consecutive words (a shorter item is one
-window). Containment of a whole window asks for all its words, so the necessary prefix under a
-rarity order is its single rarest word: document words are joined with the windows' rarest words
-only. A candidate names one place where the window can start; the positional bound (the start lies
-inside the document) and the length bound (the window ends inside it) drop impossible places, and
-the rest are verified word by word. Rarity is the document frequency over all documents.
-
-Scale: two passes over the documents, no shuffle of text. The first returns one count per benchmark
-word and task. The window index is sent to the tasks in blocks of at most ``block_items`` items, so
-what is sent to a worker never grows beyond a block; with more than one block the rows pass through
-one worker for each, which takes in the hit places of its predecessors.
-
-Defined results: null or empty texts have no words, so nothing in them is hit and null items have no
-windows; equal item rows count once per item id; equal document rows each give a row; empty tables
-give an empty result or all-clean rows. Other columns are ignored, whatever their names.
+window). A window is a set of shingles of up to three words; a document that contains it contains all of
+them, so under an order of the shingles by rarity the necessary prefix of a window is its rarest
+shingle alone. Rarity is the number of documents with the shingle, counted over all documents; a
+window with a shingle that stands in no document occurs nowhere and goes.
+
+1. Items become a table of windows, and their shingles a table with document counts.
+2. One pass over the documents emits the places of prefix shingles, each with the few words around it.
+3. Places are joined with the windows of an equal prefix shingle. A place allows one start; the positional
+   bound (it lies inside the document) and the length bound (so does the end) drop impossible ones, and
+   the others are verified word by word.
+
+Scale: two passes over the texts, which are never shuffled. What a task needs to know of the benchmark is a
+bit filter of fixed size; windows, counts and places are tables that the planner joins by size, so the
+benchmark may grow like the documents. Documents are told apart by 128 bits of (id, text).
+
+Defined results: null or empty texts have no words, so nothing in them is hit, and null texts or ids of items
+have no windows; rows of one item id are one item; every document row has its own result, also
+where ids are null or repeated with the same or another text; empty tables give an empty result or
+all-clean rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,205 +28,172 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import sieve
 from tessera.llm import textkit as K
+from tessera.llm.workspace import Workspace
 
 WINDOW = 10
-#: Items in one index: about 8 bytes for each window and word, so some 100 MB at 64 words an item.
-BLOCK_ITEMS = 20_000
-#: Candidates verified at once within a text block; all are verified.
-STEP = 200_000
-
-SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-
-
-class WindowIndex:
-    """Windows of one block of items, grouped by their rarest word."""
-
-    def __init__(self, items: list[tuple[str, np.ndarray]], df_words: np.ndarray, df_counts: np.ndarray, window: int):
-        self.items = [i for i, _ in items]
-        rows, lens, owner = [], [], []
-        for k, (_, h) in enumerate(items):
-            if not len(h):
-                continue
-            n = min(window, len(h))
-            w = np.lib.stride_tricks.sliding_window_view(h, n)
-            if n < window:
-                w = np.concatenate([w, np.zeros((len(w), window - n), np.uint64)], axis=1)
-            rows.append(w)
-            lens += [n] * len(w)
-            owner += [k] * len(w)
-        self.words = np.concatenate(rows) if rows else np.zeros((0, window), np.uint64)
-        self.len, self.owner = np.array(lens, np.int64), np.array(owner, np.int64)
-        if not len(self.words):
-            self.rare = np.empty(0, np.uint64)
-            return
-        at = np.searchsorted(df_words, self.words).clip(0, max(0, len(df_words) - 1))
-        freq = np.where(df_words[at] == self.words, df_counts[at], 0) if len(df_words) else np.zeros(self.words.shape, np.int64)
-        freq = np.where(np.arange(window) < self.len[:, None], freq, np.iinfo(np.int64).max)
-        self.shift = freq.argmin(axis=1)
-        rare = self.words[np.arange(len(self.words)), self.shift]
-        order = np.argsort(rare, kind="stable")
-        self.words, self.len, self.owner, self.shift, rare = self.words[order], self.len[order], self.owner[order], self.shift[order], rare[order]
-        self.rare, self.first, self.count = np.unique(rare, return_index=True, return_counts=True)
-
-    def find(self, h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, start word, window) of every occurrence among the word hashes of rows that begin at ``edge``."""
-        none = np.empty(0, np.int64)
-        if not len(self.rare) or not len(h):
-            return none, none, none
-        at = np.searchsorted(self.rare, h)
-        at[at == len(self.rare)] = 0
-        pos = np.flatnonzero(self.rare[at] == h)
-        group = at[pos]
-        row = np.searchsorted(edge, pos, side="right") - 1
-        out, begin = [], 0
-        ends = np.cumsum(self.count[group])
-        while begin < len(pos):
-            done = ends[begin - 1] if begin else 0
-            stop = max(begin + 1, int(np.searchsorted(ends, done + STEP, side="right")))
-            p, g, r = pos[begin:stop], group[begin:stop], row[begin:stop]
-            c = self.count[g]
-            rep = np.repeat(np.arange(len(p)), c)
-            win = self.first[g][rep] + (np.arange(len(rep)) - np.repeat(np.cumsum(c) - c, c))
-            start = p[rep] - self.shift[win]
-            n = self.len[win]
-            ok = (start >= edge[r[rep]]) & (start + n <= edge[r[rep] + 1])
-            rep, win, start, n = rep[ok], win[ok], start[ok], n[ok]
-            for j in range(self.words.shape[1]):
-                if not len(win):
-                    break
-                same = (j >= n) | (h[np.minimum(start + j, len(h) - 1)] == self.words[win, j])
-                rep, win, start, n = rep[same], win[same], start[same], n[same]
-            out.append((r[rep], start, win))
-            begin = stop
-        return tuple(np.concatenate(x) if out else none for x in zip(*out, strict=True)) if out else (none, none, none)
-
-
-def _item_words(texts: list[str | None]) -> list[np.ndarray]:
-    table = K.alnum_table()
-    return [K.words(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]), table)[0] for t in texts]
-
-
-def word_frequencies(df: DataFrame, text_col: str, vocabulary: np.ndarray) -> DataFrame:
-    """(w, df): in how many rows each of the given word hashes stands. One row for each word and task is shuffled."""
+#: Words in a shingle; a window of fewer words is one shingle.
+SHINGLE = 3
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = K.alnum_table(), np.zeros(len(vocabulary), np.int64)
-        for b in it:
-            for _, data, off in K.blocks(b.column(0)):
-                h, edge, _ = K.words(data, off, table)
-                at = np.searchsorted(vocabulary, h)
-                at[at == len(vocabulary)] = 0
-                hit = np.flatnonzero(vocabulary[at] == h)
-                row = np.searchsorted(edge, hit, side="right") - 1
-                pair = np.unique(row * len(vocabulary) + at[hit])
-                total += np.bincount(pair % len(vocabulary), minlength=len(vocabulary))
-        some = np.flatnonzero(total)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(vocabulary[some].view(np.int64)), pa.array(total[some])], names=["w", "df"])
 
-    return df.select(df[text_col].alias("text")).mapInArrow(run, "w long, df long").groupBy("w").agg(F.sum("df").alias("df"))
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def _matches(rows: DataFrame, index: WindowIndex, last: bool) -> DataFrame:
-    """(id, n_words, spans, items) of every row of (id, text): merged hit ranges as [s, e) pairs and the item ids.
+def _lists(flat: np.ndarray, size: int) -> pa.Array:
+    """Consecutive entries as lists of one size."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32)), _signed(flat))
 
-    Rows that come from an earlier block have its spans and items, which are taken in; all but the last block pass the text on.
-    """
-    more = "spans" in rows.columns
+
+def windows_of(bench: DataFrame, window: int) -> DataFrame:
+    """(item, words, tokens) from (item, text): the word hashes of each window, and the hashes of its shingles in order."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = K.alnum_table()
         for b in it:
             for first, data, off in K.blocks(b.column(1)):
+                h, edge, _ = K.words(data, off, table)
+                names = b.column(0).slice(first, len(off) - 1)
+                for r, (s, e) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+                    n = min(window, e - s)
+                    if n:
+                        k = min(SHINGLE, n)
+                        view = np.lib.stride_tricks.sliding_window_view
+                        whole, parts = view(h[s:e], n), view(K.ngrams(h[s:e], k), n - k + 1)
+                        at = np.unique(whole, axis=0, return_index=True)[1]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([names[r].as_py()] * len(at), pa.string()), _lists(np.ascontiguousarray(whole[at]).ravel(), n), _lists(np.ascontiguousarray(parts[at]).ravel(), n - k + 1)],
+                            names=["item", "words", "tokens"],
+                        )
+
+    return bench.mapInArrow(run, "item string, words array<long>, tokens array<long>")
+
+
+def _places(h: np.ndarray, edge: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word number in the block, shingle, its size) of every shingle that the bit filter lets through."""
+    out = []
+    for k in range(1, SHINGLE + 1):
+        g = K.ngrams(h, k)
+        at = np.flatnonzero(sieve.passes(bits, g))
+        row = np.searchsorted(edge, at, side="right") - 1
+        inside = at + k <= edge[row + 1]
+        at, row = at[inside], row[inside]
+        out.append((row, at, g[at], np.full(len(at), k)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def document_counts(docs: DataFrame, text_col: str, vocabulary: DataFrame) -> DataFrame:
+    """(token, df): in how many rows each shingle of the vocabulary (token) stands. Counts are summed in each task first."""
+    bits = sieve.bitmap(vocabulary, F.col("token"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = K.alnum_table()
+        for b in it:
+            for _, data, off in K.blocks(b.column(0)):
+                h, edge, _ = K.words(data, off, table)
+                row, _, token, _ = _places(h, edge, bits)
+                order = np.lexsort((token, row))
+                row, token = row[order], token[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
+                token, count = np.unique(token[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(token), pa.array(count.astype(np.int64))], names=["token", "df"])
+
+    counted = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
+    return counted.join(vocabulary, "token", "left_semi")
+
+
+def window_index(docs: DataFrame, bench: DataFrame, work: Workspace, window: int, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The windows that can occur, (token, at, n, words, w1, w2) with the rarest shingle and its place, and (w1, w2, item): the items that hold them."""
+    items = bench.select(bench[item_col].cast("string").alias("item"), bench[item_text_col].cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
+    cut = work.save(windows_of(items, window).withColumns({"w1": F.xxhash64("words"), "w2": F.xxhash64(F.lit(2), "words")}), "windows")
+    holders = cut.select("w1", "w2", "item").distinct()
+    own = cut.select("w1", "w2", "words", "tokens").dropDuplicates(["w1", "w2"])
+    vocabulary = work.save(cut.select(F.explode("tokens").alias("token")).distinct(), "vocabulary")
+    counts = document_counts(docs, text_col, vocabulary)
+    each = own.select("w1", "w2", F.posexplode("tokens").alias("at", "token")).join(counts, "token", "left")
+    rare = each.groupBy("w1", "w2").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "at")).alias("x")).where("x.df > 0")
+    index = own.drop("tokens").join(rare, ["w1", "w2"]).select("x.token", "x.at", F.size("words").alias("n"), "words", "w1", "w2")
+    return work.save(index, "index"), holders
+
+
+def _key(id_: Column, text: Column) -> list[Column]:
+    t = text.cast("string")
+    return [F.xxhash64(F.lit(1), id_, t).alias("k1"), F.xxhash64(F.lit(2), id_, t).alias("k2")]
+
+
+def occurrences(docs: DataFrame, index: DataFrame, work: Workspace, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, k1, k2, n_words) of every row, and (k1, k2, s, e, w1, w2) of every window found: words s to e of the row."""
+    bits = sieve.bitmap(index, F.col("token"))
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
+    schema = schema.add("n_words", T.LongType()).add("token", T.LongType()).add("pos", T.LongType()).add("left", T.IntegerType()).add("around", T.ArrayType(T.LongType()))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = K.alnum_table()
+        for b in it:
+            for first, data, off in K.blocks(b.column(3)):
                 h, edge, _ = K.words(data, off, table)
                 rows = len(off) - 1
-                spans: list[list[dict]] = [[] for _ in range(rows)]
-                items: list[list[str]] = b.column(4).slice(first, rows).to_pylist() if more else [[] for _ in range(rows)]
-                row, start, win = index.find(h, edge)
-                end = start + index.len[win]
-                if more:
-                    for r, old in enumerate(b.column(3).slice(first, rows).to_pylist()):
-                        if old:
-                            start = np.concatenate([start, [x["s"] + edge[r] for x in old]])
-                            end = np.concatenate([end, [x["e"] + edge[r] for x in old]])
-                if len(start):
-                    cut = np.zeros(len(h) + 1, np.int64)
-                    np.add.at(cut, start, 1)
-                    np.add.at(cut, end, -1)
-                    on = np.cumsum(cut[:-1]) > 0
-                    flip = np.diff(np.concatenate([[0], on.view(np.int8), [0]]))
-                    # a run over two rows is cut at the edge between them
-                    for s, e in zip(np.flatnonzero(flip == 1).tolist(), np.flatnonzero(flip == -1).tolist(), strict=True):
-                        while s < e:
-                            r = int(np.searchsorted(edge, s, side="right")) - 1
-                            t = min(e, int(edge[r + 1]))
-                            spans[r].append({"s": s - int(edge[r]), "e": t - int(edge[r])})
-                            s = t
-                if len(row):
-                    for r, o in np.unique(np.stack([row, index.owner[win]], axis=1), axis=0).tolist():
-                        items[r].append(index.items[o])
-                out = {"id": b.column(0).slice(first, rows), "text": b.column(1).slice(first, rows), "n_words": pa.array(np.diff(edge)), "spans": pa.array(spans, SPANS), "items": pa.array(items, pa.list_(pa.string()))}
-                if last:
-                    del out["text"]
-                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
-
-    text = [] if last else [rows.schema["text"]]
-    spans = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
-    schema = T.StructType([rows.schema["id"], *text, T.StructField("n_words", T.LongType()), T.StructField("spans", spans), T.StructField("items", T.ArrayType(T.StringType()))])
-    return rows.mapInArrow(run, schema)
-
-
-def _blocks(docs: DataFrame, bench: DataFrame, window: int, block_items: int, text_col: str, item_col: str, item_text_col: str) -> Iterator[WindowIndex]:
-    """Window indexes of all items, in blocks. Each is fetched by itself: what the driver and a task hold is bounded by block_items."""
-    blocks = max(1, -(-bench.count() // block_items))
-    part = bench.select(bench[item_col].cast("string").alias("item"), bench[item_text_col].alias("text")).where("item is not null and text is not null")
-    part = part.withColumn("b", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    for b in range(blocks):
-        rows = sorted(set(map(tuple, part.where(F.col("b") == b).select("item", "text").collect())))
-        items = list(zip([r[0] for r in rows], _item_words([r[1] for r in rows]), strict=True))
-        vocabulary = np.unique(np.concatenate([h for _, h in items])) if items else np.empty(0, np.uint64)
-        freq = word_frequencies(docs, text_col, vocabulary).toArrow() if len(vocabulary) else None
-        known = np.array(freq["w"], np.int64).view(np.uint64) if freq is not None else vocabulary
-        seen = np.array(freq["df"], np.int64) if freq is not None else np.empty(0, np.int64)
-        order = np.argsort(known)
-        yield WindowIndex(items, known[order], seen[order], window)
-
-
-def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, in which no window occurs. Texts are not shuffled."""
-    at = docs.columns.index(text_col)
-    out = docs
-    for index in _blocks(docs, bench, window, block_items, text_col, item_col, item_text_col):
-
-        def run(it: Iterator[pa.RecordBatch], index: WindowIndex = index) -> Iterator[pa.RecordBatch]:
-            table = K.alnum_table()
-            for b in it:
-                clean = np.ones(b.num_rows, bool)
-                for first, data, off in K.blocks(b.column(at)):
-                    h, edge, _ = K.words(data, off, table)
-                    clean[first + index.find(h, edge)[0]] = False
-                yield b.filter(pa.array(clean))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+                part = [b.column(j).slice(first, rows) for j in range(3)]
+                nothing = lambda t, n=rows: pa.nulls(n, t)
+                yield pa.RecordBatch.from_arrays([*part, pa.array(np.diff(edge)), nothing(pa.int64()), nothing(pa.int64()), nothing(pa.int32()), nothing(pa.list_(pa.int64()))], names=schema.names)
+                row, at, token, size = _places(h, edge, bits)
+                for lo in range(0, len(row), 4096):
+                    r, p, t, k = (x[lo : lo + 4096] for x in (row, at, token, size))
+                    # a shingle of a short window is the whole of it
+                    reach = np.where(k < SHINGLE, 0, window - k)
+                    begin, end = np.maximum(edge[r], p - reach), np.minimum(edge[r + 1], p + k + reach)
+                    span = end - begin
+                    where = np.repeat(begin - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+                    around = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(span)]).astype(np.int32)), _signed(h[where]))
+                    keys = [c.take(pa.array(r)) for c in part]
+                    keys[0] = pa.nulls(len(r), part[0].type)
+                    yield pa.RecordBatch.from_arrays([*keys, pa.nulls(len(r), pa.int64()), _signed(t), pa.array(p - edge[r]), pa.array((p - begin).astype(np.int32)), around], names=schema.names)
+
+    seen = docs.select(docs[id_col].alias("id"), *_key(docs[id_col], docs[text_col]), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
+    seen = work.save(seen, "seen")
+    rows = seen.where("token IS NULL").select("id", "k1", "k2", "n_words")
+    places = seen.where("token IS NOT NULL").select("k1", "k2", "token", "pos", "left", "around")
+    found = places.join(index, "token").where("left >= at AND left - at + n <= size(around)")
+    found = found.where(F.slice("around", F.col("left") - F.col("at") + 1, F.col("n")) == F.col("words"))
+    return rows, found.select("k1", "k2", (F.col("pos") - F.col("at")).alias("s"), (F.col("pos") - F.col("at") + F.col("n")).alias("e"), "w1", "w2").distinct()
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in which no window occurs. Only rows that a bit filter lets through are shuffled."""
+    work = Workspace(docs.sparkSession, "leaks")
+    index, _ = window_index(docs, bench, work, window, text_col, item_col, item_text_col)
+    bad = work.save(occurrences(docs, index, work, window, id_col, text_col)[1].select("k1", "k2").distinct(), "bad")
+    work.drop("windows", "vocabulary", "index", "seen")
+    maybe, other = sieve.split(docs, _key(docs[id_col], docs[text_col])[0], bad, F.col("k1"))
+    mine = _key(maybe[id_col], maybe[text_col])
+    return maybe.join(bad, (mine[0] == bad["k1"]) & (mine[1] == bad["k2"]), "left_anti").select(*docs.columns).union(other)
 
 
 def find_leaks(
-    docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-) -> DataFrame:
-    """(id, n_words, spans, items) of every document: hit word ranges, and ids (as text) of the items found in it."""
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    indexes = _blocks(docs, bench, window, block_items, text_col, item_col, item_text_col)
-    index = next(indexes)
-    for following in indexes:
-        out, index = _matches(out, index, False), following
-    return _matches(out, index, True).withColumnRenamed("id", id_col)
+    docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """(id, n_words, spans, items) of every document row: hit word ranges, and the sorted ids (as text) of the items found in it."""
+    work = Workspace(docs.sparkSession, "leaks")
+    index, holders = window_index(docs, bench, work, window, text_col, item_col, item_text_col)
+    rows, hits = occurrences(docs, index, work, window, id_col, text_col)
+    hits = work.save(hits, "hits")
+    # ranges that meet or overlap are one: a range begins where it starts after all earlier ends
+    before = Window.partitionBy("k1", "k2").orderBy("s", "e")
+    reach = F.max("e").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    run = hits.select("k1", "k2", "s", "e").distinct().withColumn("new", F.coalesce((F.col("s") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    span = run.groupBy("k1", "k2", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    spans = span.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    held = hits.select("k1", "k2", "w1", "w2").distinct().join(holders, ["w1", "w2"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = rows.join(spans.join(held, ["k1", "k2"]), ["k1", "k2"], "left")
+    none = F.array().cast(T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])))
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -229,5 +201,5 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x.e - x.s)
     return found.select(
         id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )

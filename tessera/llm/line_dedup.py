@@ -1,6 +1,7 @@
 """Operator 1: line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-Lines are linked where their edit distance is at most ``tau``. A line of n characters is cut into
+Lines are linked where their edit distance is at most ``tau`` and at most one edit for every ``per``
+characters of the shorter line, so that a line of eight characters may differ in one. A line of n characters is cut into
 tau + 1 nearly equal segments; of two linked lines, the longer one holds one segment of the shorter
 one unchanged, at a start that both the edits left of it and those right of it allow. So every
 line is indexed under its segments (with its length and the segment's number), and probes the index
@@ -18,8 +19,9 @@ text; lines are shuffled as text once, to meet the candidate pairs. Index bucket
 joins of two plain shuffles, which adaptive execution splits where a segment is common.
 
 Defined results: lines without a word character are not lines here (they are never dropped);
-null texts have no lines; lines shorter than ``min_chars`` are compared exactly only; rows repeating an
-id and a text hold the same places and are kept or dropped alike; empty tables give empty results.
+null texts have no lines; lines shorter than ``per`` allow no edit, so they are compared exactly. Places are ordered by id and
+line number, those of rows without an id last; rows that share an id (or have none) share its places, so equal lines
+that stand there under one number are kept or dropped alike; empty tables give empty results. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,12 +33,15 @@ from tessera.llm import sieve
 from tessera.llm.workspace import Workspace
 
 TAU = 2
-MIN_CHARS = 16
+#: Characters of the shorter line for each edit.
+PER = 8
 #: Letters whose counts are compared before verification.
 LETTERS = "etanoirsdh"
 VISIBLE = r"[^ \t\n\x0B\f\r]"
 #: More than any line number.
 PLACES = 1 << 31
+#: Stands for a null id in the order of places: more than any id.
+NO_ID = str(1 << 63)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,7 +68,7 @@ def _hash_cut(wide: Column, cut: Column) -> Column:
     return F.xxhash64(cut.bitwiseAND(F.lit(7).cast("long")), F.substring(wide, 4 * (start - 1) + 1, 4 * F.shiftrightunsigned(cut, 33).cast("int")))
 
 
-def with_keys(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
+def with_keys(lines: DataFrame, tau: int, per: int) -> DataFrame:
     """lines with ``own``, the hashes of a line's segments, and ``ask``, those of its distinct substrings that may equal a segment of a line of n - tau to n characters.
 
     Hashes are taken from four bytes a character, so that a run is found without a scan.
@@ -77,7 +82,7 @@ def with_keys(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
             start, size = _segment(i, gap, tau)
             low, high = max(-(i - 1), gap - (tau + 1 - i)), min(i - 1, gap + (tau + 1 - i))
             probes += [_cut(start + shift, size, i) for shift in range(low, high + 1)]
-    near = F.col("n") >= min_chars
+    near = F.col("n") >= per
     nothing = F.array().cast("array<bigint>")
     hashed = lambda cuts: F.transform(cuts, lambda c: _hash_cut(F.col("w"), c))
     # a run that leaves a very short line has fewer characters than it should: at worst a candidate that is not confirmed
@@ -163,10 +168,22 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
     return F.get(F.transform(F.array(F.struct(p.alias("p"), t.alias("t"))), with_arrays), 0)
 
 
-def line_classes(spark: SparkSession, docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _at(d: Column, k: Column) -> Column:
+    """Document and line number packed into one decimal, so that the first place is a minimum of fixed width."""
+    return (F.coalesce(d.cast("decimal(38,0)"), F.lit(NO_ID).cast("decimal(38,0)")) * PLACES + k).cast("decimal(38,0)")
+
+
+def _place(at: str) -> Column:
+    """(d, k) of a place that was packed into one decimal."""
+    k = F.pmod(F.col(at), F.lit(PLACES).cast("decimal(38,0)"))
+    d = ((F.col(at) - k) / PLACES).cast("decimal(38,0)")
+    return F.struct(F.when(d < F.lit(NO_ID).cast("decimal(38,0)"), d.cast("long")).alias("d"), k.cast("int").alias("k"))
+
+
+def line_classes(spark: SparkSession, docs: DataFrame, tau: int = TAU, per: int = PER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, r, k, first, n_links, kept) of every line: first (d, k) is the first place of its class, n_links the number of other classes linked with it."""
-    if min_chars <= tau + 1:
-        raise ValueError("lines have to be longer than their number of segments")
+    if per <= tau + 1:
+        raise ValueError("lines that allow an edit have to be longer than their number of segments")
     if tau > 6:
         raise ValueError("segments are numbered in three bits")
     work = Workspace(spark, "lines")
@@ -175,58 +192,60 @@ def line_classes(spark: SparkSession, docs: DataFrame, tau: int = TAU, min_chars
     places = work.save(named.select("d", "r", "k", "h1", "h2"), "places")
 
     # one row for each class, with its first place and its keys; copies of a line meet as fixed-width sums
-    keyed = with_keys(named, tau, min_chars)
+    keyed = with_keys(named, tau, per)
     keys = {f"o{j}": F.get("own", F.lit(j)) for j in range(tau + 1)} | {f"a{j}": F.get("ask", F.lit(j)) for j in range(n_probes(tau))}
-    at = (F.col("d").cast("decimal(38,0)") * PLACES + F.col("k")).cast("decimal(38,0)")
-    keyed = keyed.select("h1", "h2", at.alias("at"), F.when(F.col("n") >= min_chars, _traits(F.col("line"), F.col("n"))).alias("traits"), *[c.alias(x) for x, c in keys.items()])
+    keyed = keyed.select("h1", "h2", _at(F.col("d"), F.col("k")).alias("at"), F.when(F.col("n") >= per, _traits(F.col("line"), F.col("n"))).alias("traits"), *[c.alias(x) for x, c in keys.items()])
     classes = keyed.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in ("at", "traits", *keys)])
     classes = work.save(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    work.release()
 
-    x = classes.select(F.col("c").alias("a"), F.col("traits").alias("ta"), F.explode(F.array(*[k for k in keys if k[0] == "o"])).alias("key")).where("key IS NOT NULL")
-    y = classes.select(F.col("c").alias("b"), F.col("traits").alias("tb"), F.explode(F.array(*[k for k in keys if k[0] == "a"])).alias("key")).where("key IS NOT NULL")
-    pairs = x.join(y, "key").where(F.expr(_may_be_near("a", "b", "ta", "tb", tau)))
-    pairs = work.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    work.release()
+    pairs = work.save(_candidates(classes, list(keys), tau), "pairs")
 
     # the texts of the lines in question, from their first places
     first = classes.select("c", "h1", "h2", "at")
     asked = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    asked = asked.join(first, "c").select("c", "h1", "h2", _place("at").alias("p")).select("c", "h1", "h2", "p.d", "p.k")
-    asked = work.save(asked, "asked")
-    maybe = sieve.marked(named, F.col("h1"), asked, F.col("h1")).where("_maybe").drop("_maybe")
-    text = maybe.join(asked, ["d", "k", "h1", "h2"]).select("c", "line").dropDuplicates(["c"])
-    text = work.save(text, "text")
-    work.release()
+    asked = work.save(asked.join(first, "c"), "asked")
+    text = work.save(_texts(named, asked), "text")
     both = pairs.join(text.select(F.col("c").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("c").alias("b"), F.col("line").alias("lb")), "b")
-    long, short = F.when(F.length("la") >= F.length("lb"), F.col("la")).otherwise(F.col("lb")), F.when(F.length("la") >= F.length("lb"), F.col("lb")).otherwise(F.col("la"))
-    links = both.select("a", "b", long.alias("p"), short.alias("t")).select("a", "b", banded_distance(F.col("p"), F.col("t"), tau).alias("dist")).where(F.col("dist") <= tau)
-    links = work.save(links, "links")
-    work.drop("text")
-    ways = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    longer = F.length("la") >= F.length("lb")
+    both = both.select("a", "b", F.when(longer, F.col("la")).otherwise(F.col("lb")).alias("p"), F.when(longer, F.col("lb")).otherwise(F.col("la")).alias("t"))
+    near = both.select("a", "b", banded_distance(F.col("p"), F.col("t"), tau).alias("dist"), F.length("t").alias("n")).where(f"dist <= {tau} AND dist * {per} <= n")
+    links = work.save(near.select("a", "b"), "links")
+    ways = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     at = classes.select("c", "at")
     ways = ways.join(at.select(F.col("c").alias("a"), F.col("at").alias("fa")), "a").join(at.select(F.col("c").alias("b"), F.col("at").alias("fb")), "b")
     degree = ways.groupBy("a").agg(F.count("*").alias("n_links"), F.max((F.col("fb") < F.col("fa")).cast("int")).alias("later")).withColumnRenamed("a", "c")
-    known = first.join(degree, "c", "left").select("h1", "h2", _place("at").alias("first"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("later", F.lit(0)).alias("later"))
-    here = F.struct("d", "k")
-    return places.join(known, ["h1", "h2"]).select("d", "r", "k", "first", "n_links", ((F.col("later") == 0) & (here == F.col("first"))).alias("kept"))
+    known = first.join(degree, "c", "left").select("h1", "h2", "at", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("later", F.lit(0)).alias("later"))
+    known = work.save(known, "known")
+    work.drop("classes", "pairs", "asked", "text", "links")
+    here = _at(F.col("d"), F.col("k")) == F.col("at")
+    return places.join(known, ["h1", "h2"]).select("d", "r", "k", _place("at").alias("first"), "n_links", ((F.col("later") == 0) & here).alias("kept"))
 
 
-def _place(c: str) -> Column:
-    """(d, k) of a place that was packed into one decimal."""
-    k = F.pmod(F.col(c), F.lit(PLACES).cast("decimal(38,0)"))
-    return F.struct(((F.col(c) - k) / PLACES).cast("long").alias("d"), k.cast("int").alias("k"))
+def _candidates(classes: DataFrame, keys: list[str], tau: int) -> DataFrame:
+    """Pairs (a, b) of classes of which one asks for a segment of the other and edits may make the one the other."""
+    x = classes.select(F.col("c").alias("a"), F.col("traits").alias("ta"), F.explode(F.array(*[k for k in keys if k[0] == "o"])).alias("key")).where("key IS NOT NULL")
+    y = classes.select(F.col("c").alias("b"), F.col("traits").alias("tb"), F.explode(F.array(*[k for k in keys if k[0] == "a"])).alias("key")).where("key IS NOT NULL")
+    pairs = x.join(y, "key").where(F.expr(_may_be_near("a", "b", "ta", "tb", tau)))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _texts(named: DataFrame, asked: DataFrame) -> DataFrame:
+    """(c, line) of the classes asked for, from their first places."""
+    maybe, _ = sieve.split(named, F.col("h1"), asked, F.col("h1"))
+    return maybe.withColumn("at", _at(F.col("d"), F.col("k"))).join(asked, ["at", "h1", "h2"]).select("c", "line").dropDuplicates(["c"])
 
 
 def drop_lines(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines that are not kept taken out of their texts; a document that loses every visible line goes."""
+    work = Workspace(docs.sparkSession, "gone")
     gone = classes.groupBy("d", "r").agg(F.collect_set(F.when(~F.col("kept"), F.col("k"))).alias("gone"), F.count(F.when(F.col("kept"), 1)).alias("left")).where("size(gone) > 0")
-    gone = gone.select(F.col("d").alias("_d"), F.col("r").alias("_r"), F.col("gone").alias("_gone"), F.col("left").alias("_left"))
-    gone = Workspace(docs.sparkSession, "gone").save(gone, "lines")
+    gone = work.save(gone, "lines")
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    d = docs.select(whole, docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    d = d.select("row", "id", "text", F.xxhash64("text").alias("h"))
+    maybe, other = sieve.split(d, F.xxhash64("id", "h"), gone, F.xxhash64("d", "r"))
+    j = maybe.join(gone, F.col("id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("r")), "left").where("left IS NULL OR left > 0")
+    kept = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(kept.cast(docs.schema[text_col].dataType))
     names = docs.columns
-    d = docs.withColumns({"_h": F.xxhash64(docs[text_col].cast("string")), "_id": docs[id_col].cast("long")})
-    d = sieve.marked(d, F.xxhash64("_id", "_h"), gone, F.xxhash64("_d", "_r"))
-    j = d.where("_maybe").join(gone, (F.col("_id") == F.col("_d")) & (F.col("_h") == F.col("_r")), "left").where("_left IS NULL OR _left > 0")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    changed = j.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*names)
-    return changed.union(d.where("NOT _maybe").select(*names))
+    return j.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names]).union(other.select(*[F.col("row")[c].alias(c) for c in names]))

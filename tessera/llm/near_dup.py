@@ -2,26 +2,29 @@
 
 1. One pass over the texts gives each document's set of word shingles as 64-bit hashes, reduced at
    once to a fingerprint of the set, ``bands * rows`` minima under universal hash functions, and a
-   key for each band of ``rows`` minima. Equal sets share a fingerprint and are represented by their
-   smallest doc_id from here on, so thousands of exact copies cost one row.
-2. Documents that share a band key are candidates. A bucket is tested as a star: every member
+   key for each band of ``rows`` minima. Equal sets share a fingerprint and are one node from here on,
+   so thousands of exact copies cost one row.
+2. Nodes that share a band key are candidates. A bucket is tested as a star: every member
    against its smallest member, on the full sets. Confirmed links are contracted to components.
-3. What the stars cannot settle is settled exactly: Jaccard distance is a metric, so two members of
-   one bucket whose distances to its centre differ by more than the threshold distance cannot be
-   linked; nor can members whose set sizes differ too much, nor those whose sets, folded into bitmaps
-   by parity, differ in more bits than linked sets may differ in elements. All other pairs from
-   different components are confirmed on the full sets, and the components follow from all links.
+3. What the stars cannot settle is settled exactly, without pairing a bucket's members. Two members
+   of one bucket from different components are linked only if they share a shingle of their prefixes: the first
+   n - ceil(0.8 n) + 1 shingles of a set in one order, here those that the centre lacks before those that it has.
+   So members that have little but the centre's text in common never meet. Pairs that meet have to
+   pass bounds by set size, by the places of the shared shingle and by their distances to the centre
+   (Jaccard distance is a metric), and are confirmed on the full sets; the components follow from all links.
 
 With the defaults (48 bands of 6 minima) a pair at exactly 0.8 shares no band with probability
 (1 - 0.8**6)**48 = 5e-7, and fewer above it.
 
-Scale: text is read in two passes; only texts that a bit filter lets through are shuffled, to meet the ids
+Scale: text is read in two passes; only texts that a bit filter lets through are shuffled, to meet the keys
 of candidates; buckets shuffle 16 bytes a band; no list of a bucket's members is ever gathered; hubs are salted.
 
 Defined results: a document without words (null, empty, white space) has an empty set, is linked with
 nothing and is its own component; a row repeating another's id and text gets the same result; rows
-that repeat an id with another text each get the component of their own text; an empty table
-gives an empty result. Extra columns are ignored.
+that repeat an id with another text are nodes of their own, each in the component of its own text. A null id is never
+a component's name where the component has another id; in a component without any id the component is null and
+the rows of one of its texts (that of the least fingerprint) are kept. An empty table gives an empty result.
+Extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,17 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import sieve
 from tessera.llm import textkit as K
-from tessera.llm.components import connected_components
+from tessera.llm.components import MAX_ROUNDS, connected_components
 from tessera.llm.workspace import Workspace
 
 BANDS, ROWS = 48, 6
-#: Bits of a parity bitmap. Longer sets fill it and are then told apart by their full sets alone.
-BITS = 4096
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +95,16 @@ def _sketch(sets: np.ndarray, edge: np.ndarray, bands: int, rows: int) -> tuple[
     return some, f1, f2, key
 
 
+def _keys(id_: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(1), id_, text).alias("k1"), F.xxhash64(F.lit(2), id_, text).alias("k2")]
+
+
 def sketches(df: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n, f1, f2, bands) from (doc_id, text); fingerprint and bands are null for an empty set."""
+    """(doc_id, k1, k2, n, f1, f2, bands) from (doc_id, k1, k2, text); fingerprint and bands are null for an empty set."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for first, data, off in K.blocks(b.column(1)):
+            for first, data, off in K.blocks(b.column(3)):
                 sets, edge = shingle_sets(data, off, size)
                 some, f1, f2, key = _sketch(sets, edge, bands, rows)
                 n = np.diff(edge)
@@ -108,43 +113,102 @@ def sketches(df: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) ->
                 full1[some], full2[some] = f1.view(np.int64), f2.view(np.int64)
                 count = np.where(empty, 0, bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(key.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(n)), pa.array(n), pa.array(full1, mask=empty), pa.array(full2, mask=empty), lists], names=["doc_id", "n", "f1", "f2", "bands"]
-                )
+                own = [b.column(j).slice(first, len(n)) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(full1, mask=empty), pa.array(full2, mask=empty), lists], names=["doc_id", "k1", "k2", "n", "f1", "f2", "bands"])
 
-    return df.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
-
-
-def _parity(sets: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """A bitmap of each set: a bit tells whether an odd number of its elements fall on it."""
-    bit = (sets >> np.uint64(52)).astype(np.int64) % BITS
-    odd = np.zeros((len(edge) - 1, BITS), np.uint8)
-    for r, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-        odd[r] = np.bincount(bit[a:b], minlength=BITS) & 1
-    return np.packbits(odd, axis=1).view(np.int64)
+    return df.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, f1 long, f2 long, bands array<long>")
 
 
 def full_sets(df: DataFrame, size: int) -> DataFrame:
-    """(doc_id, s, bits) from (doc_id, text): the sorted distinct shingle hashes and their parity bitmap."""
+    """(v, s) from (v, text): the sorted distinct shingle hashes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for first, data, off in K.blocks(b.column(1)):
                 sets, edge = shingle_sets(data, off, size)
-                bits = _parity(sets, edge)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)), pa.array(bits.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(off) - 1), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(sets.view(np.int64))), lists], names=["doc_id", "s", "bits"]
-                )
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(off) - 1), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["v", "s"])
+
+    return df.mapInArrow(run, "v long, s array<long>")
 
-    return df.mapInArrow(run, "doc_id long, s array<long>, bits array<long>")
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with both sets."""
+    left, right = sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
+    return pairs.join(right, "b").join(left, "a")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with i, na, nb: the sizes of their intersection and of both sets."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a")
-    return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"))
+    return _with_sets(pairs, sets).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"))
+
+
+def prefix(centre: Column, own: Column, percent: int) -> Column:
+    """The shingles of a set that come first in the order of its bucket, one of which it shares with every set linked with it."""
+    n = F.size(own)
+    return F.slice(F.concat(F.array_except(own, centre), F.array_intersect(own, centre)), F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
+
+
+def _meetings(unsettled: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """Pairs (a, b) of different components g from one centre's rows (c, v, n, d, g) that share a shingle of their prefixes and pass the bounds."""
+    both = _with_sets(unsettled.withColumnsRenamed({"c": "a", "v": "b"}), sets)
+    tokens = both.select(F.col("a").alias("c"), F.col("b").alias("v"), "n", "d", "g", F.posexplode(prefix(F.col("sa"), F.col("sb"), percent)).alias("at", "token"))
+    tokens = work.save(tokens, "tokens")
+    shared = tokens.groupBy("c", "token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("c", "token")
+    tokens = work.save(tokens.join(shared, ["c", "token"], "left_semi"), "shared")
+    work.drop("tokens")
+    x, y = tokens.alias("x"), tokens.alias("y")
+    may = F.expr(
+        "x.c = y.c AND x.token = y.token AND x.g < y.g"
+        f" AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND abs(x.d - y.d) <= {1 - percent / 100 + 1e-9}"
+        # from the first shared shingle on, enough of both sets has to be left
+        f" AND {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n)"
+    )
+    return x.join(y, may).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
+
+
+def document_classes(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, k1, k2, n_shingles, component_id, kept) of every row of docs; k1 and k2 stand for the id and the text."""
+    work = Workspace(spark, "near-dup")
+    id_, text = docs[id_col].cast("long"), docs[text_col].cast("string")
+    texts = docs.select(id_.alias("doc_id"), *_keys(id_, text), text.alias("text"))
+    sk = work.save(sketches(texts, size, bands, rows), "sketches")
+
+    # one node for each distinct set, with the row that stands for it
+    node = sk.where("f1 IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    node = work.save(node.select("f1", "f2", "first", "k.k1", "k.k2", "n", "bands", F.monotonically_increasing_id().alias("v")), "nodes")
+    in_band = node.select("v", "n", F.explode("bands").alias("key"))
+    centre = work.save(in_band.groupBy("key").agg(F.min("v").alias("c"), F.max("v").alias("last")).where("c < last").select("key", "c"), "centres")
+    members = work.save(in_band.join(centre, "key").select("c", "v", "n").distinct(), "members")
+
+    stars = members.where("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b"))
+    near = work.save(members.select("v").distinct().join(node.select("v", "k1", "k2"), "v"), "near")
+    maybe, _ = sieve.split(texts, F.col("k1"), near, F.col("k1"))
+    asked = maybe.join(near, ["k1", "k2"]).select("k1", "k2", "v", "text").dropDuplicates(["k1", "k2"])
+    sets = work.save(full_sets(asked.select("v", "text"), size), "sets")
+    star = work.save(_confirm(stars, sets), "stars")
+    linked = F.expr(f"100 * i >= {percent} * (na + nb - i)")
+    links = work.save(star.where(linked).select("a", "b"), "links")
+    label = connected_components(links, work, "cc-stars")
+
+    # members of one centre that are still apart
+    dist = star.select(F.col("a").alias("c"), F.col("b").alias("v"), F.col("nb").alias("n"), (1 - F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("d"))
+    m = work.save(dist.join(label.withColumnRenamed("node", "v"), "v", "left").select("c", "v", "n", "d", F.coalesce("component", "v").alias("g")), "apart")
+    work.drop("stars", "members", "centres")
+    mixed = m.groupBy("c").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("c")
+    rest = work.save(_meetings(m.join(mixed, "c", "left_semi"), sets, percent, work), "rest")
+    more = work.save(_confirm(rest, sets).where(linked).select("a", "b"), "more")
+    final = connected_components(links.union(more), work, "cc-all")
+
+    # a component's name is its smallest id; without any id its least fingerprint stands for it
+    named = node.select("f1", "f2", "first", "v").join(final.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    best = named.groupBy("component").agg(F.min("first").alias("component_id"), F.min(F.struct("f1", "f2")).alias("least"))
+    named = named.join(best, "component").select("f1", "f2", "component_id", (F.struct("f1", "f2") == F.col("least")).alias("is_least"))
+    out = sk.select("doc_id", "k1", "k2", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
+    comp = F.when(F.col("f1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.coalesce(F.col("doc_id") == comp, comp.isNull() & F.coalesce("is_least", F.lit(True)))
+    out = work.save(out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), comp.alias("component_id"), kept.alias("kept")), "result")
+    work.drop("sketches", "nodes", "near", "sets", "links", "apart", "shared", "rest", "more", *(f"cc-{x}-{k}" for x in ("stars", "all") for k in range(MAX_ROUNDS)))
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,56 +216,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
 
     size: words in a shingle. percent: documents are linked where 100 * intersection >= percent * union.
     """
-    work = Workspace(spark, "near-dup")
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    sk = work.save(sketches(texts, size, bands, rows), "sketches")
+    return document_classes(spark, docs, size, percent, bands, rows, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "kept")
 
-    # one node for each distinct set
-    node = sk.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
-    node = work.save(node, "nodes")
-    reps = sk.join(node.select(F.col("node").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
-    in_band = work.save(reps.select("doc_id", "n", F.explode("bands").alias("key")), "bands")
-    centre = work.save(in_band.groupBy("key").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("last")).where("c < last").select("key", "c"), "centres")
-    members = work.save(in_band.join(centre, "key").select("key", "c", "doc_id", "n"), "members")
-    work.drop("bands")
-
-    stars = members.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = members.select("doc_id").distinct()
-    near = work.save(near, "near")
-    maybe = sieve.marked(texts, F.xxhash64("doc_id"), near, F.xxhash64("doc_id")).where("_maybe").drop("_maybe")
-    sets = work.save(full_sets(maybe.join(near, "doc_id", "left_semi"), size), "sets")
-    star = work.save(_confirm(stars, sets), "stars")
-    linked = F.expr(f"100 * i >= {percent} * (na + nb - i)")
-    links = star.where(linked).select("a", "b")
-    label = connected_components(links, work, "cc-stars")
 
-    # pairs within a bucket that are still apart and that the metric does not rule out
-    dist = star.select(F.col("a").alias("c"), F.col("b").alias("doc_id"), (1 - F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("d"))
-    m = members.where("doc_id <> c").join(dist, ["c", "doc_id"]).join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    m = m.select("key", "doc_id", "n", "d", F.coalesce("component", "doc_id").alias("g"))
-    m = work.save(m, "apart")
-    mixed = m.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("key")
-    mixed = work.save(mixed, "mixed")
-    m = work.save(m.join(mixed, "key", "left_semi").join(sets.select("doc_id", "bits"), "doc_id"), "open")
-    x, y = m.alias("x"), m.alias("y")
-    may = F.expr(f"x.key = y.key AND x.doc_id < y.doc_id AND x.g <> y.g AND abs(x.d - y.d) <= {1 - percent / 100 + 1e-9} AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    may = may & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
-    rest = x.join(y, may).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = work.save(_confirm(rest, sets).where(linked).select("a", "b"), "more")
-    final = work.save(connected_components(links.union(more), work, "cc-all"), "components")
-    for t in ("sets", "members", "apart", "open"):
-        work.drop(t)
-
-    named = node.join(final, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
-    out = sk.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
-    comp = F.coalesce("component_id", "doc_id")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
-
-
-def drop_duplicates(spark: SparkSession, docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that near_duplicates keeps. Only rows that a bit filter lets through are shuffled."""
-    gone = Workspace(spark, "near-dup").save(found.where("NOT kept").select(F.col(id_col).alias("_gone")), "gone")
-    d = sieve.marked(docs, F.xxhash64(docs[id_col].cast("long")), gone, F.xxhash64("_gone"))
-    left = d.where("_maybe").join(gone, d[id_col] == gone["_gone"], "left_anti")
-    return left.select(*docs.columns).union(d.where("NOT _maybe").select(*docs.columns))
+def drop_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with all their columns. Only rows that a bit filter lets through are shuffled."""
+    gone = Workspace(spark, "near-dup").save(document_classes(spark, docs, size, percent, id_col=id_col, text_col=text_col).where("NOT kept").select("k1", "k2").distinct(), "gone")
+    mine = lambda d: _keys(d[id_col].cast("long"), d[text_col].cast("string"))
+    maybe, other = sieve.split(docs, mine(docs)[0], gone, F.col("k1"))
+    key = mine(maybe)
+    left = maybe.join(gone, (key[0] == gone["k1"]) & (key[1] == gone["k2"]), "left_anti")
+    return left.select(*docs.columns).union(other)

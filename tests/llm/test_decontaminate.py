@@ -47,23 +47,35 @@ def test_matches_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == brute(docs, bench)
 
 
-def test_blocks_give_the_same(spark):
+def test_every_row_has_its_own_result(spark):
     docs, bench = fixture()
-    docs = docs[:-2]
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
-    got = D.digest(D.find_leaks(d, b, block_items=4))
-    want = sorted(map(tuple, D.digest(D.find_leaks(d, b)).where("doc_id <> 0").collect()))
-    assert sorted(map(tuple, got.where("doc_id <> 0").collect())) == want
-
-
-def test_blocks_keep_every_row(spark):
-    docs, bench = fixture()
-    docs += [(9, "clean words"), (None, "no id"), (None, bench[4][1]), (102, None)]
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
-    want = sorted(brute([(-1 if i is None else i, t) for i, t in docs], bench))
-    for size in (1, 4, 1000):
-        got = D.digest(D.find_leaks(d, b, block_items=size)).collect()
-        assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == want
+    docs += [(9, "clean words"), (None, "no id"), (None, bench[4][1]), (102, None), (None, None)]
+    bench += [(4, "another row of item four " + docs[7][1]), (4, bench[4][1] + " and more words that follow"), (None, docs[8][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as k1", "2 as word", "3 as token", "4 as id")
+    b = spark.createDataFrame(bench, "item_id long, text string").selectExpr("*", "'x' as item", "1 as words")
+    want = sorted(brute([(-1 if i is None else i, t) for i, t in docs], [x for x in bench if x[0] is not None]))
+    got = D.digest(D.find_leaks(d, b)).collect()
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == want
+    assert any(r[3] > 1 for r in want)
+
+
+def test_spans_are_the_hit_ranges(spark):
+    item = " ".join(f"w{i}" for i in range(25))
+    text = "a b " + " ".join(f"w{i}" for i in range(12)) + " c " + " ".join(f"w{i}" for i in range(5, 25)) + " w1"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    b = spark.createDataFrame([("q", item), ("r", "c w5")], "item_id string, text string")
+    r = D.find_leaks(d, b).first()
+    assert [tuple(x) for x in r.spans] == [(2, 35)] and r["items"] == ["q", "r"]
+
+
+def test_frequent_words_and_long_texts(spark):
+    """A window whose shingles are frequent, an item of one frequent word, and a text of a million words."""
+    docs = [(i, "the end of the day " * 40) for i in range(50)] + [(99, "the " * 1_000_000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame([(1, "the end of the day the end of the day"), (2, "the")], "item_id long, text string")
+    got = {r.doc_id: r for r in D.digest(D.find_leaks(d, b)).collect()}
+    assert got[99].n_hit == 1_000_000 and got[99].n_items == 1
+    assert got[7].n_hit == got[7].n_words == 200 and got[7].n_items == 2
 
 
 def test_empty_tables(spark):
@@ -75,8 +87,11 @@ def test_empty_tables(spark):
 
 def test_clean_rows_stay_whole(spark):
     docs, bench = fixture()
-    d, b = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("'x' as item_id", "*"), spark.createDataFrame(bench, "item_id long, text string")
-    want = sorted((r[0] for r in brute(docs, bench) if not r[5]))
-    for size in (4, 1000):
-        out = D.drop_contaminated(d, b, block_items=size)
-        assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == want
+    docs += [(9, "clean words"), (None, "no id"), (None, bench[4][1]), (None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("'x' as item_id", "*", "1 as _word", "2 as k1")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    rows = [(-1 if i is None else i, t) for i, t in docs]
+    want = sorted(r[0] for r in brute(rows, bench) if not r[5])
+    out = D.drop_contaminated(d, b)
+    assert out.columns == d.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect()) == want
+    assert D.drop_contaminated(d, b.limit(0)).count() == len(docs) and D.drop_contaminated(d.limit(0), b).count() == 0

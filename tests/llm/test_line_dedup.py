@@ -41,18 +41,23 @@ def test_banded_distance(spark):
         assert all(g.x == min(distance(g.a, g.b), tau + 1) for g in got)
 
 
-def brute(docs, tau, min_chars):
+def linked(x, y, tau=2, per=8):
+    n = min(tau, min(len(x), len(y)) // per)
+    return n > 0 and abs(len(x) - len(y)) <= n and distance(x, y) <= n
+
+
+def brute(docs, tau, per):
     occ = [(d, k, x) for d, t in docs for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\x0b\f\r")]
     first = {}
     for d, k, x in sorted(occ, key=lambda o: o[:2]):
         first.setdefault(x, (d, k))
-    near = {x: [y for y in first if y != x and min(len(x), len(y)) >= min_chars and abs(len(x) - len(y)) <= tau and distance(x, y) <= tau] for x in first}
+    near = {x: [y for y in first if y != x and linked(x, y, tau, per)] for x in first}
     return sorted((d, k, *first[x], len(near[x]), (d, k) == first[x] and all(first[y] > first[x] for y in near[x])) for d, k, x in occ)
 
 
 def fixture():
     r = random.Random(9)
-    base = ["".join(r.choice("abcdeé ") for _ in range(r.choice([3, 15, 16, 17, 18, 19, 20, 33, 60]))) for _ in range(14)]
+    base = ["".join(r.choice("abcdeé ") for _ in range(r.choice([3, 7, 8, 9, 15, 16, 17, 18, 19, 20, 33, 60]))) for _ in range(18)]
     docs = []
     for i in range(60):
         lines = [edit(r, r.choice(base), r.choice([0, 0, 1, 1, 2, 2, 3, 4])) for _ in range(r.randint(1, 6))]
@@ -65,7 +70,7 @@ def test_classes_match_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as line", "2 as key", "3 as c")
     for tau in (1, 2, 3):
         got = L.line_classes(spark, df, tau=tau).select("d", "k", "first.d", "first.k", "n_links", "kept").collect()
-        assert sorted(map(tuple, got)) == brute(docs, tau, L.MIN_CHARS)
+        assert sorted(map(tuple, got)) == brute(docs, tau, L.PER)
 
 
 def test_dropping(spark):
@@ -82,3 +87,13 @@ def test_repeated_rows(spark):
     c = L.line_classes(spark, df)
     assert sorted((x.d, x.kept) for x in c.collect()) == [(7, True), (7, True), (8, False)]
     assert [x.doc_id for x in L.drop_lines(df, c).collect()] == [7, 7]
+
+
+def test_rows_without_an_id_come_last(spark):
+    docs = [(None, "a line that stands elsewhere too\nonly the nameless have this"), (5, "a line that stands elsewhere too!\nand one more of five"), (None, "a line that stands elsewhere too"), (None, None), (3, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as _word", "2 as d", "3 as r", "4 as gone", "5 as left", "6 as id", "7 as h")
+    c = L.line_classes(spark, df)
+    assert sorted((str(x.d), x.k, str(x.first.d), x.kept) for x in c.collect()) == [("3", 0, "3", True), ("5", 0, "5", True), ("5", 1, "5", True), ("None", 0, "None", False), ("None", 0, "None", False), ("None", 1, "None", True)]
+    out = L.drop_lines(df, c)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.select("doc_id", "text").collect()), key=str) == sorted([(None, "only the nameless have this"), (5, docs[1][1]), (None, None), (3, "x")], key=str)

@@ -2,7 +2,7 @@ import random
 import re
 
 from tessera.llm.components import connected_components
-from tessera.llm.near_dup import near_duplicates
+from tessera.llm.near_dup import drop_duplicates, near_duplicates
 from tessera.llm.workspace import Workspace
 
 
@@ -66,6 +66,35 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(4, "a b c"), (4, "a b c"), (2, "A  b c")], "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(spark, df, size=2).collect())) == [(2, 2, 2, True), (4, 2, 2, False), (4, 2, 2, False)]
     assert near_duplicates(spark, df.limit(0), size=2).count() == 0
+    assert drop_duplicates(spark, df.limit(0)).count() == 0
+
+
+def test_one_id_with_two_texts_and_null_ids(spark):
+    long = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [(2, long("p")), (3, long("p") + " end"), (5, long("p") + " stop"), (5, long("q")), (6, long("q")), (None, long("q") + " x"), (None, long("r")), (None, long("r") + " y"), (None, None), (None, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _gone", "2 as v", "3 as k1", "4 as word")
+    got = [tuple(r) for r in near_duplicates(spark, df, size=2).collect()]
+    some = lambda i: sorted((r[1:] for r in got if r[0] == i), key=str)
+    assert some(2) == [(29, 2, True)] and some(3) == [(30, 2, False)] and some(6) == [(29, 5, False)] and some(8) == [(0, 8, True)]
+    assert some(5) == [(29, 5, True), (30, 2, False)]
+    null = [r[1:] for r in got if r[0] is None]
+    assert sorted(x for x in null if x[1] is not None) == [(30, 5, False)]
+    assert sorted(x[2] for x in null if x[0] > 28 and x[1] is None) == [False, True] and [x[2] for x in null if x[0] == 0] == [True, True]
+    left = drop_duplicates(spark, df, size=2)
+    assert left.columns == df.columns
+    kept = {(r.doc_id, r.text) for r in left.collect()}
+    assert (5, long("q")) in kept and (5, long("p") + " stop") not in kept and len(kept) == 6 and left.count() == 6
+
+
+def test_a_bucket_of_many_unlinked_members(spark):
+    """Documents that share most of a text, none of them linked: their buckets are large, and few of their pairs may meet."""
+    r = random.Random(5)
+    head = " ".join(f"h{i}" for i in range(60))
+    docs = [(i, head + " " + " ".join(f"t{r.randrange(10**6)}" for _ in range(30))) for i in range(4000)]
+    docs += [(4000 + i, docs[i][1] + " z") for i in range(0, 40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = near_duplicates(spark, df, size=2).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got if x.doc_id != x.component_id) == [(4000 + i, i) for i in range(40)]
 
 
 def test_star_contraction_on_paths_and_hubs(spark):

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute as leaks
-from tests.llm.test_line_dedup import distance
+from tests.llm.test_line_dedup import linked
 from tests.llm.test_near_dup import brute as groups
 from tests.llm.test_quality_rules import brute as measures
 
@@ -38,7 +38,7 @@ def plain(docs, bench):
         kept = []
         for x in t.split("\n"):
             if x.strip(" \t\n\x0b\f\r"):
-                near = any(x == y or (min(len(x), len(y)) >= 16 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2) for y in seen)
+                near = any(x == y or linked(x, y) for y in seen)
                 seen.append(x)
                 if near:
                     continue
