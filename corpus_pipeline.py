@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, decontaminate, line_dedup, near_dup, quality_rules
 from tessera.llm.catalog import VOCABULARY
 from tessera.llm.tables import table
-from tessera.llm.workspace import Workspace
+from tessera.llm.workspace import Workspace, scratch
 
 
 def keep_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five-word shingles, 0.8)."""
-    return near_dup.drop_duplicates(spark, docs, near_dup.near_duplicates(spark, docs))
+    return near_dup.drop_duplicates(spark, docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = work.save(stage(spark, docs, sf_dir), name)
-        if k > 1:
+        with scratch():  # what a stage wrote on its way goes when its result stands
+            docs = work.save(stage(spark, docs, sf_dir), name)
+        if k:
             work.drop(STAGES[k - 1][0])
     return docs
