@@ -1,4 +1,10 @@
-"""A small HTML reader: block elements as nodes in page order, the texts that they own, and features of each node."""
+"""A small HTML reader: block elements as nodes in page order, the texts that they own, and features of each node.
+
+Reading is one scan with a cursor that never moves back, and the open elements are looked up by name, so the time
+grows with the page and not with its mistakes. A quote inside an unquoted value is an ordinary character, and a value whose
+quote never closes is unquoted; from the first tag that never ends, tags end at the next ``>``, whatever is quoted; without one, the rest is text.
+A comment, script or style without an end reaches to the end of the page; any other unclosed element is only its tag.
+"""
 
 from __future__ import annotations
 
@@ -41,14 +47,125 @@ TOKENS = (
     frozenset("share social follow newsletter subscribe subscription signup login search form contact tags meta byline author".split()),
 )
 FEATURES = 2 * (len(GROUPS) + len(TOKENS)) + 17
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?+([a-zA-Z][^\s/>]*+)")
+_INSIDE = re.compile(r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+>")
 _ATTR = re.compile(r"(?:^|\s)(?:id|class|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_RAW = frozenset(RAW)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
-_RAW_TAG = re.compile(rf"<!--.*?(?:-->|$)|<({'|'.join(UNCLOSED)})\b[^>]*>.*?(?:</\1\b[^>]*>|$)|<(/?)({'|'.join(t for t in RAW if t not in UNCLOSED)})(?![^\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_END = {t: re.compile(rf"</{t}(?![^\s/>])[^>]*+>", re.I) for t in UNCLOSED}
+_LONG_REF = re.compile(r"&#(?=[0-9])0*+([0-9]*+)")
 _GROUP = {t: i for i, g in enumerate(GROUPS) for t in g}
 
 
+def decoded(t: str) -> str:
+    """Character references of a text as characters; a number beyond all characters stays one, however long."""
+    if "&" not in t:
+        return t
+    return html.unescape(_LONG_REF.sub(lambda m: "&#" + (m[1][:8] or "0"), t) if "&#" in t else t)
+
+
+def pieces(s: str) -> list[tuple[str, str, str]]:
+    """A page as ("", text, "") and (name, attributes, kind) with kind "open", "self" or "close"; comments, scripts and styles are left out, the latter two as "raw"."""
+    out: list[tuple[str, str, str]] = []
+    at, begin, n, whole = 0, 0, len(s), True
+    last = {x: s.rfind(x) for x in (">", "-->", "]]>")}
+    while (lt := s.find("<", at)) >= 0:
+        at = lt + 1
+        if s.startswith("<!--", lt):
+            end = s.find("-->", lt + 2) + 3 if last["-->"] >= lt + 2 else n
+        elif s.startswith("<![CDATA[", lt) and last["]]>"] > lt:
+            end = s.find("]]>", lt) + 3
+        elif lt > last[">"]:
+            break
+        elif s[at : at + 1] in ("!", "?") or (s[at : at + 1] == "/" and not s[at + 1 : at + 2].isalpha()):
+            end = s.find(">", at) + 1
+        elif name := _NAME.match(s, lt):
+            inside = _INSIDE.match(s, name.end()) if whole else None
+            whole = inside is not None
+            end = inside.end() if inside else s.find(">", name.end()) + 1
+            tag, attrs = name[1].lower(), s[name.end() : end - 1]
+            out.append(("", s[begin:lt], ""))
+            if s[at] == "/":
+                out.append((tag, "", "close"))
+            elif tag in UNCLOSED:
+                out.append((tag, "", "raw"))
+                e = _END[tag].search(s, end)
+                end = e.end() if e else n
+            else:
+                out.append((tag, attrs, "self" if attrs.endswith("/") else "open"))
+            begin = at = end
+            continue
+        else:
+            continue
+        out.append(("", s[begin:lt], ""))
+        begin = at = end
+    out.append(("", s[begin:], ""))
+    return out
+
+
+def closings(parts: list[tuple[str, str, str]]) -> dict[int, int]:
+    """Where each element of RAW that has an end tag of its own ends."""
+    out, begun = {}, {t: [] for t in RAW}
+    for i, (tag, _, kind) in enumerate(parts):
+        if tag in begun:
+            if kind == "open":
+                begun[tag].append(i)
+            elif kind == "close" and begun[tag]:
+                out[begun[tag].pop()] = i
+    return out
+
+
+def head_end(parts: list[tuple[str, str, str]], at: int, ends: dict[int, int]) -> int:
+    """The first piece after the head that begins at ``at``: after its end tag, or the first text or element that cannot stand in it."""
+    i = at + 1
+    while i < len(parts):
+        tag, text, kind = parts[i]
+        if not tag and text.strip():
+            return i
+        if tag == "head" and kind == "close":
+            return i + 1
+        if tag and tag not in IN_HEAD and not (kind == "close" and tag not in ("body", "html", "br")):
+            return i
+        i = ends.get(i, i) + 1
+    return i
+
+
+class _Open:
+    """The open elements, with the places of each name, of the blocks and of those that end a search."""
+
+    def __init__(self):
+        self.name, self.node = ["#root"], [0]
+        self.at: dict[str, list[int]] = {}
+        self.blocks, self.scopes, self.links = [0], [0], 0
+
+    def push(self, tag: str, node: int) -> None:
+        i = len(self.name)
+        self.name.append(tag)
+        self.node.append(node)
+        self.at.setdefault(tag, []).append(i)
+        if tag not in INLINE:
+            self.blocks.append(i)
+        if tag in SCOPE:
+            self.scopes.append(i)
+        self.links += tag == "a"
+
+    def pop_to(self, i: int, ended: list[int], now: int) -> None:
+        """Closes the elements from i on; the blocks among them end at run ``now``."""
+        while len(self.name) > i:
+            tag, node = self.name.pop(), self.node.pop()
+            self.at[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+                ended[node] = now
+            if tag in SCOPE:
+                self.scopes.pop()
+            self.links -= tag == "a"
+
+    def last(self, names: tuple[str, ...]) -> int:
+        return max((self.at[t][-1] for t in names if self.at.get(t)), default=0)
+
+
 class Page:
     """Block nodes of a page: tag, parent (-1 for the root), depth, attribute token bits; and text runs with their owners."""
 
@@ -57,13 +174,13 @@ class Page:
         self.begin, self.last = [0], [0]
         #: (owner node, text, in a link)
         self.runs: list[tuple[int, str, bool]] = []
-        self._read(source)
+        self._read(pieces(source))
 
-    def _open(self, tag: str, attrs: str, up: int) -> int:
+    def _node(self, tag: str, attrs: str, up: int) -> int:
         bits = 0
         if attrs:
             for v in _ATTR.findall(attrs):
-                for w in _SPLIT.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", v).lower()):
+                for w in _SPLIT.split(_CAMEL.sub(" ", v).lower()):
                     if w:
                         for j, t in enumerate(TOKENS):
                             if w in t:
@@ -76,111 +193,39 @@ class Page:
         self.last.append(len(self.runs))
         return len(self.tag) - 1
 
-    @staticmethod
-    def _head_end(s: str, at: int) -> int:
-        """Where the content of a head that begins at ``at`` ends: after its end tag, or before the first text or element that cannot stand in it."""
-        while m := _TAG.search(s, at):
-            if s[at : m.start()].strip():
-                return at
-            tag = m[2] and m[2].lower()
-            if tag == "head" and m[1]:
-                return m.end()
-            if tag and tag not in IN_HEAD and not (m[1] and tag not in ("body", "html", "br")):
-                return m.start()
-            at = m.end()
-            if tag in _RAW_END and not m[1]:
-                e = _RAW_END[tag].search(s, at)
-                at = e.end() if e else len(s) if tag in UNCLOSED else at
-        return at
-
-    @staticmethod
-    def _raw_ends(s: str) -> dict[int, int]:
-        """Ends of the elements of RAW that have an end tag of their own, by where their content begins."""
-        ends, unclosed = {}, {t: [] for t in RAW}
-        for m in _RAW_TAG.finditer(s):
-            if m[3]:
-                begun = unclosed[m[3].lower()]
-                if not m[2]:
-                    if not m[4].endswith("/"):
-                        begun.append(m.end())
-                elif begun:
-                    ends[begun.pop()] = m.end()
-        return ends
-
-    def _read(self, s: str) -> None:
-        stack: list[tuple[str, int]] = [("#root", 0)]  # every open element with its block node
-        links, at, n = 0, 0, len(s)
-        ends: dict[int, int] | None = None
-
-        def text(t: str) -> None:
-            if t:
-                self.runs.append((stack[-1][1], html.unescape(t) if "&" in t else t, links > 0))
-
-        def pop_to(i: int) -> None:
-            nonlocal links
-            for name, node in stack[i:]:
-                if name == "a":
-                    links -= 1
-                elif name not in INLINE:
-                    self.last[node] = len(self.runs)
-            del stack[i:]
-
-        def close(names: tuple[str, ...]) -> None:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in names:
-                    pop_to(i)
-                    return
-                if stack[i][0] in SCOPE and stack[i][0] not in names:
-                    return
-
-        while at < n:
-            m = _TAG.search(s, at)
-            if not m:
-                text(s[at:])
-                break
-            text(s[at : m.start()])
-            at = m.end()
-            if m[2] is None:
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        pop_to(i)
-                        break
-                    if tag in INLINE and stack[i][0] not in INLINE:
-                        break
+    def _read(self, parts: list[tuple[str, str, str]]) -> None:
+        stack, ends, i = _Open(), closings(parts), 0
+        run = lambda t, link=False: self.runs.append((stack.node[-1], t, link))
+        close = lambda at: stack.pop_to(at, self.last, len(self.runs))
+        while i < len(parts):
+            tag, content, kind = parts[i]
+            i += 1
+            if not tag:
+                if content:
+                    run(decoded(content), stack.links > 0)
+            elif kind == "close":
+                at = stack.last((tag,))
+                if at and (tag not in INLINE or at > stack.blocks[-1]):
+                    close(at)
                 if tag not in INLINE:
-                    self.runs.append((stack[-1][1], "\n\0", False))
-                continue
-            if tag == "head":
-                at = self._head_end(s, at)
-                self.runs.append((stack[-1][1], " ", False))
-                continue
-            if tag in _RAW_END:
-                # without an end tag its content is read as if the tag were not there
-                if not m[3].endswith("/"):
-                    if tag in UNCLOSED:
-                        e = _RAW_END[tag].search(s, at)
-                        at = e.end() if e else n
-                    else:
-                        ends = self._raw_ends(s) if ends is None else ends
-                        at = ends.get(at, at)
-                self.runs.append((stack[-1][1], " ", False))
-                continue
-            if tag in VOID:
-                self.runs.append((stack[-1][1], " " if tag in INLINE else "\n\0", False))
-                continue
-            if tag in INLINE:
-                stack.append((tag, stack[-1][1]))
-                links += tag == "a"
-                continue
-            close(("p",))
-            if tag in CLOSES:
-                for _ in range(3):
-                    close(CLOSES[tag])
-            stack.append((tag, self._open(tag, m[3], stack[-1][1])))
-        pop_to(1)
+                    run("\n\0")
+            elif tag == "head":
+                i = head_end(parts, i - 1, ends)
+                run(" ")
+            elif tag in _RAW:
+                i = ends.get(i - 1, i - 1) + 1
+                run(" ")
+            elif tag in VOID:
+                run(" " if tag in INLINE else "\n\0")
+            elif tag in INLINE:
+                stack.push(tag, stack.node[-1])
+            else:
+                for names in (("p",), *(CLOSES[tag],) * 3) if tag in CLOSES else (("p",),):
+                    at = stack.last(names)
+                    if at and at >= stack.scopes[-1]:
+                        close(at)
+                stack.push(tag, self._node(tag, content, stack.node[-1]))
+        close(1)
         self.last[0] = len(self.runs)
 
     def blocks(self, keep: np.ndarray) -> list[str]:

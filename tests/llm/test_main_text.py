@@ -82,3 +82,69 @@ def test_elements_without_an_end_tag(model):
         assert model.texts([page])[0] == want
     assert Page("<svg><svg>a</svg>b</svg>c").blocks(np.ones(1, bool)) == ["c"]
     assert Page("<button>" * 20000 + "end").blocks(np.ones(1, bool)) == ["end"]
+
+
+def test_quotes_and_broken_tags():
+    every = lambda h: Page(h).blocks(np.ones(len(Page(h).tag), bool))
+    assert every("<p class=it's>one</p><p>two</p><p title='a > b'>three</p>") == ["one", "two", "three"]
+    assert every("<p title='open>one</p><p>two") == ["one", "two"]
+    assert every('<p a="x>one</p><p b=\'y>two') == ["one", "two"]
+    assert every("a < b <3 </3> c<br/>d</ p>e") == ["a < b <3 c de"]
+    assert every("x &#65; &#x42 &#000067; &#99999999999999; &#" + "9" * 6000 + "; &amp; &nope;") == ["x A B C \ufffd \ufffd & &nope;"]
+    assert every("<!-->a--> b <!-- c --> d <![CDATA[ e > f ]]> g") == ["a--> b d g"]
+    assert every("one <tag without an end") == ["one <tag without an end"]
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<![CDATA[", "</x>", "<b x='\" ", "<div>", "<b>", "<h1>", "<i><div></i>", "<button>", "<svg>", "&#9", "<!--", "<table><tr><td>", "<"])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    p = Page(unit * (1_000_000 // len(unit)))
+    p.blocks(np.ones(len(p.tag), bool))
+    assert time.process_time() - began < 15
+
+
+def test_decoding_is_the_best_closed_choice():
+    """Against every set of nodes that holds the parent of each of its nodes."""
+    from itertools import product
+
+    r = np.random.default_rng(8)
+
+    class Fixed:
+        def __init__(self, value):
+            self.value = value
+
+        def log_odds(self, x):
+            return self.value
+
+    for _ in range(60):
+        n = int(r.integers(1, 9))
+        parent = np.array([-1] + [int(r.integers(0, i)) for i in range(1, n)])
+        value = r.normal(0, 2, n)
+        e = object.__new__(M.Extractor)
+        e.subtree, e.text = Fixed(value), Fixed(np.ones(n))
+        got = e.keep(parent, np.zeros((n, 1)))
+        best = max(sum(value[i] for i in range(n) if c[i]) for c in product((0, 1), repeat=n) if c[0] and all(not c[i] or c[parent[i]] for i in range(1, n)))
+        assert abs(value[got].sum() - best) < 1e-9 and all(got[parent[i]] for i in range(1, n) if got[i])
+
+
+#: Pages written by hand, after layouts that are common on the web, and the lines that are their main text.
+def _hand_written():
+    p1 = "The harbour was rebuilt after the storm of 1953, and most of its walls date from that time. Boats still land their catch at the eastern pier, where the market opens at five."
+    p2 = "In winter only a few of them go out. The others are drawn up on the shingle, and their owners mend nets in the sheds behind the customs house, as their grandparents did."
+    p3 = "A plan to deepen the channel has been discussed for years. Its opponents fear for the seagrass beds, its supporters point to the ferries that have to wait for the tide."
+    want = ["The old harbour", p1, p2, p3]
+    paragraphs = f"<p>{p1}</p>\n<p>{p2}</p>\n<p>{p3}</p>"
+    menu = "<ul><li><a href='/'>Home</a></li><li><a href='/news'>News</a></li><li><a href='/about'>About us</a></li></ul>"
+    blog = f"<!doctype html><html lang=en><head><meta charset=utf-8><title>The old harbour | Coast Diary</title><body><header class=site-header><a href=/>Coast Diary</a><nav>{menu}</nav></header><main id=content><article class='post hentry'><h1 class=entry-title>The old harbour</h1><div class=entry-content>{paragraphs}</div></article></main><aside class=sidebar><h3>Recent posts</h3>{menu}</aside><footer><p>&copy; 2021 Coast Diary. All rights reserved.</p></footer></body></html>"
+    old = f"<html><head><title>harbour</title></head><body><table width=100%><tr><td class=nav>{menu}</td></tr></table><div id='main' class='content'><h2>The old harbour</h2>{paragraphs}</div><div id='footer'><a href='/imprint'>Imprint</a> | <a href='/contact'>Contact</a></div></body></html>"
+    shop = f"<html><head><title>x</title><script>window.data = '<p>no</p>'</script></head><body><div class='cookie-notice'><p>We use cookies. <button>Accept</button></p></div><nav class='navbar'>{menu}</nav><div class='container'><section class='article'><h1>The old harbour</h1>{paragraphs}</section><div class='widget related'><h4>Related</h4>{menu}</div></div><form class='newsletter'><label>Your address <input name=mail></label><button>Subscribe</button></form><footer class='legal'>Terms of use</footer></body></html>"
+    talk = f"<html><head><title>x</title></head><body><div class='topbar'>{menu}</div><article><h1>The old harbour</h1>{paragraphs}</article><section id='comments' class='comments'><h3>3 comments</h3><ol class=commentlist><li class=comment><p>Lovely, I was there last year!</p></li><li class=comment><p>First.</p></li></ol></section></body></html>"
+    return [(n, h, want) for n, h in (("blog", blog), ("old", old), ("shop", shop), ("talk", talk))]
+
+
+@pytest.mark.parametrize("name,page,want", _hand_written())
+def test_hand_written_pages(model, name, page, want):
+    got = model.texts([page])[0].split("\n")
+    assert got == want
