@@ -29,7 +29,7 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and the verdict under risk-controlled cutoffs for every document."""
-    stats = quality_rules.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    stats = quality_rules.statistics(table(spark, sf_dir, "documents"), carry=["doc_id"])
     stats = Workspace(spark, "rules").save(stats, "statistics")
     return quality_rules.verdicts(quality_rules.judge(stats, quality_rules.fit_cutoffs(stats, table(spark, sf_dir, "labels"))))
 
@@ -96,14 +96,14 @@ STANDINS = "".join(chr(b) for b in [*range(1, 9), *range(14, 32), *b"~^`\\{}@"])
 ORACLE_SQL: dict[str, str] = {
     "op9_chat_format": r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), e AS (
   SELECT *, length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24 AS n FROM t
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """,
     "op1_line_dedup": r"""

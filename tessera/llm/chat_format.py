@@ -12,7 +12,10 @@ The template is ``<|im_start|>role NEWLINE text<|im_end|> NEWLINE`` for each tur
 is doubled and ``<|`` becomes ``<\\|``, so no control string can stand there and the change can be undone; in
 a role a line break becomes ``\\n``.
 
-Defined results: null roles and texts are empty; rows without a tree id are left out; a parent that
+A conversation is one row of the result, so it has to fit into one; nothing else of a tree is gathered.
+
+Defined results: null roles and texts are empty; the rows without a conversation id are one conversation, whose id reads back as null (within
+the trees it is ``NO_ID``, which is no other conversation's); null turns come first; a parent that
 is absent, or a node's own id, makes a root; equal (tree, node) rows are rejected by callers' numbering
 (``chain`` numbers rows by turn, role and text, so ties and repeated rows stay separate turns); empty
 tables give an empty result; extra columns are ignored.
@@ -32,6 +35,8 @@ from tessera.llm.workspace import Workspace
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 MAX_DOUBLINGS = 40
+#: The tree of rows without an id.
+NO_ID = -(1 << 63)
 
 
 def escaped(c: Column, role: bool = False) -> Column:
@@ -47,8 +52,8 @@ def chain(rows: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str
     """Nodes of unbranched conversations: every row replies to the one before it."""
     w = Window.partitionBy("tree").orderBy("turn", "role", "text")
     d = rows.select(
-        rows[tree].cast("long").alias("tree"), rows[turn].alias("turn"), F.coalesce(rows[role].cast("string"), F.lit("")).alias("role"), F.coalesce(rows[text].cast("string"), F.lit("")).alias("text")
-    ).where("tree IS NOT NULL")
+        F.coalesce(rows[tree].cast("long"), F.lit(NO_ID)).alias("tree"), rows[turn].alias("turn"), F.coalesce(rows[role].cast("string"), F.lit("")).alias("role"), F.coalesce(rows[text].cast("string"), F.lit("")).alias("text")
+    )
     d = d.withColumn("node", F.row_number().over(w).cast("long"))
     return d.select("tree", "node", (F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
@@ -103,7 +108,9 @@ def format_trees(spark: SparkSession, nodes: DataFrame, keep: int = 1) -> DataFr
         ),
         lambda a: a.x,
     )
-    return g.select("tree", "rank", whole.alias("formatted"), spans.alias("loss"))
+    out = work.save(g.select("tree", "rank", whole.alias("formatted"), spans.alias("loss")), "formatted")
+    work.drop("nodes", *(f"{x}-{k}" for x in ("paths", "up") for k in range(MAX_DOUBLINGS + 2)))
+    return out
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -134,4 +141,4 @@ def digests(formatted: DataFrame, id_name: str = "conv_id") -> DataFrame:
             )
 
     schema = "tree long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.select("tree", "formatted", "loss").mapInArrow(run, schema).withColumnRenamed("tree", id_name)
+    return formatted.select("tree", "formatted", "loss").mapInArrow(run, schema).withColumn("tree", F.nullif("tree", F.lit(NO_ID))).withColumnRenamed("tree", id_name)

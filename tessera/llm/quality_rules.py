@@ -16,7 +16,7 @@ input; the driver receives one row for each rule and stratum.
 
 Defined results: a null text has no words and fails the base rule; repeated rows are judged alike; a
 document with several label rows counts once for each; labels without a document, and null labels,
-are ignored; without labels only the base rule decides; an empty table gives an empty result.
+are ignored; columns may have any names; without labels only the base rule decides; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,9 +40,11 @@ LIMIT, DELTA = 0.05, 0.05
 WEIGHT = 5
 
 
-def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals (long), under a prefix ``q_``."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def statistics(df: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(row, q_n_words, ...): the columns to carry (by default all) as one struct, so that their names cannot clash, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals (long) under a prefix ``q_``."""
+    row = F.struct(*[df[c] for c in (carry or df.columns)])
+    df = df.select(row.alias("row"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("q_text"))
+    text = F.col("q_text")
     words = F.array_remove(F.split(text, SPACE), "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(" \t\n\x0b\f\r")) != "")
     d = df.withColumns({"q_w": words, "q_l": lines, "q_n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"), "q_n_capitals": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long")})
@@ -54,7 +56,7 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
             "q_n_dup_lines": (F.size("q_l") - F.size(F.array_distinct("q_l"))).cast("long"),
             "q_h": F.transform("q_w", lambda w: F.xxhash64(w)),
         }
-    ).drop("q_w", "q_l")
+    ).drop("q_w", "q_l", "q_text")
     gram = F.transform(F.sequence(F.lit(0), F.size("q_h") - WINDOW), lambda i: F.xxhash64(*[F.get("q_h", i + k) for k in range(WINDOW)]))
     d = d.withColumn("q_g", F.when(F.size("q_h") >= WINDOW, gram)).drop("q_h")
     # places of windows that stand twice, from a sort that brings equal hashes together
@@ -108,7 +110,7 @@ def _most_false(n: Column, limit: float, level: float) -> Column:
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA, id_col: str = "doc_id", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """(stratum, rule, cutoff, n_good, lost, caught): the chosen cutoffs; a rule without one is absent."""
     held = labels.select(labels[label_id].alias("q_id"), labels[label_col].cast("int").alias("q_y")).where("q_y in (0, 1)").where(F.pmod(F.crc32(F.col("q_id").cast("string").cast("binary")), F.lit(4)) != 2)
-    rows = stats.where(~base_failed()).select(F.col(id_col).alias("q_id"), _stratum().alias("stratum"), *[c.alias(r) for r, c in _shares().items()])
+    rows = stats.where(~base_failed()).select(F.col("row")[id_col].alias("q_id"), _stratum().alias("stratum"), *[c.alias(r) for r, c in _shares().items()])
     seen = rows.join(held, "q_id")
     good, bad = F.col("q_y") == 1, F.col("q_y") == 0
     size = seen.groupBy("stratum").agg(F.count(F.when(good, 1)).alias("n_good"))
@@ -135,13 +137,13 @@ def rejected_by(cutoffs: list) -> Column:
 
 
 def judge(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """stats with q_base_failed and q_kept. At most one cutoff for each rule and stratum comes to the driver."""
+    """stats with q_base_failed and q_kept, never null. At most one cutoff for each rule and stratum comes to the driver."""
     rules = cutoffs.collect()
     return stats.withColumns({"q_base_failed": base_failed(), "q_kept": ~base_failed() & ~rejected_by(rules)})
 
 
 def verdicts(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return judged.select(
-        id_col, F.col("q_n_words").alias("n_words"), F.col("q_word_chars").alias("word_chars"), F.col("q_n_symbols").alias("n_symbols"), F.col("q_n_dup_lines").alias("n_dup_lines"),
+        F.col("row")[id_col].alias(id_col), F.col("q_n_words").alias("n_words"), F.col("q_word_chars").alias("word_chars"), F.col("q_n_symbols").alias("n_symbols"), F.col("q_n_dup_lines").alias("n_dup_lines"),
         F.col("q_n_repeat_words").alias("n_repeat_words"), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"),
     )

@@ -8,9 +8,13 @@ is trained in numpy on the class-prior-corrected risk
 stepping against the bracket where it falls below zero. The prior is the share of toxic rows among all
 learnable labels. Scores are the logistic of the linear form.
 
-Bounds: the fit uses at most ``MAX_TOXIC`` confirmed and ``MAX_UNLABELLED`` unlabelled texts (the least
-hashes of their ids), so what comes to the driver does not grow with the input; every text is scored
-whole. Rows whose id has crc32 = 2 modulo 4 lend no label.
+Features are chosen by how often they stand in the confirmed texts and in all documents, both counted on the
+executors; the driver gets the chosen ones, at most ``FEATURES``, and then one bit for each of them and sampled text.
+
+Bounds: the fit uses at most ``MAX_TOXIC`` confirmed and ``MAX_UNLABELLED`` unlabelled ids (the least hashes), each
+with one text, so what comes to the driver is at most 9,000 rows of 200 bytes whatever the input and the length of its
+texts; the frequencies among the unlabelled are counted over all documents; every text is scored whole. Rows whose id has
+crc32 = 2 modulo 4 lend no label.
 
 Defined results: null and empty texts have no features and get the score of the bias; without any
 confirmed example the score is 0 for every row; repeated rows score alike; empty tables give an
@@ -19,17 +23,19 @@ empty result. Only id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import sieve
 from tessera.llm import textkit as K
 from tessera.llm.labelled import held_out, sample_ids
+from tessera.llm.workspace import Workspace
 
 MAX_TOXIC, MAX_UNLABELLED = 3000, 6000
 FEATURES = 1500
@@ -81,86 +87,94 @@ def row_features(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[
     return np.concatenate(rows), np.concatenate(keys), np.diff(w.edge)
 
 
-def feature_sets(df: DataFrame) -> DataFrame:
-    """(kind, keys, base) from (kind, text): the distinct features of each text and the hashes that they stem from."""
+def feature_counts(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """(key, base, n): in how many rows of (text) each feature stands. only: a bit filter of the stems to look at."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = K.alnum_table()
         for b in it:
-            for first, data, off in K.blocks(b.column(1)):
-                row, key, base = levels(*row_features(data, off, table))
-                order = np.argsort(row, kind="stable")
-                row, key, base = row[order], key[order], base[order]
-                edge = pa.array(np.searchsorted(row, np.arange(len(off))).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(edge, pa.array(x.view(np.int64))) for x in (key, base)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(off) - 1), *lists], names=["kind", "keys", "base"])
+            for _, data, off in K.blocks(b.column(0)):
+                row, h, size = row_features(data, off, table)
+                if only is not None:
+                    some = sieve.passes(only, h)
+                    row, h = row[some], h[some]
+                _, key, base = levels(row, h, size)
+                key, first, n = np.unique(key, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(base[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "base", "n"])
 
-    return df.mapInArrow(run, "kind int, keys array<long>, base array<long>")
+    return texts.mapInArrow(run, "key long, base long, n long").groupBy("key").agg(F.min("base").alias("base"), F.sum("n").alias("n"))
 
 
-def choose_features(toxic: list[np.ndarray], other: list[np.ndarray], prior: float, limit: int = FEATURES) -> np.ndarray:
-    """The features that make toxicity more likely than not and differ most surely between both sides (likelihood ratio).
+def choose_features(toxic: DataFrame, n_toxic: int, other: DataFrame, n_other: int, prior: float, limit: int = FEATURES) -> DataFrame:
+    """(key, base): the features that make toxicity more likely than not and differ most surely between both sides (likelihood ratio).
 
     Weaker signs are left out: they tell languages and sources apart rather than toxic texts.
     """
-    def counts(rows):
-        return np.unique(np.concatenate(rows), return_counts=True) if rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
-
-    k, a = counts(toxic)
-    keep = a >= max(3, len(toxic) // 400)
-    k, a = k[keep], a[keep].astype(float)
-    ku, u = counts(other)
-    at = np.searchsorted(ku, k).clip(0, max(0, len(ku) - 1))
-    b = np.where(ku[at] == k, u[at], 0).astype(float) if len(ku) else np.zeros(len(k))
-    n, m = float(len(toxic)), float(max(1, len(other)))
-    pool = (a + b) / (n + m)
+    n, m = F.lit(float(n_toxic)), F.lit(float(max(1, n_other)))
+    d = toxic.where(F.col("n") >= max(3, n_toxic // 400)).select("key", "base", F.col("n").cast("double").alias("a"))
+    d = d.join(other.select("key", F.col("n").cast("double").alias("b")), "key", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
 
-    def ll(x, size, p):
-        p = np.clip(p, 1e-9, 1 - 1e-9)
-        return x * np.log(p) + (size - x) * np.log(1 - p)
-
-    gain = ll(a, n, a / n) + ll(b, m, b / m) - ll(a, n, pool) - ll(b, m, pool)
-    gain = np.where(prior * a / n >= MOSTLY * b / m, gain, 0.0)
-    best = np.argsort(-gain, kind="stable")[:limit]
-    return np.sort(k[best[gain[best] > SURE]])
+    def ll(x: Column, size: Column, p: Column) -> Column:
+        p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
+        return x * F.log(p) + (size - x) * F.log(1 - p)
 
+    a, b = F.col("a"), F.col("b")
+    pool = (a + b) / (n + m)
+    d = d.where(F.lit(prior) * a / n >= F.lit(MOSTLY) * b / m).withColumn("gain", ll(a, n, a / n) + ll(b, m, b / m) - ll(a, n, pool) - ll(b, m, pool))
+    return d.where(F.col("gain") > SURE).orderBy(F.desc("gain"), "key").limit(limit).select("key", "base")
 
-def fit(toxic: list[np.ndarray], other: list[np.ndarray], prior: float, base_of: Callable[[np.ndarray], np.ndarray] = lambda keys: keys, epochs: int = 300, rate: float = 0.1, decay: float = 2e-4) -> Model:
-    """A linear model by full-batch Adam on the non-negative risk."""
-    prior = min(max(prior, 1e-3), 0.5)
-    keys = choose_features(toxic, other, prior)
 
-    def dense(rows):
-        x = np.zeros((len(rows), len(keys)), np.float32)
-        for i, r in enumerate(rows):
-            at = np.searchsorted(keys, r)
-            at[at == len(keys)] = 0
-            x[i, at[keys[at] == r]] = 1 if len(keys) else 0
-        return x
+def _present(texts: DataFrame, keys: np.ndarray, base: np.ndarray) -> DataFrame:
+    """(kind, id, bits) from (kind, id, text): which of the sorted keys stand in each text."""
+    stems = np.unique(base)
 
-    if not len(keys):
-        return Model(keys, np.empty(0), float(np.log(prior / (1 - prior))), keys)
-    xp, xu = dense(toxic), dense(other)
-    w, b = np.zeros(len(keys)), float(np.log(prior / (1 - prior)))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = K.alnum_table()
+        for b in it:
+            for first, data, off in K.blocks(b.column(2)):
+                n = len(off) - 1
+                row, h, size = row_features(data, off, table)
+                at = np.searchsorted(stems, h)
+                at[at == len(stems)] = 0
+                some = stems[at] == h
+                row, key, _ = levels(row[some], h[some], size)
+                at = np.searchsorted(keys, key)
+                at[at == len(keys)] = 0
+                hit = keys[at] == key
+                on = np.zeros((n, len(keys)), bool)
+                on[row[hit], at[hit]] = True
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array([r.tobytes() for r in np.packbits(on, axis=1)], pa.binary())], names=["kind", "id", "bits"])
+
+    return texts.mapInArrow(run, T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", texts.schema["id"].dataType), T.StructField("bits", T.BinaryType())]))
+
+
+def fit(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int = 300, rate: float = 0.1, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a linear model of 0/1 features by full-batch Adam on the non-negative risk. xp: confirmed rows, xu: unlabelled ones."""
+    w, b = np.zeros(xp.shape[1]), float(np.log(prior / (1 - prior)))
+    xp, xu = xp.astype(np.float32), xu.astype(np.float32)
     m1, m2, c1, c2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, epochs + 1):
-        fp, fu = xp @ w.astype(np.float32) + b, xu @ w.astype(np.float32) + b
-        # logistic loss: loss(+)' = -sig(-f), loss(-)' = sig(f)
-        bracket = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gp, gn_p, gn_u = -prior * sig(-fp) / len(fp), -prior * sig(fp) / len(fp), sig(fu) / max(1, len(fu))
-        if bracket >= 0:
-            dp, du = gp + gn_p, gn_u
-        else:
-            dp, du = -gn_p, -gn_u
-        g = xp.T @ dp.astype(np.float32) + (xu.T @ du.astype(np.float32) if len(fu) else 0) + decay * w
-        gb = float(dp.sum() + du.sum())
+        _, (g, gb) = risk(xp, xu, w, b, prior)
+        g = g + decay * w
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         c1, c2 = 0.9 * c1 + 0.1 * gb, 0.999 * c2 + 0.001 * gb * gb
         step = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        w -= step * m1 / (np.sqrt(m2) + 1e-8)
+        w = w - step * m1 / (np.sqrt(m2) + 1e-8)
         b -= step * c1 / (np.sqrt(c2) + 1e-8)
-    return Model(keys, w.astype(np.float64), b, np.unique(base_of(keys)))
+    return w, b
+
+
+def risk(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, tuple[np.ndarray, float]]:
+    """The non-negative risk under the logistic loss, and the direction to descend: its gradient, or the bracket's reversed where that is negative."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    fp, fu = xp @ w.astype(xp.dtype) + b, xu @ w.astype(xu.dtype) + b
+    n, m = max(1, len(fp)), max(1, len(fu))
+    # loss(+)(f) = log(1 + exp(-f)) with slope -sig(-f); loss(-)(f) = log(1 + exp(f)) with slope sig(f)
+    bracket = np.logaddexp(0, fu).sum() / m - prior * np.logaddexp(0, fp).sum() / n
+    value = prior * np.logaddexp(0, -fp).sum() / n + max(0.0, bracket)
+    inside_p, inside_u = -prior * sig(fp) / n, sig(fu) / m
+    dp, du = (-prior * sig(-fp) / n + inside_p, inside_u) if bracket >= 0 else (-inside_p, -inside_u)
+    return float(value), (xp.T @ dp.astype(xp.dtype) + xu.T @ du.astype(xu.dtype), float(dp.sum() + du.sum()))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
@@ -169,21 +183,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum(label_col), F.lit(0))).first()
     if not toxic:
         return None
+    work = Workspace(docs.sparkSession, "toxicity")
     pos = sample_ids(known.where(F.col(label_col) == 1), id_col, max_toxic, 1).withColumn("kind", F.lit(1))
     any_ = sample_ids(docs, id_col, max_unlabelled, 2).withColumn("kind", F.lit(0))
-    chosen = pos.union(any_).withColumnRenamed(id_col, "_id")
-    text = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("kind", "text")
-    got = feature_sets(text).toArrow()
-    kind = got["kind"].to_numpy()
-    rows = [np.asarray(r.values, np.int64).view(np.uint64) for r in got["keys"]]
-    a, b = [r for r, k in zip(rows, kind, strict=True) if k == 1], [r for r, k in zip(rows, kind, strict=True) if k == 0]
-    if not a:
+    chosen = pos.union(any_).withColumnRenamed(id_col, "id")
+    every = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    texts = every.join(F.broadcast(chosen), "id").groupBy("kind", "id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = work.save(texts, "texts")
+    n_toxic = texts.where("kind = 1").count()
+    if not n_toxic:
+        work.close()
         return None
-    # every feature that is chosen stands in a toxic text, so its stem is found there
-    known_keys, stems = np.concatenate(a), np.concatenate([np.asarray(r.values, np.int64).view(np.uint64) for r, k in zip(got["base"], kind, strict=True) if k == 1])
-    order = np.argsort(known_keys, kind="stable")
-    known_keys, stems = known_keys[order], stems[order]
-    return fit(a, b, toxic / n, lambda keys: stems[np.searchsorted(known_keys, keys)])
+    prior = min(max(toxic / n, 1e-3), 0.5)
+    of_toxic = work.save(feature_counts(texts.where("kind = 1").select("text")).where(F.col("n") >= max(3, n_toxic // 400)), "toxic")
+    of_all = feature_counts(every.select("text"), sieve.bitmap(of_toxic, F.col("base")))
+    got = choose_features(of_toxic, n_toxic, of_all, every.count(), prior).toArrow()
+    keys, base = (got[c].to_numpy().view(np.uint64) for c in ("key", "base"))
+    order = np.argsort(keys)
+    keys, base = keys[order], base[order]
+    if not len(keys):
+        work.close()
+        return Model(keys, np.empty(0), float(np.log(prior / (1 - prior))), keys)
+    rows = _present(texts, keys, base).toArrow().sort_by([("kind", "ascending"), ("id", "ascending")])
+    work.close()
+    x = np.unpackbits(np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(len(rows), -1), axis=1)[:, : len(keys)]
+    kind = rows["kind"].to_numpy()
+    weights, bias = fit(x[kind == 1], x[kind == 0], prior)
+    return Model(keys, weights, bias, np.unique(base))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

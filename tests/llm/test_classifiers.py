@@ -64,6 +64,57 @@ def test_without_labels_or_rows(spark):
     assert X.verdicts(d.limit(0), one).count() == 0 and Q.verdicts(spark, d.limit(0), one).count() == 0
 
 
-def test_risk_estimator_ignores_empty_sides():
-    m = X.fit([np.array([1, 2], np.uint64)] * 40, [], 0.1)
-    assert np.isfinite(m.bias) and np.isfinite(m.weights).all()
+def test_risk_and_its_gradient():
+    """The risk against its definition, example by example, and the gradient against differences; below zero the bracket is stepped against."""
+    r = np.random.default_rng(3)
+    below = 0
+    for _ in range(40):
+        xp, xu = (r.integers(0, 2, (n, 4)).astype(float) for n in (int(r.integers(1, 6)), int(r.integers(1, 9))))
+        w, b, prior = r.normal(0, 2, 4), float(r.normal()), float(r.uniform(0.05, 0.5))
+
+        def parts(w, b):
+            f = lambda x: sum(x[i] * w[i] for i in range(4)) + b
+            plus = np.mean([np.log(1 + np.exp(-f(x))) for x in xp])
+            minus = np.mean([np.log(1 + np.exp(f(x))) for x in xu]) - prior * np.mean([np.log(1 + np.exp(f(x))) for x in xp])
+            return prior * plus, minus
+
+        value, (g, gb) = X.risk(xp, xu, w, b, prior)
+        plus, minus = parts(w, b)
+        assert abs(value - plus - max(0, minus)) < 1e-9
+        step = (lambda w, b: sum(parts(w, b))) if minus >= 0 else (lambda w, b: -parts(w, b)[1])
+        below += minus < 0
+        for i in range(4):
+            e = np.eye(4)[i] * 1e-6
+            assert abs((step(w + e, b) - step(w - e, b)) / 2e-6 - g[i]) < 1e-5
+        assert abs((step(w, b + 1e-6) - step(w, b - 1e-6)) / 2e-6 - gb) < 1e-5
+    assert below
+    weights, bias = X.fit(np.ones((40, 2)), np.zeros((0, 2)), 0.1)
+    assert np.isfinite(bias) and np.isfinite(weights).all()
+
+
+def test_density_ratio_is_the_gaussians():
+    """Scores against the two densities written out, with each class's shrunk covariance."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(0, 1, (60, 3)), r.normal(1, 2, (90, 3)) @ np.array([[1, 0.4, 0], [0, 1, 0.2], [0, 0, 1]])])
+    y = np.repeat([0, 1], [60, 90])
+    model = Q.fit(x, y, shrink=0.2, floor=0.05)
+    pooled = sum(((p - p.mean(axis=0)) ** 2).sum(axis=0) for p in (x[:60], x[60:])) / 150 + 0.05**2
+    log = []
+    for p in (x[:60], x[60:]):
+        cov = 0.8 * np.cov(p.T) + 0.2 * np.diag(pooled)
+        d = x - p.mean(axis=0)
+        log.append(np.log(len(p) / 150) - 0.5 * np.log(np.linalg.det(cov)) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(log[0] - log[1])))
+    assert np.allclose(model.score(x), model.score(x[::-1])[::-1])
+
+
+def test_what_comes_to_the_driver_is_bounded(spark):
+    """Long texts and an id repeated many times give one row of bits each."""
+    docs, labels = corpus(300)
+    docs = [(i, t * 30) for i, t in docs] + [(1, "vile nasty words again")] * 500
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = X.train(d, lab, max_toxic=10, max_unlabelled=20)
+    assert len(model.keys) <= X.FEATURES and len(model.base) <= len(model.keys)
+    again = X.train(d.repartition(7), lab, max_toxic=10, max_unlabelled=20)
+    assert (model.weights == again.weights).all() and model.bias == again.bias

@@ -32,7 +32,7 @@ def texts():
 
 def test_statistics_match_brute_force(spark):
     t = texts()
-    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").withColumn("n_words", F.lit("clash"))
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").selectExpr("*", "'clash' as n_words", "'clash' as q_n_words", "1 as row", "2 as q_w")
     none = spark.createDataFrame([], "stratum int, rule string, cutoff int")
     got = {r[0]: tuple(r[1:7]) for r in Q.verdicts(Q.judge(Q.statistics(df), none)).collect()}
     for i, x in enumerate(t):
@@ -62,6 +62,8 @@ def test_cutoffs_catch_bad_and_keep_good(spark):
     stats = Q.statistics(df)
     out = {x.doc_id: x.kept for x in Q.verdicts(Q.judge(stats, Q.fit_cutoffs(stats, labels))).collect()}
     assert sum(out[i] for i in range(1500)) >= 1499 and not any(out[i] for i in range(1500, 1700))
+    judged = Q.judge(stats, Q.fit_cutoffs(stats, labels))
+    assert judged.select("row.*").columns == df.columns
     # too few labels certify nothing
     assert Q.fit_cutoffs(stats, labels.where("doc_id % 20 = 0")).count() == 0
     assert Q.fit_cutoffs(stats, labels.limit(0)).count() == 0
