@@ -21,7 +21,7 @@ def keep_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that the quality rules keep. Statistics are written beside the documents, so both the cutoffs and the verdicts come from one measurement."""
     measured = Workspace(spark, "rules").save(quality_rules.statistics(docs), "measured")
     cutoffs = quality_rules.fit_cutoffs(measured, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(measured, cutoffs).where("q_kept").select(*docs.columns)
+    return quality_rules.judge(measured, cutoffs).where("q_kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
