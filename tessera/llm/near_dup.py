@@ -9,9 +9,10 @@
 3. What the stars cannot settle is settled exactly, without pairing a bucket's members. Two members
    of one bucket from different components are linked only if they share a shingle of their prefixes: the first
    n - ceil(0.8 n) + 1 shingles of a set in one order, here those that the centre lacks before those that it has.
-   So members that have little but the centre's text in common never meet. Pairs that meet have to
-   pass bounds by set size, by the places of the shared shingle and by their distances to the centre
-   (Jaccard distance is a metric), and are confirmed on the full sets; the components follow from all links.
+   So members that have little but the centre's text in common are out. Those that are left meet within their
+   bucket and have to pass bounds by set size, by their distances to the centre (Jaccard distance is a metric) and by
+   bitmaps: sets folded by parity differ in no more bits than elements. What passes is confirmed on the
+   full sets, and the components follow from all links.
 
 With the defaults (48 bands of 6 minima) a pair at exactly 0.8 shares no band with probability
 (1 - 0.8**6)**48 = 5e-7, and fewer above it.
@@ -38,10 +39,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm import sieve
 from tessera.llm import textkit as K
-from tessera.llm.components import MAX_ROUNDS, connected_components
+from tessera.llm.components import MAX_ROUNDS, SALTS, connected_components
 from tessera.llm.workspace import Workspace
 
 BANDS, ROWS = 48, 6
+#: Bits of a parity bitmap. Longer sets fill it and are then told apart by their full sets alone.
+BITS = 4096
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,16 +122,27 @@ def sketches(df: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) ->
     return df.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, f1 long, f2 long, bands array<long>")
 
 
+def _parity(sets: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """A bitmap of each set: a bit tells whether an odd number of its elements fall on it."""
+    bit = (sets >> np.uint64(52)).astype(np.int64) % BITS
+    odd = np.zeros((len(edge) - 1, BITS), np.uint8)
+    for r, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        odd[r] = np.bincount(bit[a:b], minlength=BITS) & 1
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def full_sets(df: DataFrame, size: int) -> DataFrame:
-    """(v, s) from (v, text): the sorted distinct shingle hashes."""
+    """(v, s, bits) from (v, text): the sorted distinct shingle hashes and their parity bitmap."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for first, data, off in K.blocks(b.column(1)):
                 sets, edge = shingle_sets(data, off, size)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(off) - 1), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["v", "s"])
+                bits = _parity(sets, edge)
+                lists = [pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(sets.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)), pa.array(bits.ravel()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(off) - 1), *lists], names=["v", "s", "bits"])
 
-    return df.mapInArrow(run, "v long, s array<long>")
+    return df.mapInArrow(run, "v long, s array<long>, bits array<long>")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -149,20 +163,18 @@ def prefix(centre: Column, own: Column, percent: int) -> Column:
 
 
 def _meetings(unsettled: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
-    """Pairs (a, b) of different components g from one centre's rows (c, v, n, d, g) that share a shingle of their prefixes and pass the bounds."""
+    """Pairs (a, b) of different components g among one centre's rows (c, v, n, d, g) that can be linked, by prefixes, sizes, distances and bitmaps."""
     both = _with_sets(unsettled.withColumnsRenamed({"c": "a", "v": "b"}), sets)
-    tokens = both.select(F.col("a").alias("c"), F.col("b").alias("v"), "n", "d", "g", F.posexplode(prefix(F.col("sa"), F.col("sb"), percent)).alias("at", "token"))
+    tokens = both.select(F.col("a").alias("c"), F.col("b").alias("v"), "n", "d", "g", F.explode(prefix(F.col("sa"), F.col("sb"), percent)).alias("token"))
     tokens = work.save(tokens, "tokens")
     shared = tokens.groupBy("c", "token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("c", "token")
-    tokens = work.save(tokens.join(shared, ["c", "token"], "left_semi"), "shared")
+    some = tokens.join(shared, ["c", "token"], "left_semi").select("c", "v", "n", "d", "g").distinct()
+    some = work.save(some.join(sets.select("v", "bits"), "v"), "open")
     work.drop("tokens")
-    x, y = tokens.alias("x"), tokens.alias("y")
-    may = F.expr(
-        "x.c = y.c AND x.token = y.token AND x.g < y.g"
-        f" AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND abs(x.d - y.d) <= {1 - percent / 100 + 1e-9}"
-        # from the first shared shingle on, enough of both sets has to be left
-        f" AND {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n)"
-    )
+    x, y = some.alias("x"), some.alias("y")
+    may = F.expr(f"x.c = y.c AND x.g < y.g AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND abs(x.d - y.d) <= {1 - percent / 100 + 1e-9}")
+    apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    may = may & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
     return x.join(y, may).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
 
 
@@ -199,15 +211,19 @@ def document_classes(spark: SparkSession, docs: DataFrame, size: int = 5, percen
     more = work.save(_confirm(rest, sets).where(linked).select("a", "b"), "more")
     final = connected_components(links.union(more), work, "cc-all")
 
-    # a component's name is its smallest id; without any id its least fingerprint stands for it
-    named = node.select("f1", "f2", "first", "v").join(final.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    best = named.groupBy("component").agg(F.min("first").alias("component_id"), F.min(F.struct("f1", "f2")).alias("least"))
-    named = named.join(best, "component").select("f1", "f2", "component_id", (F.struct("f1", "f2") == F.col("least")).alias("is_least"))
+    # a component's name is its smallest id; without any id its least fingerprint stands for it. Large components are dealt over salts
+    salt = F.pmod(F.hash("v"), F.lit(SALTS)).alias("salt")
+    final = final.select(F.col("node").alias("v"), "component", salt)
+    best = final.join(node.select("v", "first", "f1", "f2"), "v").groupBy("component").agg(F.min("first").alias("component_id"), F.min(F.struct("f1", "f2")).alias("least"))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = node.select("f1", "f2", "first", "v").join(final.join(best, ["component", "salt"]).select("v", "component", "component_id", "least"), "v", "left")
+    alone = F.col("component").isNull()
+    named = named.select("f1", "f2", F.when(alone, F.col("first")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.struct("f1", "f2") == F.col("least"))).alias("is_least"))
     out = sk.select("doc_id", "k1", "k2", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     comp = F.when(F.col("f1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == comp, comp.isNull() & F.coalesce("is_least", F.lit(True)))
     out = work.save(out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), comp.alias("component_id"), kept.alias("kept")), "result")
-    work.drop("sketches", "nodes", "near", "sets", "links", "apart", "shared", "rest", "more", *(f"cc-{x}-{k}" for x in ("stars", "all") for k in range(MAX_ROUNDS)))
+    work.drop("sketches", "nodes", "near", "sets", "links", "apart", "open", "rest", "more", *(f"cc-{x}-{k}" for x in ("stars", "all") for k in range(MAX_ROUNDS)))
     return out
 
 
