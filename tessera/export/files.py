@@ -94,7 +94,7 @@ def export_annotations(votes: DataFrame, root: str, cfg: Fat) -> DataFrame:
                 r = b.slice(i, 1).to_pylist()[0]
                 n = r["size"]
                 rgb = np.frombuffer(r["image"], np.uint8).reshape(n, n, 3)
-                lab, _ = K.segment(rgb, np.ones((n, n), bool), cfg)
+                lab, _ = K.segment(rgb, np.unpackbits(np.frombuffer(r["ground"], np.uint8), count=n * n).reshape(n, n).astype(bool), cfg)
                 um2 = r["um2_per_px"]
                 mask = K.painted(lab, [g.label for g in K.regions(lab) if K.judge(g, um2, cfg) == "macro"])
                 name = f"{r['slide']}__tile_x{r['x']:06d}_y{r['y']:06d}"

@@ -1,7 +1,7 @@
 """From slide files to measured regions: tissue, tiles, regions, votes. Each step is a narrow pass over rows.
 
-A slide's bytes reach a task through Spark's reader once for each step that needs pixels. Tiles carry a crop
-of the tissue mask, so measuring needs no join with masks. Failures become rows with an error.
+Rows carry paths, never a file's bytes: a task opens the slide of its tiles and reads their windows. The tiles of a slide are dealt
+over tasks in bands of rows. Tiles carry a crop of the tissue mask, so measuring needs no join with masks. Failures become rows with an error.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql.types import StructType
 
 from tessera.config import Config, Fat
 from tessera.kernels import raster as K
-from tessera.sources.slides import _contents, open_slide
+from tessera.sources.slides import find_slides, open_slide
 
+#: Rows of tiles that one task reads together.
+BAND = 8
 TISSUE = "slide string, level int, downsample double, um2_per_px double, threshold double, mask_w int, mask_h int, mask binary, tissue_mm2 double, coverage double, components int, error string"
 TILES = "slide string, x int, y int, size int, tissue_fraction double, um2_per_px double, crop_w int, crop_h int, crop binary, error string"
 REGIONS = (
@@ -27,7 +29,7 @@ REGIONS = (
     "centroid_x double, centroid_y double, touches_border boolean, threshold double, error string"
 )
 GROUND = "slide string, x int, y int, tissue_area_um2 double"
-VOTES = "slide string, x int, y int, size int, image binary, votes binary, members int, tissue_area_um2 double, um2_per_px double, member_pct map<string,double>, error string"
+VOTES = "slide string, x int, y int, size int, image binary, ground binary, votes binary, members int, tissue_area_um2 double, um2_per_px double, member_pct map<string,double>, error string"
 
 
 def _rows(df: DataFrame, fn: Callable[[dict], Iterator[dict]], ddl: str) -> DataFrame:
@@ -54,7 +56,7 @@ def tissue(spark: SparkSession, folder: str, cfg: Config, pattern: str = "*.png"
     t = cfg.tissue
 
     def one(r: dict) -> Iterator[dict]:
-        s = open_slide(r["path"], r["content"])
+        s = open_slide(r["path"])
         level, _, _, down = s.levels()[min(t.level, len(s.levels()) - 1)]
         um2 = s.mpp_x * down * s.mpp_y * down
         m, threshold = K.detect_tissue(s.level(level), (s.mpp_x + s.mpp_y) / 2 * down, um2, t)
@@ -63,7 +65,7 @@ def tissue(spark: SparkSession, folder: str, cfg: Config, pattern: str = "*.png"
             "tissue_mm2": float(m.sum()) * um2 / 1e6, "coverage": float(m.mean()), "components": int(K.label(m).max()),
         }
 
-    return _rows(_contents(spark, folder, pattern), one, TISSUE)
+    return _rows(find_slides(spark, folder, pattern, ordered=False).select("slide", "path"), one, TISSUE)
 
 
 def unpacked(data: bytes, h: int, w: int) -> np.ndarray:
@@ -97,32 +99,44 @@ def tiles(masks: DataFrame, slides: DataFrame, cfg: Config) -> DataFrame:
     return _rows(d, one, TILES)
 
 
-def _with_pixels(spark: SparkSession, tiles: DataFrame, folder: str, pattern: str) -> DataFrame:
-    """Tiles of one slide in one row beside its bytes, so that a slide is decoded once."""
-    g = tiles.where("error IS NULL").groupBy("slide").agg(F.collect_list(F.struct("x", "y", "size", "um2_per_px", "crop_w", "crop_h", "crop")).alias("tiles"))
-    return _contents(spark, folder, pattern).join(g, "slide")
+def _with_paths(spark: SparkSession, tiles: DataFrame, folder: str, pattern: str) -> DataFrame:
+    """Tiles with the path of their slide, dealt over tasks by slide and band of rows, from top to bottom within a task."""
+    d = tiles.where("error IS NULL").join(find_slides(spark, folder, pattern, ordered=False).select("slide", "path"), "slide")
+    return d.repartition("slide", F.floor(F.col("y") / (F.col("size") * BAND))).sortWithinPartitions("slide", "path", "y", "x")
+
+
+class _Slides:
+    """The slide that a task reads, opened once for all its tiles that follow each other."""
+
+    def __init__(self):
+        self.path = self.slide = None
+
+    def __call__(self, path: str):
+        if path != self.path:
+            self.slide, self.path = open_slide(path), path
+        return self.slide
 
 
 def regions(spark: SparkSession, tiles: DataFrame, folder: str, cfg: Config, whites: tuple[int, ...] = (), pattern: str = "*.png") -> DataFrame:
     """Every region of every tile, measured before any filter, once for each threshold."""
     fat = [replace(cfg.fat, white_threshold=w) for w in (whites or (cfg.fat.white_threshold,))]
 
-    def one(r: dict) -> Iterator[dict]:
-        s = open_slide(r["path"], r["content"])
-        for t in r["tiles"]:
-            rgb = s.region(t["x"], t["y"], t["size"])
-            ground = K.resized(unpacked(t["crop"], t["crop_h"], t["crop_w"]), t["size"], t["size"])
-            um2 = t["um2_per_px"]
-            for f in fat:
-                lab, threshold = K.segment(rgb, ground, f)
-                for g in K.regions(lab):
-                    yield {
-                        "slide": r["slide"], "x": t["x"], "y": t["y"], "white": f.white_threshold, "label": g.label, "area_um2": g.area_px * um2, "circularity": g.circularity, "solidity": g.solidity,
-                        "eccentricity": g.eccentricity, "equivalent_diameter_um": float(np.sqrt(4 * g.area_px / np.pi) * np.sqrt(um2)), "centroid_x": g.centroid_x, "centroid_y": g.centroid_y,
-                        "touches_border": g.touches_border, "threshold": threshold,
-                    }
-
-    return _rows(_with_pixels(spark, tiles, folder, pattern), one, REGIONS)
+    slides = _Slides()
+
+    def one(t: dict) -> Iterator[dict]:
+        rgb = slides(t["path"]).region(t["x"], t["y"], t["size"])
+        ground = K.resized(unpacked(t["crop"], t["crop_h"], t["crop_w"]), t["size"], t["size"])
+        um2 = t["um2_per_px"]
+        for f in fat:
+            lab, threshold = K.segment(rgb, ground, f)
+            for g in K.regions(lab):
+                yield {
+                    "slide": t["slide"], "x": t["x"], "y": t["y"], "white": f.white_threshold, "label": g.label, "area_um2": g.area_px * um2, "circularity": g.circularity, "solidity": g.solidity,
+                    "eccentricity": g.eccentricity, "equivalent_diameter_um": float(np.sqrt(4 * g.area_px / np.pi) * np.sqrt(um2)), "centroid_x": g.centroid_x, "centroid_y": g.centroid_y,
+                    "touches_border": g.touches_border, "threshold": threshold,
+                }
+
+    return _rows(_with_paths(spark, tiles, folder, pattern), one, REGIONS)
 
 
 def tile_ground(tiles: DataFrame) -> DataFrame:
@@ -138,15 +152,15 @@ def tile_ground(tiles: DataFrame) -> DataFrame:
 def votes(spark: SparkSession, tiles: DataFrame, folder: str, members: list[tuple[str, Fat]], pattern: str = "*.png") -> DataFrame:
     """Votes of an ensemble for every pixel of every tile, with the tile's pixels."""
 
-    def one(r: dict) -> Iterator[dict]:
-        s = open_slide(r["path"], r["content"])
-        for t in r["tiles"]:
-            rgb = s.region(t["x"], t["y"], t["size"])
-            ground = K.resized(unpacked(t["crop"], t["crop_h"], t["crop_w"]), t["size"], t["size"])
-            v, pct = K.votes(rgb, ground, members, t["um2_per_px"])
-            yield {
-                "slide": r["slide"], "x": t["x"], "y": t["y"], "size": t["size"], "image": rgb.tobytes(), "votes": v.tobytes(), "members": len(members),
-                "tissue_area_um2": float(ground.sum()) * t["um2_per_px"], "um2_per_px": t["um2_per_px"], "member_pct": pct,
-            }
-
-    return _rows(_with_pixels(spark, tiles, folder, pattern), one, VOTES)
+    slides = _Slides()
+
+    def one(t: dict) -> Iterator[dict]:
+        rgb = slides(t["path"]).region(t["x"], t["y"], t["size"])
+        ground = K.resized(unpacked(t["crop"], t["crop_h"], t["crop_w"]), t["size"], t["size"])
+        v, pct = K.votes(rgb, ground, members, t["um2_per_px"])
+        yield {
+            "slide": t["slide"], "x": t["x"], "y": t["y"], "size": t["size"], "image": rgb.tobytes(), "ground": np.packbits(ground).tobytes(), "votes": v.tobytes(), "members": len(members),
+            "tissue_area_um2": float(ground.sum()) * t["um2_per_px"], "um2_per_px": t["um2_per_px"], "member_pct": pct,
+        }
+
+    return _rows(_with_paths(spark, tiles, folder, pattern), one, VOTES)

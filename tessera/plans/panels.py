@@ -74,7 +74,7 @@ def region_reasons(votes: DataFrame, cfg: Fat, agree: float = 0.5) -> DataFrame:
 
     def one(r: dict, rgb: np.ndarray, v: np.ndarray) -> list[tuple]:
         label = v >= np.ceil(agree * r["members"])
-        lab, _ = K.segment(rgb, np.ones(v.shape, bool), cfg)
+        lab, _ = K.segment(rgb, np.unpackbits(np.frombuffer(r["ground"], np.uint8), count=v.size).reshape(v.shape).astype(bool), cfg)
         hits, size = np.bincount(lab.ravel(), label.ravel()), np.bincount(lab.ravel())
         um2 = r["um2_per_px"]
         return [
@@ -92,7 +92,7 @@ def reason_counts(reasons: DataFrame, min_area_um2: float) -> DataFrame:
 
 def contact_sheets(votes: DataFrame, cfg: Fat, n: int = 16, cols: int = 4, seed: int = 0) -> DataFrame:
     """(slide, png): a sheet of n sampled tiles of each slide beside their outlined regions."""
-    few = sample_tiles(votes.where("error IS NULL"), n, seed).select("slide", F.struct("y", "x", "size", "image", "um2_per_px").alias("t"))
+    few = sample_tiles(votes.where("error IS NULL"), n, seed).select("slide", F.struct("y", "x", "size", "image", "ground", "um2_per_px").alias("t"))
     g = few.groupBy("slide").agg(F.array_sort(F.collect_list("t")).alias("tiles"))
     schema = to_arrow_schema(StructType.fromDDL("slide string, png binary"))
 
@@ -103,7 +103,7 @@ def contact_sheets(votes: DataFrame, cfg: Fat, n: int = 16, cols: int = 4, seed:
                 panels = []
                 for t in r["tiles"]:
                     rgb = np.frombuffer(t["image"], np.uint8).reshape(t["size"], t["size"], 3)
-                    lab, _ = K.segment(rgb, np.ones(rgb.shape[:2], bool), cfg)
+                    lab, _ = K.segment(rgb, np.unpackbits(np.frombuffer(t["ground"], np.uint8), count=t["size"] ** 2).reshape(rgb.shape[:2]).astype(bool), cfg)
                     kinds = {g.label: K.judge(g, t["um2_per_px"], cfg) for g in K.regions(lab)}
                     macro, micro = (K.painted(lab, [k for k, v in kinds.items() if v == name]) for name in ("macro", "micro"))
                     panels.append(draw.side_by_side([rgb, draw.outline(rgb, macro), draw.two_class_rgb(macro, micro)]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -54,40 +55,54 @@ def header(data: bytes) -> tuple[int, int, float | None, float | None]:
     return w, h, mx, my
 
 
-def decode(data: bytes) -> np.ndarray:
-    """(h, w) for grey, (h, w, 3) for colour; an alpha channel is dropped."""
-    packed, shape = [], None
+def lines(data: bytes) -> Iterator[np.ndarray]:
+    """The rows of a file from the top, each (w, channels), unpacked as they are asked for; an alpha channel is dropped."""
+    shape, last, rest, inflate = None, None, bytearray(), zlib.decompressobj()
     for name, body in _chunks(data):
         if name == b"IHDR":
             w, h, depth, kind, _, _, lace = struct.unpack(">IIBBBBB", body)
             if depth != 8 or kind not in _CHANNELS or lace:
                 raise ValueError("only plain 8-bit grey, RGB and RGBA files are read")
             shape = (h, w, _CHANNELS[kind])
+            last, size, left = np.zeros(w * shape[2], np.uint8), w * shape[2] + 1, h
         elif name == b"IDAT":
-            packed.append(body)
+            if shape is None:
+                raise ValueError("the PNG file has no header")
+            while body and left:
+                rest += inflate.decompress(body, 1 << 20)
+                body = inflate.unconsumed_tail
+                n = min(len(rest) // size, left)
+                for y in range(n):
+                    last = _unfiltered(rest[y * size], np.frombuffer(bytes(rest[y * size + 1 : (y + 1) * size]), np.uint8), last, shape[1], shape[2])
+                    yield last.reshape(shape[1], shape[2])[:, :3]
+                left -= n
+                del rest[: n * size]
     if shape is None:
         raise ValueError("the PNG file has no header")
-    h, w, c = shape
-    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, w * c + 1)
-    out = np.zeros((h + 1, w * c), np.uint8)
-    for y in range(h):
-        kind, line, up = raw[y, 0], raw[y, 1:], out[y]
-        if kind == 0:
-            out[y + 1] = line
-        elif kind == 1:
-            out[y + 1] = np.cumsum(line.reshape(w, c), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            out[y + 1] = line + up
+    if left:
+        raise ValueError("the PNG file ends early")
+
+
+def _unfiltered(kind: int, line: np.ndarray, up: np.ndarray, w: int, c: int) -> np.ndarray:
+    if kind == 0:
+        return line
+    if kind == 1:
+        return np.cumsum(line.reshape(w, c), axis=0, dtype=np.uint8).ravel()
+    if kind == 2:
+        return line + up
+    row, above = np.zeros(w * c + c, np.int64), np.concatenate([np.zeros(c, np.int64), up.astype(np.int64)])
+    for i in range(c, w * c + c):
+        a, b, d = row[i - c], above[i], above[i - c]
+        if kind == 3:
+            guess = (a + b) // 2
         else:
-            row, above = np.zeros(w * c + c, np.int64), np.concatenate([np.zeros(c, np.int64), up.astype(np.int64)])
-            for i in range(c, w * c + c):
-                a, b, d = row[i - c], above[i], above[i - c]
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    pa, pb, pd = abs(b - d), abs(a - d), abs(a + b - 2 * d)
-                    guess = a if pa <= pb and pa <= pd else b if pb <= pd else d
-                row[i] = (int(line[i - c]) + guess) & 255
-            out[y + 1] = row[c:]
-    a = out[1:].reshape(h, w, c)
-    return a[..., 0] if c == 1 else a[..., :3]
+            pa, pb, pd = abs(b - d), abs(a - d), abs(a + b - 2 * d)
+            guess = a if pa <= pb and pa <= pd else b if pb <= pd else d
+        row[i] = (int(line[i - c]) + guess) & 255
+    return row[c:].astype(np.uint8)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """(h, w) for grey, (h, w, 3) for colour; an alpha channel is dropped."""
+    a = np.stack(list(lines(data)))
+    return a[..., 0] if a.shape[2] == 1 else a

@@ -1,16 +1,21 @@
 """Slide files as tables: discovery, metadata, windows of pixels.
 
-PNG slides are read by this package; pyramid formats through an optional reader library where it is
-installed. Files reach the tasks through Spark's own reader, so any store that it knows will do.
+Spark lists the files; the task that needs pixels opens its slide by path and reads windows of it, so no file's bytes are
+in a row or a shuffle. PNG slides are read by this package from any store that Arrow opens, row by row: a task holds the
+packed file and the rows of one window. Pyramid formats are read through the optional ``openslide`` library from a folder that
+all machines mount.
 """
 
 from __future__ import annotations
 
-import io
+import re
+from collections import deque
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -30,82 +35,135 @@ SCHEMA = (
 
 
 class RasterSlide:
-    """A slide held as one array, with levels made by averaging."""
+    """A PNG slide with levels made by averaging. Windows that are asked for from top to bottom are read in one pass."""
 
     def __init__(self, data: bytes, need_scale: bool = True):
         self.width, self.height, self.mpp_x, self.mpp_y = png.header(data)
         if need_scale and not self.mpp_x:
             raise ValueError("the slide has no physical scale")
+        self.vendor, self.objective = "png", None
         self._data, self._levels = data, {}
+        self._lines, self._held, self._first = iter(()), deque(), self.height + 1
 
     def levels(self) -> list[tuple[int, int, int, float]]:
         return [(k, max(1, self.width // LEVEL_STEP**k), max(1, self.height // LEVEL_STEP**k), float(LEVEL_STEP**k)) for k in range(LEVELS)]
 
+    def rows(self, top: int, bottom: int) -> np.ndarray:
+        """Full-resolution rows; only these are held."""
+        if top < self._first:
+            self._lines, self._held, self._first = png.lines(self._data), deque(), 0
+        while self._first + len(self._held) < bottom:
+            r = next(self._lines)
+            self._held.append(np.repeat(r, 3, axis=1) if r.shape[1] == 1 else r)
+            if self._first < top:
+                self._held.popleft()
+                self._first += 1
+        while self._first < top:
+            self._held.popleft()
+            self._first += 1
+        return np.stack([self._held[i] for i in range(bottom - top)])
+
     def level(self, k: int) -> np.ndarray:
         if k < 0:
             raise ValueError("a pyramid level is not negative")
         k = min(k, LEVELS - 1)
         if k not in self._levels:
-            if k == 0:
-                a = png.decode(self._data)
-                self._levels[0] = np.repeat(a[..., None], 3, axis=2) if a.ndim == 2 else a
+            step = LEVEL_STEP**k
+            h, w = max(1, self.height // step), max(1, self.width // step)
+            if k == 0 or min(self.height, self.width) < step:
+                self._levels[k] = self.rows(0, self.height) if k == 0 else self.rows(0, 1)[:, :1].repeat(h, axis=0).repeat(w, axis=1)
             else:
-                a, step = self.level(0), LEVEL_STEP**k
-                h, w = max(1, self.height // step), max(1, self.width // step)
-                a = a[: h * step, : w * step] if min(self.height, self.width) >= step else a[:1, :1]
-                self._levels[k] = a.reshape(h, a.shape[0] // h, w, a.shape[1] // w, 3).mean(axis=(1, 3)).round().astype(np.uint8)
+                part = [self.rows(y * step, (y + 1) * step)[:, : w * step].reshape(step, w, step, 3).mean(axis=(0, 2)) for y in range(h)]
+                self._levels[k] = np.stack(part).round().astype(np.uint8)
         return self._levels[k]
 
     def region(self, x: int, y: int, size: int) -> np.ndarray:
         """Full-resolution pixels; what lies outside is black."""
-        a, out = self.level(0), np.zeros((size, size, 3), np.uint8)
+        out = np.zeros((size, size, 3), np.uint8)
         x0, y0, x1, y1 = max(0, x), max(0, y), min(self.width, x + size), min(self.height, y + size)
         if x1 > x0 and y1 > y0:
-            out[y0 - y : y1 - y, x0 - x : x1 - x] = a[y0:y1, x0:x1]
+            out[y0 - y : y1 - y, x0 - x : x1 - x] = self.rows(y0, y1)[:, x0:x1]
         return out
 
     def thumbnail(self, longest: int) -> np.ndarray:
         """Never enlarged."""
         scale = min(longest / max(self.width, self.height), 1.0)
         h, w = max(1, round(self.height * scale)), max(1, round(self.width * scale))
-        ys, xs = np.arange(h) * self.height // h, np.arange(w) * self.width // w
-        return self.level(0)[ys[:, None], xs]
+        xs = np.arange(w) * self.width // w
+        return np.stack([self.rows(y, y + 1)[0, xs] for y in (np.arange(h) * self.height // h).tolist()])
+
 
+class PyramidSlide:
+    """A pyramid file through the optional reader library, which reads windows of each level from the file."""
+
+    def __init__(self, path: str):
+        try:
+            import openslide
+        except ImportError:
+            raise ValueError("no reader for this file type is installed") from None
+        self._file = openslide.OpenSlide(path)
+        self.width, self.height = self._file.dimensions
+        p = self._file.properties
+        scale = [p.get(f"openslide.mpp-{a}") for a in "xy"]
+        if not all(scale):
+            raise ValueError("the slide has no physical scale")
+        self.mpp_x, self.mpp_y = map(float, scale)
+        self.vendor, self.objective = p.get("openslide.vendor"), p.get("openslide.objective-power")
+
+    def levels(self) -> list[tuple[int, int, int, float]]:
+        f = self._file
+        return [(k, *f.level_dimensions[k], float(f.level_downsamples[k])) for k in range(f.level_count)]
 
-def open_slide(path: str, data: bytes) -> RasterSlide:
+    def _read(self, x: int, y: int, k: int, w: int, h: int) -> np.ndarray:
+        return np.asarray(self._file.read_region((x, y), k, (w, h)))[..., :3]
+
+    def level(self, k: int) -> np.ndarray:
+        if k < 0:
+            raise ValueError("a pyramid level is not negative")
+        k = min(k, self._file.level_count - 1)
+        return self._read(0, 0, k, *self._file.level_dimensions[k])
+
+    def region(self, x: int, y: int, size: int) -> np.ndarray:
+        return self._read(x, y, 0, size, size)
+
+    def thumbnail(self, longest: int) -> np.ndarray:
+        return np.asarray(self._file.get_thumbnail((longest, longest)))[..., :3]
+
+
+def read_file(path: str) -> bytes:
+    """The bytes of a file on any store that Arrow opens."""
+    where = re.sub(r"^file:/+", "file:///", path) if path.startswith("file:") else path
+    store, name = pafs.FileSystem.from_uri(where) if ":" in where.split("/")[0] else (pafs.LocalFileSystem(), where)
+    # the lister escapes names in its paths; the store takes them as they are
+    with store.open_input_file(unquote(name) if ":" in where.split("/")[0] else name) as f:
+        return f.read()
+
+
+def open_slide(path: str, data: bytes | None = None) -> RasterSlide | PyramidSlide:
     if path.lower().endswith(".png"):
-        return RasterSlide(data)
-    try:
-        import openslide  # noqa: F401
-    except ImportError:
-        raise ValueError("no reader for this file type is installed") from None
-    raise ValueError("pyramid files need a reader that opens them by path")
+        return RasterSlide(read_file(path) if data is None else data)
+    return PyramidSlide(unquote(re.sub(r"^file:/+", "/", path)))
 
 
-def find_slides(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+def find_slides(spark: SparkSession, folder: str, pattern: str = "*", ordered: bool = True) -> DataFrame:
     """(slide, path, bytes, sort_key) of the slide files of a folder in natural order; contents are not read."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("bytes"))
     name = F.element_at(F.split("path", "/"), -1)
     stem, suffix = F.regexp_replace(name, r"\.[^.]*$", ""), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
-    return d.where(~name.startswith(".") & suffix.isin(*SUFFIXES)).select(stem.alias("slide"), "path", "bytes", natural_key(stem).alias("sort_key")).orderBy("sort_key", "path")
+    d = d.where(~name.startswith(".") & suffix.isin(*SUFFIXES)).select(stem.alias("slide"), "path", "bytes", natural_key(stem).alias("sort_key"))
+    return d.orderBy("sort_key", "path") if ordered else d
 
 
 def file_digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def _contents(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    name = F.element_at(F.split("path", "/"), -1)
-    d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return d.where(F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(*SUFFIXES)).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("slide"), "path", "content")
-
-
-def describe(slide: str, path: str, data: bytes) -> tuple:
+def describe(slide: str, path: str, data: bytes | None = None) -> tuple:
     """One row of metadata; a file that cannot be read gives a row with its error."""
     try:
         s = open_slide(path, data)
         levels = [dict(zip(("level", "w", "h", "downsample"), x, strict=True)) for x in s.levels()]
-        return slide, path, s.width, s.height, s.mpp_x, s.mpp_y, "png", None, levels, None
+        return slide, path, s.width, s.height, s.mpp_x, s.mpp_y, s.vendor, s.objective, levels, None
     except Exception as e:
         return slide, path, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
@@ -118,9 +176,9 @@ def slides(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFram
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for r in b.to_pylist():
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, describe(r["slide"], r["path"], r["content"]), strict=True))], schema)
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, describe(r["slide"], r["path"]), strict=True))], schema)
 
-    return _contents(spark, folder, pattern).mapInArrow(run, SCHEMA)
+    return find_slides(spark, folder, pattern, ordered=False).select("slide", "path").mapInArrow(run, SCHEMA)
 
 
 class SlideSource(DataSource):
@@ -148,10 +206,4 @@ class _SlideReader(DataSourceReader):
         if partition.value is None:
             return
         stem = partition.value.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        try:
-            with io.open(partition.value, "rb") as f:
-                data = f.read()
-        except OSError as e:
-            yield stem, partition.value, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
-            return
-        yield describe(stem, partition.value, data)
+        yield describe(stem, partition.value)

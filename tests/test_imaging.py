@@ -77,6 +77,42 @@ def test_from_slides_to_summaries(spark, folder):
     assert all(0 < max(r.votes) <= 9 for r in v.where("x = 0 AND y = 0").collect())
 
 
+def test_windows_hold_their_rows_only():
+    r = np.random.default_rng(2)
+    a = r.integers(0, 256, (90, 70, 3), dtype=np.uint8)
+    s = src.RasterSlide(png.encode(a, 0.5))
+    for x, y, n in ((0, 0, 20), (30, 10, 20), (5, 60, 40), (-5, 2, 12), (60, 80, 30)):
+        want = np.zeros((n, n, 3), np.uint8)
+        part = a[max(0, y) : y + n, max(0, x) : x + n]
+        want[max(0, -y) : max(0, -y) + part.shape[0], max(0, -x) : max(0, -x) + part.shape[1]] = part
+        assert (s.region(x, y, n) == want).all() and len(s._held) <= n
+    assert (s.level(0) == a).all() and s.level(1).shape == (22, 17, 3) and s.thumbnail(35).shape == (35, 27, 3)
+    assert (s.level(1)[3, 5] == a[12:16, 20:24].mean(axis=(0, 1)).round()).all()
+
+
+def test_pyramid_files_go_through_the_reader(spark, monkeypatch, tmp_path):
+    import sys
+    import types
+
+    class OpenSlide:
+        dimensions, level_count, level_dimensions, level_downsamples = (400, 300), 2, ((400, 300), (100, 75)), (1.0, 4.0)
+        properties = {"openslide.mpp-x": "0.5", "openslide.mpp-y": "0.25", "openslide.vendor": "v", "openslide.objective-power": "20"}
+
+        def __init__(self, path):
+            self.path = path
+
+        def read_region(self, at, level, size):
+            return np.full((size[1], size[0], 4), level + at[0], np.uint8)
+
+    with pytest.raises(ValueError, match="no reader"):
+        src.open_slide("file:/a/b.svs")
+    monkeypatch.setitem(sys.modules, "openslide", types.SimpleNamespace(OpenSlide=OpenSlide))
+    s = src.open_slide("file:/a/b%20c.svs")
+    assert s._file.path == "/a/b c.svs" and (s.mpp_x, s.mpp_y, s.width) == (0.5, 0.25, 400)
+    assert s.levels()[1] == (1, 100, 75, 4.0) and s.level(9).shape == (75, 100, 3) and (s.region(7, 0, 16) == 7).all()
+    assert src.describe("b", "file:/a/b.svs")[6:8] == ("v", "20")
+
+
 def test_unreadable_slides_leave_rows(spark, folder):
     rows = {r.slide: r for r in imaging.tissue(spark, folder, CFG).collect()}
     assert rows["cut"].error and rows["noscale"].error and rows["s9"].error is None
