@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.export import files
 from tessera.operators import ensemble, sampling, sweep, tally
-from tessera.plans import imaging
+from tessera.plans import imaging, panels
 from tessera.session import build_session
 from tessera.sources import slides as src
 
@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--out", default="outputs")
         s.add_argument("--tiles", type=int, default=60)
         s.add_argument("--seed", type=int, default=0)
+        s.add_argument("--strata", type=int, default=6)
         if name == "sweep":
             for axis in ("white-threshold", "circularity-min", "solidity-min", "min-area-um2", "max-eccentricity"):
                 s.add_argument(f"--{axis}")
@@ -59,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     cfg, spark = config_of(args), build_session()
     named = groups(args.group)
-    tables = []
+    tables, failed = [], []
     for group, folder in named.items():
         meta = src.slides(spark, folder)
         if args.command == "info":
@@ -70,9 +71,10 @@ def main(argv: list[str] | None = None) -> int:
             masks.drop("mask").show(truncate=False)
             continue
         grid = imaging.tiles(masks, meta, cfg)
-        if args.command != "run":
-            grid = sampling.sample_tiles(grid.withColumn("population", F.lit(0)).drop("population"), args.tiles, args.seed)
-        else:
+        failed += files.failures({"open": meta, "tissue": masks}, group)
+        if args.command in ("survey", "sweep"):
+            grid = sampling.sample_tiles(grid, args.tiles, args.seed)
+        elif args.command == "run":
             grid = sampling.limit_tiles(grid, spark, cfg.limit)
         files.write_parquet(grid, f"{args.out}/tiles/{group}", None)
         grid = spark.read.parquet(f"{args.out}/tiles/{group}")
@@ -83,22 +85,42 @@ def main(argv: list[str] | None = None) -> int:
     cfg.save(f"{args.out}/config_used.yaml")
     tile = F.struct("x", "y")
     if args.command in ("dataset", "annotate"):
+        members, splits = ensemble.default_members(cfg.fat), {}
         for group, folder, grid in tables:
             if args.command == "annotate":
-                v = imaging.votes(spark, grid, folder, ensemble.default_members(cfg.fat)[:1])
+                found = imaging.regions(spark, grid, folder, cfg)
+                files.write_parquet(found, f"{args.out}/regions/{group}", None)
+                found = spark.read.parquet(f"{args.out}/regions/{group}")
+                failed += files.failures({"regions": found}, group)
+                dense = tally.fractions(tally.dense_tile_tally(found.where("error IS NULL").withColumn("tile", tile), imaging.tile_ground(grid), cfg.fat))
+                some = sampling.stratified_pick(dense.select("slide", "x", "y", (F.coalesce("macro_fraction", F.lit(0.0)) * 100).alias("macro_pct")), args.tiles, args.strata, args.seed)
+                v = imaging.votes(spark, grid.join(some.select("slide", "x", "y"), ["slide", "x", "y"], "left_semi"), folder, members[:1])
                 rows = files.export_annotations(v, f"{args.out}/annotate", cfg.fat)
             else:
-                v = imaging.votes(spark, grid, folder, ensemble.default_members(cfg.fat)).withColumn("cohort", F.lit(group))
-                sev = v.groupBy("cohort", "slide").agg(F.max(F.element_at(F.map_values("member_pct"), 1)).alias("severity"))
-                rows = files.export_dataset(v.join(sampling.plan_splits(sev).select("slide", "split"), "slide"), args.out)
+                # every tile is voted on once: its slide's severity and its files come from the same table
+                few = sampling.sample_tiles(grid, args.tiles, args.seed)
+                files.write_parquet(imaging.votes(spark, few, folder, members).withColumn("cohort", F.lit(group)), f"{args.out}/votes/{group}", None)
+                v = spark.read.parquet(f"{args.out}/votes/{group}")
+                failed += files.failures({"votes": v}, group)
+                plan = sampling.plan_splits(panels.severity(panels.tile_counts(v)).withColumn("cohort", F.lit(group)))
+                splits[group] = {k: [] for k in ("train", "val", "test")}
+                for r in plan.orderBy("slide").collect():
+                    splits[group][r["split"]].append(r["slide"])
+                rows = files.export_dataset(v.join(plan.select("slide", "split"), "slide"), args.out)
             files.write_csv(rows, f"{args.out}/manifest/{group}")
+        files.write_json(failed, f"{args.out}/failures.json")
+        if args.command == "dataset":
+            files.write_json(splits, f"{args.out}/splits.json")
+            keep = ("white_threshold", "min_area_um2", "max_eccentricity", "circularity_min", "solidity_min")
+            files.write_json([{"name": n, **{k: getattr(m, k) for k in keep}} for n, m in members], f"{args.out}/ensemble.json")
         return 0
     whites = tuple(int(w) for w in numbers(getattr(args, "white_threshold", None), cfg.fat.white_threshold))
     parts = []
     for group, folder, grid in tables:
-        found = imaging.regions(spark, grid, folder, cfg, whites).where("error IS NULL").withColumn("tile", tile)
-        files.write_parquet(found, f"{args.out}/regions/{group}", None)
+        files.write_parquet(imaging.regions(spark, grid, folder, cfg, whites), f"{args.out}/regions/{group}", None)
         found, ground = spark.read.parquet(f"{args.out}/regions/{group}"), imaging.tile_ground(grid)
+        failed += files.failures({"regions": found}, group)
+        found = found.where("error IS NULL").withColumn("tile", tile)
         if args.command == "sweep":
             axes = {n: numbers(getattr(args, n), getattr(cfg.fat, n)) for n in ("circularity_min", "solidity_min", "min_area_um2", "max_eccentricity")}
             cells = len(whites)
@@ -112,6 +134,9 @@ def main(argv: list[str] | None = None) -> int:
             files.write_csv(files.tile_table(tally.fractions(tally.dense_tile_tally(found, ground, cfg.fat))).drop("tile"), f"{args.out}/tiles_csv/{group}")
             out = tally.slide_summary(found, ground, cfg.fat)
         parts.append(out.withColumn("group", F.lit(group)))
+    files.write_json(failed, f"{args.out}/failures.json")
+    for f in failed:
+        print(f"{f['cohort']}/{f['slide']}: {f['stage']}: {f['error']}", file=sys.stderr)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

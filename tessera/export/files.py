@@ -82,28 +82,53 @@ def export_dataset(votes: DataFrame, root: str, agree: float = 0.5) -> DataFrame
     return votes.where("error IS NULL").mapInArrow(run, MANIFEST)
 
 
+ANNOTATIONS = (
+    "annotation_id string, slide string, tile_x int, tile_y int, tile_size int, level int, mpp double, tissue_fraction double, predicted_macro_pct double, predicted_micro_pct double, "
+    "predicted_macro_n int, mask_is_prefilled boolean, annotator string, status string"
+)
+GUIDE = """# Annotation package
+
+images/           tiles as they are
+masks_prefilled/  a first guess, white where the engine sees a large region; correct it, or draw from nothing where it is black
+overlays/         the guess as an outline, for orientation only
+manifest/         one row for each tile; fill in annotator and status (todo, doing, done)
+"""
+
+
 def export_annotations(votes: DataFrame, root: str, cfg: Fat) -> DataFrame:
-    """Writes tiles, prefilled masks and overlays for annotators, and returns (annotation_id, slide, tile_x, tile_y, mask_is_prefilled, annotator, status)."""
-    ddl = "annotation_id string, slide string, tile_x int, tile_y int, tile_size int, predicted_px long, mask_is_prefilled boolean, annotator string, status string"
+    """Writes tiles, prefilled masks and overlays for annotators, and a guide, and returns the manifest rows. Masks lie within the tissue."""
 
-    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    schema = to_arrow_schema(StructType.fromDDL(ANNOTATIONS))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                n = r["size"]
+                n, um2 = r["size"], r["um2_per_px"]
                 rgb = np.frombuffer(r["image"], np.uint8).reshape(n, n, 3)
-                lab, _ = K.segment(rgb, np.unpackbits(np.frombuffer(r["ground"], np.uint8), count=n * n).reshape(n, n).astype(bool), cfg)
-                um2 = r["um2_per_px"]
-                mask = K.painted(lab, [g.label for g in K.regions(lab) if K.judge(g, um2, cfg) == "macro"])
+                ground = np.unpackbits(np.frombuffer(r["ground"], np.uint8), count=n * n).reshape(n, n).astype(bool)
+                lab, _ = K.segment(rgb, ground, cfg)
+                kinds = [(g, K.judge(g, um2, cfg)) for g in K.regions(lab)]
+                mask = K.painted(lab, [g.label for g, k in kinds if k == "macro"])
+                pct = {c: round(sum(g.area_px for g, k in kinds if k == c) / max(1, int(ground.sum())) * 100, 3) for c in ("macro", "micro")}
                 name = f"{r['slide']}__tile_x{r['x']:06d}_y{r['y']:06d}"
                 for kind, a in (("images", rgb), ("masks_prefilled", mask * np.uint8(255)), ("overlays", draw.outline(rgb, mask))):
                     _put(f"{root}/{kind}/{name}.png", png.encode(a))
-                row = (name, r["slide"], r["x"], r["y"], n, int(mask.sum()), bool(mask.any()), "", "todo")
+                count = sum(k == "macro" for _, k in kinds)
+                row = (name, r["slide"], r["x"], r["y"], n, 0, float(np.sqrt(um2)), round(float(ground.mean()), 4), pct["macro"], pct["micro"], count, bool(mask.any()), "", "todo")
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
 
-    return votes.where("error IS NULL").mapInArrow(run, ddl)
+    _put(f"{root}/README.md", GUIDE.encode())
+    return votes.where("error IS NULL").mapInArrow(run, ANNOTATIONS)
+
+
+def failures(tables: dict[str, DataFrame], cohort: str) -> list[dict]:
+    """What could not be read: one record for each slide, stage and error."""
+    out = []
+    for stage, df in tables.items():
+        for r in df.where("error IS NOT NULL").select("slide", "error").distinct().orderBy("slide", "error").collect():
+            out.append({"slide": r["slide"], "cohort": cohort, "stage": stage, "error": r["error"]})
+    return out
 
 
 def names(tiles: DataFrame) -> DataFrame:

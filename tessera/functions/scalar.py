@@ -61,9 +61,10 @@ def sample_key(seed: int, *parts: Column) -> Column:
 
 
 def natural_key(stem: Column) -> Column:
-    """Sorts digits in a name by their value: runs of digits are padded to a fixed width."""
+    """Sorts digits in a name by their value: a run of digits follows its length, zeros in front left out."""
     parts = F.regexp_extract_all(stem, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(F.lower(p))), "")
+    number = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(F.lower(p))), "")
 
 
 def json_digest(record: Column, digits: int = 16) -> Column:

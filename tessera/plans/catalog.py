@@ -124,12 +124,6 @@ def score_sweep(spark, sf):
 
 
 def score_cells(spark, sf):
-    some = fx.slides(spark, sf).where("slide % 4 <> 1")
-    return _r(sweep.score_cells(_sweep(spark, sf), some), "pos_mean", "pos_min", "neg_mean", "neg_max", "margin", "ratio", "auc")
-
-
-def score_cells_all(spark, sf):
-    """Cells scored over every slide; score_cells shows the optional subset."""
     return _r(sweep.score_cells(_sweep(spark, sf)), "pos_mean", "pos_min", "neg_mean", "neg_max", "margin", "ratio", "auc")
 
 
@@ -176,7 +170,8 @@ def split_random(spark, sf):
 
 
 def split_lookup(spark, sf):
-    known = sampling.random_splits(fx.slides(spark, sf), SEED).where("slide % 5 <> 0")
+    """Only one cohort was planned; the other's slides are unseen."""
+    known = sampling.random_splits(fx.slides(spark, sf), SEED).where("cohort = 'positive'")
     return sampling.with_split(fx.slides(spark, sf), known).groupBy("split").agg(F.count("*").alias("n"))
 
 
@@ -315,7 +310,7 @@ def rejected_map(spark, sf):
 
 
 NAMES = (
-    "component_verdicts tile_tally tile_tally_dense border_excluded class_stats slide_summary cohort_summary survey_sample group_stats param_grid sweep_per_slide score_sweep score_cells score_cells_all auc "
+    "component_verdicts tile_tally tile_tally_dense border_excluded class_stats slide_summary cohort_summary survey_sample group_stats param_grid sweep_per_slide score_sweep score_cells auc "
     "top_cells holdout stability optimism bootstrap_ci split_plan split_random split_lookup stratified_pick size_histogram ensemble_member_pct pixel_votes agreement tile_grid natural_sort tile_names slide_seed "
     "white_mask otsu morph_open morph_close fill_holes label_components region_moments keep_largest small_objects tissue_fraction mask_stats panel_candidates reason_attribution slide_levels shape_measures "
     "tally_merge rejected_map"

@@ -129,9 +129,7 @@ SQL = {
     "sweep_per_slide": f"WITH {BASE}{SWEEP} SELECT * REPLACE ({ROUND9('macro_pct', 'micro_pct')}) FROM sweep",
     "score_sweep": f"""WITH {BASE}{SWEEP}, c AS (SELECT {KEYS}, {SEPARATE}, median(macro_pct) FILTER (WHERE "group" = 'positive') AS pos_median, median(macro_pct) FILTER (WHERE "group" = 'negative') AS neg_median FROM sweep GROUP BY {KEYS})
         SELECT {KEYS}, {ROUND6('pos_mean', 'pos_min', 'pos_median', 'neg_mean', 'neg_max', 'neg_median')}, round(pos_min - neg_max, 6) AS margin, round(pos_mean / nullif(neg_mean, 0), 6) AS ratio, round(pos_min / nullif(neg_max, 0), 6) AS worst_ratio FROM c""",
-    "score_cells": f"""WITH {BASE}{SWEEP}, part_of AS (SELECT * FROM sweep WHERE slide % 4 <> 1), c AS (SELECT {KEYS}, {SEPARATE} FROM part_of GROUP BY {KEYS}), a AS ({_auc("part_of", KEYS)})
-        SELECT {KEYS}, {ROUND6('pos_mean', 'pos_min', 'neg_mean', 'neg_max', 'auc')}, round(pos_min - neg_max, 6) AS margin, round(pos_mean / nullif(neg_mean, 0), 6) AS ratio FROM c JOIN a USING ({KEYS})""",
-    "score_cells_all": f"""WITH {BASE}{SWEEP}, c AS (SELECT {KEYS}, {SEPARATE} FROM sweep GROUP BY {KEYS}), a AS ({_auc("sweep", KEYS)})
+    "score_cells": f"""WITH {BASE}{SWEEP}, c AS (SELECT {KEYS}, {SEPARATE} FROM sweep GROUP BY {KEYS}), a AS ({_auc("sweep", KEYS)})
         SELECT {KEYS}, {ROUND6('pos_mean', 'pos_min', 'neg_mean', 'neg_max', 'auc')}, round(pos_min - neg_max, 6) AS margin, round(pos_mean / nullif(neg_mean, 0), 6) AS ratio FROM c JOIN a USING ({KEYS})""",
     "auc": f"WITH {BASE}, v AS (SELECT 1 AS one, cohort AS \"group\", macro_area_um2 AS macro_pct FROM summary JOIN slides USING (slide)), a AS ({_auc('v', 'one')}) SELECT round(auc, 9) AS auc FROM a",
     "top_cells": f"WITH {BASE}{SWEEP} SELECT {KEYS}, round(min(macro_pct) FILTER (WHERE \"group\" = 'positive') - max(macro_pct) FILTER (WHERE \"group\" = 'negative'), 6) AS margin FROM sweep GROUP BY {KEYS} ORDER BY margin DESC NULLS LAST, {KEYS} LIMIT 5",
@@ -152,7 +150,7 @@ SQL = {
     "split_random": f"""WITH {BASE}, o AS (SELECT cohort, slide, count(*) OVER (PARTITION BY cohort) AS n, row_number() OVER (PARTITION BY cohort ORDER BY md5('7|' || slide), slide) AS place FROM slides)
         SELECT cohort, slide, CASE WHEN place <= {QUOTA} THEN 'test' WHEN place <= 2 * {QUOTA} THEN 'val' ELSE 'train' END AS split FROM o""",
     "split_lookup": f"""WITH {BASE}, o AS (SELECT cohort, slide, count(*) OVER (PARTITION BY cohort) AS n, row_number() OVER (PARTITION BY cohort ORDER BY md5('7|' || slide), slide) AS place FROM slides)
-        SELECT CASE WHEN slide % 5 = 0 OR place <= {QUOTA} THEN 'test' WHEN place <= 2 * {QUOTA} THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM o GROUP BY 1""",
+        SELECT CASE WHEN cohort <> 'positive' OR place <= {QUOTA} THEN 'test' WHEN place <= 2 * {QUOTA} THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM o GROUP BY 1""",
     "stratified_pick": f"""WITH {BASE}{CAND},
         edges AS (SELECT quantile_cont(macro_pct, [1 / 6.0, 2 / 6.0, 3 / 6.0, 4 / 6.0, 5 / 6.0]) AS e FROM cand),
         st AS (SELECT cand.*, CAST(len(list_filter(e, lambda v: macro_pct >= v)) AS INT) AS stratum, md5('7|' || slide || '|' || x || '|' || y) AS k FROM cand, edges),
@@ -170,7 +168,7 @@ SQL = {
     "agreement": f"""WITH {PIXELS}{VOTES}, a AS (SELECT id, count(*) FILTER (WHERE votes > 0) AS any_px, count(*) FILTER (WHERE votes >= 5) AS consensus_px, count(*) FILTER (WHERE votes = 9) AS unanimous_px FROM vt GROUP BY id)
         SELECT *, round(coalesce(unanimous_px / nullif(any_px, 0)::DOUBLE, 0), 9) AS unanimous_of_any, round(coalesce(unanimous_px / nullif(consensus_px, 0)::DOUBLE, 0), 9) AS unanimous_of_consensus, round(CASE WHEN consensus_px > 0 THEN 1 - unanimous_px / consensus_px::DOUBLE ELSE 0 END, 9) AS contested_of_consensus FROM a""",
     "tile_grid": "SELECT p_partkey AS slide, count(*) AS tiles, CAST(max(x) AS INT) AS max_x, CAST(max(y) AS INT) AS max_y FROM part, unnest(range(0, p_size * 64 - 511, 384)) AS a(x), unnest(range(0, p_size * 40 + 100 - 511, 384)) AS b(y) GROUP BY p_partkey",
-    "natural_sort": "SELECT 'Slide ' || s_suppkey || '-b' || s_suppkey % 7 AS stem, 'slide ' || lpad(CAST(s_suppkey AS VARCHAR), 20, '0') || '-b' || lpad(CAST(s_suppkey % 7 AS VARCHAR), 20, '0') AS sort_key FROM supplier",
+    "natural_sort": "SELECT 'Slide ' || s_suppkey || '-b' || s_suppkey % 7 AS stem, 'slide ' || lpad(CAST(length(CAST(s_suppkey AS VARCHAR)) AS VARCHAR), 10, '0') || s_suppkey || '-b' || '0000000001' || s_suppkey % 7 AS sort_key FROM supplier",
     "tile_names": f"WITH {BASE} SELECT slide, tile, printf('tile_x%06d_y%06d', x, y) AS tile_name FROM tiles",
     "slide_seed": f"WITH {BASE} SELECT slide, CAST(xor({CRC32}, 7) AS BIGINT) AS seed FROM slides",
     "white_mask": f"WITH {PIXELS} SELECT id, count(*) FILTER (WHERE gray >= 140) AS n_white FROM px GROUP BY id",

@@ -168,6 +168,20 @@ def test_command_line(spark, folder, tmp_path, capsys):
         cli.groups(["x"])
 
 
+def test_dataset_and_annotation_commands(spark, folder, tmp_path):
+    base = ["--group", f"positive={folder}", "--set", "tiling.tile_size=128", "--set", "tiling.stride=128", "--set", "tissue.min_object_area_um2=0", "--set", "tissue.method=fixed", "--tiles", "3"]
+    assert cli.main(["dataset", *base, "--out", f"{tmp_path}/d"]) == 0
+    splits = json.load(open(f"{tmp_path}/d/splits.json"))["positive"]
+    assert sorted(x for v in splits.values() for x in v) == ["s10", "s9"]
+    bad = json.load(open(f"{tmp_path}/d/failures.json"))
+    assert {(f["slide"], f["stage"]) for f in bad} == {(s, t) for s in ("cut", "noscale") for t in ("open", "tissue")}
+    assert len(json.load(open(f"{tmp_path}/d/ensemble.json"))) == 9 and files.read_manifest(spark, f"{tmp_path}/d/manifest/positive").count() == 6
+    assert cli.main(["annotate", *base, "--strata", "2", "--out", f"{tmp_path}/a"]) == 0
+    m = spark.read.option("header", True).csv(f"{tmp_path}/a/manifest/positive")
+    assert m.count() == 3 and len(m.columns) == 14 and glob.glob(f"{tmp_path}/a/annotate/README.md") and len(glob.glob(f"{tmp_path}/a/annotate/*/*.png")) == 9
+    assert json.load(open(f"{tmp_path}/a/failures.json")) == bad
+
+
 def test_panels(spark, folder):
     from tessera.plans import panels
 

@@ -162,6 +162,8 @@ def test_config(tmp_path):
 def test_natural_order(spark):
     d = spark.createDataFrame([("s10",), ("s9",), ("S9b",), ("a2-10",), ("a2-9",)], "stem string")
     assert [r.stem for r in d.orderBy(S.natural_key(F.col("stem"))).collect()] == ["a2-9", "a2-10", "s9", "S9b", "s10"]
+    long = spark.createDataFrame([("s" + "1" * 25,), ("s" + "1" * 24 + "0",), ("s" + "9" * 24,), ("s007",), ("s8",)], "stem string")
+    assert [r.stem for r in long.orderBy(S.natural_key(F.col("stem"))).collect()] == ["s007", "s8", "s" + "9" * 24, "s" + "1" * 24 + "0", "s" + "1" * 25]
 
 
 def test_cells_are_scored_over_all_slides_or_some(spark):
