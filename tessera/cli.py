@@ -1,14 +1,16 @@
-"""Command line: ``python -m tessera.cli info|tissue|run|survey|sweep|dataset|annotate``."""
+"""Command line: ``python -m tessera.cli info|tissue|run|batch|survey|sweep|dataset|annotate``."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import fields, is_dataclass
 
 from pyspark.sql import functions as F
 
 from tessera.config import Config
-from tessera.export import files
+from tessera.export import files, pictures, reports
+from tessera.functions.scalar import natural_key
 from tessera.operators import ensemble, sampling, sweep, tally
 from tessera.plans import imaging, panels
 from tessera.session import build_session
@@ -30,10 +32,27 @@ def numbers(text: str | None, default: float) -> list[float]:
     return [float(x) for x in text.split(",") if x.strip()] if text else [default]
 
 
+AXES = ("white-threshold", "circularity-min", "solidity-min", "min-area-um2", "max-eccentricity")
+
+
+def flags() -> dict[str, tuple[str, object]]:
+    """A flag for each single-valued parameter: its dotted name and its default. Names that two sections share carry the section's."""
+    out = {"limit": ("limit", 0)}
+    for section in fields(Config):
+        record = getattr(Config(), section.name)
+        if is_dataclass(record):
+            for f in fields(record):
+                value = getattr(record, f.name)
+                if not isinstance(value, tuple) and (section.name, f.name) not in (("fat", "micro_max_area_um2"), ("tiling", "level")):
+                    name = f"{section.name}_{f.name}" if f.name in ("level", "method") else f.name
+                    out[name.replace("_", "-")] = (f"{section.name}.{f.name}", value)
+    return out
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessera")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("info", "tissue", "run", "survey", "sweep", "dataset", "annotate"):
+    for name in ("info", "tissue", "run", "batch", "survey", "sweep", "dataset", "annotate"):
         s = sub.add_parser(name)
         s.add_argument("--group", action="append", required=True, metavar="NAME=FOLDER")
         s.add_argument("--config")
@@ -42,23 +61,29 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--tiles", type=int, default=60)
         s.add_argument("--seed", type=int, default=0)
         s.add_argument("--strata", type=int, default=6)
-        if name == "sweep":
-            for axis in ("white-threshold", "circularity-min", "solidity-min", "min-area-um2", "max-eccentricity"):
-                s.add_argument(f"--{axis}")
+        for flag, (dotted, default) in flags().items():
+            if name == "sweep" and flag in AXES:
+                s.add_argument(f"--{flag}")
+            elif isinstance(default, bool):
+                s.add_argument(f"--{'no-' * default}{flag}", dest=dotted, action="store_const", const=not default)
+            else:
+                s.add_argument(f"--{flag}", dest=dotted, type=type(default))
     return p
 
 
 def config_of(args: argparse.Namespace) -> Config:
-    """Command line over file over defaults."""
+    """Flags over ``--set`` over file over defaults."""
     from tessera.config import _scalar
 
     base = Config.load(args.config) if args.config else Config()
-    return base.with_values({k: _scalar(v) for k, _, v in (x.partition("=") for x in args.set)})
+    return base.with_values({k: _scalar(v) for k, _, v in (x.partition("=") for x in args.set)}).with_values({dotted: getattr(args, dotted, None) for dotted, _ in flags().values()})
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     cfg, spark = config_of(args), build_session()
+    if args.command == "batch":
+        args.command = "run"
     named = groups(args.group)
     tables, failed = [], []
     for group, folder in named.items():
@@ -68,7 +93,10 @@ def main(argv: list[str] | None = None) -> int:
             continue
         masks = imaging.tissue(spark, folder, cfg)
         if args.command == "tissue":
-            masks.drop("mask").show(truncate=False)
+            files.write_parquet(masks, f"{args.out}/tissue/{group}", None)
+            masks = spark.read.parquet(f"{args.out}/tissue/{group}")
+            masks.drop("mask").orderBy(natural_key(F.col("slide"))).show(truncate=False)
+            reports.say_failures(files.failures({"tissue": masks, "figure": pictures.tissue_figures(spark, masks, folder, cfg, f"{args.out}/qc/{group}")}, group))
             continue
         grid = imaging.tiles(masks, meta, cfg)
         failed += files.failures({"open": meta, "tissue": masks}, group)
@@ -92,8 +120,7 @@ def main(argv: list[str] | None = None) -> int:
                 files.write_parquet(found, f"{args.out}/regions/{group}", None)
                 found = spark.read.parquet(f"{args.out}/regions/{group}")
                 failed += files.failures({"regions": found}, group)
-                dense = tally.fractions(tally.dense_tile_tally(found.where("error IS NULL").withColumn("tile", tile), imaging.tile_ground(grid), cfg.fat))
-                some = sampling.stratified_pick(dense.select("slide", "x", "y", (F.coalesce("macro_fraction", F.lit(0.0)) * 100).alias("macro_pct")), args.tiles, args.strata, args.seed)
+                some = sampling.stratified_pick(tally.candidates(found.where("error IS NULL").withColumn("tile", tile), imaging.tile_ground(grid), cfg.fat), args.tiles, args.strata, args.seed)
                 v = imaging.votes(spark, grid.join(some.select("slide", "x", "y"), ["slide", "x", "y"], "left_semi"), folder, members[:1])
                 rows = files.export_annotations(v, f"{args.out}/annotate", cfg.fat)
             else:
@@ -133,10 +160,12 @@ def main(argv: list[str] | None = None) -> int:
         else:
             files.write_csv(files.tile_table(tally.fractions(tally.dense_tile_tally(found, ground, cfg.fat))).drop("tile"), f"{args.out}/tiles_csv/{group}")
             out = tally.slide_summary(found, ground, cfg.fat)
+            drawn = pictures.save_tiles(spark, pictures.chosen(grid, cfg), folder, cfg, f"{args.out}/pictures/{group}")
+            files.write_parquet(drawn, f"{args.out}/pictures_of/{group}", None)
+            failed += files.failures({"pictures": spark.read.parquet(f"{args.out}/pictures_of/{group}")}, group)
         parts.append(out.withColumn("group", F.lit(group)))
     files.write_json(failed, f"{args.out}/failures.json")
-    for f in failed:
-        print(f"{f['cohort']}/{f['slide']}: {f['stage']}: {f['error']}", file=sys.stderr)
+    reports.say_failures(failed)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -148,9 +177,9 @@ def main(argv: list[str] | None = None) -> int:
         files.write_csv(scored, f"{args.out}/sweep_scored")
         scored.show(10)
     elif args.command == "run":
-        tally.cohort_summary(every, "group").show()
+        print(reports.run_report(every, tally.cohort_summary(every, "group"), cfg.fat))
     else:
-        every.show(20)
+        every.orderBy("group", natural_key(F.col("slide").cast("string"))).show(20)
     return 0
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import platform
+import re
 import subprocess
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,12 +52,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(MANIFEST).csv(path)
 
 
-def _put(path: str, data: bytes) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with open(part, "wb") as f:
+def put(path: str, data: bytes) -> None:
+    """Writes a file on any store that Arrow opens; a plain path is a local or mounted one."""
+    store, at = fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (fs.LocalFileSystem(), os.path.abspath(path))
+    store.create_dir(os.path.dirname(at), recursive=True)
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as f:
         f.write(data)
-    os.replace(part, path)
+    store.move(part, at)
 
 
 def export_dataset(votes: DataFrame, root: str, agree: float = 0.5) -> DataFrame:
@@ -73,7 +77,7 @@ def export_dataset(votes: DataFrame, root: str, agree: float = 0.5) -> DataFrame
                 name = f"{r['slide']}__tile_x{r['x']:06d}_y{r['y']:06d}"
                 mpp = float(np.sqrt(r["um2_per_px"]))
                 for kind, a in (("images", np.frombuffer(r["image"], np.uint8).reshape(n, n, 3)), ("labels", label * np.uint8(255)), ("confidence", (v.astype(np.int64) * 255 // r["members"]).astype(np.uint8))):
-                    _put(f"{root}/{r['split']}/{kind}/{name}.png", png.encode(a, mpp))
+                    put(f"{root}/{r['split']}/{kind}/{name}.png", png.encode(a, mpp))
                 any_px, sure, px = int((v > 0).sum()), int((v == r["members"]).sum()), int(label.sum())
                 ground = r["tissue_area_um2"]
                 row = (name, r["split"], r["cohort"], r["slide"], r["x"], r["y"], n, mpp, px * r["um2_per_px"] / ground if ground > 0 else 0.0, px, sure, any_px, sure / any_px if any_px else 0.0, 1 - sure / px if px else 0.0, r["cohort"] == "negative")
@@ -113,12 +117,12 @@ def export_annotations(votes: DataFrame, root: str, cfg: Fat) -> DataFrame:
                 pct = {c: round(sum(g.area_px for g, k in kinds if k == c) / max(1, int(ground.sum())) * 100, 3) for c in ("macro", "micro")}
                 name = f"{r['slide']}__tile_x{r['x']:06d}_y{r['y']:06d}"
                 for kind, a in (("images", rgb), ("masks_prefilled", mask * np.uint8(255)), ("overlays", draw.outline(rgb, mask))):
-                    _put(f"{root}/{kind}/{name}.png", png.encode(a))
+                    put(f"{root}/{kind}/{name}.png", png.encode(a))
                 count = sum(k == "macro" for _, k in kinds)
                 row = (name, r["slide"], r["x"], r["y"], n, 0, float(np.sqrt(um2)), round(float(ground.mean()), 4), pct["macro"], pct["micro"], count, bool(mask.any()), "", "todo")
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
 
-    _put(f"{root}/README.md", GUIDE.encode())
+    put(f"{root}/README.md", GUIDE.encode())
     return votes.where("error IS NULL").mapInArrow(run, ANNOTATIONS)
 
 
@@ -157,4 +161,4 @@ def provenance(cfg: Config, argv: list[str], inputs: DataFrame | None = None) ->
 
 
 def write_json(value: dict | list, path: str) -> None:
-    _put(path, json.dumps(value, indent=2, sort_keys=True, default=str).encode())
+    put(path, json.dumps(value, indent=2, sort_keys=True, default=str).encode())

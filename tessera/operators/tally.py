@@ -60,6 +60,13 @@ def fractions(df: DataFrame, area: str = "tissue_area_um2") -> DataFrame:
     )
 
 
+def candidates(components: DataFrame, tiles: DataFrame, cfg: Fat) -> DataFrame:
+    """(slide, x, y, macro_pct, micro_pct, macro_n) of every tile given: what a stratified choice of tiles looks at."""
+    d = fractions(dense_tile_tally(components, tiles, cfg))
+    pct = {f"{c}_pct": F.coalesce(f"{c}_fraction", F.lit(0.0)) * 100 for c in ("macro", "micro")}
+    return d.select("slide", "x", "y", *[v.alias(k) for k, v in pct.items()], F.col("macro_count").alias("macro_n"))
+
+
 def slide_summary(components: DataFrame, tiles: DataFrame, cfg: Fat) -> DataFrame:
     """Totals and fractions of every slide that has tiles, with or without regions."""
     ground = tiles.groupBy("slide").agg(F.count("*").alias("tiles"), F.sum("tissue_area_um2").alias("tissue_area_um2"))

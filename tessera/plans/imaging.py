@@ -32,7 +32,7 @@ GROUND = "slide string, x int, y int, tissue_area_um2 double"
 VOTES = "slide string, x int, y int, size int, image binary, ground binary, votes binary, members int, tissue_area_um2 double, um2_per_px double, member_pct map<string,double>, error string"
 
 
-def _rows(df: DataFrame, fn: Callable[[dict], Iterator[dict]], ddl: str) -> DataFrame:
+def each_row(df: DataFrame, fn: Callable[[dict], Iterator[dict]], ddl: str) -> DataFrame:
     """fn on every row; an exception gives one row with the row's keys and the error."""
 
     schema = to_arrow_schema(StructType.fromDDL(ddl))
@@ -65,7 +65,7 @@ def tissue(spark: SparkSession, folder: str, cfg: Config, pattern: str = "*.png"
             "tissue_mm2": float(m.sum()) * um2 / 1e6, "coverage": float(m.mean()), "components": int(K.label(m).max()),
         }
 
-    return _rows(find_slides(spark, folder, pattern, ordered=False).select("slide", "path"), one, TISSUE)
+    return each_row(find_slides(spark, folder, pattern, ordered=False).select("slide", "path"), one, TISSUE)
 
 
 def unpacked(data: bytes, h: int, w: int) -> np.ndarray:
@@ -96,7 +96,7 @@ def tiles(masks: DataFrame, slides: DataFrame, cfg: Config) -> DataFrame:
                 yield {"slide": r["slide"], "x": x, "y": y, "size": t.tile_size, "tissue_fraction": f, "um2_per_px": r["mpp_x"] * r["mpp_y"], "crop_w": crop.shape[1], "crop_h": crop.shape[0], "crop": np.packbits(crop).tobytes()}
 
     d = masks.where("error IS NULL").join(slides.where("error IS NULL").select("slide", "width", "height", "mpp_x", "mpp_y"), "slide")
-    return _rows(d, one, TILES)
+    return each_row(d, one, TILES)
 
 
 def _with_paths(spark: SparkSession, tiles: DataFrame, folder: str, pattern: str) -> DataFrame:
@@ -117,15 +117,22 @@ class _Slides:
         return self.slide
 
 
-def regions(spark: SparkSession, tiles: DataFrame, folder: str, cfg: Config, whites: tuple[int, ...] = (), pattern: str = "*.png") -> DataFrame:
-    """Every region of every tile, measured before any filter, once for each threshold."""
-    fat = [replace(cfg.fat, white_threshold=w) for w in (whites or (cfg.fat.white_threshold,))]
-
+def each_tile(spark: SparkSession, tiles: DataFrame, folder: str, fn: Callable[[dict, np.ndarray, np.ndarray], Iterator[dict]], ddl: str, pattern: str = "*.png") -> DataFrame:
+    """fn(row, pixels, tissue) on every tile."""
     slides = _Slides()
 
     def one(t: dict) -> Iterator[dict]:
         rgb = slides(t["path"]).region(t["x"], t["y"], t["size"])
-        ground = K.resized(unpacked(t["crop"], t["crop_h"], t["crop_w"]), t["size"], t["size"])
+        yield from fn(t, rgb, K.resized(unpacked(t["crop"], t["crop_h"], t["crop_w"]), t["size"], t["size"]))
+
+    return each_row(_with_paths(spark, tiles, folder, pattern), one, ddl)
+
+
+def regions(spark: SparkSession, tiles: DataFrame, folder: str, cfg: Config, whites: tuple[int, ...] = (), pattern: str = "*.png") -> DataFrame:
+    """Every region of every tile, measured before any filter, once for each threshold."""
+    fat = [replace(cfg.fat, white_threshold=w) for w in (whites or (cfg.fat.white_threshold,))]
+
+    def one(t: dict, rgb: np.ndarray, ground: np.ndarray) -> Iterator[dict]:
         um2 = t["um2_per_px"]
         for f in fat:
             lab, threshold = K.segment(rgb, ground, f)
@@ -136,7 +143,7 @@ def regions(spark: SparkSession, tiles: DataFrame, folder: str, cfg: Config, whi
                     "touches_border": g.touches_border, "threshold": threshold,
                 }
 
-    return _rows(_with_paths(spark, tiles, folder, pattern), one, REGIONS)
+    return each_tile(spark, tiles, folder, one, REGIONS, pattern)
 
 
 def tile_ground(tiles: DataFrame) -> DataFrame:
@@ -146,21 +153,17 @@ def tile_ground(tiles: DataFrame) -> DataFrame:
         m = K.resized(unpacked(r["crop"], r["crop_h"], r["crop_w"]), r["size"], r["size"])
         yield {"slide": r["slide"], "x": r["x"], "y": r["y"], "tissue_area_um2": float(m.sum()) * r["um2_per_px"]}
 
-    return _rows(tiles.where("error IS NULL"), one, GROUND).withColumn("tile", F.struct("x", "y"))
+    return each_row(tiles.where("error IS NULL"), one, GROUND).withColumn("tile", F.struct("x", "y"))
 
 
 def votes(spark: SparkSession, tiles: DataFrame, folder: str, members: list[tuple[str, Fat]], pattern: str = "*.png") -> DataFrame:
     """Votes of an ensemble for every pixel of every tile, with the tile's pixels."""
 
-    slides = _Slides()
-
-    def one(t: dict) -> Iterator[dict]:
-        rgb = slides(t["path"]).region(t["x"], t["y"], t["size"])
-        ground = K.resized(unpacked(t["crop"], t["crop_h"], t["crop_w"]), t["size"], t["size"])
+    def one(t: dict, rgb: np.ndarray, ground: np.ndarray) -> Iterator[dict]:
         v, pct = K.votes(rgb, ground, members, t["um2_per_px"])
         yield {
             "slide": t["slide"], "x": t["x"], "y": t["y"], "size": t["size"], "image": rgb.tobytes(), "ground": np.packbits(ground).tobytes(), "votes": v.tobytes(), "members": len(members),
             "tissue_area_um2": float(ground.sum()) * t["um2_per_px"], "um2_per_px": t["um2_per_px"], "member_pct": pct,
         }
 
-    return _rows(_with_paths(spark, tiles, folder, pattern), one, VOTES)
+    return each_tile(spark, tiles, folder, one, VOTES, pattern)

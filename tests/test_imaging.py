@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera import cli
 from tessera.config import Config, Tiling, Tissue, TUNED
-from tessera.export import files
-from tessera.kernels import draw
+from tessera.export import files, pictures
+from tessera.kernels import draw, figures
 from tessera.operators import ensemble, tally
 from tessera.plans import imaging
 from tessera.sources import png
@@ -157,10 +157,61 @@ def test_drawing():
     assert draw.confidence_rgb(m * np.uint8(9), 9)[10, 10].tolist() == [255, 255, 0] and (draw.scale_bar(rgb, 1.0, 5)[-9, -9] == 0).all()
 
 
+def test_figures():
+    rgb, m = np.full((64, 64, 3), 100, np.uint8), np.zeros((64, 64), bool)
+    m[10:30, 10:30] = True
+    assert figures.lettering("I", 1).astype(int).tolist() == [[1, 1, 1], [0, 1, 0], [0, 1, 0], [0, 1, 0], [1, 1, 1]]
+    assert figures.captioned(rgb, "a caption that is far too long for it").shape == (92, 64, 3) and figures.bar("", 3).shape == (28, 3, 3)
+    assert figures.tile_caption({"macro": [25.0, 25.0]}, 1000.0) == "macro n=2 5.00% micro n=0 0.00%" and "0.00%" in figures.tile_caption({}, 0.0)
+    f = figures.tile_figure(rgb, m, ~m)
+    assert f.shape == (92, 3 * 64 + 12, 3) and (f[28 + 15, 64 + 6 + 15] == (255, 0, 0)).all()
+    t = figures.tissue_figure(np.full((32, 48, 3), 90, np.uint8), m, caption="x")
+    assert t.shape == (32 + 28 + 26, 3 * 48 + 24, 3) and (t[28 + 7, 48 + 12 + 10] == 255).all()
+    assert figures.framed(rgb, 1.0).shape == (66, 66, 3) and (figures.framed(rgb, 2.0)[-12, -12] == 0).all()
+    assert figures.label_note(m, 1.25) == "1.2% area, 1 droplets"
+    page = figures.pdf(f)
+    assert page.startswith(b"%PDF") and page[int(page.split(b"startxref\n")[1].split()[0]) :].startswith(b"xref")
+
+
+def test_pictures_of_a_run_and_of_a_dataset(spark, folder, tmp_path):
+    grid = imaging.tiles(imaging.tissue(spark, folder, CFG, "s*.png"), src.slides(spark, folder, "s*.png"), CFG)
+    made = pictures.save_tiles(spark, pictures.chosen(grid, CFG), folder, CFG, f"{tmp_path}/p", "s*.png").collect()
+    assert len(made) == 8 and all(r.error is None and r.qc for r in made) and len(glob.glob(f"{tmp_path}/p/*/*/*.png")) == 24
+    top = next(r for r in made if (r.slide, r.x, r.y) == ("s9", 0, 0))
+    assert (png.decode(open(top.tile, "rb").read())[60, 40] == 245).all() and png.decode(open(top.mask, "rb").read())[60, 40] == 255 and "macro n=1" in top.caption
+    few = CFG.with_values({"tiling.save_tiles": False, "qc.contact_sheet_tiles": 1})
+    assert [r.tile for r in pictures.save_tiles(spark, pictures.chosen(grid, few), folder, few, f"{tmp_path}/q", "s*.png").collect()] == [None, None]
+    none = few.with_values({"qc.save_per_tile_qc": False})
+    assert pictures.chosen(grid, none).count() == 0
+    t = pictures.tissue_figures(spark, imaging.tissue(spark, folder, CFG), folder, CFG, f"{tmp_path}/t").collect()
+    assert sorted(r.slide for r in t) == ["s10", "s9"] and len(glob.glob(f"{tmp_path}/t/*_tissue.png")) == 2
+
+    v = imaging.votes(spark, grid, folder, ensemble.default_members(CFG.fat), "s*.png").withColumns({"cohort": F.lit("positive"), "split": F.lit("train")})
+    files.write_csv(files.export_dataset(v, str(tmp_path / "d")), f"{tmp_path}/manifest")
+    m = files.read_manifest(spark, f"{tmp_path}/manifest")
+    gone = spark.createDataFrame([m.first().asDict() | {"id": "gone"}], m.schema)
+    rows = pictures.label_pictures(spark, str(tmp_path / "d"), m.union(gone))
+    assert rows.count() == 9 and [r.id for r in rows.where("images_path IS NULL").collect()] == ["gone"]
+    best = rows.orderBy(F.desc("label_px")).first()
+    image, label, confidence = pictures.load_label(best.asDict())
+    assert image.shape == (128, 128, 3) and int(label.sum()) == best.label_px and int((confidence == 1).sum()) == best.unanimous_px
+    out = pictures.dataset_figures(rows, {best.id: "most"}, 9, str(tmp_path / "f"))
+    assert len(out) == 9 and all(open(p, "rb").read(4) in (b"%PDF", b"\x89PNG") for p in out)
+    with pytest.raises(KeyError):
+        pictures.dataset_figures(rows, {"gone": "x"}, 9, str(tmp_path / "f"))
+
+
 def test_command_line(spark, folder, tmp_path, capsys):
     base = ["--group", f"a={folder}", "--set", "tiling.tile_size=128", "--set", "tiling.stride=128", "--set", "tissue.min_object_area_um2=0", "--set", "tissue.method=fixed", "--tiles", "3"]
     for command, extra in (("info", []), ("survey", []), ("run", []), ("sweep", ["--white-threshold", "200,210", "--group", f"b={folder}"])):
         assert cli.main([command, *base, *extra, "--out", f"{tmp_path}/{command}"]) == 0
+    said = capsys.readouterr()
+    assert said.out.index("a/s9 ") < said.out.index("a/s10 ") and "a/cut: open" in said.err
+    assert len(glob.glob(f"{tmp_path}/run/pictures/a/*/masks/*.png")) == len(glob.glob(f"{tmp_path}/run/pictures/a/*/qc/*.png")) > 0
+    assert cli.main(["batch", *base, "--no-save-tiles", "--contact-sheet-tiles", "1", "--out", f"{tmp_path}/batch"]) == 0
+    assert not glob.glob(f"{tmp_path}/batch/pictures/a/*/tiles") and len(glob.glob(f"{tmp_path}/batch/pictures/a/*/qc/*.png")) == 2
+    assert cli.main(["tissue", *base, "--out", f"{tmp_path}/tissue"]) == 0 and glob.glob(f"{tmp_path}/tissue/qc/a/*_tissue.png")
+    assert cli.config_of(cli.parser().parse_args(["run", *base, "--exclude-border", "--tissue-level", "1", "--fat-method", "otsu"])).fat.exclude_border
     assert glob.glob(f"{tmp_path}/run/tiles_csv/a/*.csv") and glob.glob(f"{tmp_path}/sweep/sweep_scored/*.csv")
     with pytest.raises(KeyError):
         cli.main(["info", *base, "--set", "fat.nope=1"])
