@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import sample_key
+from tessera.operators.ranks import quantiles
 
 
 def sample_tiles(tiles: DataFrame, n: int, seed: int) -> DataFrame:
@@ -74,12 +75,12 @@ def with_split(rows: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def stratified_pick(candidates: DataFrame, n: int, strata: int, seed: int, value: str = "macro_pct") -> DataFrame:
-    """At most n rows of (slide, x, y, value), spread over quantile strata of the value, topped up from the rest."""
-    key = sample_key(seed, F.col("slide"), F.col("x"), F.col("y"))
-    edges = candidates.agg(F.percentile(value, F.array(*[F.lit(i / strata) for i in range(strata + 1)])).alias("e"), F.count("*").alias("total"))
-    d = candidates.withColumn("key", key).join(F.broadcast(edges))
-    # the stratum is the last whose lower edge is not above the value; the top edge belongs to the last one
-    at = F.aggregate(F.sequence(F.lit(1), F.lit(strata - 1)), F.lit(0), lambda a, i: F.when(F.col(value) >= F.get("e", i), i).otherwise(a)) if strata > 1 else F.lit(0)
+    """At most n rows of (slide, x, y, value), spread over quantile strata of the value, topped up from the rest. The edges of the strata are found at once."""
+    edges = quantiles(candidates, value, [i / strata for i in range(1, strata)]) or []
+    total = candidates.agg(F.count("*").alias("total"))
+    d = candidates.withColumn("key", sample_key(seed, F.col("slide"), F.col("x"), F.col("y"))).join(F.broadcast(total))
+    # the stratum is the last whose lower edge is not above the value
+    at = sum((F.when(F.col(value) >= e, 1).otherwise(0) for e in edges), F.lit(0))
     per = F.greatest(F.lit(1), F.floor(F.least(F.lit(n), F.col("total")) / strata))
     d = d.withColumn("stratum", at)
     # no stratum can give more than n rows, which the planner turns into a limit before the shuffle

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Fat
 from tessera.functions.scalar import ratio
+from tessera.operators import ranks
 from tessera.operators.classify import literals, verdict
 from tessera.operators.tally import tally_columns
 
@@ -74,16 +75,14 @@ def score_sweep(df: DataFrame, positive: str = "positive", negative: str = "nega
     return out.orderBy(F.desc_nulls_last("margin"), *parameter_keys(df))
 
 
-def auc(df: DataFrame, keys: Sequence[str], positive: str = "positive", negative: str = "negative", value: str = "macro_pct") -> DataFrame:
+def auc(df: DataFrame, keys: Sequence[str], positive: str = "positive", negative: str = "negative", value: str = "macro_pct", slots: int = ranks.SLOTS) -> DataFrame:
     """(keys, auc): the chance that a positive row exceeds a negative one, ties counting half; null for an absent cohort.
 
-    Rows are counted by distinct value first, so ties cost one row and no value's rows meet in one task.
+    Rows are counted by distinct value first, so ties cost one row; a key's values are ranked in ``slots`` tasks (one is enough where a key has few rows).
     """
     n = df.where(F.col("group").isin(positive, negative)).groupBy(*keys, value).agg(F.count(_of(F.lit(1), positive)).alias("p"), F.count(_of(F.lit(1), negative)).alias("q"))
-    below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    w = n.withColumn("under", F.coalesce(F.sum("q").over(below), F.lit(0)))
-    g = w.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("under") + F.col("q") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    return g.select(*keys, F.try_divide(F.col("u"), (F.col("np") * F.col("nq")).cast("double")).alias("auc"))
+    g = ranks.pairs_above(n, keys, value, "p", "q", slots)
+    return g.select(*keys, F.try_divide(F.col("u"), (F.col("p") * F.col("q")).cast("double")).alias("auc"))
 
 
 def score_cells(df: DataFrame, slides: DataFrame | None = None, positive: str = "positive", negative: str = "negative", value: str = "macro_pct", with_auc: bool = True) -> DataFrame:

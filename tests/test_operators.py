@@ -4,12 +4,13 @@ import math
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import TUNED, Config, Fat, read_yaml, write_yaml
 from tessera.functions import scalar as S
-from tessera.operators import classify, ensemble, sampling, sweep, tally, validate
+from tessera.operators import classify, ensemble, ranks, sampling, sweep, tally, validate
 
 FAT = TUNED.fat
 SCHEMA = "slide long, tile int, white int, area_um2 double, circularity double, solidity double, eccentricity double, touches_border boolean"
@@ -75,6 +76,26 @@ def test_auc(spark):
     assert swap == pytest.approx(1 - got[1])
 
 
+def test_auc_over_slots(spark):
+    r = random.Random(4)
+    rows = [(k, r.choice(["positive", "negative"]), r.choice([None, -1.5, 0.0, r.gauss(0, 3), r.gauss(k, 1)])) for k in (1, 2) for _ in range(300)] + [(None, "positive", 2.0), (None, "negative", 1.0)]
+    d = spark.createDataFrame(rows, "k int, group string, macro_pct double")
+    low = [(k, g, -1e9 if v is None else v) for k, g, v in rows]
+    for slots in (1, 2, 7, 128):
+        got = {x.k: x.auc for x in sweep.auc(d, ["k"], slots=slots).collect()}
+        assert got[None] == 1.0 and all(got[k] == pytest.approx(plain_auc(*[[v for a, g, v in low if (a, g) == (k, c)] for c in ("positive", "negative")])) for k in (1, 2))
+
+
+def test_quantiles(spark):
+    r = random.Random(5)
+    shares = [0, 0.1, 1 / 3, 0.5, 0.9, 1]
+    for values in ([3.0], [1.0, 2.0], [0.0] * 50 + [1.0], [r.choice([0.0, r.gauss(0, 1), r.randrange(5)]) * 1.0 for _ in range(500)]):
+        d = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+        for slots in (2, 16):
+            assert ranks.quantiles(d, "x", shares, slots) == pytest.approx([float(np.quantile(values, s)) for s in shares])
+    assert ranks.quantiles(d.where("x IS NULL"), "x", shares) is None
+
+
 def test_splits_match_greedy_dealing(spark):
     def greedy(names, sev):
         n = len(names)
