@@ -16,10 +16,11 @@ Scale: two passes over the texts, which are never shuffled. What a task needs to
 bit filter of fixed size; windows, counts and places are tables that the planner joins by size, so the
 benchmark may grow like the documents. Documents are told apart by 128 bits of (id, text).
 
-Defined results: null or empty texts have no words, so nothing in them is hit, and null texts or ids of items
+Defined results: null or empty texts have no words, so nothing in them is hit, and null texts of items
 have no windows; rows of one item id are one item; every document row has its own result, also
 where ids are null or repeated with the same or another text; empty tables give an empty result or
-all-clean rows. Other columns are ignored, whatever their names.
+all-clean rows. Windows of items without an id are hit like others: all such items together are one, which counts in the number
+of items and has no name in their list. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def document_counts(docs: DataFrame, text_col: str, vocabulary: DataFrame) -> Da
 
 def window_index(docs: DataFrame, bench: DataFrame, work: Workspace, window: int, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
     """The windows that can occur, (token, at, n, words, w1, w2) with the rarest shingle and its place, and (w1, w2, item): the items that hold them."""
-    items = bench.select(bench[item_col].cast("string").alias("item"), bench[item_text_col].cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
+    items = bench.select(bench[item_col].cast("string").alias("item"), bench[item_text_col].cast("string").alias("text")).where("text IS NOT NULL").distinct()
     cut = work.save(windows_of(items, window).withColumns({"w1": F.xxhash64("words"), "w2": F.xxhash64(F.lit(2), "words")}), "windows")
     holders = cut.select("w1", "w2", "item").distinct()
     own = cut.select("w1", "w2", "words", "tokens").dropDuplicates(["w1", "w2"])
@@ -179,7 +180,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, i
 def find_leaks(
     docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """(id, n_words, spans, items) of every document row: hit word ranges, and the sorted ids (as text) of the items found in it."""
+    """(id, n_words, spans, items, unnamed) of every document row: hit word ranges, the sorted ids (as text) of the items found in it, and whether one without an id is."""
     work = Workspace(docs.sparkSession, "leaks")
     index, holders = window_index(docs, bench, work, window, text_col, item_col, item_text_col)
     rows, hits = occurrences(docs, index, work, window, id_col, text_col)
@@ -190,16 +191,16 @@ def find_leaks(
     run = hits.select("k1", "k2", "s", "e").distinct().withColumn("new", F.coalesce((F.col("s") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     span = run.groupBy("k1", "k2", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     spans = span.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
-    held = hits.select("k1", "k2", "w1", "w2").distinct().join(holders, ["w1", "w2"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    held = hits.select("k1", "k2", "w1", "w2").distinct().join(holders, ["w1", "w2"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"), F.bool_or(F.col("item").isNull()).alias("unnamed"))
     out = rows.join(spans.join(held, ["k1", "k2"]), ["k1", "k2"], "left")
     none = F.array().cast(T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])))
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("unnamed", F.lit(False)).alias("unnamed"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The findings as counts: n_words, n_hit, n_items, SHA-256 of the sorted item ids, contaminated."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x.e - x.s)
     return found.select(
-        id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        id_col, "n_words", n_hit.alias("n_hit"), (F.size("items") + F.col("unnamed").cast("int")).cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )

@@ -51,25 +51,9 @@ def mix(z: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0xD6E8FEB86659FD93 | 1
-_LETTER = _splitmix(257, 17)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", inverse)):
-                p = np.empty(size, np.uint64)
-                p[0], have = 1, 1
-                while have < size:
-                    step = np.uint64(pow(base, have, 1 << 64))
-                    p[have : 2 * have] = p[:have] * step
-                    have *= 2
-                _POWERS[name] = p
-    return _POWERS["up"], _POWERS["down"]
+_FIRST, _LENGTH, _PREFIX = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0x5851F42D4C957F2D, 0xDB4F0B9175AE2165))
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,17 +81,21 @@ def blocks(col: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.nd
 
 
 class Words:
-    """Words of consecutive rows: byte starts ``s`` and last bytes ``e``, first word of each row in ``edge`` (one more than rows)."""
+    """Words of consecutive rows: byte starts ``s`` and last bytes ``e``, first word of each row in ``edge`` (one more than rows).
+
+    ``low`` holds the folded bytes. A word's hash is a sum over its blocks of eight bytes, each scrambled with its place before
+    it is added, so no pattern of letters cancels out as it does in a polynomial of the letters.
+    """
 
     def __init__(self, data: np.ndarray, off: np.ndarray, table: np.ndarray):
         n = len(data)
         if n == 0:
             self.s = self.e = np.empty(0, np.int64)
             self.edge = np.zeros(len(off), np.int64)
-            self.run, self.before = np.empty(0, np.uint64), np.empty(0, np.uint64)
+            self.low, self.inside = np.zeros(8, np.uint8), np.empty(0, bool)
             return
-        low = table[data]
-        inside = low > 0
+        folded = table[data]
+        inside = folded > 0
         first = np.zeros(n + 1, bool)
         first[off] = True
         begins = inside.copy()
@@ -116,25 +104,42 @@ class Words:
         ends[:-1] &= ~inside[1:] | first[1:n]
         self.s, self.e = np.flatnonzero(begins), np.flatnonzero(ends)
         self.edge = np.searchsorted(self.s, off)
-        up, self.down = _powers(n)
-        with np.errstate(over="ignore"):
-            self.run = np.cumsum(_LETTER[low] * up[:n], dtype=np.uint64)
-        self.before = np.where(self.s > 0, self.run[np.maximum(self.s - 1, 0)], np.uint64(0))
+        self.low, self.inside = np.zeros(n + 8, np.uint8), inside
+        self.low[:n] = folded.astype(np.uint8)  # a word byte that the table marks as 256 is NUL
+
+    def _load(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """The first ``size`` (at most 8) folded bytes from each place, as a number."""
+        every = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))
+        return every[at] & _MASK[size]
 
     def hashes(self) -> np.ndarray:
         if not len(self.s):
             return np.empty(0, np.uint64)
+        size = self.e - self.s + 1
         with np.errstate(over="ignore"):
-            return mix((self.run[self.e] - self.before) * self.down[self.s] + (self.e - self.s + 1).astype(np.uint64))
+            h = mix(self._load(self.s, np.minimum(size, 8)) ^ _FIRST)
+            long = np.flatnonzero(size > 8)
+            if len(long):
+                more = (size[long] - 1) // 8
+                at = np.cumsum(more) - more
+                j = np.arange(more.sum()) - np.repeat(at, more) + 1
+                whose = np.repeat(long, more)
+                block = mix(self._load(self.s[whose] + 8 * j, np.minimum(size[whose] - 8 * j, 8)) ^ _FIRST)
+                h[long] += np.add.reduceat(mix(block ^ mix(j.astype(np.uint64))), at)
+            return mix(h ^ size.astype(np.uint64) * _LENGTH)
 
     def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(indexes of the words longer than size bytes, hashes of their first size bytes)."""
+        """(indexes of the words longer than size bytes, hashes of their first size bytes, of which there are at most 8)."""
         at = np.flatnonzero(self.e - self.s + 1 > size)
-        if not len(at):
-            return at, np.empty(0, np.uint64)
-        s = self.s[at]
         with np.errstate(over="ignore"):
-            return at, mix(((self.run[s + size - 1] - self.before[at]) * self.down[s] + np.uint64(size)) ^ np.uint64(0x5851F42D4C957F2D))
+            return at, mix(mix(self._load(self.s[at], size) ^ _PREFIX) + np.uint64(size) * _LENGTH)
+
+    def strings(self) -> pa.StringArray:
+        """The folded words as an Arrow column."""
+        off = np.concatenate([[0], np.cumsum(self.e - self.s + 1)])
+        bytes_ = pa.py_buffer(self.low[: len(self.inside)][self.inside].tobytes())
+        kind, width = (pa.StringArray, np.int32) if off[-1] < 1 << 31 else (pa.LargeStringArray, np.int64)
+        return kind.from_buffers(len(self.s), pa.py_buffer(off.astype(width)), bytes_)
 
 
 def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ def brute(docs, bench, n=10):
         w = words(t)
         if w:
             k = min(n, len(w))
-            wins |= {(tuple(w[a : a + k]), str(i)) for a in range(len(w) - k + 1)}
+            wins |= {(tuple(w[a : a + k]), None if i is None else str(i)) for a in range(len(w) - k + 1)}
     out = []
     for d, t in docs:
         w, hit, items = words(t), set(), set()
@@ -24,7 +24,7 @@ def brute(docs, bench, n=10):
                 if tuple(w[a : a + len(win)]) == win:
                     hit |= set(range(a, a + len(win)))
                     items.add(i)
-        out.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items - {None})).encode()).hexdigest(), bool(hit)))
     return sorted(out)
 
 
@@ -50,10 +50,10 @@ def test_matches_brute_force(spark):
 def test_every_row_has_its_own_result(spark):
     docs, bench = fixture()
     docs += [(9, "clean words"), (None, "no id"), (None, bench[4][1]), (102, None), (None, None)]
-    bench += [(4, "another row of item four " + docs[7][1]), (4, bench[4][1] + " and more words that follow"), (None, docs[8][1])]
+    bench += [(4, "another row of item four " + docs[7][1]), (4, bench[4][1] + " and more words that follow"), (None, docs[8][1]), (None, "no id"), (None, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as k1", "2 as word", "3 as token", "4 as id")
     b = spark.createDataFrame(bench, "item_id long, text string").selectExpr("*", "'x' as item", "1 as words")
-    want = sorted(brute([(-1 if i is None else i, t) for i, t in docs], [x for x in bench if x[0] is not None]))
+    want = sorted(brute([(-1 if i is None else i, t) for i, t in docs], bench))
     got = D.digest(D.find_leaks(d, b)).collect()
     assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == want
     assert any(r[3] > 1 for r in want)
@@ -95,3 +95,32 @@ def test_clean_rows_stay_whole(spark):
     out = D.drop_contaminated(d, b)
     assert out.columns == d.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect()) == want
     assert D.drop_contaminated(d, b.limit(0)).count() == len(docs) and D.drop_contaminated(d.limit(0), b).count() == 0
+
+
+def test_items_without_an_id(spark):
+    """They hit words and count as one item, as in the SQL."""
+    import duckdb
+
+    from tessera.llm import catalog
+    from tests.sqlcompare import assert_same
+
+    docs = [(1, "x y z"), (2, "q x Y z q"), (3, "a b"), (4, "x y z a b")]
+    bench = [(None, "x y z"), (None, "a b"), (7, "a b"), (None, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in D.digest(D.find_leaks(d, b)).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 1, True), 3: (2, 2, True), 4: (5, 2, True)}
+    con = duckdb.connect()
+    for name, rows, ddl in (("documents", docs, "doc_id BIGINT"), ("benchmark", bench, "item_id BIGINT")):
+        con.execute(f"CREATE TABLE {name} ({ddl}, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    assert_same(D.digest(D.find_leaks(d, b)), con, catalog.ORACLE_SQL["op2_decontamination"])
+
+
+def test_structured_long_words_are_told_apart(spark):
+    from tests.llm.test_textkit import twins
+
+    for size in (512, 2048):
+        a, b = twins(size)
+        d = spark.createDataFrame([(1, a + " x y z"), (2, b + " x y z")], "doc_id long, text string")
+        got = {r.doc_id: r.n_hit for r in D.digest(D.find_leaks(d, spark.createDataFrame([(1, a)], "item_id long, text string"))).collect()}
+        assert got == {1: 1, 2: 0}

@@ -108,3 +108,12 @@ def test_star_contraction_on_paths_and_hubs(spark):
             up[max(x, y)] = min(x, y)
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test"))
     assert sorted(map(tuple, got.collect())) == sorted((x, root(x)) for x in up)
+
+
+def test_structured_long_words_are_told_apart(spark):
+    from tests.llm.test_textkit import twins
+
+    docs = [(2 * i + j, w + " x y z") for i, size in enumerate((512, 1024, 8192)) for j, w in enumerate(twins(size))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = near_duplicates(spark, df, size=2, percent=80)
+    assert sorted(tuple(r)[:4] for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()) == brute(docs, 2)
