@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, main_text, near_dup, quality_model, quality_rules, toxicity
+from tessera.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, main_text, near_dup, periodic, quality_model, quality_rules, toxicity
 from tessera.llm.tables import table
 from tessera.llm.workspace import Workspace
 
@@ -68,6 +68,11 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, and the digest of its text without their repetitions."""
+    return periodic.digest(periodic.scan(table(spark, sf_dir, "documents"), order=periodic.planted_order))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents table."""
     import corpus_pipeline
@@ -87,6 +92,7 @@ QUERIES = {
     "op5_near_dup": op5_near_dup,
     "op2_decontamination": op2_decontamination,
     "op6_bpe": op6_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 #: The SQL engine's edit distance counts bytes, so the tables' letters beyond ASCII are given one-byte stand-ins.
@@ -123,6 +129,7 @@ SELECT doc_id, line_no, first.d AS class_doc_id, first.k AS class_line_no, CAST(
 FROM occ JOIN c USING (line) LEFT JOIN deg USING (c)
 """,
     "op3_license_scan": license_scan.duckdb_sql(),
+    "op12_periodic_runs": periodic.duckdb_sql(),
     "op10_quality_rules": r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,

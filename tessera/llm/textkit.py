@@ -27,6 +27,14 @@ def space_split_table() -> np.ndarray:
     return t
 
 
+def space_table() -> np.ndarray:
+    """As ``space_split_table``, with letters as they are."""
+    t = np.arange(256, dtype=np.uint16)
+    t[0] = 256
+    t[_SPACE] = 0
+    return t
+
+
 def alnum_table() -> np.ndarray:
     """Byte -> lower-cased byte for 0-9, a-z, A-Z and all bytes of non-ASCII characters, else 0."""
     t = _lower_table().astype(np.uint16)

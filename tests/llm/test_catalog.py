@@ -12,4 +12,4 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert {k.split("_")[0] for k in catalog.QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert {k.split("_")[0] for k in catalog.QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 14))}
