@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, main_text, near_dup, periodic, quality_model, quality_rules, toxicity
+from tessera.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, main_text, near_dup, periodic, quality_model, quality_rules, resample, toxicity
 from tessera.llm.tables import table
 from tessera.llm.workspace import Workspace
 
@@ -68,6 +68,11 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document for the benchmark's distribution, and the ranks of a quarter drawn by it."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, and the digest of its text without their repetitions."""
     return periodic.digest(periodic.scan(table(spark, sf_dir, "documents"), order=periodic.planted_order))
@@ -92,6 +97,7 @@ QUERIES = {
     "op5_near_dup": op5_near_dup,
     "op2_decontamination": op2_decontamination,
     "op6_bpe": op6_bpe,
+    "op11_importance_resampling": op11_importance_resampling,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
@@ -129,6 +135,7 @@ SELECT doc_id, line_no, first.d AS class_doc_id, first.k AS class_line_no, CAST(
 FROM occ JOIN c USING (line) LEFT JOIN deg USING (c)
 """,
     "op3_license_scan": license_scan.duckdb_sql(),
+    "op11_importance_resampling": resample.duckdb_sql(),
     "op12_periodic_runs": periodic.duckdb_sql(),
     "op10_quality_rules": r"""
 WITH w AS (
