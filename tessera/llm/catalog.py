@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, main_text, near_dup, periodic, quality_model, quality_rules, resample, toxicity
+from tessera.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, main_text, near_dup, periodic, quality_model, quality_rules, resample, secret_scan, toxicity
 from tessera.llm.tables import table
 from tessera.llm.workspace import Workspace
 
@@ -78,6 +78,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.scan(table(spark, sf_dir, "documents"), order=periodic.planted_order))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base matches and spans that inferred grammars add."""
+    return secret_scan.digest(secret_scan.scan(spark, table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents table."""
     import corpus_pipeline
@@ -99,6 +104,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 #: The SQL engine's edit distance counts bytes, so the tables' letters beyond ASCII are given one-byte stand-ins.
