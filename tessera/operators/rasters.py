@@ -60,17 +60,17 @@ def label_kernel(white: int) -> Callable[[np.ndarray], list[tuple]]:
 
 
 def otsu_thresholds(values: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, threshold) from one row for each pixel: 256-bin histograms by partial aggregation, then prefix sums.
+    """(key, threshold) from one row for each pixel: histograms by partial aggregation, of which each key's, at most 256 counts, meets the kernel's exact rule."""
+    hist = values.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("int").alias("v")).agg(F.count("*").alias("c"))
+    d = hist.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("h")).select(key, "h.v", "h.c")
+    out = T.StructType([T.StructField(key, values.schema[key].dataType), T.StructField("threshold", T.IntegerType())])
 
-    Variances are compared at six decimals, halves upwards: levels of equal variance differ in their last bits, and the smallest is due.
-    """
-    hist = values.groupBy(key, F.col(value).cast("int").alias("v")).agg(F.count("*").alias("c"))
-    run = Window.partitionBy(key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(key)
-    d = hist.withColumns({"n": F.sum("c").over(run).cast("double"), "m": F.sum(F.col("c") * F.col("v")).over(run).cast("double"), "total": F.sum("c").over(every).cast("double"), "mass": F.sum(F.col("c") * F.col("v")).over(every).cast("double"), "lo": F.min("v").over(every), "hi": F.max("v").over(every)})
-    gap = F.col("m") / F.col("n") - F.try_divide(F.col("mass") - F.col("m"), F.col("total") - F.col("n"))
-    d = d.withColumn("between", F.round(F.col("n") * (F.col("total") - F.col("n")) * gap * gap * F.lit(1e6)) / F.lit(1e6))
-    return d.groupBy(key).agg(F.when(F.min("lo") == F.max("hi"), F.min("lo")).otherwise(-F.max(F.when(F.col("v") < F.col("hi"), F.struct("between", (-F.col("v")).alias("v")))).getField("v")).alias("threshold"))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = [K.otsu_level(v, c) for v, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int32())], names=out.names)
+
+    return d.mapInArrow(run, out)
 
 
 def region_rows(labelled: DataFrame, key: str = "id") -> DataFrame:

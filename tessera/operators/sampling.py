@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalar import sample_key
 from tessera.operators.ranks import quantiles
+from tessera.operators.rownumbers import number_rows
 
 
 def sample_tiles(tiles: DataFrame, n: int, seed: int) -> DataFrame:
@@ -49,23 +50,26 @@ def plan_splits(slides: DataFrame, val_fraction: float = 0.2, test_fraction: flo
     """(cohort, slide, split) from (cohort, slide, severity): every split spans the range of severity.
 
     Dealing each slide to the split that is furthest from its quota is the same as sorting all places
-    (split, j) by the share still open when they are filled; place number i goes to slide number i.
+    (split, j) by the share still open when they are filled; place number i goes to slide number i. Runs at once: slides and
+    places are numbered over range partitions, so a cohort may be of any size.
     """
     sizes = slides.groupBy("cohort").agg(F.count("*").alias("n"))
     q = quotas(F.col("n"), val_fraction, test_fraction)
     places = sizes.select("cohort", F.explode(F.array(*[F.struct(F.lit(k).alias("split"), v.alias("quota")) for k, v in q.items()])).alias("s")).where("s.quota > 0")
     places = places.select("cohort", "s.split", "s.quota", F.explode(F.sequence(F.lit(0), F.col("s.quota") - 1)).alias("j"))
     left = (F.col("quota") - F.col("j")) / F.col("quota")
-    places = places.withColumn("at", F.row_number().over(Window.partitionBy("cohort").orderBy(F.desc(left), F.desc("quota"), F.desc("split"))))
-    order = Window.partitionBy("cohort").orderBy(F.coalesce("severity", F.lit(0.0)), "slide")
-    return slides.withColumn("at", F.row_number().over(order)).join(places.select("cohort", "at", "split"), ["cohort", "at"]).select("cohort", "slide", "split")
+    places = number_rows(places.withColumn("left", left), [F.desc("left"), F.desc("quota"), F.desc("split")], ["cohort"], "at")
+    placed = number_rows(slides.select("cohort", "slide", F.coalesce("severity", F.lit(0.0)).alias("severity")), [F.asc("severity"), F.asc("slide")], ["cohort"], "at")
+    same = placed["cohort"].eqNullSafe(places["cohort"]) & (placed["at"] == places["at"])
+    return placed.join(places, same).select(placed["cohort"], "slide", "split")
 
 
 def random_splits(slides: DataFrame, seed: int, val_fraction: float = 0.2, test_fraction: float = 0.2) -> DataFrame:
-    """(cohort, slide, split) by a seeded shuffle: test first, then validation."""
-    w = Window.partitionBy("cohort")
+    """(cohort, slide, split) by a seeded shuffle: test first, then validation. Runs at once, as ``plan_splits``."""
     q = quotas(F.col("n"), val_fraction, test_fraction)
-    d = slides.select("cohort", "slide", F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(sample_key(seed, F.col("slide")), "slide")).alias("at"))
+    d = number_rows(slides.select("cohort", "slide", sample_key(seed, F.col("slide")).alias("key")), [F.asc("key"), F.asc("slide")], ["cohort"], "at")
+    sizes = slides.groupBy(F.col("cohort").alias("of")).agg(F.count("*").alias("n"))
+    d = d.join(sizes, d["cohort"].eqNullSafe(sizes["of"]))
     return d.select("cohort", "slide", F.when(F.col("at") <= q["test"], "test").when(F.col("at") <= q["test"] + q["val"], "val").otherwise("train").alias("split"))
 
 

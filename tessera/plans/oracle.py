@@ -172,8 +172,12 @@ SQL = {
     "tile_names": f"WITH {BASE} SELECT slide, tile, printf('tile_x%06d_y%06d', x, y) AS tile_name FROM tiles",
     "slide_seed": f"WITH {BASE} SELECT slide, CAST(xor({CRC32}, 7) AS BIGINT) AS seed FROM slides",
     "white_mask": f"WITH {PIXELS} SELECT id, count(*) FILTER (WHERE gray >= 140) AS n_white FROM px GROUP BY id",
-    "otsu": f"""WITH {PIXELS}, t AS (SELECT id, t.v AS v, count(*) FILTER (WHERE gray <= t.v) AS n, count(*) FILTER (WHERE gray > t.v) AS m, avg(gray) FILTER (WHERE gray <= t.v) AS a, avg(gray) FILTER (WHERE gray > t.v) AS b FROM px JOIN (SELECT DISTINCT id, gray AS v FROM px) t USING (id) GROUP BY id, t.v)
-        SELECT id, CAST(v AS INT) AS threshold FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN m = 0 THEN -1 ELSE round(n * m * (a - b) * (a - b), 6) END DESC, v) = 1""",
+    # variances as whole quotients and three more digits to the base 10^12: exact up to rasters of 10^8 pixels
+    "otsu": f"""WITH {PIXELS}, h AS (SELECT id, gray AS v, count(*) AS c FROM px WHERE gray IS NOT NULL AND id IS NOT NULL GROUP BY id, gray),
+        s AS (SELECT id, v, CAST(sum(c) OVER run AS HUGEINT) AS n, CAST(sum(c * v) OVER run AS HUGEINT) AS m, CAST(sum(c) OVER (PARTITION BY id) AS HUGEINT) AS tn, CAST(sum(c * v) OVER (PARTITION BY id) AS HUGEINT) AS tm FROM h WINDOW run AS (PARTITION BY id ORDER BY v ROWS UNBOUNDED PRECEDING)),
+        q AS (SELECT id, v, (m * tn - tm * n) * (m * tn - tm * n) AS a, nullif(n * (tn - n), 0) AS b FROM s),
+        q1 AS (SELECT id, v, b, a // b AS d0, a % b * 1000000000000 AS r FROM q), q2 AS (SELECT id, v, b, d0, r // b AS d1, r % b * 1000000000000 AS r FROM q1), q3 AS (SELECT id, v, b, d0, d1, r // b AS d2, r % b * 1000000000000 AS r FROM q2)
+        SELECT id, CAST(v AS INT) AS threshold FROM q3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY d0 DESC NULLS LAST, d1 DESC NULLS LAST, d2 DESC NULLS LAST, r // b DESC NULLS LAST, v) = 1""",
     "morph_open": _morph("erode", "dilate"),
     "morph_close": _morph("dilate", "erode"),
     "fill_holes": f"""WITH RECURSIVE {PIXELS}, bg AS (SELECT id, y, x FROM px WHERE gray < 140),

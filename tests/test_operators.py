@@ -215,3 +215,55 @@ def test_otsu_takes_the_smallest_of_equal_variances(spark):
 
     got = rasters.otsu_thresholds(spark.createDataFrame([(i, v) for i, px in images.items() for v in px], "id long, gray int"), "id", "gray")
     assert dict(map(tuple, got.collect())) == {i: plain(px) for i, px in images.items()}
+
+
+def exact_otsu(count):
+    from fractions import Fraction
+
+    total, mass = sum(count), sum(v * c for v, c in enumerate(count))
+    best, at, n, m = Fraction(-1), None, 0, 0
+    for v, c in enumerate(count):
+        n, m = n + c, m + v * c
+        if c and 0 < n < total and Fraction((m * total - mass * n) ** 2, n * (total - n)) > best:
+            best, at = Fraction((m * total - mass * n) ** 2, n * (total - n)), v
+    return next(v for v, c in enumerate(count) if c) if at is None else at
+
+
+def test_otsu_is_exact_at_every_size(spark):
+    """Symmetric histograms have ties between far levels; rasters of 10^3 to 10^7 pixels, in kernel, operator and SQL."""
+    import random
+
+    import duckdb
+    import numpy as np
+
+    from pyspark.sql import functions as F
+
+    from tessera.kernels import raster as K
+    from tessera.operators import rasters
+    from tessera.plans.oracle import SQL
+
+    r = random.Random(21)
+    hists = []
+    for size, times in ((1_000, 120), (100_000, 80), (10_000_000, 6)):
+        for _ in range(times):
+            k = r.choice([3, 4, 5, 7, 9, 12])
+            half = [r.randint(1, max(1, size // k)) for _ in range((k + 1) // 2)]
+            counts = half + half[::-1][k % 2 :]
+            levels = [10 + r.choice([1, 7, 20]) * i for i in range(k)]
+            hists.append([dict(zip(levels, counts, strict=True)).get(v, 0) for v in range(256)])
+    want = [exact_otsu(h) for h in hists]
+    assert [K.otsu_level([v for v in range(256) if h[v]], [c for c in h if c]) for h in hists] == want
+    assert [K.otsu(np.repeat(np.arange(256, dtype=np.uint8), h)) for h in hists[:120]] == want[:120]
+    small = [(i, v) for i, h in enumerate(hists[:40]) for v, c in enumerate(h) for _ in range(c)]
+    got = rasters.otsu_thresholds(spark.createDataFrame(small, "id long, gray int"), "id", "gray").collect()
+    assert {x.id: x.threshold for x in got} == dict(enumerate(want[:40]))
+    # the operator on large rasters: pixels made on the executors
+    some = spark.createDataFrame([(i, v, c) for i in (-1, -2) for v, c in enumerate(hists[i]) if c], "id long, gray int, c long")
+    big = some.select("id", "gray", F.explode(F.array_repeat(F.lit(0), F.col("c").cast("int"))))
+    assert {x.id: x.threshold for x in rasters.otsu_thresholds(big, "id", "gray").collect()} == {-1: want[-1], -2: want[-2]}
+    # the SQL, from its histograms on
+    con = duckdb.connect()
+    con.execute("CREATE TABLE h (id BIGINT, v INT, c BIGINT)")
+    con.executemany("INSERT INTO h VALUES (?, ?, ?)", [(i, v, c) for i, h in enumerate(hists) for v, c in enumerate(h) if c])
+    rest = SQL["otsu"][SQL["otsu"].index("s AS (") :]
+    assert dict(con.execute("WITH " + rest).fetchall()) == dict(enumerate(want))
