@@ -18,7 +18,8 @@ from tessera.kernels import raster as K
 from tessera.operators.sampling import sample_tiles
 from tessera.plans import imaging
 from tessera.sources import png
-from tessera.sources.slides import find_slides, open_slide, read_file
+from tessera.sources.slides import find_slides, open_slide
+from tessera.sources.stores import read_file
 
 DRAWN = "slide string, x int, y int, size int, tile string, mask string, qc string, caption string, error string"
 KINDS = ("images", "labels", "confidence")
@@ -32,7 +33,7 @@ def chosen(grid: DataFrame, cfg: Config) -> DataFrame:
     return d if cfg.tiling.save_tiles else d.where("checked")
 
 
-def save_tiles(spark: SparkSession, grid: DataFrame, folder: str, cfg: Config, root: str, pattern: str = "*.png") -> DataFrame:
+def save_tiles(spark: SparkSession, grid: DataFrame, folder: str, cfg: Config, root: str, pattern: str = "*") -> DataFrame:
     """Writes tiles/, masks/ and qc/ below root/<slide>/ for the tiles given and returns the paths. A mask holds the large class, and the small one if it is labelled."""
 
     def one(t: dict, rgb: np.ndarray, ground: np.ndarray) -> Iterator[dict]:
@@ -55,7 +56,7 @@ def save_tiles(spark: SparkSession, grid: DataFrame, folder: str, cfg: Config, r
     return imaging.each_tile(spark, grid, folder, one, DRAWN, pattern)
 
 
-def tissue_figures(spark: SparkSession, masks: DataFrame, folder: str, cfg: Config, root: str, pattern: str = "*.png") -> DataFrame:
+def tissue_figures(spark: SparkSession, masks: DataFrame, folder: str, cfg: Config, root: str, pattern: str = "*") -> DataFrame:
     """Writes root/<slide>_tissue.png for every slide with a mask; (slide, figure, error)."""
 
     def one(r: dict) -> Iterator[dict]:

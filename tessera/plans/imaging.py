@@ -51,7 +51,7 @@ def each_row(df: DataFrame, fn: Callable[[dict], Iterator[dict]], ddl: str) -> D
     return df.mapInArrow(run, ddl)
 
 
-def tissue(spark: SparkSession, folder: str, cfg: Config, pattern: str = "*.png") -> DataFrame:
+def tissue(spark: SparkSession, folder: str, cfg: Config, pattern: str = "*") -> DataFrame:
     """One row for each slide: the tissue mask of the detection level as packed bits, with its statistics."""
     t = cfg.tissue
 
@@ -117,7 +117,7 @@ class _Slides:
         return self.slide
 
 
-def each_tile(spark: SparkSession, tiles: DataFrame, folder: str, fn: Callable[[dict, np.ndarray, np.ndarray], Iterator[dict]], ddl: str, pattern: str = "*.png") -> DataFrame:
+def each_tile(spark: SparkSession, tiles: DataFrame, folder: str, fn: Callable[[dict, np.ndarray, np.ndarray], Iterator[dict]], ddl: str, pattern: str = "*") -> DataFrame:
     """fn(row, pixels, tissue) on every tile."""
     slides = _Slides()
 
@@ -128,7 +128,7 @@ def each_tile(spark: SparkSession, tiles: DataFrame, folder: str, fn: Callable[[
     return each_row(_with_paths(spark, tiles, folder, pattern), one, ddl)
 
 
-def regions(spark: SparkSession, tiles: DataFrame, folder: str, cfg: Config, whites: tuple[int, ...] = (), pattern: str = "*.png") -> DataFrame:
+def regions(spark: SparkSession, tiles: DataFrame, folder: str, cfg: Config, whites: tuple[int, ...] = (), pattern: str = "*") -> DataFrame:
     """Every region of every tile, measured before any filter, once for each threshold."""
     fat = [replace(cfg.fat, white_threshold=w) for w in (whites or (cfg.fat.white_threshold,))]
 
@@ -156,7 +156,7 @@ def tile_ground(tiles: DataFrame) -> DataFrame:
     return each_row(tiles.where("error IS NULL"), one, GROUND).withColumn("tile", F.struct("x", "y"))
 
 
-def votes(spark: SparkSession, tiles: DataFrame, folder: str, members: list[tuple[str, Fat]], pattern: str = "*.png") -> DataFrame:
+def votes(spark: SparkSession, tiles: DataFrame, folder: str, members: list[tuple[str, Fat]], pattern: str = "*") -> DataFrame:
     """Votes of an ensemble for every pixel of every tile, with the tile's pixels."""
 
     def one(t: dict, rgb: np.ndarray, ground: np.ndarray) -> Iterator[dict]:

@@ -21,6 +21,7 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
     }
     for k, v in (defaults | conf).items():

@@ -1,16 +1,20 @@
 """Slide files as tables: discovery, metadata, windows of pixels.
 
 Spark lists the files; the task that needs pixels opens its slide by path and reads windows of it, so no file's bytes are
-in a row or a shuffle. PNG slides are read by this package from any store that Arrow opens, row by row: a task holds the
-packed file and the rows of one window. Pyramid formats are read through the optional ``openslide`` library from a folder that
-all machines mount.
+in a row or a shuffle. Two kinds are read by this package from any store that Arrow opens: pyramid files of the TIFF kind by the offsets
+of their tiles, and PNG slides row by row, for which a task holds the packed file and the rows of one window. What these cannot
+read goes through the optional ``openslide`` library, from a folder that all machines mount.
+
+``format("slides")`` is the same as a data source: a folder or list of files, as a table of slides or of the tiles of pyramid files; filters on
+``slide`` and ``level`` reach it, so only the files that they leave are opened.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import unquote
 
 import numpy as np
@@ -18,15 +22,19 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.functions.scalar import natural_key
-from tessera.sources import png
+from tessera.sources import png, stores
+from tessera.sources.stores import read_file
+from tessera.sources.tiff import Directory, TiffSlide, directories, paste, pyramid, unpack
 
 #: The file types that count as slides.
 SUFFIXES = ("svs", "tif", "tiff", "ndpi", "mrxs", "scn", "vms", "vmu", "bif", "png")
+#: Those that this package reads by offset.
+BY_OFFSET = ("svs", "tif", "tiff", "scn", "bif", "ndpi")
 LEVEL_STEP, LEVELS = 4, 3
 SCHEMA = (
     "slide string, path string, width int, height int, mpp_x double, mpp_y double, vendor string, objective string, "
@@ -130,19 +138,22 @@ class PyramidSlide:
         return np.asarray(self._file.get_thumbnail((longest, longest)))[..., :3]
 
 
-def read_file(path: str) -> bytes:
-    """The bytes of a file on any store that Arrow opens."""
-    where = re.sub(r"^file:/+", "file:///", path) if path.startswith("file:") else path
-    store, name = pafs.FileSystem.from_uri(where) if ":" in where.split("/")[0] else (pafs.LocalFileSystem(), where)
-    # the lister escapes names in its paths; the store takes them as they are
-    with store.open_input_file(unquote(name) if ":" in where.split("/")[0] else name) as f:
-        return f.read()
-
-
-def open_slide(path: str, data: bytes | None = None) -> RasterSlide | PyramidSlide:
-    if path.lower().endswith(".png"):
+def open_slide(path: str, data: bytes | None = None) -> RasterSlide | TiffSlide | PyramidSlide:
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix == "png":
         return RasterSlide(read_file(path) if data is None else data)
-    return PyramidSlide(unquote(re.sub(r"^file:/+", "/", path)))
+    refused = None
+    if suffix in BY_OFFSET:
+        try:
+            return TiffSlide(path)
+        except ValueError as e:
+            refused = e
+        except OSError:
+            pass  # not on a store that Arrow opens
+    try:
+        return PyramidSlide(unquote(re.sub(r"^file:/+", "/", path)))
+    except ValueError as e:
+        raise refused or e from None
 
 
 def find_slides(spark: SparkSession, folder: str, pattern: str = "*", ordered: bool = True) -> DataFrame:
@@ -155,7 +166,15 @@ def find_slides(spark: SparkSession, folder: str, pattern: str = "*", ordered: b
 
 
 def file_digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of every file, whatever its size: tasks read by path, a chunk at a time."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for path in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([stores.digest(path)])], names=["path", "sha256"])
+
+    d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    return d.mapInArrow(run, "path string, sha256 string")
 
 
 def describe(slide: str, path: str, data: bytes | None = None) -> tuple:
@@ -168,7 +187,7 @@ def describe(slide: str, path: str, data: bytes | None = None) -> tuple:
         return slide, path, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
-def slides(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
+def slides(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Metadata of every slide, as in SCHEMA."""
 
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
@@ -181,29 +200,183 @@ def slides(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFram
     return find_slides(spark, folder, pattern, ordered=False).select("slide", "path").mapInArrow(run, SCHEMA)
 
 
+TILES_OF = (
+    "slide string, path string, level int, downsample double, level_w int, level_h int, tile_w int, tile_h int, row int, col int, offset long, bytes long, rows int, "
+    "compression int, photometric int, samples int, predictor int, error string"
+)
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+_TILES_ARROW = pa.schema([(n, _ARROW[t]) for n, t in (c.split(" ") for c in TILES_OF.split(", "))])
+
+
+def tiles_of(slide: str, path: str, levels: set[int] | None = None) -> pa.RecordBatch:
+    """The tiles of a pyramid file, from its directories alone; a level whose tiles cannot be read, or a file that cannot, is one row with the error."""
+    schema = _TILES_ARROW
+    parts: dict[str, list] = {n: [] for n in schema.names}
+
+    def add(n: int, **columns) -> None:
+        for name in schema.names:
+            v = columns.get(name)
+            parts[name].append(pa.array(v, schema.field(name).type) if isinstance(v, np.ndarray) else pa.repeat(pa.scalar(v, schema.field(name).type), n))
+
+    try:
+        source = stores.Ranges(path)
+        found: list[Directory] = pyramid(directories(source))
+        source.close()
+        for k, d in enumerate(found):
+            if levels is not None and k not in levels:
+                continue
+            down = (found[0].width / d.width + found[0].height / d.height) / 2
+            same = {"slide": slide, "path": path, "level": k, "downsample": down, "level_w": d.width, "level_h": d.height, "tile_w": d.tile_w, "tile_h": d.tile_h, "compression": d.compression, "photometric": d.photometric, "samples": d.samples, "predictor": d.predictor}
+            if d.refusal():
+                add(1, **same, error=f"ValueError: {d.refusal()}")
+                continue
+            n = np.arange(len(d.offsets))
+            rows = np.array([d.tile_rows(r) for r in range(d.rows)])
+            add(len(n), **same, row=n // d.columns, col=n % d.columns, offset=d.offsets, bytes=d.sizes, rows=rows[n // d.columns])
+    except Exception as e:
+        add(1, slide=slide, path=path, error=f"{type(e).__name__}: {e}")
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(v) if v else pa.array([], schema.field(n).type) for n, v in parts.items()], schema=schema)
+
+
+def tile_index(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """The tiles of every pyramid file of a folder, as in TILES_OF: where each stands in its file."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for slide, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield tiles_of(slide, path)
+
+    named = find_slides(spark, folder, pattern, ordered=False).where(F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).isin(*BY_OFFSET))
+    return named.select("slide", "path").mapInArrow(run, TILES_OF)
+
+
+#: Rows of windows (in tiles) that a task reads together.
+BAND = 8
+WINDOWS = "slide string, level int, x int, y int, w int, h int, pixels binary, bytes_read long, error string"
+
+
+def read_windows(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """The pixels (RGB bytes) of windows (slide, level, x, y, w, h), in pixels of their level, as in WINDOWS; what lies outside is black.
+
+    Windows are cut into the places of tiles that they touch, which meet the index by equality; a window's pieces, as many as it
+    has tiles, come together again. Windows are dealt over tasks by slide and band of rows and read in the order of their bytes
+    in the file; a task opens a file once, and fetches each window's tiles in order of offset. A slide or level without
+    tiles gives an error.
+    """
+    key = ["slide", "level", "x", "y", "w", "h"]
+    facts = index.groupBy("slide", "level").agg(*[F.first(c).alias(c) for c in ("path", "level_w", "level_h", "tile_w", "tile_h", "compression", "photometric", "samples", "predictor")], F.max("error").alias("error"))
+    d = windows.select(*[F.col(c).cast("string" if c == "slide" else "int").alias(c) for c in key]).distinct().join(facts, ["slide", "level"], "left")
+    d = d.withColumn("error", F.when(F.col("path").isNull(), "ValueError: the slide has no such level").otherwise(F.col("error")))
+
+    def places(at: str, size: str, tile: str, whole: str):
+        low, high = F.greatest(F.lit(0), F.floor(F.col(at) / F.col(tile))), F.ceil(F.least(F.col(at) + F.col(size), F.col(whole)) / F.col(tile)) - 1
+        return F.when(high >= low, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    some = d.where("error IS NULL").withColumn("row", F.explode(places("y", "h", "tile_h", "level_h"))).withColumn("col", F.explode(places("x", "w", "tile_w", "level_w")))
+    pieces = some.select(*key, "row", "col").join(index.where("error IS NULL").select("slide", "level", "row", "col", "offset", "bytes", "rows"), ["slide", "level", "row", "col"])
+    pieces = pieces.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("offset", "bytes", "row", "col", "rows"))).alias("pieces"))
+    d = d.join(pieces, key, "left").repartition("slide", F.floor(F.col("y") / (F.col("tile_h") * BAND))).sortWithinPartitions("path", F.col("pieces")[0]["offset"], "x")
+    schema = to_arrow_schema(StructType.fromDDL(WINDOWS))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, source = None, None
+        for b in it:
+            for r in b.to_pylist():
+                out = {k: r[k] for k in key} | {"error": r["error"], "bytes_read": 0}
+                try:
+                    if r["error"] is None:
+                        if r["path"] != path:
+                            path, source = r["path"], stores.Ranges(r["path"])
+                        before, a = source.bytes_read, np.zeros((r["h"], r["w"], 3), np.uint8)
+                        pieces = [p for p in r["pieces"] or [] if p["bytes"]]
+                        got = source.fetch((p["offset"], p["bytes"]) for p in pieces)
+                        for p in pieces:
+                            tile = unpack(got[p["offset"], p["bytes"]], r["tile_w"], p["rows"], r["compression"], r["photometric"], r["samples"], r["predictor"])
+                            paste(a, r["x"], r["y"], tile, p["col"] * r["tile_w"], p["row"] * r["tile_h"], r["level_w"], r["level_h"])
+                        out |= {"pixels": a.tobytes(), "bytes_read": source.bytes_read - before}
+                except Exception as e:
+                    out["error"] = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_pylist([{n: out.get(n) for n in schema.names}], schema)
+
+    return d.mapInArrow(run, WINDOWS)
+
+
+#: Setting under which filters reach data sources written in Python; without it a source that takes filters is refused.
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``format("slides")`` known to a session, with the setting that it needs."""
+    spark.conf.set(PUSHDOWN, "true")
+    spark.dataSource.register(SlideSource)
+
+
 class SlideSource(DataSource):
-    """``spark.read.format("slides").option("paths", "a.png,b.png")``: metadata of files on a path that all tasks can open, one partition each."""
+    """``spark.read.format("slides").option("folder", ...)`` after ``register``: files on a path that all tasks can open, one partition each.
+
+    Options: ``folder`` with ``pattern`` (a glob on the file name), or ``paths``, a comma-separated list; ``table`` is ``slides`` (as SCHEMA, the default)
+    or ``tiles`` (as TILES_OF).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "slides"
 
     def schema(self) -> str:
-        return SCHEMA
+        kind = self.options.get("table", "slides")
+        if kind not in ("slides", "tiles"):
+            raise ValueError(f"no such table: {kind}")
+        return TILES_OF if kind == "tiles" else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return _SlideReader(self.options)
 
 
+def _stem(path: str) -> str:
+    return unquote(path.rsplit("/", 1)[-1]).rsplit(".", 1)[0]
+
+
+def list_slides(folder: str, pattern: str = "*") -> list[str]:
+    """Paths of the slide files of a folder, for the driver: names only, no file is opened."""
+    store, at = stores.located(folder.rstrip("/"))
+    lead = folder.rstrip("/")[: -len(at)] if folder.rstrip("/").endswith(at) else ""
+    names = [i.base_name for i in store.get_file_info(pafs.FileSelector(at)) if i.type == pafs.FileType.File]
+    keep = [n for n in names if not n.startswith(".") and n.rsplit(".", 1)[-1].lower() in SUFFIXES and fnmatch.fnmatchcase(n, pattern)]
+    return [f"{lead}{at}/{n}" for n in sorted(keep, key=lambda n: ([p.zfill(20) if p.isdigit() else p.lower() for p in re.findall(r"\d+|\D+", n)], n))]
+
+
 class _SlideReader(DataSourceReader):
     def __init__(self, options):
+        self.tiles = options.get("table", "slides") == "tiles"
         self.paths = [p.strip() for p in options.get("paths", "").split(",") if p.strip()]
+        if options.get("folder"):
+            self.paths += list_slides(options["folder"], options.get("pattern", "*"))
+        if self.tiles:
+            self.paths = [p for p in self.paths if p.rsplit(".", 1)[-1].lower() in BY_OFFSET]
+        self.levels: set[int] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Equality on the slide, and on the level of tiles, is taken over; everything else stays with Spark."""
+        for f in filters:
+            values = {EqualTo: lambda f: {f.value}, EqualNullSafe: lambda f: {f.value}, In: lambda f: set(f.value)}.get(type(f))
+            if values and f.attribute == ("slide",):
+                self.paths = [p for p in self.paths if _stem(p) in values(f)]
+            elif values and f.attribute == ("level",) and self.tiles and None not in values(f):
+                self.levels = values(f) if self.levels is None else self.levels & values(f)
+                yield f  # rows with an error of the file have no level
+            else:
+                yield f
 
     def partitions(self):
         return [InputPartition(p) for p in self.paths] or [InputPartition(None)]
 
     def read(self, partition):
-        if partition.value is None:
+        path = partition.value
+        if path is None:
             return
-        stem = partition.value.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        yield describe(stem, partition.value)
+        if self.tiles:
+            yield tiles_of(_stem(path), path, self.levels)
+        else:
+            yield describe(_stem(path), path)

@@ -57,7 +57,7 @@ def test_discovery_and_metadata(spark, folder):
     m = {r.slide: r for r in src.slides(spark, folder).collect()}
     assert m["s9"].mpp_x == 0.5 and m["s9"].width == 384 and len(m["s9"].levels) == 3 and m["s9"].error is None
     assert "scale" in m["noscale"].error and m["cut"].error
-    spark.dataSource.register(src.SlideSource)
+    src.register(spark)
     got = spark.read.format("slides").option("paths", f"{folder}/s9.png,{folder}/gone.png").load().collect()
     assert {r.slide: r.error is None for r in got} == {"s9": True, "gone": False}
     assert src.file_digests(spark, folder, "s*.png").count() == 2
