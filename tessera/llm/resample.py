@@ -7,14 +7,15 @@ mean gain of its features, and Gumbel noise from its id turns the weights into a
 the highest sums are the sample.
 
 1. One pass over the texts counts, in blocks of ``BLOCK`` bytes, the distinct strings of each block; the counts meet by string.
-   Words and pairs are numbered within a block, so a string is built once for all its places there.
+   Words and pairs are numbered within a block, so a string is built once for all its places there. The strings of a block that go
+   to one slot of the shuffle travel in one row.
 2. The dictionary is aggregated by bucket: at most ``BUCKETS`` rows, which is all the driver ever gets of it.
 3. A second pass numbers the features of a block again, looks each distinct one's gain up, and sums over documents.
    A block's distinct strings are hashed once there too: joining documents and dictionary on the string instead would
    shuffle every string of every block twice more.
 4. The rows are numbered by score over range partitions, so no task sorts them all.
 
-Scale: only (string, count) pairs of blocks, summed in each task first, and one narrow row for each document are shuffled.
+Scale: only the (string, count) pairs of blocks and one narrow row for each document are shuffled.
 
 Defined results: null and empty texts have no features and weight 0; a null id counts as an empty one in the noise and comes after
 all ids in ties; rows with an equal id are drawn separately, as they stand; without target texts the gains
@@ -40,7 +41,9 @@ from tessera.operators.rownumbers import number_rows
 
 LONGEST, BUCKETS = 2, 10_000
 #: Bytes of text whose features share one dictionary in a task; a longer text has its own.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Least number of slots that strings are dealt to; there are four for each shuffle partition at least.
+SLOTS = 4096
 SHARE, MIN_WORDS, SEED = 25, 20, 7
 
 
@@ -50,8 +53,8 @@ def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d.indices.to_numpy(), d.dictionary.to_numpy()
 
 
-def block_features(data: np.ndarray, off: np.ndarray, table: np.ndarray, longest: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """(distinct strings, number of each place's string, row of each place, words of each row) of the runs of 1, 2, ... words of a block."""
+def block_features(data: np.ndarray, off: np.ndarray, table: np.ndarray, longest: int, keyed: bool = False) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(distinct strings, number of each place's string, row of each place, words of each row, a key of each string if asked for) of the runs of 1, 2, ... words of a block."""
     w = K.Words(data, off, table)
     n = np.diff(w.edge)
     row = np.repeat(np.arange(len(n)), n)
@@ -59,8 +62,11 @@ def block_features(data: np.ndarray, off: np.ndarray, table: np.ndarray, longest
         return
     encoded = w.strings().dictionary_encode()
     words, number = encoded.dictionary, encoded.indices.to_numpy()
-    text, at, own = words, number, row
-    yield text, at, own, n
+    text, at, own, key, word_key = words, number, row, None, None
+    if keyed:
+        key = word_key = np.empty(len(words), np.uint64)
+        word_key[number[::-1]] = w.hashes()[::-1]
+    yield text, at, own, n, key
     for k in range(2, longest + 1):
         # a run of k words is one of k - 1 and the next word, where that is in the same row
         inside = own[: len(row) - k + 1] == row[k - 1 :]
@@ -68,32 +74,47 @@ def block_features(data: np.ndarray, off: np.ndarray, table: np.ndarray, longest
         at, pairs = _coded(np.where(inside, code, -1))
         made = pc.binary_join_element_wise(text.take(pa.array(np.maximum(pairs, 0) // len(words))), words.take(pa.array(np.maximum(pairs, 0) % len(words))), " ")
         text, own = made, np.where(inside, own[: len(inside)], -1)
+        if keyed:
+            with np.errstate(over="ignore"):
+                key = K.mix(key[np.maximum(pairs, 0) // len(words)] * np.uint64(0x9E3779B97F4A7C15) + word_key[np.maximum(pairs, 0) % len(words)])
         # entries that no row has, where a run would cross rows, stay in place so that longer runs line up
         used = np.flatnonzero(pairs >= 0)
         renumber = np.full(len(pairs), -1)
         renumber[used] = np.arange(len(used))
-        yield text.take(pa.array(used)), renumber[at[inside]], own[inside], n
+        yield text.take(pa.array(used)), renumber[at[inside]], own[inside], n, key[used] if keyed else None
 
 
-def feature_counts(texts: DataFrame, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
-    """(feature, n) from (text): how often each distinct string stands in each block; a string has a row for every block it is in."""
+def packed_counts(texts: DataFrame, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
+    """(slot, features, counts) from (text): the distinct strings of each block that go to a slot, a line each, and how often each stands in the block."""
+    spark = texts.sparkSession
+    slots = max(SLOTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = K.alnum_table()
         for b in it:
             for _, data, off in K.blocks(b.column(0), block):
-                for text, at, _, _ in block_features(data, off, table, longest):
-                    yield pa.RecordBatch.from_arrays([text.cast(pa.string()), pa.array(np.bincount(at, minlength=len(text)).astype(np.int64))], names=["feature", "n"])
+                for text, at, _, _, key in block_features(data, off, table, longest, keyed=True):
+                    slot = (key % np.uint64(slots)).astype(np.int32)
+                    order = np.argsort(slot, kind="stable")
+                    first = np.flatnonzero(np.diff(slot[order], prepend=-1))
+                    edge = pa.array(np.append(first, len(order)).astype(np.int32))
+                    lists = pa.ListArray.from_arrays(edge, text.take(pa.array(order)).cast(pa.string()))
+                    counts = pa.ListArray.from_arrays(edge, pa.array(np.bincount(at, minlength=len(text))[order].astype(np.int64)))
+                    # no word holds a line feed
+                    yield pa.RecordBatch.from_arrays([pa.array(slot[order][first]), pc.binary_join(lists, "\n"), counts], names=["slot", "features", "counts"])
 
-    return texts.mapInArrow(run, "feature string, n long")
+    return texts.mapInArrow(run, "slot int, features string, counts array<long>")
 
 
 def dictionary(docs: DataFrame, target: DataFrame, text_col: str = "text", target_col: str = "text", longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
     """(feature, raw, target, bucket): every distinct feature once, its counts on both sides, and its bucket."""
-    side = lambda d, c, raw, wanted: feature_counts(d.select(d[c].cast("string").alias("text")), longest).select("feature", raw.alias("raw"), wanted.alias("target"))
-    n, none = F.col("n"), F.lit(0).cast("long")
-    both = side(docs, text_col, n, none).union(side(target, target_col, none, n))
-    d = both.groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    texts = docs.select(docs[text_col].cast("string").alias("text")), target.select(target[target_col].cast("string").alias("text"))
+    packed = [packed_counts(t, longest).withColumn("side", F.lit(k)) for k, t in enumerate(texts)]
+    dealt = packed[0].union(packed[1]).repartition("slot")  # every string has one slot, so its rows need not move again
+    each = dealt.select("slot", "side", "counts", F.posexplode(F.split("features", "\n")).alias("k", "feature"))
+    each = each.select("slot", "side", "feature", F.get("counts", F.col("k")).alias("n"))
+    of = lambda k: F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0))
+    d = each.groupBy("slot", "feature").agg(of(0).alias("raw"), of(1).alias("target")).drop("slot")
     return d.withColumn("bucket", (F.crc32(F.col("feature").cast("binary")) % buckets).cast("int"))
 
 
@@ -118,7 +139,7 @@ def weights(docs: DataFrame, gains: np.ndarray, id_col: str = "doc_id", text_col
             for first, data, off in K.blocks(b.column(1), block):
                 rows = len(off) - 1
                 total, count, words = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-                for text, at, row, n in block_features(data, off, table, longest):
+                for text, at, row, n, _ in block_features(data, off, table, longest):
                     words = n
                     bucket = np.fromiter((zlib.crc32(x) for x in text.cast(pa.binary()).to_pylist()), np.int64, len(text)) % len(gains)
                     # places stand in the order of rows

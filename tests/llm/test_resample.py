@@ -67,6 +67,7 @@ def test_dictionary_holds_each_string_once(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(bench, "item_id long, text string")
     raw, target = (Counter(f for _, x in rows for f in features(x)) for rows in (docs, bench))
     got = R.dictionary(d, b).collect()
+    assert R.dictionary(d, b)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
     assert sorted(map(tuple, got)) == sorted((f, raw[f], target[f], bucket(f)) for f in raw.keys() | target.keys())
 
 
@@ -75,8 +76,10 @@ def test_longer_runs_and_small_blocks(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").select("text").repartition(2)
     want = Counter(" ".join(w[i : i + k]) for _, x in docs for w in [words(x)] for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
     got = Counter()
-    for r in R.feature_counts(d, longest=4, block=300).collect():
-        got[r.feature] += r.n
+    for r in R.packed_counts(d, longest=4, block=300).collect():
+        assert len(r.features.split("\n")) == len(r.counts)
+        for f, n in zip(r.features.split("\n"), r.counts, strict=True):
+            got[f] += n
     assert got == want
 
 
