@@ -103,9 +103,13 @@ def main(argv: list[str] | None = None) -> int:
         if args.command in ("survey", "sweep"):
             grid = sampling.sample_tiles(grid, args.tiles, args.seed)
         elif args.command == "run":
-            grid = sampling.limit_tiles(grid, spark, cfg.limit)
+            grid = pictures.flagged(sampling.limit_tiles(grid, spark, cfg.limit), cfg)
         files.write_parquet(grid, f"{args.out}/tiles/{group}", None)
         grid = spark.read.parquet(f"{args.out}/tiles/{group}")
+        if args.command in ("run", "annotate"):  # several steps look at the same pixels
+            imaging.write_store(imaging.pack_tiles(spark, grid, folder), f"{args.out}/pixels/{group}")
+            grid = imaging.read_store(spark, f"{args.out}/pixels/{group}")
+            failed += files.failures({"pixels": grid}, group)
         tables.append((group, folder, grid))
     if not tables:
         return 0
@@ -121,8 +125,9 @@ def main(argv: list[str] | None = None) -> int:
                 found = spark.read.parquet(f"{args.out}/regions/{group}")
                 failed += files.failures({"regions": found}, group)
                 some = sampling.stratified_pick(tally.candidates(found.where("error IS NULL").withColumn("tile", tile), imaging.tile_ground(grid), cfg.fat), args.tiles, args.strata, args.seed)
-                v = imaging.votes(spark, grid.join(some.select("slide", "x", "y"), ["slide", "x", "y"], "left_semi"), folder, members[:1])
-                rows = files.export_annotations(v, f"{args.out}/annotate", cfg.fat)
+                # as many tiles as were asked for
+                few = grid.join(F.broadcast(some.select("slide", "x", "y")), ["slide", "x", "y"], "left_semi")
+                files.export_annotations(spark, few, folder, f"{args.out}/annotate", cfg.fat, manifest=f"manifest/{group}")
             else:
                 # every tile is voted on once: its slide's severity and its files come from the same table
                 few = sampling.sample_tiles(grid, args.tiles, args.seed)
@@ -133,8 +138,7 @@ def main(argv: list[str] | None = None) -> int:
                 splits[group] = {k: [] for k in ("train", "val", "test")}
                 for r in plan.orderBy("slide").collect():
                     splits[group][r["split"]].append(r["slide"])
-                rows = files.export_dataset(v.join(plan.select("slide", "split"), "slide"), args.out)
-            files.write_csv(rows, f"{args.out}/manifest/{group}")
+                files.export_dataset(v.join(plan.select("slide", "split"), "slide"), args.out, manifest=f"manifest/{group}")
         files.write_json(failed, f"{args.out}/failures.json")
         if args.command == "dataset":
             files.write_json(splits, f"{args.out}/splits.json")
@@ -161,8 +165,7 @@ def main(argv: list[str] | None = None) -> int:
             files.write_csv(files.tile_table(tally.fractions(tally.dense_tile_tally(found, ground, cfg.fat))).drop("tile"), f"{args.out}/tiles_csv/{group}")
             out = tally.slide_summary(found, ground, cfg.fat)
             drawn = pictures.save_tiles(spark, pictures.chosen(grid, cfg), folder, cfg, f"{args.out}/pictures/{group}")
-            files.write_parquet(drawn, f"{args.out}/pictures_of/{group}", None)
-            failed += files.failures({"pictures": spark.read.parquet(f"{args.out}/pictures_of/{group}")}, group)
+            failed += files.failures({"pictures": drawn}, group)
         parts.append(out.withColumn("group", F.lit(group)))
     files.write_json(failed, f"{args.out}/failures.json")
     reports.say_failures(failed)
@@ -170,7 +173,7 @@ def main(argv: list[str] | None = None) -> int:
     for p in parts[1:]:
         every = every.unionByName(p)
     files.write_csv(every, f"{args.out}/{args.command}")
-    every = spark.read.option("header", True).option("inferSchema", True).csv(f"{args.out}/{args.command}")
+    every = spark.read.option("header", True).schema(every.schema).csv(f"{args.out}/{args.command}")
     if args.command == "sweep" and len(named) > 1:
         first, second = list(named)[:2]
         scored = sweep.score_sweep(every, first, second)

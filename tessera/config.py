@@ -7,6 +7,8 @@ from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
 from hashlib import sha256
 from typing import Any
 
+from tessera.sources.stores import put, read_file
+
 
 # The names and defaults below are those of existing parameter files, which have to stay readable.
 
@@ -89,8 +91,7 @@ class Config:
 
     @classmethod
     def load(cls, path: str) -> Config:
-        with open(path, encoding="utf-8") as f:
-            return cls.of(read_yaml(f.read()))
+        return cls.of(read_yaml(read_file(path).decode()))
 
     def with_values(self, dotted: dict[str, Any]) -> Config:
         """Overrides by dotted names; None leaves a value as it is."""
@@ -112,8 +113,8 @@ class Config:
         return sha256(json.dumps(self.to_dict(), sort_keys=True).encode()).hexdigest()[:16]
 
     def save(self, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(write_yaml(self.to_dict()))
+        """On any store that Arrow opens."""
+        put(path, write_yaml(self.to_dict()).encode())
 
 
 #: The published second revision of the parameters.

@@ -1,37 +1,33 @@
-"""Sinks: tables as CSV or Parquet, and pictures as files in a shared folder.
+"""Sinks: tables as CSV or Parquet, and exports of pictures with their manifests.
 
-A picture's path is a function of its row, and each is written under another name and then renamed, so a task that
-runs twice leaves the same files.
+A picture's path is a function of its row. Pictures and manifest are written by the sink of ``sink.py`` and appear together.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import platform
-import re
 import subprocess
-import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from tessera.config import Config, Fat
+from tessera.export.sink import FILES, write_pictures
 from tessera.functions.scalar import tile_name
 from tessera.kernels import draw
 from tessera.kernels import raster as K
+from tessera.plans.imaging import each_row, each_tile
 from tessera.sources import png
+from tessera.sources.stores import put
 
 #: Decimal places of the columns of a tile table.
 PLACES = {"tissue_fraction": 4, "tissue_area_um2": 1, "threshold": 1, "macro_area_um2": 1, "micro_area_um2": 1, "total_area_um2": 1, "macro_fraction": 6, "micro_fraction": 6, "total_fraction": 6, "border_area_um2": 1}
-MANIFEST = "id string, split string, cohort string, slide string, tile_x int, tile_y int, tile_size int, mpp double, fat_fraction double, label_px long, unanimous_px long, any_px long, unanimous_of_any double, contested_of_label double, is_negative boolean"
+MANIFEST = "id string, split string, cohort string, slide string, tile_x int, tile_y int, tile_size int, mpp double, tissue_fraction double, fat_fraction double, label_px long, unanimous_px long, any_px long, unanimous_of_any double, contested_of_label double, is_negative boolean"
 
 
 def tile_table(df: DataFrame) -> DataFrame:
@@ -49,41 +45,33 @@ def write_parquet(df: DataFrame, path: str, by: str | None = "slide") -> None:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).schema(MANIFEST).csv(path)
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(MANIFEST).csv(path)
 
 
-def put(path: str, data: bytes) -> None:
-    """Writes a file on any store that Arrow opens; a plain path is a local or mounted one."""
-    store, at = fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (fs.LocalFileSystem(), os.path.abspath(path))
-    store.create_dir(os.path.dirname(at), recursive=True)
-    part = f"{at}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as f:
-        f.write(data)
-    store.move(part, at)
+def dataset_rows(votes: DataFrame, agree: float = 0.5) -> DataFrame:
+    """Manifest rows with the files of each tile: images/, labels/ and confidence/ below the split. votes carries cohort and split."""
 
+    def one(r: dict) -> Iterator[dict]:
+        n = r["size"]
+        v = np.frombuffer(r["votes"], np.uint8).reshape(n, n)
+        label = v >= np.ceil(agree * r["members"])
+        name = f"{r['slide']}__tile_x{r['x']:06d}_y{r['y']:06d}"
+        mpp, ground = float(np.sqrt(r["um2_per_px"])), r["tissue_area_um2"]
+        pictures = {"images": np.frombuffer(r["image"], np.uint8).reshape(n, n, 3), "labels": label * np.uint8(255), "confidence": (v.astype(np.int64) * 255 // r["members"]).astype(np.uint8)}
+        any_px, sure, px = int((v > 0).sum()), int((v == r["members"]).sum()), int(label.sum())
+        yield {
+            "id": name, "split": r["split"], "cohort": r["cohort"], "slide": r["slide"], "tile_x": r["x"], "tile_y": r["y"], "tile_size": n, "mpp": mpp,
+            "tissue_fraction": float(np.unpackbits(np.frombuffer(r["ground"], np.uint8), count=n * n).mean()), "fat_fraction": px * r["um2_per_px"] / ground if ground > 0 else 0.0,
+            "label_px": px, "unanimous_px": sure, "any_px": any_px, "unanimous_of_any": sure / any_px if any_px else 0.0, "contested_of_label": 1 - sure / px if px else 0.0, "is_negative": r["cohort"] == "negative",
+            "files": [{"path": f"{r['split']}/{kind}/{name}.png", "data": png.encode(a, mpp)} for kind, a in pictures.items()],
+        }
 
-def export_dataset(votes: DataFrame, root: str, agree: float = 0.5) -> DataFrame:
-    """Writes images/, labels/ and confidence/ below root/<split>/ and returns the manifest rows. votes carries cohort and split."""
+    return each_row(votes.where("error IS NULL"), one, f"{MANIFEST}, {FILES}")
 
-    schema = to_arrow_schema(StructType.fromDDL(MANIFEST))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1).to_pylist()[0]
-                n = r["size"]
-                v = np.frombuffer(r["votes"], np.uint8).reshape(n, n)
-                label = v >= np.ceil(agree * r["members"])
-                name = f"{r['slide']}__tile_x{r['x']:06d}_y{r['y']:06d}"
-                mpp = float(np.sqrt(r["um2_per_px"]))
-                for kind, a in (("images", np.frombuffer(r["image"], np.uint8).reshape(n, n, 3)), ("labels", label * np.uint8(255)), ("confidence", (v.astype(np.int64) * 255 // r["members"]).astype(np.uint8))):
-                    put(f"{root}/{r['split']}/{kind}/{name}.png", png.encode(a, mpp))
-                any_px, sure, px = int((v > 0).sum()), int((v == r["members"]).sum()), int(label.sum())
-                ground = r["tissue_area_um2"]
-                row = (name, r["split"], r["cohort"], r["slide"], r["x"], r["y"], n, mpp, px * r["um2_per_px"] / ground if ground > 0 else 0.0, px, sure, any_px, sure / any_px if any_px else 0.0, 1 - sure / px if px else 0.0, r["cohort"] == "negative")
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
-
-    return votes.where("error IS NULL").mapInArrow(run, MANIFEST)
+def export_dataset(votes: DataFrame, root: str, agree: float = 0.5, manifest: str = "manifest") -> DataFrame:
+    """Writes the pictures of ``dataset_rows`` below root and returns the manifest."""
+    return write_pictures(dataset_rows(votes, agree), root, manifest)
 
 
 ANNOTATIONS = (
@@ -99,31 +87,30 @@ manifest/         one row for each tile; fill in annotator and status (todo, doi
 """
 
 
-def export_annotations(votes: DataFrame, root: str, cfg: Fat) -> DataFrame:
-    """Writes tiles, prefilled masks and overlays for annotators, and a guide, and returns the manifest rows. Masks lie within the tissue."""
-
-    schema = to_arrow_schema(StructType.fromDDL(ANNOTATIONS))
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1).to_pylist()[0]
-                n, um2 = r["size"], r["um2_per_px"]
-                rgb = np.frombuffer(r["image"], np.uint8).reshape(n, n, 3)
-                ground = np.unpackbits(np.frombuffer(r["ground"], np.uint8), count=n * n).reshape(n, n).astype(bool)
-                lab, _ = K.segment(rgb, ground, cfg)
-                kinds = [(g, K.judge(g, um2, cfg)) for g in K.regions(lab)]
-                mask = K.painted(lab, [g.label for g, k in kinds if k == "macro"])
-                pct = {c: round(sum(g.area_px for g, k in kinds if k == c) / max(1, int(ground.sum())) * 100, 3) for c in ("macro", "micro")}
-                name = f"{r['slide']}__tile_x{r['x']:06d}_y{r['y']:06d}"
-                for kind, a in (("images", rgb), ("masks_prefilled", mask * np.uint8(255)), ("overlays", draw.outline(rgb, mask))):
-                    put(f"{root}/{kind}/{name}.png", png.encode(a))
-                count = sum(k == "macro" for _, k in kinds)
-                row = (name, r["slide"], r["x"], r["y"], n, 0, float(np.sqrt(um2)), round(float(ground.mean()), 4), pct["macro"], pct["micro"], count, bool(mask.any()), "", "todo")
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
+def annotation_rows(spark: SparkSession, tiles: DataFrame, folder: str, cfg: Fat, pattern: str = "*") -> DataFrame:
+    """Manifest rows with the files of each tile for annotators: the tile, a prefilled mask, which lies within the tissue, and an overlay."""
+
+    def one(t: dict, rgb: np.ndarray, ground: np.ndarray) -> Iterator[dict]:
+        um2 = t["um2_per_px"]
+        lab, _ = K.segment(rgb, ground, cfg)
+        kinds = [(g, K.judge(g, um2, cfg)) for g in K.regions(lab)]
+        mask = K.painted(lab, [g.label for g, k in kinds if k == "macro"])
+        pct = {c: round(sum(g.area_px for g, k in kinds if k == c) / max(1, int(ground.sum())) * 100, 3) for c in ("macro", "micro")}
+        name = f"{t['slide']}__tile_x{t['x']:06d}_y{t['y']:06d}"
+        pictures = {"images": rgb, "masks_prefilled": mask * np.uint8(255), "overlays": draw.outline(rgb, mask)}
+        yield {
+            "annotation_id": name, "slide": t["slide"], "tile_x": t["x"], "tile_y": t["y"], "tile_size": t["size"], "level": 0, "mpp": float(np.sqrt(um2)), "tissue_fraction": round(float(ground.mean()), 4),
+            "predicted_macro_pct": pct["macro"], "predicted_micro_pct": pct["micro"], "predicted_macro_n": sum(k == "macro" for _, k in kinds), "mask_is_prefilled": bool(mask.any()), "annotator": "", "status": "todo",
+            "files": [{"path": f"{kind}/{name}.png", "data": png.encode(a)} for kind, a in pictures.items()],
+        }
+
+    return each_tile(spark, tiles, folder, one, f"{ANNOTATIONS}, {FILES}", pattern)
+
 
+def export_annotations(spark: SparkSession, tiles: DataFrame, folder: str, root: str, cfg: Fat, pattern: str = "*", manifest: str = "manifest") -> DataFrame:
+    """Writes the pictures of ``annotation_rows`` and a guide below root and returns the manifest."""
     put(f"{root}/README.md", GUIDE.encode())
-    return votes.where("error IS NULL").mapInArrow(run, ANNOTATIONS)
+    return write_pictures(annotation_rows(spark, tiles, folder, cfg, pattern), root, manifest)
 
 
 def failures(tables: dict[str, DataFrame], cohort: str) -> list[dict]:

@@ -1,6 +1,6 @@
 """Pictures of runs: tiles with their masks, checks of tiles and tissue, and figures of an exported dataset.
 
-Tasks open slides by path, write their files under names that follow from the row, and return one row for each tile or slide.
+Files have names that follow from their row; they and the table of what was drawn are written together by the sink of ``sink.py``.
 """
 
 from __future__ import annotations
@@ -12,29 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import Config
-from tessera.export.files import put
+from tessera.export.sink import FILES, write_pictures
 from tessera.kernels import draw, figures
 from tessera.kernels import raster as K
 from tessera.operators.sampling import sample_tiles
 from tessera.plans import imaging
 from tessera.sources import png
 from tessera.sources.slides import find_slides, open_slide
-from tessera.sources.stores import read_file
+from tessera.sources.stores import put, read_file
 
 DRAWN = "slide string, x int, y int, size int, tile string, mask string, qc string, caption string, error string"
 KINDS = ("images", "labels", "confidence")
 
 
-def chosen(grid: DataFrame, cfg: Config) -> DataFrame:
-    """The tiles of which pictures are made, with ``checked``, whether a figure is: all tiles if tiles are saved, else the checked ones."""
+def flagged(grid: DataFrame, cfg: Config) -> DataFrame:
+    """grid with ``checked``, whether a figure is made of the tile. Flag tiles before their pixels are packed: this joins."""
     n = cfg.qc.contact_sheet_tiles if cfg.qc.save_per_tile_qc else 0
     some = sample_tiles(grid.select("slide", "x", "y"), max(1, n), cfg.qc.random_seed).select("slide", "x", "y", F.lit(n > 0).alias("checked"))
-    d = grid.join(some, ["slide", "x", "y"], "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
+    return grid.join(some, ["slide", "x", "y"], "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
+
+
+def chosen(grid: DataFrame, cfg: Config) -> DataFrame:
+    """The tiles of which pictures are made, with ``checked``: all tiles if tiles are saved, else the checked ones."""
+    d = grid if "checked" in grid.columns else flagged(grid, cfg)
     return d if cfg.tiling.save_tiles else d.where("checked")
 
 
 def save_tiles(spark: SparkSession, grid: DataFrame, folder: str, cfg: Config, root: str, pattern: str = "*") -> DataFrame:
-    """Writes tiles/, masks/ and qc/ below root/<slide>/ for the tiles given and returns the paths. A mask holds the large class, and the small one if it is labelled."""
+    """Writes tiles/, masks/ and qc/ below root/<slide>/ for the tiles given, and returns the paths, a table that stands in root/drawn. A mask holds the large class, and the small one if it is labelled."""
 
     def one(t: dict, rgb: np.ndarray, ground: np.ndarray) -> Iterator[dict]:
         um2, name = t["um2_per_px"], f"tile_x{t['x']:06d}_y{t['y']:06d}"
@@ -42,32 +47,34 @@ def save_tiles(spark: SparkSession, grid: DataFrame, folder: str, cfg: Config, r
         found = [(g, K.judge(g, um2, cfg.fat)) for g in K.regions(lab)]
         classes = {c: K.painted(lab, [g.label for g, k in found if k == c]) for c in ("macro", "micro")}
         caption = figures.tile_caption({c: [g.area_px * um2 for g, k in found if k == c] for c in classes}, float(ground.sum()) * um2)
-        row = {k: t[k] for k in ("slide", "x", "y", "size")} | {"caption": caption}
+        row = {k: t[k] for k in ("slide", "x", "y", "size")} | {"caption": caption, "files": []}
+
+        def add(column: str, path: str, picture: bytes) -> None:
+            row[column] = f"{root}/{path}"
+            row["files"].append({"path": path, "data": picture})
+
         if cfg.tiling.save_tiles:
             label = classes["macro"] | classes["micro"] if cfg.fat.include_microvesicular else classes["macro"]
-            row |= {"tile": f"{root}/{t['slide']}/tiles/{name}.png", "mask": f"{root}/{t['slide']}/masks/{name}_mask.png"}
-            put(row["tile"], png.encode(rgb, float(np.sqrt(um2))))
-            put(row["mask"], png.encode(label * np.uint8(255)))
+            add("tile", f"{t['slide']}/tiles/{name}.png", png.encode(rgb, float(np.sqrt(um2))))
+            add("mask", f"{t['slide']}/masks/{name}_mask.png", png.encode(label * np.uint8(255)))
         if t["checked"]:
-            row["qc"] = f"{root}/{t['slide']}/qc/{name}_qc.png"
-            put(row["qc"], png.encode(figures.tile_figure(rgb, classes["macro"], classes["micro"], cfg.qc.macro_color, cfg.qc.micro_color, cfg.qc.outline_thickness, f"{name} {caption}")))
+            add("qc", f"{t['slide']}/qc/{name}_qc.png", png.encode(figures.tile_figure(rgb, classes["macro"], classes["micro"], cfg.qc.macro_color, cfg.qc.micro_color, cfg.qc.outline_thickness, f"{name} {caption}")))
         yield row
 
-    return imaging.each_tile(spark, grid, folder, one, DRAWN, pattern)
+    return write_pictures(imaging.each_tile(spark, grid, folder, one, f"{DRAWN}, {FILES}", pattern), root, "drawn")
 
 
 def tissue_figures(spark: SparkSession, masks: DataFrame, folder: str, cfg: Config, root: str, pattern: str = "*") -> DataFrame:
-    """Writes root/<slide>_tissue.png for every slide with a mask; (slide, figure, error)."""
+    """Writes root/<slide>_tissue.png for every slide with a mask; (slide, figure, error), a table that stands in root/drawn."""
 
     def one(r: dict) -> Iterator[dict]:
         thumb = open_slide(r["path"]).thumbnail(cfg.qc.thumbnail_max_dim)
         caption = f"{r['slide']} tissue {r['tissue_mm2']:.2f} mm2 ({100 * r['coverage']:.1f}%), {r['components']} parts"
-        path = f"{root}/{r['slide']}_tissue.png"
-        put(path, png.encode(figures.tissue_figure(thumb, imaging.unpacked(r["mask"], r["mask_h"], r["mask_w"]), cfg.qc.outline_color, cfg.qc.outline_thickness, caption)))
-        yield {"slide": r["slide"], "figure": path}
+        picture = png.encode(figures.tissue_figure(thumb, imaging.unpacked(r["mask"], r["mask_h"], r["mask_w"]), cfg.qc.outline_color, cfg.qc.outline_thickness, caption))
+        yield {"slide": r["slide"], "figure": f"{root}/{r['slide']}_tissue.png", "files": [{"path": f"{r['slide']}_tissue.png", "data": picture}]}
 
     d = masks.where("error IS NULL").join(find_slides(spark, folder, pattern, ordered=False).select("slide", "path"), "slide")
-    return imaging.each_row(d, one, "slide string, figure string, error string")
+    return write_pictures(imaging.each_row(d, one, f"slide string, figure string, error string, {FILES}"), root, "drawn")
 
 
 def label_pictures(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 Rows carry paths, never a file's bytes: a task opens the slide of its tiles and reads their windows. The tiles of a slide are dealt
 over tasks in bands of rows. Tiles carry a crop of the tissue mask, so measuring needs no join with masks. Failures become rows with an error.
+
+Where several steps look at the same tiles, ``pack_tiles`` reads every slide once and leaves the tiles with their packed pixels as a table in
+the order of slide, y and x. Every step takes that table in place of plain tiles, and is then a narrow pass over it; filters on
+slide and place reach its row groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 
 import numpy as np
@@ -28,6 +33,8 @@ REGIONS = (
     "slide string, x int, y int, white int, label int, area_um2 double, circularity double, solidity double, eccentricity double, equivalent_diameter_um double, "
     "centroid_x double, centroid_y double, touches_border boolean, threshold double, error string"
 )
+#: Bytes of a row group of the store: some ten packed tiles, so that a filter on place skips most of a slide.
+ROW_GROUP = 4 << 20
 GROUND = "slide string, x int, y int, tissue_area_um2 double"
 VOTES = "slide string, x int, y int, size int, image binary, ground binary, votes binary, members int, tissue_area_um2 double, um2_per_px double, member_pct map<string,double>, error string"
 
@@ -100,9 +107,10 @@ def tiles(masks: DataFrame, slides: DataFrame, cfg: Config) -> DataFrame:
 
 
 def _with_paths(spark: SparkSession, tiles: DataFrame, folder: str, pattern: str) -> DataFrame:
-    """Tiles with the path of their slide, dealt over tasks by slide and band of rows, from top to bottom within a task."""
+    """Tiles with the path of their slide, dealt over tasks by slide and band of rows, from top to bottom within a task. A PNG slide is read from the top, so it is one band."""
     d = tiles.where("error IS NULL").join(find_slides(spark, folder, pattern, ordered=False).select("slide", "path"), "slide")
-    return d.repartition("slide", F.floor(F.col("y") / (F.col("size") * BAND))).sortWithinPartitions("slide", "path", "y", "x")
+    band = F.when(F.lower("path").endswith(".png"), F.lit(0)).otherwise(F.floor(F.col("y") / (F.col("size") * BAND)))
+    return d.repartition("slide", band).sortWithinPartitions("slide", "path", "y", "x")
 
 
 class _Slides:
@@ -118,16 +126,45 @@ class _Slides:
 
 
 def each_tile(spark: SparkSession, tiles: DataFrame, folder: str, fn: Callable[[dict, np.ndarray, np.ndarray], Iterator[dict]], ddl: str, pattern: str = "*") -> DataFrame:
-    """fn(row, pixels, tissue) on every tile."""
+    """fn(row, pixels, tissue) on every tile; pixels come from the tiles' own column, if they have it, or else from their slides."""
+    ground = lambda t: K.resized(unpacked(t["crop"], t["crop_h"], t["crop_w"]), t["size"], t["size"])
+    if "pixels" in tiles.columns:
+
+        def stored(t: dict) -> Iterator[dict]:
+            yield from fn(t, np.frombuffer(zlib.decompress(t["pixels"]), np.uint8).reshape(t["size"], t["size"], 3), ground(t))
+
+        return each_row(tiles.where("error IS NULL"), stored, ddl)
     slides = _Slides()
 
     def one(t: dict) -> Iterator[dict]:
         rgb = slides(t["path"]).region(t["x"], t["y"], t["size"])
-        yield from fn(t, rgb, K.resized(unpacked(t["crop"], t["crop_h"], t["crop_w"]), t["size"], t["size"]))
+        yield from fn(t, rgb, ground(t))
 
     return each_row(_with_paths(spark, tiles, folder, pattern), one, ddl)
 
 
+def pack_tiles(spark: SparkSession, tiles: DataFrame, folder: str, pattern: str = "*") -> DataFrame:
+    """The tiles, with all their columns, and their packed pixels, in the order of slide, y and x within a task. A PNG slide is opened and unpacked once; of a pyramid, each band of rows is."""
+
+    def one(t: dict, rgb: np.ndarray, ground: np.ndarray) -> Iterator[dict]:
+        yield t | {"pixels": zlib.compress(rgb.tobytes(), 1)}
+
+    return each_tile(spark, tiles, folder, one, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in tiles.schema), "pixels binary"]), pattern)
+
+
+def write_store(packed: DataFrame, path: str) -> None:
+    """Keeps the order of the rows; small row groups let filters on slide and place skip the others."""
+    packed.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
+
+
+def read_store(spark: SparkSession, path: str, slides: Sequence[str] = (), top: int | None = None, bottom: int | None = None) -> DataFrame:
+    """Tiles with their pixels: all, or those of some slides, or with top <= y < bottom."""
+    d = spark.read.parquet(path)
+    d = d.where(F.col("slide").isin(*slides)) if slides else d
+    d = d if top is None else d.where(F.col("y") >= top)
+    return d if bottom is None else d.where(F.col("y") < bottom)
+
+
 def regions(spark: SparkSession, tiles: DataFrame, folder: str, cfg: Config, whites: tuple[int, ...] = (), pattern: str = "*") -> DataFrame:
     """Every region of every tile, measured before any filter, once for each threshold."""
     fat = [replace(cfg.fat, white_threshold=w) for w in (whites or (cfg.fat.white_threshold,))]
@@ -153,7 +190,8 @@ def tile_ground(tiles: DataFrame) -> DataFrame:
         m = K.resized(unpacked(r["crop"], r["crop_h"], r["crop_w"]), r["size"], r["size"])
         yield {"slide": r["slide"], "x": r["x"], "y": r["y"], "tissue_area_um2": float(m.sum()) * r["um2_per_px"]}
 
-    return each_row(tiles.where("error IS NULL"), one, GROUND).withColumn("tile", F.struct("x", "y"))
+    few = tiles.where("error IS NULL").select("slide", "x", "y", "size", "um2_per_px", "crop_w", "crop_h", "crop")
+    return each_row(few, one, GROUND).withColumn("tile", F.struct("x", "y"))
 
 
 def votes(spark: SparkSession, tiles: DataFrame, folder: str, members: list[tuple[str, Fat]], pattern: str = "*") -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import uuid
 from collections.abc import Iterable
 from urllib.parse import unquote
 
@@ -34,6 +36,21 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
+def output(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path to write to and its name there; a plain path is a local or mounted one."""
+    return pafs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
+def put(path: str, data: bytes) -> None:
+    """Writes a file under another name and renames it, so a path never holds a part of a file."""
+    store, at = output(path)
+    store.create_dir(os.path.dirname(at), recursive=True)
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as f:
+        f.write(data)
+    store.move(part, at)
+
+
 def digest(path: str) -> str:
     """SHA-256 of a file of any size, in hex: one chunk is held at a time."""
     h = hashlib.sha256()

@@ -121,12 +121,12 @@ def test_unreadable_slides_leave_rows(spark, folder):
 def test_exports(spark, folder, tmp_path):
     grid = imaging.tiles(imaging.tissue(spark, folder, CFG, "s*.png"), src.slides(spark, folder, "s*.png"), CFG)
     v = imaging.votes(spark, grid, folder, ensemble.default_members(CFG.fat), "s*.png").withColumns({"cohort": F.lit("positive"), "split": F.lit("train")})
-    files.write_csv(files.export_dataset(v, str(tmp_path)), f"{tmp_path}/manifest")
-    m = files.read_manifest(spark, f"{tmp_path}/manifest").collect()
+    m = files.export_dataset(v, str(tmp_path)).collect()
+    assert m == files.read_manifest(spark, f"{tmp_path}/manifest").collect() and all(r.tissue_fraction == 1 for r in m)
     assert len(m) == 8 and len(glob.glob(f"{tmp_path}/train/*/*.png")) == 24
     lab = png.decode(open(f"{tmp_path}/train/labels/{m[0].id}.png", "rb").read())
     assert int((lab > 127).sum()) == m[0].label_px
-    a = files.export_annotations(v, f"{tmp_path}/a", CFG.fat).collect()
+    a = files.export_annotations(spark, grid, folder, f"{tmp_path}/a", CFG.fat, "s*.png").collect()
     assert len(a) == 8 and sum(r.mask_is_prefilled for r in a) >= 2
     files.write_json(files.provenance(CFG, ["x"], src.file_digests(spark, folder, "s*.png")), f"{tmp_path}/p.json")
     p = json.load(open(f"{tmp_path}/p.json"))
@@ -187,8 +187,7 @@ def test_pictures_of_a_run_and_of_a_dataset(spark, folder, tmp_path):
     assert sorted(r.slide for r in t) == ["s10", "s9"] and len(glob.glob(f"{tmp_path}/t/*_tissue.png")) == 2
 
     v = imaging.votes(spark, grid, folder, ensemble.default_members(CFG.fat), "s*.png").withColumns({"cohort": F.lit("positive"), "split": F.lit("train")})
-    files.write_csv(files.export_dataset(v, str(tmp_path / "d")), f"{tmp_path}/manifest")
-    m = files.read_manifest(spark, f"{tmp_path}/manifest")
+    m = files.export_dataset(v, str(tmp_path / "d"))
     gone = spark.createDataFrame([m.first().asDict() | {"id": "gone"}], m.schema)
     rows = pictures.label_pictures(spark, str(tmp_path / "d"), m.union(gone))
     assert rows.count() == 9 and [r.id for r in rows.where("images_path IS NULL").collect()] == ["gone"]
@@ -228,7 +227,7 @@ def test_dataset_and_annotation_commands(spark, folder, tmp_path):
     assert {(f["slide"], f["stage"]) for f in bad} == {(s, t) for s in ("cut", "noscale") for t in ("open", "tissue")}
     assert len(json.load(open(f"{tmp_path}/d/ensemble.json"))) == 9 and files.read_manifest(spark, f"{tmp_path}/d/manifest/positive").count() == 6
     assert cli.main(["annotate", *base, "--strata", "2", "--out", f"{tmp_path}/a"]) == 0
-    m = spark.read.option("header", True).csv(f"{tmp_path}/a/manifest/positive")
+    m = spark.read.option("header", True).csv(f"{tmp_path}/a/annotate/manifest/positive")
     assert m.count() == 3 and len(m.columns) == 14 and glob.glob(f"{tmp_path}/a/annotate/README.md") and len(glob.glob(f"{tmp_path}/a/annotate/*/*.png")) == 9
     assert json.load(open(f"{tmp_path}/a/failures.json")) == bad
 
