@@ -1,4 +1,4 @@
-"""Ranks and exact quantiles of a column without sorting it in one task.
+"""Ranks and exact quantiles of a column, or of many groups of it, without sorting a column or a group in one task.
 
 Rows are counted by distinct value first. The distinct values are cut into slots at approximate quantiles, so each slot is
 sorted by a task of its own; what lies below a slot follows from the totals of at most SLOTS rows. Where the cuts fall
@@ -74,3 +74,40 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], slots: int = S
         return [value_at[math.floor(x)] + (x - math.floor(x)) * (value_at[math.ceil(x)] - value_at[math.floor(x)]) for x in places]
     finally:
         counts.unpersist()
+
+
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Column]:
+    """right with other names for these columns, and the condition that they are equal, nulls too."""
+    right = right.withColumnsRenamed({n: f"{n}_r" for n in names})
+    on = F.lit(True)
+    for n in names:
+        on = on & left[n].eqNullSafe(right[f"{n}_r"])
+    return right, on
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], weight: str | None = None, slots: int = SLOTS) -> DataFrame:
+    """(keys, name, ...): exact quantiles of each group's values that are not null, linear between neighbours; a group without any has no row.
+
+    ``weight`` tells how often a row's value stands. All groups are cut into the same slots, at approximate quantiles of all values,
+    so a slot of a group has at most a slot's share of the rows: a group that holds most rows is spread over tasks. The totals of
+    (group, slot), at most ``slots`` rows a group, say which slots hold the wanted ranks; only those are sorted.
+    """
+    keys = list(keys)
+    n = F.sum(weight) if weight else F.count("*")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(n.alias("n"))
+    edges = counts.agg(cuts("v", slots).alias("edges"))
+    counts = counts.join(F.broadcast(edges)).withColumn("slot", slot_of(F.col("v"), F.col("edges"))).drop("edges")
+    group = Window.partitionBy(*keys)
+    totals = counts.groupBy(*keys, "slot").agg(F.sum("n").alias("t"))
+    totals = totals.withColumns({"before": F.coalesce(F.sum("t").over(group.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("t").over(group)})
+    place = {name: (F.col("all") - 1) * F.lit(float(share)) for name, share in shares.items()}
+    ranks = [F.struct(F.lit(name).alias("name"), side(p).cast("long").alias("rank"), F.lit(k).alias("upper"), (p - F.floor(p)).alias("part")) for name, p in place.items() for k, side in enumerate((F.floor, F.ceil))]
+    wanted = totals.withColumn("w", F.explode(F.array(*ranks))).select(*keys, "slot", "before", "t", "w.*").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("t")))
+    few, on = _same(counts, wanted.select(*keys, "slot").distinct(), [*keys, "slot"])
+    part = counts.join(few, on, "left_semi").withColumn("up", F.sum("n").over(Window.partitionBy(*keys, "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    wanted, on = _same(part, wanted, [*keys, "slot"])
+    at = F.col("rank") - F.col("before")
+    found = part.join(wanted, on & (at < F.col("up")) & (at >= F.col("up") - F.col("n")))
+    pick = lambda name, k: F.max(F.when((F.col("name") == name) & (F.col("upper") == k), F.col("v")))
+    share = lambda name: F.max(F.when(F.col("name") == name, F.col("part")))
+    return found.groupBy(*keys).agg(*[(pick(q, 0) + F.when(share(q) > 0, share(q) * (pick(q, 1) - pick(q, 0))).otherwise(0.0)).alias(q) for q in shares])

@@ -105,14 +105,27 @@ def agreement(votes: DataFrame, members: int, agree: float = 0.5, key: str = "id
     )
 
 
+def summed_area(mask_px: DataFrame, dims: DataFrame) -> DataFrame:
+    """(id, x, y, total): how many mask pixels (id, x, y) stand at or before each pixel of a mask of dims (id, w, h), across and down. Rows and then columns are summed, each by itself."""
+    grid = dims.select("id", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"), F.sequence(F.lit(0), F.col("w") - 1).alias("xs"))
+    grid = grid.select("id", "y", F.explode("xs").alias("x"))
+    marked = mask_px.groupBy("id", "x", "y").agg(F.count("*").alias("n"))
+    across = Window.partitionBy("id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    d = grid.join(marked, ["id", "x", "y"], "left").withColumn("row", F.sum(F.coalesce("n", F.lit(0))).over(across))
+    return d.select("id", "x", "y", F.sum("row").over(down).alias("total"))
+
+
 def tile_fractions(mask_px: DataFrame, boxes: DataFrame, downsample: int) -> DataFrame:
-    """Share of tissue of each box (id, x, y, size, mask_w, mask_h): the relational form for small masks, an equi join on id."""
-    lo = lambda c: F.greatest(F.lit(0), F.floor(F.col(c) / downsample))
-    hi = lambda c, n: F.least(F.col(n), F.ceil((F.col(c) + F.col("size")) / downsample))
+    """Share of tissue of each box (id, x, y, size, mask_w, mask_h), from four places of the mask's summed areas: work grows with pixels plus boxes."""
+    lo = lambda c: F.greatest(F.lit(0), F.floor(F.col(c) / downsample)).cast("int")
+    hi = lambda c, n: F.least(F.col(n), F.ceil((F.col(c) + F.col("size")) / downsample)).cast("int")
     b = boxes.withColumns({"x0": lo("x"), "y0": lo("y"), "x1": hi("x", "mask_w"), "y1": hi("y", "mask_h")})
-    m = mask_px.select("id", F.col("x").alias("px"), F.col("y").alias("py"))
-    inside = (F.col("px") >= F.col("x0")) & (F.col("px") < F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y1"))
+    dims = boxes.groupBy("id").agg(F.max("mask_w").alias("w"), F.max("mask_h").alias("h")).where("w > 0 AND h > 0")
+    table = summed_area(mask_px.select("id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")), dims).withColumnsRenamed({"x": "px", "y": "py"})
+    corners = F.array(*[F.struct((F.col(cx) - 1).alias("px"), (F.col(cy) - 1).alias("py"), F.lit(sign).alias("sign")) for cx, cy, sign in (("x1", "y1", 1), ("x0", "y1", -1), ("x1", "y0", -1), ("x0", "y0", 1))])
+    full = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+    seen = b.where(full).select("id", "x", "y", "size", F.explode(corners).alias("c")).select("id", "x", "y", "size", "c.*").where("px >= 0 AND py >= 0")
+    hits = seen.join(table, ["id", "px", "py"]).groupBy("id", "x", "y", "size").agg(F.sum(F.col("sign") * F.col("total")).alias("hits"))
     n = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    hits = b.join(m, "id").where(inside).groupBy("id", "x", "y").agg(F.count("*").alias("hits"))
-    empty = (F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0"))
-    return b.join(hits, ["id", "x", "y"], "left").select("id", "x", "y", "size", F.when(empty, F.lit(0.0)).otherwise(F.coalesce("hits", F.lit(0)) / n).alias("tissue_fraction"))
+    return b.join(hits, ["id", "x", "y", "size"], "left").select("id", "x", "y", "size", F.when(~full, F.lit(0.0)).otherwise(F.coalesce("hits", F.lit(0)) / n).alias("tissue_fraction"))

@@ -52,10 +52,9 @@ def _of(value: Column, group: str) -> Column:
     return F.when(F.col("group") == group, value)
 
 
-def _separation(medians: bool, positive: str, negative: str, value: str) -> list[Column]:
+def _separation(positive: str, negative: str, value: str) -> list[Column]:
     pos, neg = _of(F.col(value), positive), _of(F.col(value), negative)
-    cols = [F.avg(pos).alias("pos_mean"), F.min(pos).alias("pos_min"), F.avg(neg).alias("neg_mean"), F.max(neg).alias("neg_max")]
-    return cols + ([F.median(pos).alias("pos_median"), F.median(neg).alias("neg_median")] if medians else [])
+    return [F.avg(pos).alias("pos_mean"), F.min(pos).alias("pos_min"), F.avg(neg).alias("neg_mean"), F.max(neg).alias("neg_max")]
 
 
 def _derived(df: DataFrame) -> DataFrame:
@@ -71,8 +70,13 @@ def _derived(df: DataFrame) -> DataFrame:
 
 def score_sweep(df: DataFrame, positive: str = "positive", negative: str = "negative", value: str = "macro_pct") -> DataFrame:
     """One scored row for each cell, best margin first and undefined margins last."""
-    out = _derived(df.groupBy(*parameter_keys(df)).agg(*_separation(True, positive, negative, value)))
-    return out.orderBy(F.desc_nulls_last("margin"), *parameter_keys(df))
+    keys = parameter_keys(df)
+    out = _derived(df.groupBy(*keys).agg(*_separation(positive, negative, value)))
+    middle = ranks.group_quantiles(df.where(F.col("group").isin(positive, negative)), [*keys, "group"], value, {"middle": 0.5})
+    middle = middle.groupBy(*keys).agg(F.max(_of(F.col("middle"), positive)).alias("pos_median"), F.max(_of(F.col("middle"), negative)).alias("neg_median"))
+    middle, same = ranks._same(out, middle, keys)
+    out = out.join(middle, same, "left").drop(*[f"{k}_r" for k in keys])
+    return out.orderBy(F.desc_nulls_last("margin"), *keys)
 
 
 def auc(df: DataFrame, keys: Sequence[str], positive: str = "positive", negative: str = "negative", value: str = "macro_pct", slots: int = ranks.SLOTS) -> DataFrame:
@@ -90,7 +94,7 @@ def score_cells(df: DataFrame, slides: DataFrame | None = None, positive: str =
     keys = parameter_keys(df)
     if slides is not None:
         df = df.join(slides.select("slide").distinct(), "slide", "left_semi")
-    out = _derived(df.groupBy(*keys).agg(*_separation(False, positive, negative, value))).drop("worst_ratio")
+    out = _derived(df.groupBy(*keys).agg(*_separation(positive, negative, value))).drop("worst_ratio")
     return out.join(auc(df, keys, positive, negative, value), keys, "left") if with_auc else out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.config import Fat
 from tessera.functions.scalar import ratio
 from tessera.operators.classify import CLASSES, REASONS, literals, verdict
+from tessera.operators.ranks import _same, group_quantiles
 
 #: Every additive column of a tally.
 SUMS = ("macro_count", "micro_count", "macro_area_um2", "micro_area_um2", "border_count", "border_area_um2", *(f"rej_{r}" for r in REASONS))
@@ -41,11 +42,15 @@ def dense_tile_tally(components: DataFrame, tiles: DataFrame, cfg: Fat) -> DataF
 
 
 def class_stats(components: DataFrame, cfg: Fat, by: tuple[str, ...] = ("slide",)) -> DataFrame:
-    """Count, total, mean and median area by class and over both."""
+    """Count, total, mean and median area by class and over both. What both classes have together comes from their totals and from counts of values, not from the regions again."""
     d = components.withColumn("klass", verdict(literals(cfg))).where(F.col("klass").isin(*CLASSES))
-    aggs = [F.count("*").alias("n"), F.sum("area_um2").alias("area_um2"), F.avg("area_um2").alias("mean_area_um2"), F.median("area_um2").alias("median_area_um2")]
-    both = d.withColumn("klass", F.explode(F.array("klass", F.lit("all"))))
-    return both.groupBy(*by, "klass").agg(*aggs)
+    every = lambda df: df.unionByName(df.withColumn("klass", F.lit("all")))
+    sums = d.groupBy(*by, "klass").agg(F.count("*").alias("n"), F.sum("area_um2").alias("area_um2"), F.count("area_um2").alias("known"))
+    sums = every(sums).groupBy(*by, "klass").agg(*[F.sum(c).alias(c) for c in ("n", "area_um2", "known")])
+    values = every(d.groupBy(*by, "klass", "area_um2").agg(F.count("*").alias("n")))
+    medians, same = _same(sums, group_quantiles(values, [*by, "klass"], "area_um2", {"median_area_um2": 0.5}, "n"), [*by, "klass"])
+    mean = F.try_divide(F.col("area_um2"), F.col("known").cast("double")).alias("mean_area_um2")
+    return sums.join(medians, same, "left").select(*by, "klass", "n", "area_um2", mean, "median_area_um2")
 
 
 def fractions(df: DataFrame, area: str = "tissue_area_um2") -> DataFrame:

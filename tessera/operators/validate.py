@@ -30,12 +30,12 @@ def holdout(spark: SparkSession, df: DataFrame, repeats: int = 300, fraction: fl
     """One row for each repeat: the cell chosen on the tuning slides, its metric there, and its scores on the test slides."""
     keys = parameter_keys(df)
     sides = df.join(holdout_splits(spark, df, repeats, fraction, seed).drop("group"), "slide")
-    tuned = _derived(sides.where("NOT is_test").groupBy("rep", *keys).agg(*_separation(False, positive, negative, "macro_pct")))
+    tuned = _derived(sides.where("NOT is_test").groupBy("rep", *keys).agg(*_separation(positive, negative, "macro_pct")))
     best = Window.partitionBy("rep").orderBy(F.desc(metric), *keys)
     chosen = tuned.where(F.col(metric).isNotNull() & ~F.isnan(metric)).withColumn("at", F.row_number().over(best)).where("at = 1")
     chosen = chosen.select("rep", *keys, F.col(metric).alias("tune_metric"))
     test = sides.where("is_test").join(chosen.drop("tune_metric"), ["rep", *keys], "left_semi")
-    scored = _derived(test.groupBy("rep", *keys).agg(*_separation(False, positive, negative, "macro_pct"))).join(auc(test, ["rep", *keys], positive, negative, slots=1), ["rep", *keys], "left")
+    scored = _derived(test.groupBy("rep", *keys).agg(*_separation(positive, negative, "macro_pct"))).join(auc(test, ["rep", *keys], positive, negative, slots=1), ["rep", *keys], "left")
     shown = scored.select("rep", *keys, F.col(metric).alias("test_metric"), F.col("auc").alias("test_auc"), F.col("pos_mean").alias("test_pos_mean"), F.col("neg_mean").alias("test_neg_mean"))
     return chosen.join(shown, ["rep", *keys])
 
@@ -74,8 +74,8 @@ def bootstrap(spark: SparkSession, rows: DataFrame, boots: int = 2000, seed: int
     slots = base.select("group", F.col("i").alias("slot"), "n").crossJoin(spark.range(boots).select(F.col("id").cast("int").alias("boot")))
     draw = F.conv(F.substring(sample_key(seed, F.col("boot"), F.col("group"), F.col("slot")), 1, 12), 16, 10).cast("long") % F.col("n")
     drawn = slots.select("boot", "group", draw.cast("int").alias("i")).join(base.select("group", "i", "macro_pct"), ["group", "i"])
-    sep = _derived(drawn.groupBy("boot").agg(*_separation(False, positive, negative, "macro_pct"))).join(auc(drawn, ["boot"], positive, negative, slots=1), "boot", "left")
-    seen = _derived(base.withColumn("boot", F.lit(0)).groupBy("boot").agg(*_separation(False, positive, negative, "macro_pct"))).join(auc(base.withColumn("boot", F.lit(0)), ["boot"], positive, negative, slots=1), "boot", "left")
+    sep = _derived(drawn.groupBy("boot").agg(*_separation(positive, negative, "macro_pct"))).join(auc(drawn, ["boot"], positive, negative, slots=1), "boot", "left")
+    seen = _derived(base.withColumn("boot", F.lit(0)).groupBy("boot").agg(*_separation(positive, negative, "macro_pct"))).join(auc(base.withColumn("boot", F.lit(0)), ["boot"], positive, negative, slots=1), "boot", "left")
     long = lambda d: d.select("boot", F.explode(F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(m))])).alias("metric", "v"))
     p = F.percentile("v", F.array(F.lit(LOW), F.lit(HIGH)))
     g = long(sep).where("v IS NOT NULL AND NOT isnan(v)").groupBy("metric").agg(F.avg("v").alias("boot_mean"), p.alias("p"))

@@ -267,3 +267,50 @@ def test_otsu_is_exact_at_every_size(spark):
     con.executemany("INSERT INTO h VALUES (?, ?, ?)", [(i, v, c) for i, h in enumerate(hists) for v, c in enumerate(h) if c])
     rest = SQL["otsu"][SQL["otsu"].index("s AS (") :]
     assert dict(con.execute("WITH " + rest).fetchall()) == dict(enumerate(want))
+
+
+def test_quantiles_of_many_groups(spark):
+    import numpy as np
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators import ranks
+
+    r = np.random.default_rng(5)
+    groups = {"hot": r.integers(0, 400, 6000) / 4, "a": r.random(1), "b": r.integers(0, 3, 50) * 1.0, None: r.random(77) * 9, "c": np.array([2.0, 5.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"lo": 0.025, "mid": 0.5, "hi": 0.975, "top": 1.0}
+    for slots in (2, 7, 128):
+        got = {x.g: tuple(x)[1:] for x in ranks.group_quantiles(df, ["g"], "v", shares, slots=slots).collect()}
+        assert got.keys() == groups.keys()
+        for g, vs in groups.items():
+            assert np.allclose(got[g], np.quantile(vs, list(shares.values())), atol=1e-12)
+    weighted = df.groupBy("g", "v").agg(F.count("*").alias("k"))
+    again = {x.g: x.mid for x in ranks.group_quantiles(weighted, ["g"], "v", {"mid": 0.5}, "k").collect()}
+    assert all(abs(again[g] - np.median(vs)) < 1e-12 for g, vs in groups.items())
+    assert ranks.group_quantiles(df.limit(0), ["g"], "v", shares).count() == 0
+    # no slot of the hot group holds more than a few slots' share of its values
+    counts = df.where("g = 'hot'").groupBy("v").count()
+    edges = counts.agg(ranks.cuts("v", 16).alias("e"))
+    sizes = [x["count"] for x in counts.join(F.broadcast(edges)).groupBy(ranks.slot_of(F.col("v"), F.col("e"))).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 2 * 400 / 16
+
+
+def test_summed_areas_and_boxes(spark):
+    import numpy as np
+
+    from tessera.operators import rasters
+
+    r = np.random.default_rng(6)
+    masks = {1: r.random((9, 14)) < 0.5, 2: np.ones((3, 3), bool), 3: np.zeros((5, 2), bool)}
+    px = spark.createDataFrame([(i, int(x), int(y)) for i, m in masks.items() for y, x in zip(*np.nonzero(m), strict=True)], "id int, x int, y int")
+    boxes = [(i, x, y, n, m.shape[1], m.shape[0]) for i, m in masks.items() for x, y, n in ((0, 0, 4), (3, 5, 8), (11, 2, 20), (0, 0, 99), (60, 60, 4), (4, 4, 1))]
+    df = spark.createDataFrame(boxes, "id int, x int, y int, size int, mask_w int, mask_h int")
+    got = {(q.id, q.x, q.y, q["size"]): q.tissue_fraction for q in rasters.tile_fractions(px, df, 2).collect()}
+    for i, x, y, n, w, h in boxes:
+        part = masks[i][y // 2 : min(h, -(-(y + n) // 2)), x // 2 : min(w, -(-(x + n) // 2))]
+        assert abs(got[i, x, y, n] - (part.mean() if part.size else 0)) < 1e-12
+    table = rasters.summed_area(px, spark.createDataFrame([(1, 14, 9)], "id int, w int, h int")).collect()
+    whole = np.cumsum(np.cumsum(masks[1], axis=0), axis=1)
+    assert len(table) == 9 * 14 and all(q.total == whole[q.y, q.x] for q in table)
