@@ -91,14 +91,14 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "info":
             meta.show(truncate=False)
             continue
-        masks = imaging.tissue(spark, folder, cfg)
+        files.write_parquet(imaging.tissue(spark, folder, cfg), f"{args.out}/tissue/{group}", None)
+        masks = spark.read.parquet(f"{args.out}/tissue/{group}")
         if args.command == "tissue":
-            files.write_parquet(masks, f"{args.out}/tissue/{group}", None)
-            masks = spark.read.parquet(f"{args.out}/tissue/{group}")
             masks.drop("mask").orderBy(natural_key(F.col("slide"))).show(truncate=False)
             reports.say_failures(files.failures({"tissue": masks, "figure": pictures.tissue_figures(spark, masks, folder, cfg, f"{args.out}/qc/{group}")}, group))
             continue
         grid = imaging.tiles(masks, meta, cfg)
+        files.write_parquet(imaging.slide_facts(masks, grid), f"{args.out}/slides/{group}", None)
         failed += files.failures({"open": meta, "tissue": masks}, group)
         if args.command in ("survey", "sweep"):
             grid = sampling.sample_tiles(grid, args.tiles, args.seed)
@@ -161,9 +161,11 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "survey":
             sizes = grid.select("slide", "x", "y", "population")
             out = sampling.survey_rows(tally.tile_tally(found, cfg.fat), ground.join(sizes, ["slide", "x", "y"]))
+            out = tally.with_facts(out, spark.read.parquet(f"{args.out}/slides/{group}").select("slide", F.col("slide_tissue_mm2").alias("tissue_mm2"), "components", "otsu"))
         else:
-            files.write_csv(files.tile_table(tally.fractions(tally.dense_tile_tally(found, ground, cfg.fat))).drop("tile"), f"{args.out}/tiles_csv/{group}")
-            out = tally.slide_summary(found, ground, cfg.fat)
+            whole = ground.join(grid.select("slide", "x", "y", "size", "tissue_fraction"), ["slide", "x", "y"])
+            files.write_csv(files.tile_table(tally.tile_rows(found, whole, cfg.fat)), f"{args.out}/tiles_csv/{group}")
+            out = tally.with_facts(tally.slide_summary(found, ground, cfg.fat), spark.read.parquet(f"{args.out}/slides/{group}").select("slide", "tiles_candidate", F.col("slide_tissue_mm2").alias("slide_tissue_area_mm2")))
             drawn = pictures.save_tiles(spark, pictures.chosen(grid, cfg), folder, cfg, f"{args.out}/pictures/{group}")
             failed += files.failures({"pictures": drawn}, group)
         parts.append(out.withColumn("group", F.lit(group)))

@@ -25,8 +25,9 @@ from tessera.plans.imaging import each_row, each_tile
 from tessera.sources import png
 from tessera.sources.stores import put
 
-#: Decimal places of the columns of a tile table.
-PLACES = {"tissue_fraction": 4, "tissue_area_um2": 1, "threshold": 1, "macro_area_um2": 1, "micro_area_um2": 1, "total_area_um2": 1, "macro_fraction": 6, "micro_fraction": 6, "total_fraction": 6, "border_area_um2": 1}
+# Decimal places of the columns of a tile table, as existing tables have them.
+PLACES = {"tissue_fraction": 4, "threshold": 1} | {f"{k}_area_um2": 1 for k in ("tissue", "macro", "micro", "total", "border")}
+PLACES |= {f"{k}_fat_fraction": 6 for k in ("macro", "micro", "total")} | {f"{k}_{m}_area_um2": 2 for k in ("macro", "micro") for m in ("mean", "median")}
 MANIFEST = "id string, split string, cohort string, slide string, tile_x int, tile_y int, tile_size int, mpp double, tissue_fraction double, fat_fraction double, label_px long, unanimous_px long, any_px long, unanimous_of_any double, contested_of_label double, is_negative boolean"
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = 128
+#: Slots of quantiles by group: every value is held against all cuts.
+GROUP_SLOTS = 32
 #: Accuracy of the cuts: a slot is wrong by at most one part in this many.
 ACCURACY = 2000
 
@@ -85,7 +87,7 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> tuple[Data
     return right, on
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], weight: str | None = None, slots: int = SLOTS) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], weight: str | None = None, slots: int = GROUP_SLOTS) -> DataFrame:
     """(keys, name, ...): exact quantiles of each group's values that are not null, linear between neighbours; a group without any has no row.
 
     ``weight`` tells how often a row's value stands. All groups are cut into the same slots, at approximate quantiles of all values,

@@ -53,6 +53,32 @@ def class_stats(components: DataFrame, cfg: Fat, by: tuple[str, ...] = ("slide",
     return sums.join(medians, same, "left").select(*by, "klass", "n", "area_um2", mean, "median_area_um2")
 
 
+def tile_rows(components: DataFrame, tiles: DataFrame, cfg: Fat) -> DataFrame:
+    """The tile table: for every tile of (slide, tile, x, y, size, tissue_fraction, tissue_area_um2) its counts, areas, fractions, means and medians by class and over both, and its rejections.
+
+    A tile's regions are few, so its medians are taken where its tally is. A fixed threshold stands for tiles without regions too.
+    """
+    v = verdict(literals(cfg))
+    known = "threshold" in components.columns
+    taken = v.isin(*CLASSES) & ~(F.col("touches_border") & F.lit(cfg.exclude_border))
+    area = {k: F.when(taken & (v == k), F.col("area_um2")) for k in CLASSES}
+    middle = [of(area[k]).alias(f"{k}_{name}_area_um2") for k in CLASSES for name, of in (("mean", F.avg), ("median", F.median))]
+    level = (F.max("threshold") if known else F.lit(None)).cast("double").alias("threshold")
+    found = components.groupBy("slide", "tile").agg(*tally_columns(v, cfg.exclude_border), *middle, level)
+    d = fractions(zero_filled(tiles.join(found, ["slide", "tile"], "left")))
+    level = F.coalesce("threshold", F.lit(float(cfg.white_threshold))) if cfg.method == "fixed" else F.col("threshold")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    sides = [c for k in CLASSES for c in (f"{k}_count", f"{k}_area_um2", F.col(f"{k}_fraction").alias(f"{k}_fat_fraction"), zero(f"{k}_mean_area_um2"), zero(f"{k}_median_area_um2"))]
+    total = [(F.col("macro_count") + F.col("micro_count")).alias("total_count"), (F.col("macro_area_um2") + F.col("micro_area_um2")).alias("total_area_um2"), F.col("total_fraction").alias("total_fat_fraction")]
+    place = ["slide", F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), F.col("size").alias("tile_size"), "tissue_fraction", "tissue_area_um2", level.alias("threshold")]
+    return d.select(*place, *sides, *total, "border_count", "border_area_um2", *[f"rej_{r}" for r in REASONS])
+
+
+def with_facts(summary: DataFrame, facts: DataFrame) -> DataFrame:
+    """A slide table with what is known of each slide as a whole: the other columns of facts, which has one row for each slide."""
+    return summary.join(facts, "slide", "left")
+
+
 def fractions(df: DataFrame, area: str = "tissue_area_um2") -> DataFrame:
     tissue = F.col(area)
     return df.withColumns(

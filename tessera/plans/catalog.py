@@ -87,6 +87,29 @@ def slide_summary(spark, sf):
     return _r(_summary(spark, sf), "macro_fraction", "micro_fraction", "total_fraction", "border_share", digits=9)
 
 
+def _grid_tiles(spark, sf):
+    return fx.tiles(spark, sf).withColumns({"size": F.lit(512), "tissue_fraction": F.col("tissue_area_um2") / 65536})
+
+
+def tile_table(spark, sf):
+    """All columns of a tile table, with regions at a tile's border left out."""
+    from dataclasses import replace
+
+    d = tally.tile_rows(fx.components(spark, sf), _grid_tiles(spark, sf), replace(FAT, exclude_border=True))
+    return _r(d, *[f"{k}_{m}" for k in ("macro", "micro") for m in ("fat_fraction", "mean_area_um2", "median_area_um2")], "total_fat_fraction")
+
+
+def slide_report(spark, sf):
+    """Totals of the tiles that were looked at, beside the number of all tiles and the tissue of the whole slide."""
+    every = fx.tiles(spark, sf)
+    some = every.where("x < 1536")
+    found = fx.components(spark, sf).join(some.select("slide", "tile"), ["slide", "tile"], "left_semi")
+    facts = every.groupBy("slide").agg(F.count("*").alias("tiles_candidate"), (F.sum("tissue_area_um2") / 1e6).alias("slide_tissue_area_mm2"))
+    d = tally.with_facts(tally.slide_summary(found, some, FAT), facts)
+    d = d.select("slide", "tiles", "tiles_candidate", "slide_tissue_area_mm2", "macro_count", "micro_count", "macro_fraction", "micro_fraction", "border_share")
+    return _r(d, "slide_tissue_area_mm2", "macro_fraction", "micro_fraction", "border_share", digits=9)
+
+
 def cohort_summary(spark, sf):
     d = tally.cohort_summary(_summary(spark, sf).join(fx.slides(spark, sf), "slide"))
     d = d.withColumn("cohort", F.coalesce("cohort", F.lit("all")))
@@ -137,7 +160,7 @@ def top_cells(spark, sf):
     return sweep.top_cells(d, 5)
 
 
-def _holdout(spark, sf, repeats=40):
+def _holdout(spark, sf, repeats=300):
     d = _sweep(spark, sf).withColumns({"macro_pct": F.round("macro_pct", 6)})
     return validate.holdout(spark, d, repeats=repeats, seed=SEED)
 
@@ -157,7 +180,7 @@ def optimism(spark, sf):
 def bootstrap_ci(spark, sf):
     cell = {"white": 210, "circularity_min": 0.55, "min_area_um2": 40.0, "max_eccentricity": 0.8}
     rows = validate.cell_rows(_sweep(spark, sf), cell).select("slide", "group", "macro_pct")
-    return _r(validate.bootstrap(spark, rows, boots=200, seed=SEED), "observed", "boot_mean", "ci_lo", "ci_hi", digits=8)
+    return _r(validate.bootstrap(spark, rows, boots=2000, seed=SEED), "observed", "boot_mean", "ci_lo", "ci_hi", digits=8)
 
 
 def split_plan(spark, sf):
@@ -314,7 +337,7 @@ NAMES = (
     "component_verdicts tile_tally tile_tally_dense border_excluded class_stats slide_summary cohort_summary survey_sample group_stats param_grid sweep_per_slide score_sweep score_cells auc "
     "top_cells holdout stability optimism bootstrap_ci split_plan split_random split_lookup stratified_pick size_histogram ensemble_member_pct pixel_votes agreement tile_grid natural_sort tile_names slide_seed "
     "white_mask otsu morph_open morph_close fill_holes label_components region_moments keep_largest small_objects tissue_fraction mask_stats panel_candidates reason_attribution slide_levels shape_measures "
-    "tally_merge rejected_map"
+    "tally_merge rejected_map tile_table slide_report"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 

@@ -75,6 +75,13 @@ def tissue(spark: SparkSession, folder: str, cfg: Config, pattern: str = "*") ->
     return each_row(find_slides(spark, folder, pattern, ordered=False).select("slide", "path"), one, TISSUE)
 
 
+def slide_facts(masks: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(slide, tiles_candidate, slide_tissue_mm2, components, otsu): what tissue detection and the whole grid of tiles say of each slide."""
+    n = tiles.where("error IS NULL").groupBy("slide").agg(F.count("*").alias("tiles_candidate"))
+    known = masks.where("error IS NULL").select("slide", F.col("tissue_mm2").alias("slide_tissue_mm2"), "components", F.col("threshold").alias("otsu"))
+    return known.join(n, "slide", "left").select("slide", F.coalesce("tiles_candidate", F.lit(0)).alias("tiles_candidate"), "slide_tissue_mm2", "components", "otsu")
+
+
 def unpacked(data: bytes, h: int, w: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=h * w).reshape(h, w).astype(bool)
 

@@ -71,7 +71,7 @@ def _auc(rows: str, keys: str, value: str = "macro_pct") -> str:
 
 HOLD = f""", sw AS (SELECT slide, "group", {KEYS}, round(macro_pct, 6) AS macro_pct FROM sweep),
 pick AS (SELECT rep, slide, row_number() OVER (PARTITION BY rep, cohort ORDER BY md5('7|' || rep || '|' || slide), slide) <= greatest(2, CAST(round_even(n * 0.3, 0) AS INT)) AS is_test
-  FROM (SELECT *, count(*) OVER (PARTITION BY cohort) AS n FROM slides) q, unnest(range(40)) AS r(rep)),
+  FROM (SELECT *, count(*) OVER (PARTITION BY cohort) AS n FROM slides) q, unnest(range(300)) AS r(rep)),
 sides AS (SELECT sw.*, CAST(rep AS INT) AS rep, is_test FROM sw JOIN pick USING (slide)),
 tuned AS (SELECT rep, {KEYS}, min(macro_pct) FILTER (WHERE "group" = 'positive') - max(macro_pct) FILTER (WHERE "group" = 'negative') AS tune_metric FROM sides WHERE NOT is_test GROUP BY rep, {KEYS}),
 best AS (SELECT * FROM tuned WHERE tune_metric IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rep ORDER BY tune_metric DESC, {KEYS}) = 1),
@@ -116,6 +116,18 @@ SQL = {
     "tile_tally": f"WITH {BASE} SELECT * FROM tally",
     "tile_tally_dense": f"WITH {BASE} SELECT slide, tile, x, y, tissue_area_um2, {ZERO} FROM tiles LEFT JOIN tally USING (slide, tile)",
     "border_excluded": f"WITH {BASE} SELECT slide, tile, macro_count, macro_area_um2, border_count, rej_border FROM (SELECT slide, tile, {_tally('true')} FROM judged GROUP BY slide, tile)",
+    "tile_table": f"""WITH {BASE}, ex AS (SELECT slide, tile, {_tally('true')} FROM judged GROUP BY slide, tile),
+        m AS (SELECT slide, tile, {", ".join(f"avg(area_um2) FILTER (WHERE verdict = '{k}' AND NOT touches_border) AS {k}_mean, median(area_um2) FILTER (WHERE verdict = '{k}' AND NOT touches_border) AS {k}_median" for k in ("macro", "micro"))} FROM judged GROUP BY slide, tile),
+        t AS (SELECT tiles.*, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("macro_count", "micro_count", "macro_area_um2", "micro_area_um2", "border_count", "border_area_um2", *(f"rej_{r}" for r in (*REASONS, "border"))))}, {", ".join(f"coalesce({k}_{m}, 0.0) AS {k}_{m}" for k in ("macro", "micro") for m in ("mean", "median"))} FROM tiles LEFT JOIN ex USING (slide, tile) LEFT JOIN m USING (slide, tile))
+        SELECT slide, x AS tile_x, y AS tile_y, CAST(512 AS INT) AS tile_size, tissue_area_um2 / 65536 AS tissue_fraction, tissue_area_um2, CAST(210 AS DOUBLE) AS threshold,
+          {", ".join(f"{k}_count, {k}_area_um2, round({k}_area_um2 / tissue_area_um2, 6) AS {k}_fat_fraction, round({k}_mean, 6) AS {k}_mean_area_um2, round({k}_median, 6) AS {k}_median_area_um2" for k in ("macro", "micro"))},
+          macro_count + micro_count AS total_count, macro_area_um2 + micro_area_um2 AS total_area_um2, round((macro_area_um2 + micro_area_um2) / tissue_area_um2, 6) AS total_fat_fraction, border_count, border_area_um2,
+          {", ".join(f"rej_{r}" for r in (*REASONS, "border"))} FROM t""",
+    "slide_report": f"""WITH {BASE}, few AS (SELECT * FROM tiles WHERE x < 1536), k AS (SELECT slide, {_tally()} FROM judged SEMI JOIN few USING (slide, tile) GROUP BY slide),
+        g AS (SELECT slide, count(*) AS tiles, sum(tissue_area_um2) AS tissue FROM few GROUP BY slide), f AS (SELECT slide, count(*) AS tiles_candidate, sum(tissue_area_um2) / 1e6 AS slide_tissue_area_mm2 FROM tiles GROUP BY slide)
+        SELECT slide, g.tiles, tiles_candidate, round(slide_tissue_area_mm2, 9) AS slide_tissue_area_mm2, coalesce(macro_count, 0) AS macro_count, coalesce(micro_count, 0) AS micro_count,
+          round(coalesce(macro_area_um2, 0) / tissue, 9) AS macro_fraction, round(coalesce(micro_area_um2, 0) / tissue, 9) AS micro_fraction, round(coalesce(border_area_um2 / nullif(macro_area_um2 + micro_area_um2, 0), 0), 9) AS border_share
+        FROM g JOIN f USING (slide) LEFT JOIN k USING (slide)""",
     "class_stats": f"""WITH {BASE}, k AS (SELECT slide, verdict AS klass, area_um2 FROM judged WHERE verdict IN ('macro', 'micro') UNION ALL SELECT slide, 'all', area_um2 FROM judged WHERE verdict IN ('macro', 'micro'))
         SELECT slide, klass, count(*) AS n, sum(area_um2) AS area_um2, round(avg(area_um2), 6) AS mean_area_um2, round(median(area_um2), 6) AS median_area_um2 FROM k GROUP BY slide, klass""",
     "slide_summary": f"WITH {BASE} SELECT * REPLACE ({ROUND9('macro_fraction', 'micro_fraction', 'total_fraction', 'border_share')}) FROM summary",
@@ -137,7 +149,7 @@ SQL = {
     "stability": f"WITH {BASE}{SWEEP}{HOLD} SELECT {KEYS}, count(*) AS times_selected, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM hold GROUP BY {KEYS}",
     "optimism": f"WITH {BASE}{SWEEP}{HOLD} SELECT round(avg(tune_metric) - avg(test_metric), 8) AS optimism, round(avg(test_metric), 8) AS test_mean, round(quantile_cont(test_metric, 0.025), 8) AS test_lo, round(quantile_cont(test_metric, 0.975), 8) AS test_hi FROM hold",
     "bootstrap_ci": f"""WITH {BASE}{SWEEP}, b AS (SELECT "group", macro_pct, row_number() OVER (PARTITION BY "group" ORDER BY slide) - 1 AS i, count(*) OVER (PARTITION BY "group") AS n FROM sweep WHERE white = 210 AND circularity_min = 0.55 AND min_area_um2 = 40 AND max_eccentricity = 0.8),
-        dr AS (SELECT boot, s."group", ('0x' || substr(md5('7|' || boot || '|' || s."group" || '|' || s.i), 1, 12))::BIGINT % s.n AS i FROM b s, unnest(range(200)) AS r(boot)),
+        dr AS (SELECT boot, s."group", ('0x' || substr(md5('7|' || boot || '|' || s."group" || '|' || s.i), 1, 12))::BIGINT % s.n AS i FROM b s, unnest(range(2000)) AS r(boot)),
         d AS (SELECT boot, "group", macro_pct FROM dr JOIN b USING ("group", i) UNION ALL SELECT -1, "group", macro_pct FROM b),
         m AS (SELECT boot, {SEPARATE} FROM d GROUP BY boot), a AS ({_auc('d', 'boot')}), f AS (SELECT *, pos_min - neg_max AS margin FROM m JOIN a USING (boot)),
         l AS ({' UNION ALL '.join(f"SELECT boot, '{x}' AS metric, {x} AS v FROM f" for x in METRICS)})

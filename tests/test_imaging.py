@@ -211,6 +211,10 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert not glob.glob(f"{tmp_path}/batch/pictures/a/*/tiles") and len(glob.glob(f"{tmp_path}/batch/pictures/a/*/qc/*.png")) == 2
     assert cli.main(["tissue", *base, "--out", f"{tmp_path}/tissue"]) == 0 and glob.glob(f"{tmp_path}/tissue/qc/a/*_tissue.png")
     assert cli.config_of(cli.parser().parse_args(["run", *base, "--exclude-border", "--tissue-level", "1", "--fat-method", "otsu"])).fat.exclude_border
+    table = spark.read.option("header", True).csv(f"{tmp_path}/run/tiles_csv/a")
+    assert len(table.columns) == 1 + 27 and {"tile_size", "tissue_fraction", "threshold", "macro_median_area_um2", "total_count", "rej_border"} < set(table.columns)
+    assert {"tiles_candidate", "slide_tissue_area_mm2"} < set(spark.read.option("header", True).csv(f"{tmp_path}/run/run").columns)
+    assert {"tissue_mm2", "components", "otsu"} < set(spark.read.option("header", True).csv(f"{tmp_path}/survey/survey").columns)
     assert glob.glob(f"{tmp_path}/run/tiles_csv/a/*.csv") and glob.glob(f"{tmp_path}/sweep/sweep_scored/*.csv")
     with pytest.raises(KeyError):
         cli.main(["info", *base, "--set", "fat.nope=1"])
