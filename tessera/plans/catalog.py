@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from tessera.config import TUNED
 from tessera.functions import scalar as S
 from tessera.kernels import raster as K
 from tessera.operators import classify, ensemble, rasters, sampling, sweep, tally, validate
+from tessera.plans import imaging
 from tessera.sources import fixtures as fx
 
 FAT = TUNED.fat
@@ -295,6 +297,37 @@ def mask_stats(spark, sf):
     return d.select("id", "n_px", (F.col("n_px") * 0.25).alias("area_um2"), (F.col("n_px") / 64).alias("coverage"), "n_components")
 
 
+def _image_config():
+    from dataclasses import replace
+
+    shape = {"circularity_min": 0.0, "solidity_min": 0.0, "max_eccentricity": 1.0, "micro_circularity_min": 0.0, "micro_solidity_min": 0.0}
+    return replace(TUNED, fat=replace(FAT, white_threshold=150, open_radius_px=0, close_radius_px=1, min_area_um2=1.0, max_area_um2=6.0, micro_min_area_um2=0.5, **shape))
+
+
+def image_regions(spark, sf):
+    """Regions of tiles with packed pixels: threshold within the tissue, closing, filling, labelling, measuring."""
+    d = imaging.regions(spark, fx.image_tiles(spark, sf), "", _image_config())
+    return _r(d.select("slide", "white", "label", "area_um2", "centroid_x", "centroid_y", "eccentricity", "equivalent_diameter_um", "touches_border"), "centroid_x", "centroid_y", "eccentricity", "equivalent_diameter_um")
+
+
+def image_tally(spark, sf):
+    """Regions of those tiles judged and summed by slide, over the tissue of the tiles."""
+    store, cfg = fx.image_tiles(spark, sf), _image_config()
+    found = imaging.regions(spark, store, "", cfg).withColumn("tile", F.struct("x", "y"))
+    d = tally.slide_summary(found, imaging.tile_ground(store), cfg.fat)
+    return _r(d.select("slide", "tissue_area_um2", "macro_count", "macro_area_um2", "micro_count", "rej_too_small", "rej_too_large", "border_count", "macro_fraction"), "macro_fraction")
+
+
+def image_tissue(spark, sf):
+    """Tissue of colour rasters: saturation and value, small holes filled, small objects dropped."""
+    from tessera.config import Tissue
+
+    cfg = Tissue(method="fixed", saturation_threshold=60, max_value=200, close_radius_um=0, open_radius_um=0, min_object_area_um2=2.0, max_hole_area_um2=1.0)
+    kernel = lambda a: [(int(y), int(x)) for y, x in zip(*np.nonzero(K.detect_tissue(a, 1.0, 1.0, cfg)[0]), strict=True)]
+    px = rasters.map_rasters(fx.colour_rasters(spark, sf), kernel, "y int, x int")
+    return px.groupBy("id").agg(F.count("*").alias("n_px"), F.sum(F.col("y") * 7 + F.col("x")).alias("where_px"))
+
+
 def panel_candidates(spark, sf):
     d = tally.fractions(tally.dense_tile_tally(fx.components(spark, sf), fx.tiles(spark, sf), FAT)).join(fx.slides(spark, sf), "slide")
     d = d.withColumn("pct", F.round(F.col("macro_fraction") * 100, 6))
@@ -337,7 +370,7 @@ NAMES = (
     "component_verdicts tile_tally tile_tally_dense border_excluded class_stats slide_summary cohort_summary survey_sample group_stats param_grid sweep_per_slide score_sweep score_cells auc "
     "top_cells holdout stability optimism bootstrap_ci split_plan split_random split_lookup stratified_pick size_histogram ensemble_member_pct pixel_votes agreement tile_grid natural_sort tile_names slide_seed "
     "white_mask otsu morph_open morph_close fill_holes label_components region_moments keep_largest small_objects tissue_fraction mask_stats panel_candidates reason_attribution slide_levels shape_measures "
-    "tally_merge rejected_map tile_table slide_report"
+    "tally_merge rejected_map tile_table slide_report image_regions image_tally image_tissue"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 

@@ -93,13 +93,30 @@ lab AS (SELECT id, y, x, CAST(dense_rank() OVER (PARTITION BY id ORDER BY o) AS
 reg AS (SELECT id, label, count(*) AS area_px FROM lab GROUP BY id, label)"""
 
 
+def _step(name: str, source: str, kind: str) -> str:
+    """Erosion or dilation with the five-pixel cross; what lies outside the raster takes no part."""
+    hit = f"(SELECT px.id, px.y, px.x, bool_{'and' if kind == 'erode' else 'or'}(s.id IS NOT NULL) AS hit FROM px CROSS JOIN cross5 JOIN px q ON q.id = px.id AND q.y = px.y + dy AND q.x = px.x + dx LEFT JOIN {source} s ON s.id = q.id AND s.y = q.y AND s.x = q.x GROUP BY px.id, px.y, px.x)"
+    return f"{name} AS (SELECT id, y, x FROM {hit} WHERE hit)"
+
+
 def _morph(first: str, second: str) -> str:
-    """Two steps of erosion or dilation with the five-pixel cross; what lies outside the raster takes no part."""
-    def step(name: str, source: str, kind: str) -> str:
-        hit = f"(SELECT px.id, px.y, px.x, bool_{'and' if kind == 'erode' else 'or'}(s.id IS NOT NULL) AS hit FROM px CROSS JOIN cross5 JOIN px q ON q.id = px.id AND q.y = px.y + dy AND q.x = px.x + dx LEFT JOIN {source} s ON s.id = q.id AND s.y = q.y AND s.x = q.x GROUP BY px.id, px.y, px.x)"
-        return f"{name} AS (SELECT id, y, x FROM {hit} WHERE hit)"
+    return f"WITH {PIXELS}, {_step('m1', 'fg', first)}, {_step('m2', 'm1', second)} SELECT id, count(*) AS n_px, CAST(sum(y * 8 + x) AS BIGINT) AS where_px FROM m2 GROUP BY id"
+
+
+#: Regions of the tiles whose first two columns are not tissue: threshold, closing, filling, labelling.
+IMAGE = f"""WITH RECURSIVE {PIXELS}, f0 AS (SELECT id, y, x FROM px WHERE gray >= 150 AND x >= 2), {_step('f1', 'f0', 'dilate')}, {_step('f2', 'f1', 'erode')}, bg AS (SELECT id, y, x FROM px EXCEPT SELECT id, y, x FROM f2),
+outside(id, y, x) AS (SELECT id, y, x FROM bg WHERE y IN (0, 7) OR x IN (0, 7) UNION SELECT bg.id, bg.y, bg.x FROM outside o, cross5, bg WHERE bg.id = o.id AND bg.y = o.y + dy AND bg.x = o.x + dx),
+solid AS (SELECT id, y, x FROM px EXCEPT SELECT id, y, x FROM outside){FLOOD.replace("fg", "solid")},
+m AS (SELECT id, label, count(*) AS n, avg(x) AS cx, avg(y) AS cy, min(x) = 0 OR min(y) = 0 OR max(x) = 7 OR max(y) = 7 AS rim, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM lab GROUP BY id, label),
+g AS (SELECT *, n * 0.25::DOUBLE AS a, (vx + vy) / 2 AS h, sqrt(((vx - vy) / 2) ** 2 + c * c) AS s FROM m)"""
+
 
-    return f"WITH {PIXELS}, {step('m1', 'fg', first)}, {step('m2', 'm1', second)} SELECT id, count(*) AS n_px, CAST(sum(y * 8 + x) AS BIGINT) AS where_px FROM m2 GROUP BY id"
+def _flood4(name: str, source: str) -> str:
+    """Regions of a set of places by their edges, each named by its least place of 3 rows of 7."""
+    return (
+        f"{name}_r(id, y, x, o) AS (SELECT id, y, x, y * 7 + x FROM {source} UNION SELECT q.id, q.y, q.x, r.o FROM {name}_r r, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx), {source} q WHERE q.id = r.id AND q.y = r.y + dy AND q.x = r.x + dx), "
+        f"{name}_p AS (SELECT id, y, x, min(o) AS o FROM {name}_r GROUP BY id, y, x), {name} AS (SELECT *, count(*) OVER (PARTITION BY id, o) AS area FROM {name}_p)"
+    )
 
 
 VOTES = ", lv AS (SELECT 100 + k * 12 AS level FROM range(9) t(k)), vt AS (SELECT id, y, x, count(*) FILTER (WHERE gray >= level) AS votes FROM px, lv GROUP BY id, y, x)"
@@ -204,6 +221,17 @@ SQL = {
     "tissue_fraction": f"""WITH {PIXELS}, b AS (SELECT id, bx.x, bq.y, bx.x // 4 AS x0, bq.y // 4 AS y0, least(8, CAST(ceil((bx.x + 10) / 4.0) AS INT)) AS x1, least(8, CAST(ceil((bq.y + 10) / 4.0) AS INT)) AS y1 FROM (SELECT DISTINCT id FROM px) i, (VALUES (0), (7), (25)) bx(x), (VALUES (3), (20)) bq(y))
         SELECT b.id, CAST(b.x AS INT) AS x, CAST(b.y AS INT) AS y, CAST(10 AS INT) AS size, round(coalesce(avg(CASE WHEN gray >= 140 THEN 1.0 ELSE 0.0 END), 0), 9) AS tissue_fraction FROM b LEFT JOIN px ON px.id = b.id AND px.x >= x0 AND px.x < x1 AND px.y >= y0 AND px.y < y1 GROUP BY b.id, b.x, b.y""",
     "mask_stats": f"WITH RECURSIVE {PIXELS}{FLOOD}, c AS (SELECT id, CAST(sum(area_px) AS BIGINT) AS n, count(*) AS k FROM reg GROUP BY id) SELECT id, coalesce(n, 0) AS n_px, CAST(coalesce(n, 0) * 0.25 AS DOUBLE) AS area_um2, coalesce(n, 0) / 64.0::DOUBLE AS coverage, coalesce(k, 0) AS n_components FROM (SELECT DISTINCT id FROM px) LEFT JOIN c USING (id)",
+    "image_regions": f"""{IMAGE} SELECT CAST(id AS VARCHAR) AS slide, CAST(150 AS INT) AS white, label, a AS area_um2, round(cx, 6) AS centroid_x, round(cy, 6) AS centroid_y,
+        round(CASE WHEN h + s <= 0 THEN 0 ELSE sqrt(greatest(0, 1 - (h - s) / (h + s))) END, 6) AS eccentricity, round(sqrt(4.0 * n / pi()) * 0.5, 6) AS equivalent_diameter_um, rim AS touches_border FROM g""",
+    "image_tally": f"""{IMAGE}, v AS (SELECT id, a, rim, CASE WHEN a BETWEEN 1 AND 6 THEN 'macro' WHEN a >= 0.5 AND a < 1 THEN 'micro' WHEN a > 6 THEN 'large' ELSE 'small' END AS k FROM g)
+        SELECT CAST(i.id AS VARCHAR) AS slide, 12.0::DOUBLE AS tissue_area_um2, count(*) FILTER (WHERE k = 'macro') AS macro_count, coalesce(sum(a) FILTER (WHERE k = 'macro'), 0.0) AS macro_area_um2, count(*) FILTER (WHERE k = 'micro') AS micro_count,
+          count(*) FILTER (WHERE k = 'small') AS rej_too_small, count(*) FILTER (WHERE k = 'large') AS rej_too_large, count(*) FILTER (WHERE k IN ('macro', 'micro') AND rim) AS border_count, round(coalesce(sum(a) FILTER (WHERE k = 'macro'), 0.0) / 12, 6) AS macro_fraction
+        FROM (SELECT DISTINCT id FROM px) i LEFT JOIN v ON v.id = i.id GROUP BY i.id""",
+    "image_tissue": f"""WITH RECURSIVE {PIXELS}, ch AS (SELECT id, (y * 8 + x) // 3 AS k, gray FROM px WHERE y * 8 + x < 63),
+        rgb AS (SELECT id, CAST(k // 7 AS INT) AS y, CAST(k % 7 AS INT) AS x, max(gray) AS hi, min(gray) AS lo FROM ch GROUP BY id, k),
+        on0 AS (SELECT id, y, x FROM rgb WHERE hi <= 200 AND hi > 0 AND floor(255.0::DOUBLE * (hi - lo) / hi + 0.5) > 60), off0 AS (SELECT id, y, x FROM rgb EXCEPT SELECT id, y, x FROM on0),
+        {_flood4('hole', 'off0')}, on1 AS (SELECT id, y, x FROM on0 UNION ALL SELECT id, y, x FROM hole WHERE area <= 1), {_flood4('part', 'on1')}
+        SELECT id, count(*) AS n_px, CAST(sum(y * 7 + x) AS BIGINT) AS where_px FROM part WHERE area > 2 GROUP BY id""",
     "panel_candidates": f"WITH {BASE}, f AS (SELECT slide, tile, round(coalesce(macro_area_um2, 0) / tissue_area_um2 * 100, 6) AS pct, tissue_area_um2 FROM tiles LEFT JOIN tally USING (slide, tile)) SELECT slide, tile, pct FROM f JOIN slides USING (slide) WHERE cohort <> 'negative' AND tissue_area_um2 > 55000 AND pct BETWEEN 3 AND 10",
     "reason_attribution": f"""WITH RECURSIVE {PIXELS}{FLOOD}, s AS (SELECT id, label, count(*) AS area_px, avg(CASE WHEN gray >= 160 THEN 1.0 ELSE 0.0 END) AS share FROM lab JOIN px USING (id, y, x) GROUP BY id, label)
         SELECT CASE WHEN share > 0.5 THEN 'in label' WHEN area_px < 3 THEN 'too_small' ELSE 'too_faint' END AS reason, count(*) AS n, CAST(sum(area_px) AS BIGINT) AS n_px FROM s GROUP BY 1""",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +50,22 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("i", "e"))
     g = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("e").cast("double") + F.lit(0.55)) * 232).cast("int")))
     return e.select("id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), g.alias("gray"))
+
+
+def image_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grey rasters as tiles with packed pixels, one for each slide; the first two columns of a tile are not tissue."""
+    crop = np.packbits(np.arange(16).reshape(4, 4) % 4 > 0).tobytes()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            packed = [None if d is None else zlib.compress(np.repeat(np.frombuffer(d, np.uint8), 3).tobytes(), 1) for d in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["slide", "pixels"])
+
+    d = rasters(spark, sf_dir).select(F.col("id").cast("string").alias("slide"), "data").mapInArrow(run, "slide string, pixels binary").where("pixels IS NOT NULL")
+    fixed = {"x": 0, "y": 0, "size": 8, "crop_w": 4, "crop_h": 4}
+    return d.select("slide", *[F.lit(v).alias(k) for k, v in fixed.items()], F.lit(0.75).alias("tissue_fraction"), F.lit(0.25).alias("um2_per_px"), F.lit(crop).alias("crop"), F.lit(None).cast("string").alias("error"), "pixels")
+
+
+def colour_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, h, w, data): one 3 x 7 colour raster for each embedding, from its first 63 values."""
+    return rasters(spark, sf_dir).select("id", F.lit(3).alias("h"), F.lit(7).alias("w"), F.expr("substring(data, 1, 63)").alias("data"))
