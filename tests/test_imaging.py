@@ -147,6 +147,38 @@ def test_streaming_totals_equal_batch(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/o").count() == 300 and len(glob.glob(f"{tmp_path}/o/batch=*")) >= 3
 
 
+def test_tiles_that_are_sent_again_count_once(spark, tmp_path):
+    """Files that come twice, corrected, late and empty, over restarts from the checkpoint: the totals are those of the latest versions."""
+    r = np.random.default_rng(4)
+    schema = "slide long, tile int, version long, label int, area_um2 double, circularity double, solidity double, eccentricity double, touches_border boolean"
+
+    def file(slide, tile, version, n):
+        rows = [(slide, tile, version, i, float(r.integers(1, 2500)), 0.9, float(r.choice([0.7, 0.95])), 0.1, bool(r.random() < 0.3)) for i in range(n)]
+        return rows or [(slide, tile, version, 0, None, None, None, None, None)]
+
+    one = {(s, t): file(s, t, 1, int(r.integers(0, 9))) for s in range(3) for t in range(6)}
+    two = {(0, 0): file(0, 0, 2, 5), (0, 1): file(0, 1, 3, 0), (1, 2): file(1, 2, 2, 4)}
+    rounds = [
+        [*one.values(), one[0, 0]],  # the first file twice in one batch
+        [one[1, 1], one[2, 5], *two.values()],  # sent again, and corrected
+        [file(0, 1, 2, 7), one[0, 0], two[1, 2], file(1, 2, 3, 2)],  # late, old, again, corrected once more
+    ]
+    latest = one | two | {(1, 2): rounds[2][3]}
+    for k, sent in enumerate(rounds):
+        for i, rows in enumerate(sent):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        d = stream.replacing_tally(stream.region_stream(spark, f"{tmp_path}/in", schema, 100), CFG.fat)
+        assert stream.append_batches(d, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination(120)
+        if k == 0:
+            assert spark.read.parquet(f"{tmp_path}/out").where("is_new").count() == 18
+    seen = spark.read.option("mergeSchema", "false").parquet(f"{tmp_path}/out")
+    got = {(x.slide, x.tile): tuple(x)[2:] for x in tally.merge(seen, ("slide", "tile")).collect()}
+    flat = spark.createDataFrame([x for rows in latest.values() for x in rows if x[4] is not None], schema)
+    want = {(x.slide, x.tile): tuple(x)[2:] for x in tally.merge(tally.tile_tally(flat, CFG.fat), ("slide", "tile")).collect()}
+    assert got.keys() == latest.keys() and all(np.allclose(got[k], want.get(k, np.zeros(len(got[k])))) for k in got)
+    assert seen.where("NOT is_new").count() == 4
+
+
 def test_drawing():
     rgb, m = np.full((20, 20, 3), 100, np.uint8), np.zeros((20, 20), bool)
     m[5:15, 5:15] = True
