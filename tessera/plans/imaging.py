@@ -117,7 +117,8 @@ def _with_paths(spark: SparkSession, tiles: DataFrame, folder: str, pattern: str
     """Tiles with the path of their slide, dealt over tasks by slide and band of rows, from top to bottom within a task. A PNG slide is read from the top, so it is one band."""
     d = tiles.where("error IS NULL").join(find_slides(spark, folder, pattern, ordered=False).select("slide", "path"), "slide")
     band = F.when(F.lower("path").endswith(".png"), F.lit(0)).otherwise(F.floor(F.col("y") / (F.col("size") * BAND)))
-    return d.repartition("slide", band).sortWithinPartitions("slide", "path", "y", "x")
+    # rows are small and the work on each is not: a number keeps the planner from merging tasks by their bytes
+    return d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slide", band).sortWithinPartitions("slide", "path", "y", "x")
 
 
 class _Slides:

@@ -277,7 +277,8 @@ def read_windows(windows: DataFrame, index: DataFrame) -> DataFrame:
     some = d.where("error IS NULL").withColumn("row", F.explode(places("y", "h", "tile_h", "level_h"))).withColumn("col", F.explode(places("x", "w", "tile_w", "level_w")))
     pieces = some.select(*key, "row", "col").join(index.where("error IS NULL").select("slide", "level", "row", "col", "offset", "bytes", "rows"), ["slide", "level", "row", "col"])
     pieces = pieces.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("offset", "bytes", "row", "col", "rows"))).alias("pieces"))
-    d = d.join(pieces, key, "left").repartition("slide", F.floor(F.col("y") / (F.col("tile_h") * BAND))).sortWithinPartitions("path", F.col("pieces")[0]["offset"], "x")
+    tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps the planner from merging tasks by the bytes of their small rows
+    d = d.join(pieces, key, "left").repartition(tasks, "slide", F.floor(F.col("y") / (F.col("tile_h") * BAND))).sortWithinPartitions("path", F.col("pieces")[0]["offset"], "x")
     schema = to_arrow_schema(StructType.fromDDL(WINDOWS))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
