@@ -98,7 +98,8 @@ def tile_table(spark, sf):
     from dataclasses import replace
 
     d = tally.tile_rows(fx.components(spark, sf), _grid_tiles(spark, sf), replace(FAT, exclude_border=True))
-    return _r(d, *[f"{k}_{m}" for k in ("macro", "micro") for m in ("fat_fraction", "mean_area_um2", "median_area_um2")], "total_fat_fraction")
+    d = _r(d, *[f"{k}_{m}_area_um2" for k in ("macro", "micro") for m in ("mean", "median")])
+    return _r(d, *[f"{k}_fat_fraction" for k in ("macro", "micro", "total")], digits=9)
 
 
 def slide_report(spark, sf):

@@ -137,8 +137,8 @@ SQL = {
         m AS (SELECT slide, tile, {", ".join(f"avg(area_um2) FILTER (WHERE verdict = '{k}' AND NOT touches_border) AS {k}_mean, median(area_um2) FILTER (WHERE verdict = '{k}' AND NOT touches_border) AS {k}_median" for k in ("macro", "micro"))} FROM judged GROUP BY slide, tile),
         t AS (SELECT tiles.*, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("macro_count", "micro_count", "macro_area_um2", "micro_area_um2", "border_count", "border_area_um2", *(f"rej_{r}" for r in (*REASONS, "border"))))}, {", ".join(f"coalesce({k}_{m}, 0.0) AS {k}_{m}" for k in ("macro", "micro") for m in ("mean", "median"))} FROM tiles LEFT JOIN ex USING (slide, tile) LEFT JOIN m USING (slide, tile))
         SELECT slide, x AS tile_x, y AS tile_y, CAST(512 AS INT) AS tile_size, tissue_area_um2 / 65536 AS tissue_fraction, tissue_area_um2, CAST(210 AS DOUBLE) AS threshold,
-          {", ".join(f"{k}_count, {k}_area_um2, round({k}_area_um2 / tissue_area_um2, 6) AS {k}_fat_fraction, round({k}_mean, 6) AS {k}_mean_area_um2, round({k}_median, 6) AS {k}_median_area_um2" for k in ("macro", "micro"))},
-          macro_count + micro_count AS total_count, macro_area_um2 + micro_area_um2 AS total_area_um2, round((macro_area_um2 + micro_area_um2) / tissue_area_um2, 6) AS total_fat_fraction, border_count, border_area_um2,
+          {", ".join(f"{k}_count, {k}_area_um2, round({k}_area_um2 / tissue_area_um2, 9) AS {k}_fat_fraction, round({k}_mean, 6) AS {k}_mean_area_um2, round({k}_median, 6) AS {k}_median_area_um2" for k in ("macro", "micro"))},
+          macro_count + micro_count AS total_count, macro_area_um2 + micro_area_um2 AS total_area_um2, round((macro_area_um2 + micro_area_um2) / tissue_area_um2, 9) AS total_fat_fraction, border_count, border_area_um2,
           {", ".join(f"rej_{r}" for r in (*REASONS, "border"))} FROM t""",
     "slide_report": f"""WITH {BASE}, few AS (SELECT * FROM tiles WHERE x < 1536), k AS (SELECT slide, {_tally()} FROM judged SEMI JOIN few USING (slide, tile) GROUP BY slide),
         g AS (SELECT slide, count(*) AS tiles, sum(tissue_area_um2) AS tissue FROM few GROUP BY slide), f AS (SELECT slide, count(*) AS tiles_candidate, sum(tissue_area_um2) / 1e6 AS slide_tissue_area_mm2 FROM tiles GROUP BY slide)
