@@ -2,7 +2,8 @@
 
 Rows carry the columns of a manifest and ``files``, an array of (path, data) with paths below the root. A task writes its files
 and its part of the manifest into a folder of its own; its message names that folder. The commit moves what the messages name
-into place and removes the rest, so attempts that were lost or repeated leave nothing. A run that is aborted removes its own folder.
+into place and removes the rest, so attempts that were lost or repeated leave nothing. A run that is aborted removes its own folder,
+and tasks of it that still run stop at their next file, for want of that folder.
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ class _PictureWriter(DataSourceArrowWriter):
         self.root, self.manifest = options["root"].rstrip("/"), options.get("manifest", "manifest")
         self.columns, self.overwrite = [c for c in columns if c != "files"], overwrite
         self.staging = f"{self.root}/_staging-{uuid.uuid4().hex}"
+        store, at = output(self.staging)
+        store.create_dir(at, recursive=True)
+        put(f"{self.staging}/_open", b"")  # stores without folders know files only
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         task = TaskContext.get()
@@ -60,14 +64,21 @@ class _PictureWriter(DataSourceArrowWriter):
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
                 for f in r["files"] or []:
+                    self._still_open()
                     put(f"{home}/{f['path']}", f["data"])
                     names.append(f["path"])
                 out.writerow([_cell(r[c]) for c in self.columns])
                 rows += 1
+        self._still_open()
         put(f"{home}/_manifest.csv", table.getvalue().encode())
         put(f"{home}/_files", "\n".join(names).encode())
         return Written(home, part, rows, len(names))
 
+    def _still_open(self) -> None:
+        store, at = output(f"{self.staging}/_open")
+        if store.get_file_info(at).type == fs.FileType.NotFound:
+            raise RuntimeError("the run was aborted")
+
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = output(self.root)
         if self.overwrite and store.get_file_info(f"{root}/{self.manifest}").type != fs.FileType.NotFound:

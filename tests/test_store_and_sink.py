@@ -2,6 +2,7 @@
 
 import glob
 import os
+import time
 
 import numpy as np
 import pytest
@@ -92,10 +93,28 @@ def test_a_run_that_fails_half_way_leaves_nothing(spark, tmp_path):
     bad = rows_of(spark).withColumn("n", F.when(F.col("n") == 7, F.raise_error(F.lit("stop"))).otherwise(F.col("n")))
     with pytest.raises(Exception, match="stop"):
         sink.write_pictures(bad, root)
+    for _ in range(50):  # tasks that were running end at their next file
+        if not glob.glob(f"{root}/_staging*"):
+            break
+        time.sleep(0.1)
     assert everything(root) == {} and not glob.glob(f"{root}/manifest/*") and not glob.glob(f"{root}/_staging*")
     assert sink.write_pictures(rows_of(spark), root).count() == 12 and len(everything(root)) == len([i for i in range(12) if i % 5]) * 2
 
 
+def test_a_task_of_an_aborted_run_stops(spark, tmp_path):
+    batches = rows_of(spark).coalesce(1).toArrow().to_batches(max_chunksize=5)
+    w = sink._PictureWriter({"root": str(tmp_path / "o")}, rows_of(spark).columns, True)
+
+    def slow():
+        yield batches[0]
+        w.abort([])
+        yield from batches[1:]
+
+    with pytest.raises(RuntimeError, match="aborted"):
+        w.write_part(slow(), 0, f"{w.staging}/0-1")
+    assert everything(f"{tmp_path}/o") == {} and not glob.glob(f"{tmp_path}/o/_staging*")
+
+
 def test_lost_and_repeated_attempts_leave_one_manifest(spark, tmp_path):
     batches = rows_of(spark).coalesce(1).toArrow().to_batches(max_chunksize=5)
     w = sink._PictureWriter({"root": str(tmp_path / "o")}, rows_of(spark).columns, True)
