@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
+
 SLOTS = 128
 #: Slots of quantiles by group: every value is held against all cuts.
 GROUP_SLOTS = 32
@@ -92,11 +94,14 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict
 
     ``weight`` tells how often a row's value stands. All groups are cut into the same slots, at approximate quantiles of all values,
     so a slot of a group has at most a slot's share of the rows: a group that holds most rows is spread over tasks. The totals of
-    (group, slot), at most ``slots`` rows a group, say which slots hold the wanted ranks; only those are sorted.
+    (group, slot), at most ``slots`` rows a group, say which slots hold the wanted ranks; only those are sorted. Runs at once: the counts are
+    written, since they are looked at three times.
     """
     keys = list(keys)
     n = F.sum(weight) if weight else F.count("*")
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(n.alias("n"))
+    shared_dir(df.sparkSession)  # sets the folder where it is unset
+    counts = counts.checkpoint()
     edges = counts.agg(cuts("v", slots).alias("edges"))
     counts = counts.join(F.broadcast(edges)).withColumn("slot", slot_of(F.col("v"), F.col("edges"))).drop("edges")
     group = Window.partitionBy(*keys)

@@ -90,7 +90,8 @@ def holdout(spark: SparkSession, df: DataFrame, repeats: int = 300, fraction: fl
         got["test_auc"] = np.array([_auc(v[pos & (side > 0)], v[~pos & (side > 0)]) for side in test.T])
         return pa.table([pa.array(np.arange(repeats, dtype=np.int32)), *[pa.repeat(k, repeats) for k in key], *[_null(got[n]) for n in named]], names=names)
 
-    every = rows.groupBy(*keys).applyInArrow(one, schema)
+    # rows are few and the work on each cell is not: a number keeps the planner from merging tasks by their bytes
+    every = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys).applyInArrow(one, schema)
     best = Window.partitionBy("rep").orderBy(F.desc("tune_metric"), *keys)
     return every.where(F.col("tune_metric").isNotNull()).withColumn("at", F.row_number().over(best)).where("at = 1").drop("at")
 
@@ -132,7 +133,8 @@ def bootstrap(spark: SparkSession, rows: DataFrame, boots: int = 2000, seed: int
     """
     value = F.struct("slide", F.coalesce(F.col("macro_pct").cast("double"), F.lit(float("nan"))).alias("v"))
     sides = rows.agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("group") == g, value))), lambda x: x.v).alias(n) for n, g in (("p", positive), ("q", negative))])
-    blocks = spark.range(0, -(-boots // DRAWS) + 1).select((F.col("id").cast("int") - 1).alias("block")).repartition("block")  # block -1: the rows as they are
+    blocks = spark.range(0, -(-boots // DRAWS) + 1).select((F.col("id").cast("int") - 1).alias("block"))  # block -1: the rows as they are
+    blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
     schema = "boot int, " + ", ".join(f"{m} double" for m in METRICS)
 
     def draws(boot: int, group: str, n: int) -> np.ndarray:

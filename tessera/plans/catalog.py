@@ -34,8 +34,11 @@ def _members(spark):
     return classify.parameter_table(spark, ensemble.default_members(FAT))
 
 
-def _sweep(spark, sf):
+def _sweep(spark, sf, **cell):
+    """Every cell of the grid, or those of the given values: the grid is cut before any region is judged."""
     grid = sweep.parameter_grid(spark, GRID_WHITES, GRID_AXES)
+    for k, v in cell.items():
+        grid = grid.where(F.col(k) == v)
     out = sweep.sweep(fx.components(spark, sf), fx.tiles(spark, sf), grid, FAT, CELLS)
     return out.join(fx.slides(spark, sf).withColumnRenamed("cohort", "group"), "slide")
 
@@ -182,7 +185,7 @@ def optimism(spark, sf):
 
 def bootstrap_ci(spark, sf):
     cell = {"white": 210, "circularity_min": 0.55, "min_area_um2": 40.0, "max_eccentricity": 0.8}
-    rows = validate.cell_rows(_sweep(spark, sf), cell).select("slide", "group", "macro_pct")
+    rows = validate.cell_rows(_sweep(spark, sf, **cell), cell).select("slide", "group", "macro_pct")
     return _r(validate.bootstrap(spark, rows, boots=2000, seed=SEED), "observed", "boot_mean", "ci_lo", "ci_hi", digits=8)
 
 
