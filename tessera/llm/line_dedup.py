@@ -5,8 +5,8 @@ characters of the shorter line, so that a line of eight characters may differ in
 tau + 1 nearly equal segments; of two linked lines, the longer one holds one segment of the shorter
 one unchanged, at a start that both the edits left of it and those right of it allow. So every
 line is indexed under its segments (with its length and the segment's number), and probes the index
-with its substrings at the allowed starts for the lengths n - tau to n. Candidates also have
-to agree in their letter counts (each edit moves at most two of them by one), which is tested inside
+with its substrings at the allowed starts for the lengths n - tau to n; its own segments are among these.
+Candidates also have to agree in their letter counts (each edit moves at most two of them by one), which is tested inside
 the join, and are verified by a banded bit-parallel edit distance: the band of 2 * tau + 1 diagonals
 is one word of bits that slides along both lines.
 
@@ -14,7 +14,7 @@ Equal lines are one class, named by their first place (document id, line number)
 copies of a common line are one row of the join. A line is kept if it is the first of its class
 and no class that begins earlier is linked with its own.
 
-Scale: copies of a line are summed up on the map side to one row of 12 to 15 hashes (tau = 2) without
+Scale: copies of a line are summed up on the map side to one row of at most 12 hashes (tau = 2) without
 text; lines are shuffled as text once, to meet the candidate pairs. Index buckets are sort-merge
 joins of two plain shuffles, which adaptive execution splits where a segment is common.
 
@@ -69,27 +69,28 @@ def _hash_cut(wide: Column, cut: Column) -> Column:
 
 
 def with_keys(lines: DataFrame, tau: int, per: int) -> DataFrame:
-    """lines with ``own``, the hashes of a line's segments, and ``ask``, those of its distinct substrings that may equal a segment of a line of n - tau to n characters.
+    """lines with ``traits`` and ``a0``, ``a1`` ...: the hashes of a line's distinct substrings that may equal a segment of a line of n - tau to n characters, its own tau + 1 segments first.
 
-    Hashes are taken from four bytes a character, so that a run is found without a scan.
+    They are null where a line has no more of them or is shorter than ``per``. Hashes are taken from four bytes a
+    character, so that a run is found without a scan.
     """
     m = tau + 1
     parts = {f"{c}{gap}": F.expr(f"CAST({'(n - %d) DIV %d' % (gap, m) if c == 'b' else '(n - %d) %% %d' % (gap, m)} AS INT)") for gap in range(m) for c in "bl"}
-    d = lines.withColumns({"n": F.length("line"), "w": F.encode("line", "UTF-32")}).withColumns(parts)
-    probes = []
+    own, others = [], []
     for i in range(1, m + 1):
         for gap in range(m):
             start, size = _segment(i, gap, tau)
             low, high = max(-(i - 1), gap - (tau + 1 - i)), min(i - 1, gap + (tau + 1 - i))
-            probes += [_cut(start + shift, size, i) for shift in range(low, high + 1)]
+            for shift in range(low, high + 1):
+                (own if gap == shift == 0 else others).append(_cut(start + shift, size, i))
     near = F.col("n") >= per
-    nothing = F.array().cast("array<bigint>")
-    hashed = lambda cuts: F.transform(cuts, lambda c: _hash_cut(F.col("w"), c))
     # a run that leaves a very short line has fewer characters than it should: at worst a candidate that is not confirmed
-    ask = F.array_distinct(F.array(*probes))
-    own = F.array(*[_cut(*_segment(i, 0, tau), i) for i in range(1, m + 1)])
-    d = d.withColumns({"cut_own": F.when(near, own).otherwise(nothing), "cut_ask": F.when(near, ask).otherwise(nothing)})
-    return d.withColumns({"own": hashed("cut_own"), "ask": hashed("cut_ask")}).drop(*parts, "w", "cut_own", "cut_ask")
+    cuts = F.when(near, F.array_distinct(F.array(*own, *others)))
+    d = lines.withColumns({"n": F.length("line"), "w": F.encode("line", "UTF-32")}).withColumns(parts).withColumn("cuts", cuts)
+    # one column for each hash, in one step with the fold of the traits: a step with a fold is compiled in small methods,
+    # without one all hashes would go into a single method, too large for the JVM to compile
+    keys = {f"a{j}": F.when(F.get("cuts", F.lit(j)).isNotNull(), _hash_cut(F.col("w"), F.get("cuts", F.lit(j)))) for j in range(n_probes(tau))}
+    return d.select(*lines.columns, F.when(near, _traits(F.col("line"), F.col("n"))).alias("traits"), *[c.alias(x) for x, c in keys.items()])
 
 
 def n_probes(tau: int) -> int:
@@ -97,13 +98,14 @@ def n_probes(tau: int) -> int:
     return sum(min(i - 1, g + m - i) - max(1 - i, g - (m - i)) + 1 for i in range(1, m + 1) for g in range(m))
 
 
+def _count(line: Column, letter: str) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))
+
+
 def _traits(line: Column, n: Column) -> Column:
     """The length modulo 256 and, above it, the letter counts modulo 32, in one long."""
-    out = n.cast("long").bitwiseAND(F.lit(255).cast("long"))
-    for j, c in enumerate(LETTERS):
-        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))).cast("long")
-        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(31).cast("long")), 8 + 5 * j))
-    return out
+    packed = F.aggregate(F.array(*[_count(line, c) for c in reversed(LETTERS)]), F.lit(0).cast("long"), lambda t, x: F.shiftleft(t, 5).bitwiseOR(x.bitwiseAND(F.lit(31)).cast("long")))
+    return F.shiftleft(packed, 8).bitwiseOR(n.bitwiseAND(F.lit(255)).cast("long"))
 
 
 def _may_be_near(a: str, b: str, ta: str, tb: str, tau: int) -> str:
@@ -193,12 +195,12 @@ def line_classes(spark: SparkSession, docs: DataFrame, tau: int = TAU, per: int
 
     # one row for each class, with its first place and its keys; copies of a line meet as fixed-width sums
     keyed = with_keys(named, tau, per)
-    keys = {f"o{j}": F.get("own", F.lit(j)) for j in range(tau + 1)} | {f"a{j}": F.get("ask", F.lit(j)) for j in range(n_probes(tau))}
-    keyed = keyed.select("h1", "h2", _at(F.col("d"), F.col("k")).alias("at"), F.when(F.col("n") >= per, _traits(F.col("line"), F.col("n"))).alias("traits"), *[c.alias(x) for x, c in keys.items()])
-    classes = keyed.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in ("at", "traits", *keys)])
+    asks = [f"a{j}" for j in range(n_probes(tau))]
+    keyed = keyed.select("h1", "h2", _at(F.col("d"), F.col("k")).alias("at"), "traits", *asks)
+    classes = keyed.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in ("at", "traits", *asks)])
     classes = work.save(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
-    pairs = work.save(_candidates(classes, list(keys), tau), "pairs")
+    pairs = work.save(_candidates(classes, asks, tau), "pairs")
 
     # the texts of the lines in question, from their first places
     first = classes.select("c", "h1", "h2", "at")
@@ -221,10 +223,10 @@ def line_classes(spark: SparkSession, docs: DataFrame, tau: int = TAU, per: int
     return places.join(known, ["h1", "h2"]).select("d", "r", "k", _place("at").alias("first"), "n_links", ((F.col("later") == 0) & here).alias("kept"))
 
 
-def _candidates(classes: DataFrame, keys: list[str], tau: int) -> DataFrame:
+def _candidates(classes: DataFrame, asks: list[str], tau: int) -> DataFrame:
     """Pairs (a, b) of classes of which one asks for a segment of the other and edits may make the one the other."""
-    x = classes.select(F.col("c").alias("a"), F.col("traits").alias("ta"), F.explode(F.array(*[k for k in keys if k[0] == "o"])).alias("key")).where("key IS NOT NULL")
-    y = classes.select(F.col("c").alias("b"), F.col("traits").alias("tb"), F.explode(F.array(*[k for k in keys if k[0] == "a"])).alias("key")).where("key IS NOT NULL")
+    x = classes.select(F.col("c").alias("a"), F.col("traits").alias("ta"), F.explode(F.array(*asks[: tau + 1])).alias("key")).where("key IS NOT NULL")
+    y = classes.select(F.col("c").alias("b"), F.col("traits").alias("tb"), F.explode(F.array(*asks)).alias("key")).where("key IS NOT NULL")
     pairs = x.join(y, "key").where(F.expr(_may_be_near("a", "b", "ta", "tb", tau)))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

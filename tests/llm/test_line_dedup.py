@@ -73,6 +73,30 @@ def test_classes_match_brute_force(spark):
         assert sorted(map(tuple, got)) == brute(docs, tau, L.PER)
 
 
+def test_a_line_asks_for_its_own_segments_first(spark):
+    r = random.Random(5)
+    bases = ["".join(r.choice("abcdeé🙂 ") for _ in range(r.randint(8, 60))) for _ in range(80)]
+    for tau in (1, 2, 3):
+        rows = [(i, x, edit(r, x, r.randint(0, tau))) for i, x in enumerate(bases)] + [(80, "seven c", "seven x")]
+        lines = spark.createDataFrame(rows, "i int, p string, q string").selectExpr("i", "stack(2, p, q) AS line")
+        keyed = L.with_keys(lines, tau, L.PER)
+        n = L.n_probes(tau)
+        assert keyed.columns == ["i", "line", "traits", *[f"a{j}" for j in range(n)]]  # one column for each probe, none for segments
+        got = {}
+        for x in keyed.collect():
+            asks = [a for a in x[3:] if a is not None]
+            assert (len(asks) > tau) == (len(x.line) >= L.PER) == (x.traits is not None)
+            got.setdefault(x.i, []).append((len(x.line), set(asks[: tau + 1]), set(asks)))
+        for short, long in [sorted(v, key=lambda s: s[0]) for v in got.values()]:
+            assert short[0] < L.PER or short[1] & long[2]
+
+
+def test_hashes_are_compiled_in_small_methods(spark):
+    lines = spark.createDataFrame([("a line",)], "line string")
+    plan = L.with_keys(lines, 2, L.PER)._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in plan.split("\n") if "AS a11#" in x] and not [x for x in plan.split("\n") if "AS a11#" in x and "*(" in x.split("Project")[0]]
+
+
 def test_dropping(spark):
     docs = [(1, "the first line of all\nsecond line, rather long"), (2, "the first line of all!\nanother line entirely\n\nend"), (3, "the first line of all"), (4, None), (5, ""), (5, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("k", F.lit("extra"))
