@@ -87,8 +87,8 @@ def with_keys(lines: DataFrame, tau: int, per: int) -> DataFrame:
     # a run that leaves a very short line has fewer characters than it should: at worst a candidate that is not confirmed
     cuts = F.when(near, F.array_distinct(F.array(*own, *others)))
     d = lines.withColumns({"n": F.length("line"), "w": F.encode("line", "UTF-32")}).withColumns(parts).withColumn("cuts", cuts)
-    # one column for each hash, in one step with the fold of the traits: a step with a fold is compiled in small methods,
-    # without one all hashes would go into a single method, too large for the JVM to compile
+    # one column for each hash, in one step with the fold of the traits, which keeps it out of whole-stage code: there the
+    # hashes of 573,078 lines took 7.8 s, outside 2.3 s (four cores; presumably one method too large for the JVM to compile)
     keys = {f"a{j}": F.when(F.get("cuts", F.lit(j)).isNotNull(), _hash_cut(F.col("w"), F.get("cuts", F.lit(j)))) for j in range(n_probes(tau))}
     return d.select(*lines.columns, F.when(near, _traits(F.col("line"), F.col("n"))).alias("traits"), *[c.alias(x) for x, c in keys.items()])
 
